@@ -31,6 +31,65 @@ SELECT o_orderkey AS query_id, CASE o_orderkey % 7
  ELSE concat('Select Count(*) , Avg(o_totalprice) From orders Where o_custkey = ', cast(o_custkey AS varchar(20)),
    ' Group By o_orderstatus Having Count(*) > ', cast(o_orderkey % 10 AS varchar(20))) END AS sql_text
 FROM {orders}""",
+    # Low-cardinality string columns of the sales tables: (table, column, value), distinct.
+    "value_index": """
+SELECT 'customer' AS tbl, 'c_mktsegment' AS col, c_mktsegment AS value FROM {customer}
+UNION SELECT 'orders', 'o_orderpriority', o_orderpriority FROM {orders}
+UNION SELECT 'orders', 'o_orderstatus', o_orderstatus FROM {orders}
+UNION SELECT 'part', 'p_name', p_name FROM {part}
+UNION SELECT 'part', 'p_brand', p_brand FROM {part}
+UNION SELECT 'part', 'p_type', p_type FROM {part}
+UNION SELECT 'region', 'r_name', r_name FROM {region}
+UNION SELECT 'nation', 'n_name', n_name FROM {nation}
+UNION SELECT 'lineitem', 'l_returnflag', l_returnflag FROM {lineitem}
+UNION SELECT 'lineitem', 'l_linestatus', l_linestatus FROM {lineitem}""",
+    # One literal per part, aimed at a column: exact, other case, swapped words, a letter lost,
+    # wrong column, a number, a value of another table, no such value, stray blanks.
+    "probes": """
+SELECT p_partkey AS probe_id, 'part' AS tbl,
+ CASE WHEN p_partkey % 9 IN (4, 6, 7) THEN 'p_type' ELSE 'p_name' END AS col,
+ CASE p_partkey % 9 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name)
+   WHEN 2 THEN concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1))
+   WHEN 3 THEN substring(p_name, 1, length(p_name) - 1)
+   WHEN 4 THEN p_brand WHEN 5 THEN cast(p_size AS varchar(12))
+   WHEN 6 THEN CASE p_size % 5 WHEN 0 THEN 'Household' WHEN 1 THEN 'BILDING' WHEN 2 THEN 'midle east'
+     WHEN 3 THEN 'urgent 1' ELSE 'furnitures' END
+   WHEN 7 THEN concat('zzz qq', cast(p_size AS varchar(12)))
+   ELSE concat(' ', p_name, ' ') END AS literal
+FROM {part}""",
+    # Token-sort score of every distinct literal against every distinct indexed value.
+    "literal_scores": """
+SELECT literal, value, CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE round_even(100 * (2.0 * list_extract(
+ list_reduce(string_split(a, ''), lambda prev, c: list_reduce(range(1, length(b) + 1), lambda cur, j: list_append(cur,
+   CASE WHEN substring(b, j, 1) = c THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0::BIGINT]),
+   list_transform(range(0, length(b) + 1), lambda z: 0::BIGINT)), -1) / (length(a) + length(b))), 0) / 100 END AS score,
+ lower(trim(literal)) = lower(trim(value)) AS exact
+FROM (SELECT literal, array_to_string(list_sort(string_split(trim(lower(regexp_replace(literal, '[^A-Za-z0-9_]+', ' ', 'g'))), ' ')), ' ') AS a
+  FROM (SELECT DISTINCT literal FROM <<probes>>) p) l,
+ (SELECT value, array_to_string(list_sort(string_split(trim(lower(regexp_replace(value, '[^A-Za-z0-9_]+', ' ', 'g'))), ' ')), ' ') AS b
+  FROM (SELECT DISTINCT value FROM <<value_index>>) v) r""",
+    "token_vectors": """
+SELECT t.token, e.embedding FROM (SELECT token, row_number() OVER (ORDER BY token) AS rn FROM
+ (SELECT DISTINCT split_part(p_name, ' ', 1) AS token FROM {part} UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM {part}) u) t
+LEFT JOIN {embeddings} e ON e.vec_id = t.rn * 3""",
+    # The calibration cascade over the distinct probes, written over the full score table.
+    "calibrated": """
+SELECT tbl, col, literal, stage, CASE WHEN stage IN (4, 5) AND kept IS NULL THEN tbl ELSE mtbl END AS match_tbl,
+ CASE WHEN stage IN (4, 5) AND kept IS NULL THEN col ELSE mcol END AS match_col, CASE WHEN stage = 1 THEN NULL WHEN stage = 2 THEN mval ELSE kept END AS match_value
+FROM (SELECT *, CASE WHEN TRY_CAST(trim(literal) AS DOUBLE) IS NOT NULL AND TRY_CAST(trim(mval) AS DOUBLE) IS NOT NULL THEN NULL ELSE mval END AS kept,
+  row_number() OVER (PARTITION BY tbl, col, literal ORDER BY stage, score DESC, exact DESC, mval, mcol, mtbl) AS rn FROM (
+ SELECT p.tbl, p.col, p.literal, v.tbl AS mtbl, v.col AS mcol, v.value AS mval, s.score, s.exact, unnest(list_filter([
+   CASE WHEN v.tbl = p.tbl AND v.col = p.col AND s.exact THEN 1 END, CASE WHEN v.tbl = p.tbl AND s.exact THEN 2 END,
+   CASE WHEN v.tbl = p.tbl AND v.col = p.col AND s.score > 0.65 THEN 3 END, CASE WHEN v.tbl = p.tbl AND s.score > 0.65 THEN 4 END,
+   CASE WHEN v.tbl <> p.tbl AND s.score > 0.65 THEN 5 END, CASE WHEN v.tbl = p.tbl AND v.col = p.col THEN 6 END], lambda x: x IS NOT NULL)) AS stage
+ FROM (SELECT DISTINCT tbl, col, literal FROM <<probes>>) p JOIN <<literal_scores>> s ON s.literal = p.literal
+ JOIN <<value_index>> v ON v.value = s.value) w) z WHERE rn = 1""",
+    # Predicates of made-up queries: a bar-separated literal list per probe, grouped by size.
+    "predicates": """
+SELECT probe_id, probe_id DIV 3 AS query_id, concat(tbl, CASE WHEN probe_id % 17 = 0 THEN '' ELSE '.' END, col) AS target,
+ concat(literal, CASE WHEN probe_id % 4 = 0 THEN '|1.5' WHEN probe_id % 5 = 0 THEN '|"red" ring' ELSE '' END) AS literals,
+ CASE WHEN (probe_id DIV 3) % 7 = 0 THEN 'select p_name from part where p_type LIKE 1' ELSE 'select p_name from part' END AS sql_text
+FROM <<probes>>""",
 }
 
 _REF = re.compile(r"<<(\w+)>>")
@@ -58,7 +117,7 @@ def oracle(text: str, **parts: str) -> str:
             body = f"WITH {ctes} {body}"
     for name in TABLE_NAMES:
         body = body.replace("{" + name + "}", name)
-    return body
+    return body.replace(" DIV ", " // ")
 
 
 def view(tables: Tables, name: str) -> DataFrame:
