@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 
 from quillcheck.sources.tables import TABLE_NAMES, Tables
 
+# Texts filled into views by the modules that own them, as ``[[name]]``.
+PARTS: dict[str, str] = {}
+
 VIEWS: dict[str, str] = {
     # One text of SQL, or of a reply holding SQL, per order.
     "sql_text": """
@@ -90,8 +93,66 @@ SELECT probe_id, probe_id DIV 3 AS query_id, concat(tbl, CASE WHEN probe_id % 17
  concat(literal, CASE WHEN probe_id % 4 = 0 THEN '|1.5' WHEN probe_id % 5 = 0 THEN '|"red" ring' ELSE '' END) AS literals,
  CASE WHEN (probe_id DIV 3) % 7 = 0 THEN 'select p_name from part where p_type LIKE 1' ELSE 'select p_name from part' END AS sql_text
 FROM <<probes>>""",
+    # One question per order about its customer's segment, its status and its priority.
+    "questions": """
+SELECT o_orderkey AS q_id, 'sales' AS db_id, concat('How many ', lower(c_mktsegment), '''s orders, status ', o_orderstatus,
+ ', have priority "', o_orderpriority, '"', CASE o_orderkey % 5 WHEN 0 THEN ' in the Midle East?' WHEN 1 THEN ' (id 12) with a re ring?'
+ WHEN 2 THEN ', 1-urgent, or ECONOMI type?' WHEN 3 THEN ' of Brand#2 and brand#21?' ELSE '?' END) AS question,
+ CASE o_orderkey % 4 WHEN 0 THEN 'orders customer' WHEN 1 THEN 'lineitem' WHEN 2 THEN 'region nation part' ELSE '' END AS table_list,
+ concat('SELECT-FROM', CASE o_orderkey % 2 WHEN 0 THEN '-WHERE' ELSE '' END) AS structure, 'select count(*)' AS select_text
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+    # All runs of whole words of each distinct question.
+    "question_spans": """
+SELECT DISTINCT question, span FROM (SELECT question, regexp_replace(array_to_string(list_slice(p, i, i + n), ''), '[''"()`,.?! ]+$', '') AS span
+ FROM (SELECT question, p, i, unnest(range(0, len(p) - i + 1)) AS n FROM (SELECT question, p, unnest(range(1, len(p) + 1)) AS i
+ FROM (SELECT DISTINCT question, regexp_extract_all(lower(trim(question)), '[^''"()`,.?! ]+[''"()`,.?! ]*') AS p FROM <<questions>>) a) b) c) d
+WHERE length(span) > 1 AND length(span) <= 60""",
+    "span_pairs": """
+SELECT span, key, score, run_at, run_size, trim(substring(key, run_at + 1, run_size)) AS run FROM (
+ SELECT span, key, score, CAST(list_max(hits).size AS BIGINT) AS run_size, CAST(-list_max(hits).at AS BIGINT) AS run_at FROM (
+ SELECT *, list_filter(flatten(list_transform(range(1, length(key) + 1), lambda z: list_transform(range(0, length(key) - z + 1),
+   lambda i: CASE WHEN contains(span, substring(key, i + 1, z)) THEN {'size': z, 'at': -i} END))), lambda h: h IS NOT NULL) AS hits
+ FROM (SELECT span, key, 2.0 * list_extract(list_reduce(string_split(span, ''), lambda prev, c: list_reduce(range(1, length(key) + 1), lambda cur, j:
+   list_append(cur, CASE WHEN substring(key, j, 1) = c THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0::BIGINT]),
+   list_transform(range(0, length(key) + 1), lambda z: 0::BIGINT)), -1) / (length(span) + length(key)) AS score
+  FROM (SELECT DISTINCT span FROM <<question_spans>>) s, (SELECT DISTINCT lower(trim(value)) AS key FROM <<value_index>>) k
+  WHERE left(span, 1) = left(key, 1) AND 2 * least(length(span), length(key)) >= 0.85 * (length(span) + length(key)) - 0.000001) x
+ WHERE score >= 0.85) y) w""",
+    "usable_pairs": """
+SELECT * FROM (SELECT *, [run, span, key] AS three FROM <<span_pairs>>) u
+WHERE length(run) > 0 AND TRY_CAST(replace(run, ',', '') AS DOUBLE) IS NULL AND run <> 'id'
+ AND NOT list_has_any(three, string_split('[[stop]]', ' ')) AND (NOT list_has_any(three, ['no', 'yes', 'many']) OR score >= 1)""",
+    "mentions": """
+SELECT question, tbl, col, max(value) AS value, arg_max(score, value) AS score, arg_max(run_size, value) AS run_size FROM (
+ SELECT question, tbl, col, value, substring(value, run_at + 1, run_size) AS run, score, run_size, row_number() OVER (PARTITION BY question, tbl, col, value
+  ORDER BY score DESC, run_size DESC, substring(value, run_at + 1, run_size) DESC) AS rn
+ FROM <<question_spans>> JOIN <<usable_pairs>> USING (span) JOIN <<value_index>> ON lower(trim(value)) = key
+ WHERE score >= 1 OR NOT (upper(value) = value AND lower(value) <> value)) m WHERE rn = 1 GROUP BY question, tbl, col, run""",
+    "top_mentions": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question, tbl, col ORDER BY score DESC, run_size DESC, value) AS place FROM <<mentions>>
+ WHERE NOT contains(col, 'name') OR score >= 1) t WHERE place <= 2""",
+    "always_shown": """
+SELECT tbl, col, CASE WHEN low = high THEN [low] ELSE [low, high] END AS vals FROM (SELECT tbl, col, count(*) AS n, min(value) AS low, max(value) AS high
+ FROM <<value_index>> GROUP BY tbl, col) a WHERE n = 1 AND low <> '' OR n = 2 AND (length(low) <= 3 OR lower(low) IN ('male', 'female'))""",
+    "linked": """
+SELECT question, tbl, col, list(value ORDER BY place) AS vals FROM <<top_mentions>> GROUP BY question, tbl, col""",
+    # (table_id, tbl, pos, col) of the sales tables, and their foreign keys by position.
+    "sales_columns": """
+SELECT * FROM (VALUES [[columns]]) AS c(table_id, tbl, pos, col)""",
+    "sales_keys": """
+SELECT * FROM (VALUES [[keys]]) AS k(tbl, c1, t2, c2, col, ref_tbl, ref_col)""",
+    "table_texts": """
+SELECT question, table_id, tbl, lower(tbl) || '(' || string_agg(lower(col) || CASE WHEN vals IS NULL THEN '' ELSE ' [' ||
+  array_to_string(list_transform(vals, lambda v: '"' || v || '"'), ', ') || ']' END, ', ' ORDER BY pos) || ')' AS plain
+FROM (SELECT q.question, c.table_id, c.tbl, c.pos, c.col, coalesce(l.vals, s.vals) AS vals FROM (SELECT DISTINCT question FROM <<questions>>) q
+ CROSS JOIN <<sales_columns>> c LEFT JOIN <<linked>> l ON l.question = q.question AND l.tbl = c.tbl AND l.col = c.col
+ LEFT JOIN <<always_shown>> s ON s.tbl = c.tbl AND s.col = c.col) x GROUP BY question, table_id, tbl""",
+    "keyed_texts": """
+SELECT question, table_id, tbl, plain || coalesce(' ' || fk, '') AS table_text FROM <<table_texts>> LEFT JOIN
+ (SELECT tbl, string_agg('FOREIGN KEY: ' || tbl || '.' || col || ' = ' || ref_tbl || '.' || ref_col, ', ' ORDER BY c1) AS fk FROM <<sales_keys>> GROUP BY tbl) k USING (tbl)""",
 }
 
+
 _REF = re.compile(r"<<(\w+)>>")
 
 
@@ -115,6 +176,8 @@ def oracle(text: str, **parts: str) -> str:
             body = f"WITH {ctes}, {stripped[5:]}"
         else:
             body = f"WITH {ctes} {body}"
+    for key, value in PARTS.items():
+        body = body.replace(f"[[{key}]]", value)
     for name in TABLE_NAMES:
         body = body.replace("{" + name + "}", name)
     return body.replace(" DIV ", " // ")

@@ -50,13 +50,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there, with the lineage cut.
+def settled(df: DataFrame, label: str = "settled") -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and go on from there.
 
-    Used where a later step must see the very same rows and partition numbers twice, so
-    that a lost executor cannot change them.
+    Used for a result that several later steps read, and where a later step must see the
+    very same rows twice: lineage ends here, so a lost executor cannot change them.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
