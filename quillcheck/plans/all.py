@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from quillcheck.plans import catalog_queries, equivalence_queries, linking_queries, relational, text_queries, value_queries  # noqa: F401
+from quillcheck.plans import catalog_queries, clause_queries, equivalence_queries, linking_queries, relational, text_queries, value_queries  # noqa: F401

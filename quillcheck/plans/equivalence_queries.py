@@ -110,7 +110,16 @@ def equal_up_to_columns(t):
     ).select("pair", "n_gold", "n_pred", "equal")
 
 
-@plan("e06_column_matches", "SELECT * FROM (VALUES (0, 1), (1, 2), (2, 0)) v(gold_pos, pred_pos) WHERE (SELECT count(*) FROM lineitem) > 0")
+def _column_match_sql() -> str:
+    pairs = []
+    for i, g in enumerate(["k", "qty", "n"]):
+        for j, p in enumerate(["n", "k", "qty"]):
+            left, right = f"SELECT CAST({g} AS DOUBLE) FROM ({_GOLD}) g", f"SELECT CAST({p} AS DOUBLE) FROM ({_SAME}) p"
+            pairs.append(f"SELECT {i} AS gold_pos, {j} AS pred_pos WHERE NOT EXISTS (({left}) EXCEPT ALL ({right}))")
+    return " UNION ALL ".join(pairs)
+
+
+@plan("e06_column_matches", _column_match_sql())
 def column_matches(t):
     return eq.column_matches(gold(t), joined(t).select("n", "k", "qty"))
 
