@@ -12,6 +12,8 @@ parent_id, child_id, role, kind (intersect, union, except, or the clause that ho
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -343,10 +345,13 @@ def score(units: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
     return exact_matches(base, links, depth)
 
 
-def partial_scores(scored: DataFrame) -> DataFrame:
-    """One row per (query, component): totals, overlap, acc, rec and f1."""
+def partial_scores(scored: DataFrame, components: Sequence[str] = COMPONENTS) -> DataFrame:
+    """One row per (query, component): totals, overlap, acc, rec and f1.
+
+    ``scored`` comes from ``score``; where IUEN is not asked for, ``overlaps`` will do.
+    """
     rows = []
-    for name in COMPONENTS:
+    for name in components:
         if name == "IUEN":
             label, pred, overlap = F.col("label_total"), F.col("pred_total"), F.col("overlap")
         else:
@@ -358,8 +363,7 @@ def partial_scores(scored: DataFrame) -> DataFrame:
                 overlap.cast("bigint").alias("overlap"), got.alias("acc"), got.alias("rec"), got.alias("f1"),
             )
         )
-    # The exact flag travels along; its own totals are those of the IUEN row.
-    return scored.select("query_id", F.col("exact").alias("exact"), F.inline(F.array(*rows)))
+    return scored.select("query_id", F.inline(F.array(*rows)))
 
 
 def connected_minimum(edges: DataFrame) -> DataFrame:

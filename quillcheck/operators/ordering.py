@@ -41,8 +41,22 @@ def with_ordinal(df: DataFrame, keys: Sequence[Column | str], name: str = "ordin
 
 
 def file_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
-    """Number the rows of a fresh file scan in file order."""
-    return _dense(df.withColumn("__mono", F.monotonically_increasing_id()), name)
+    """Number the rows of a fresh file scan in the order of file names and of lines in them.
+
+    Only one row per file split, its size and first row, meets in a single window.
+    """
+    rows = df.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at")
+    ).withColumn("__mono", F.monotonically_increasing_id())
+    splits = rows.groupBy("__file", "__at").agg(F.count("*").alias("__size"), F.min("__mono").alias("__first"))
+    before = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("__file", "__at", "__first", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    # One row per file split, so the broadcast is bounded by the number of tasks.
+    return (
+        rows.join(F.broadcast(starts), ["__file", "__at"])
+        .withColumn(name, F.col("__start") + F.col("__mono") - F.col("__first"))
+        .select(*df.columns, name)
+    )
 
 
 def running(

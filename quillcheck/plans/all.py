@@ -1,3 +1,13 @@
 """Importing this module registers every query."""
 
-from quillcheck.plans import catalog_queries, clause_queries, equivalence_queries, linking_queries, relational, text_queries, value_queries  # noqa: F401
+from quillcheck.plans import (  # noqa: F401
+    catalog_queries,
+    clause_queries,
+    equivalence_queries,
+    linking_queries,
+    metric_queries,
+    ranking_queries,
+    relational,
+    text_queries,
+    value_queries,
+)

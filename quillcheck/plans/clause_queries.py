@@ -7,6 +7,7 @@ from quillcheck.operators import clauses as cl
 from quillcheck.plans.catalog_queries import DATABASES, FK_SCHEMA, FOREIGN_KEYS
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import PARTS, oracle, view
+from quillcheck.session import once, settled
 
 _SHORT = {
     "select": "select", "select(no AGG)": "selectn", "where": "where", "where(no OP)": "wheren", "group(no Having)": "groupn",
@@ -28,6 +29,10 @@ def links(t):
 
 
 def canonical(t):
+    return once(t.spark, t.root, "key-columns", lambda: key_columns(t))
+
+
+def key_columns(t):
     """Key columns of the sales schema and the lowest column each is tied to."""
     frames = {"sales": {tbl: t.scan(tbl) for tbl in DATABASES["sales"]}}
     columns = cat.read_catalog(t.spark, frames)
@@ -46,7 +51,7 @@ def canonical(t):
 
 def ready(t):
     """Units as they are compared: literals masked, key columns made canonical."""
-    return cl.canonical_columns(cl.mask_values(units(t)), canonical(t))
+    return cl.canonical_columns(cl.mask_values(settled(units(t), "units")), canonical(t))
 
 
 def scored(t):
@@ -109,7 +114,10 @@ def _sizes_query(name, parts):
         oracle(f"SELECT query_id, component, label_total, pred_total, overlap, hit AS f1 FROM <<partial_rows>> WHERE component IN ({names})"),
     )
     def build(t):
-        kept = cl.partial_scores(scored(t)).filter(F.col("component").isin(*parts))
+        if "IUEN" in parts:
+            kept = cl.partial_scores(scored(t), parts)
+        else:
+            kept = cl.partial_scores(cl.overlaps(ready(t), links(t)), parts)
         return kept.select("query_id", "component", "label_total", "pred_total", "overlap", "f1")
 
     return build
@@ -140,7 +148,7 @@ def all_or_nothing(t):
     oracle("SELECT query_id, component, label_total, pred_total, overlap, hit AS acc, hit AS rec, hit AS f1 FROM <<partial_rows>>"),
 )
 def partial_scores(t):
-    return cl.partial_scores(scored(t)).drop("exact")
+    return cl.partial_scores(scored(t))
 
 
 @plan("a17_exact_match", oracle("SELECT query_id, exact FROM <<exact_3>>"))

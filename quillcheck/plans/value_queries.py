@@ -10,7 +10,7 @@ from quillcheck.operators import vectors as vec
 from quillcheck.plans.catalog_queries import DATABASES
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import oracle, view
-from quillcheck.session import settled
+from quillcheck.session import once
 
 # The columns whose contents are searched.
 INDEXED = {
@@ -33,8 +33,8 @@ def index(t, columns=INDEXED):
 
 
 def stored_index(t):
-    """The index as a written table, for jobs that read it more than once."""
-    return settled(index(t), "value-index")
+    """The index as a table written once per database, for jobs that read it more than once."""
+    return once(t.spark, t.root, "value-index", lambda: index(t))
 
 
 def probes(t):

@@ -150,9 +150,164 @@ FROM (SELECT q.question, c.table_id, c.tbl, c.pos, c.col, coalesce(l.vals, s.val
     "keyed_texts": """
 SELECT question, table_id, tbl, plain || coalesce(' ' || fk, '') AS table_text FROM <<table_texts>> LEFT JOIN
  (SELECT tbl, string_agg('FOREIGN KEY: ' || tbl || '.' || col || ' = ' || ref_tbl || '.' || ref_col, ', ' ORDER BY c1) AS fk FROM <<sales_keys>> GROUP BY tbl) k USING (tbl)""",
+    # Clause units: gold from the lines of an order, prediction an altered copy.
+    "clause_lines": """
+SELECT 'gold' AS role, l.* FROM {lineitem} l UNION ALL
+SELECT 'pred', l.* FROM {lineitem} l WHERE NOT (l_linestatus = 'O' AND l_returnflag = 'R' AND l_discount > 0.05)""",
+    "clause_units": """
+SELECT query_id, role, clause, row_number() OVER (PARTITION BY query_id, role, clause ORDER BY a, b, c, d) - 1 AS ordinal, connector, not_op, op,
+ agg, unit_op, col, is_distinct, value, value_kind, direction FROM (
+SELECT l_orderkey AS query_id, role, clause, l_linenumber AS a, l_partkey AS b, l_suppkey AS c, l_extendedprice AS d,
+ CASE WHEN clause IN ('where', 'having') THEN CASE WHEN l_tax < 0.02 THEN 'or' WHEN l_tax < 0.05 THEN 'and' END END AS connector,
+ clause IN ('where', 'having') AND l_quantity > 40 AS not_op,
+ CASE WHEN clause IN ('where', 'having') THEN CASE l_suppkey % 5 WHEN 0 THEN '=' WHEN 1 THEN 'like' WHEN 2 THEN 'in' WHEN 3 THEN '>' ELSE 'between' END END AS op,
+ CASE WHEN role = 'pred' AND l_returnflag = 'R' AND l_tax > 0.06 THEN 'none' WHEN l_suppkey % 3 = 0 THEN 'none' WHEN l_suppkey % 3 = 1 THEN 'max' ELSE 'count' END AS agg,
+ CASE WHEN l_quantity < 3 THEN '-' ELSE 'none' END AS unit_op,
+ CASE l_partkey % 5 WHEN 0 THEN '__lineitem.l_orderkey__' WHEN 1 THEN '__lineitem.l_partkey__' WHEN 2 THEN '__orders.o_orderkey__'
+  WHEN 3 THEN '__orders.o_custkey__' ELSE '__lineitem.l_tax__' END AS col,
+ l_quantity > 30 AS is_distinct,
+ CASE WHEN clause IN ('where', 'having') THEN cast(cast(l_quantity AS bigint) + CASE WHEN role = 'pred' AND l_discount < 0.02 THEN 1 ELSE 0 END AS varchar(9)) END AS value,
+ CASE WHEN clause IN ('where', 'having') THEN CASE WHEN l_quantity = 7 THEN 'nested' WHEN l_suppkey % 2 = 0 THEN 'number' ELSE 'string' END END AS value_kind,
+ CASE WHEN clause = 'orderBy' THEN CASE WHEN l_orderkey % 2 = 0 THEN 'asc' ELSE 'desc' END END AS direction
+FROM (SELECT *, CASE WHEN l_linenumber IN (1, 6) THEN 'select' WHEN l_linenumber IN (2, 7) THEN 'where' WHEN l_linenumber = 3 THEN 'groupBy'
+  WHEN l_linenumber = 4 THEN 'orderBy' ELSE 'having' END AS clause FROM <<clause_lines>>) x
+UNION ALL SELECT o_orderkey, role, 'from', 0, 0, 0, 0.0, NULL, false, NULL, 'none', 'none', 'lineitem', false, NULL, NULL, NULL
+ FROM (SELECT o_orderkey, 'gold' AS role FROM {orders} UNION ALL SELECT o_orderkey, 'pred' FROM {orders} WHERE o_orderpriority <> '5-LOW') a
+UNION ALL SELECT o_orderkey, role, 'from', 1, 0, 0, 0.0, NULL, false, NULL, 'none', 'none', 'orders', false, NULL, NULL, NULL
+ FROM (SELECT o_orderkey, 'gold' AS role FROM {orders} WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, 'pred' FROM {orders} WHERE o_orderstatus = 'F') b
+UNION ALL SELECT o_orderkey, role, 'limit', 0, 0, 0, 0.0, NULL, false, NULL, 'none', 'none', NULL, false, '1', 'number', NULL
+ FROM (SELECT o_orderkey, 'gold' AS role FROM {orders} WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, 'pred' FROM {orders} WHERE o_totalprice > 210000) c) y""",
+    "query_links": """
+SELECT o_orderkey AS parent_id, o_orderkey + 1 AS child_id, 'gold' AS role, CASE o_orderpriority WHEN '1-URGENT' THEN 'intersect' WHEN '2-HIGH' THEN 'union'
+ WHEN '3-MEDIUM' THEN 'except' ELSE 'where' END AS kind FROM {orders} WHERE o_totalprice > 350000
+UNION ALL SELECT o_orderkey, o_orderkey + 1, 'pred', CASE o_orderpriority WHEN '1-URGENT' THEN 'intersect' WHEN '2-HIGH' THEN 'union'
+ WHEN '3-MEDIUM' THEN 'except' ELSE 'where' END FROM {orders} WHERE o_totalprice > 360000""",
+    # Key columns of the schema and the lowest column each is tied to by foreign keys.
+    "canonical_columns": """
+SELECT * FROM (VALUES ('__lineitem.l_orderkey__', '__orders.o_orderkey__'), ('__lineitem.l_partkey__', '__part.p_partkey__'),
+ ('__orders.o_custkey__', '__customer.c_custkey__')) AS m(col, canonical)""",
+    "ready_units": """
+SELECT u.query_id, u.role, clause, ordinal, connector, not_op, op, agg, unit_op, CASE WHEN f.tbl IS NOT NULL THEN coalesce(m.canonical, u.col) ELSE u.col END AS col,
+ CASE WHEN value_kind = 'nested' THEN value END AS value, CASE WHEN value_kind = 'nested' THEN value_kind END AS value_kind, direction
+FROM <<clause_units>> u LEFT JOIN <<canonical_columns>> m ON m.col = u.col
+LEFT JOIN (SELECT DISTINCT query_id, role, col AS tbl FROM <<clause_units>> WHERE clause = 'from') f
+ ON f.query_id = u.query_id AND f.role = u.role AND starts_with(u.col, '__' || f.tbl || '.')""",
+    "unit_flags": """
+SELECT query_id, role, bool_or(clause = 'where') AS has_where, bool_or(clause = 'groupBy') AS has_group, bool_or(clause = 'having') AS has_having,
+ bool_or(clause = 'orderBy') AS has_order, bool_or(clause = 'limit') AS has_limit, max(CASE WHEN clause = 'orderBy' THEN direction END) AS direction,
+ coalesce(bool_or(connector = 'or'), false) AS has_or, coalesce(bool_or(not_op), false) AS has_not, coalesce(bool_or(op = 'in'), false) AS has_in,
+ coalesce(bool_or(op = 'like'), false) AS has_like, coalesce(bool_or(value_kind = 'nested'), false) AS has_nested,
+ bool_or(unit_op <> 'none') AS has_arithmetic, bool_or(agg <> 'none') AS has_aggregate FROM <<clause_units>> GROUP BY query_id, role""",
+    "link_flags": """
+SELECT parent_id AS query_id, role, bool_or(kind = 'intersect') AS has_intersect, bool_or(kind = 'union') AS has_union, bool_or(kind = 'except') AS has_except,
+ count(*) AS n_nested FROM <<query_links>> GROUP BY parent_id, role""",
+    "keyword_sets": """
+SELECT query_id, role, list_sort(list_filter([direction, CASE WHEN has_where THEN 'where' END, CASE WHEN has_group THEN 'group' END, CASE WHEN has_having THEN 'having' END,
+ CASE WHEN has_order THEN 'order' END, CASE WHEN has_limit THEN 'limit' END, CASE WHEN has_except THEN 'except' END, CASE WHEN has_union THEN 'union' END,
+ CASE WHEN has_intersect THEN 'intersect' END, CASE WHEN has_or THEN 'or' END, CASE WHEN has_not THEN 'not' END, CASE WHEN has_in THEN 'in' END,
+ CASE WHEN has_like THEN 'like' END], lambda x: x IS NOT NULL)) AS words FROM <<unit_flags>> LEFT JOIN <<link_flags>> USING (query_id, role)""",
+    "unit_counts": """
+SELECT u.query_id, u.role, CAST(component1 AS INT) AS component1, coalesce(n_nested, 0) AS nested, CAST(others AS INT) AS others FROM (
+ SELECT query_id, role, CAST(bool_or(clause = 'where') AS INT) + CAST(bool_or(clause = 'groupBy') AS INT) + CAST(bool_or(clause = 'orderBy') AS INT)
+  + CAST(bool_or(clause = 'limit') AS INT) + greatest(count(*) FILTER (WHERE clause = 'from') - 1, 0) + count(*) FILTER (WHERE connector = 'or')
+  + count(*) FILTER (WHERE op = 'like') AS component1,
+  CAST(count(*) FILTER (WHERE clause IN ('select', 'groupBy', 'orderBy') AND agg <> 'none' OR clause IN ('where', 'having') AND not_op)
+   + count(*) FILTER (WHERE clause = 'having' AND connector IS NOT NULL) > 1 AS INT) + CAST(count(*) FILTER (WHERE clause = 'select') > 1 AS INT)
+  + CAST(count(*) FILTER (WHERE clause = 'where') > 1 AS INT) + CAST(count(*) FILTER (WHERE clause = 'groupBy') > 1 AS INT) AS others
+ FROM <<clause_units>> GROUP BY query_id, role) u LEFT JOIN <<link_flags>> l ON l.query_id = u.query_id AND l.role = u.role""",
+    "levels": """
+SELECT *, CASE WHEN component1 <= 1 AND others = 0 AND nested = 0 THEN 'easy'
+ WHEN nested = 0 AND (others <= 2 AND component1 <= 1 OR component1 <= 2 AND others < 2) THEN 'medium'
+ WHEN nested = 0 AND (others > 2 AND component1 <= 2 OR component1 = 3 AND others <= 2) OR component1 <= 1 AND others = 0 AND nested <= 1 THEN 'hard'
+ ELSE 'extra' END AS hardness FROM <<unit_counts>>""",
+    # Per gold query and component: sizes and bag overlap.
+    "part_sizes": """
+SELECT query_id, part, sum(g) AS g, sum(p) AS p, sum(least(g, p)) AS o FROM (
+ SELECT query_id, part, key, count(*) FILTER (WHERE role = 'gold') AS g, count(*) FILTER (WHERE role = 'pred') AS p FROM (
+  SELECT query_id, role, 'select' AS part, CAST([agg, unit_op, col] AS VARCHAR) AS key FROM <<ready_units>> WHERE clause = 'select'
+  UNION ALL SELECT query_id, role, 'select(no AGG)', CAST([unit_op, col] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'select'
+  UNION ALL SELECT query_id, role, 'where', CAST([CAST(not_op AS VARCHAR), op, agg, unit_op, col, value] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'where'
+  UNION ALL SELECT query_id, role, 'where(no OP)', CAST([agg, unit_op, col] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'where'
+  UNION ALL SELECT query_id, role, 'group(no Having)', string_split(col, '.')[-1] FROM <<ready_units>> WHERE clause = 'groupBy'
+  UNION ALL SELECT query_id, role, 'group list', ordinal || col FROM <<ready_units>> WHERE clause = 'groupBy'
+  UNION ALL SELECT query_id, role, 'having list', CAST([CAST(ordinal AS VARCHAR), connector, CAST(not_op AS VARCHAR), op, agg, unit_op, col, value] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'having'
+  UNION ALL SELECT query_id, role, 'order list', CAST([CAST(ordinal AS VARCHAR), direction, agg, unit_op, col] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'orderBy'
+  UNION ALL SELECT DISTINCT query_id, role, 'limit', '' FROM <<ready_units>> WHERE clause = 'limit'
+  UNION ALL SELECT query_id, role, 'tables', col FROM <<ready_units>> WHERE clause = 'from'
+  UNION ALL SELECT DISTINCT query_id, role, 'and/or', connector FROM <<ready_units>> WHERE clause = 'where' AND connector IS NOT NULL
+  UNION ALL SELECT DISTINCT query_id, role, 'query', '' FROM <<ready_units>>
+  UNION ALL SELECT query_id, role, 'keywords', unnest(words) FROM <<keyword_sets>>) k GROUP BY query_id, part, key) c GROUP BY query_id, part""",
+    "wide_sizes": """
+SELECT q.query_id, [[wide]] FROM (SELECT query_id FROM <<part_sizes>> WHERE part = 'query' AND g > 0) q LEFT JOIN <<part_sizes>> s ON s.query_id = q.query_id GROUP BY q.query_id""",
+    "component_sizes": """
+SELECT query_id, unnest(['select', 'select(no AGG)', 'where', 'where(no OP)', 'group(no Having)', 'group', 'order', 'and/or', 'keywords']) AS component,
+ unnest([select_g, selectn_g, where_g, wheren_g, groupn_g, CAST(gl_g > 0 AS BIGINT), CAST(ol_g > 0 AS BIGINT), CASE WHEN ao_same THEN 1 ELSE ao_p END, kw_g]) AS label_total,
+ unnest([select_p, selectn_p, where_p, wheren_p, groupn_p, CAST(gl_p > 0 AS BIGINT), CAST(ol_p > 0 AS BIGINT), CASE WHEN ao_same THEN 1 ELSE ao_g END, kw_p]) AS pred_total,
+ unnest([select_o, selectn_o, where_o, wheren_o, groupn_o, CAST(gl_g > 0 AND gl_g = gl_p AND gl_o = gl_g AND hl_g = hl_p AND hl_o = hl_g AS BIGINT),
+  CAST(ol_g > 0 AND ol_g = ol_p AND ol_o = ol_g AND li_g = li_p AS BIGINT), CAST(ao_same AS BIGINT), kw_o]) AS overlap
+FROM (SELECT *, ao_g = ao_p AND ao_o = ao_g AS ao_same FROM <<wide_sizes>>) w""",
+    "base_match": """
+SELECT query_id, bool_and(label_total = pred_total AND overlap = pred_total) AND bool_and(tb_g = 0 OR tb_g = tb_p AND tb_o = tb_g) AS same
+FROM <<component_sizes>> JOIN <<wide_sizes>> USING (query_id) GROUP BY query_id""",
+    "branch_pairs": """
+SELECT parent_id AS query_id, kind, max(CASE WHEN role = 'gold' THEN child_id END) AS gold_id, max(CASE WHEN role = 'pred' THEN child_id END) AS pred_id
+FROM <<query_links>> WHERE kind <> 'where' GROUP BY parent_id, kind""",
+    "exact_1": """
+SELECT b.query_id, same, count(gold_id) AS label_total, count(pred_id) AS pred_total, count(*) FILTER (WHERE child) AS overlap,
+ same AND count(gold_id) = count(pred_id) AND count(*) FILTER (WHERE child) = count(pred_id) AS exact
+FROM <<base_match>> b LEFT JOIN (SELECT p.*, p.gold_id = p.pred_id AND c.same AS child FROM <<branch_pairs>> p LEFT JOIN <<base_match>> c ON c.query_id = p.gold_id) x
+ ON x.query_id = b.query_id GROUP BY b.query_id, same""",
+    "exact_2": """
+SELECT b.query_id, same, count(gold_id) AS label_total, count(pred_id) AS pred_total, count(*) FILTER (WHERE child) AS overlap,
+ same AND count(gold_id) = count(pred_id) AND count(*) FILTER (WHERE child) = count(pred_id) AS exact
+FROM <<base_match>> b LEFT JOIN (SELECT p.*, p.gold_id = p.pred_id AND c.exact AS child FROM <<branch_pairs>> p LEFT JOIN <<exact_1>> c ON c.query_id = p.gold_id) x
+ ON x.query_id = b.query_id GROUP BY b.query_id, same""",
+    "exact_3": """
+SELECT b.query_id, same, count(gold_id) AS label_total, count(pred_id) AS pred_total, count(*) FILTER (WHERE child) AS overlap,
+ same AND count(gold_id) = count(pred_id) AND count(*) FILTER (WHERE child) = count(pred_id) AS exact
+FROM <<base_match>> b LEFT JOIN (SELECT p.*, p.gold_id = p.pred_id AND c.exact AS child FROM <<branch_pairs>> p LEFT JOIN <<exact_2>> c ON c.query_id = p.gold_id) x
+ ON x.query_id = b.query_id GROUP BY b.query_id, same""",
+    "partial_rows": """
+SELECT query_id, component, label_total, pred_total, overlap, CAST(label_total = pred_total AND overlap = pred_total AS INT) AS hit FROM (
+ SELECT * FROM <<component_sizes>> UNION ALL SELECT query_id, 'IUEN', label_total, pred_total, overlap FROM <<exact_3>>) p""",
+    "turns": """
+SELECT conv_id AS session_id, turn AS turn_idx, role, text, CASE WHEN length(text) % 5 <> 0 THEN 1 ELSE 0 END AS exec_ok,
+ CASE WHEN length(text) % 3 <> 0 THEN 1 ELSE 0 END AS exact_ok,
+ CASE length(text) % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'extra' END AS level FROM {conversations}""",
+    # Turns as lines of a file, a blank line after each session.
+    "session_lines": """
+SELECT session_id * 1000 + turn_idx AS line_no, concat(level, ' ', role, chr(9), 'db', exec_ok) AS line FROM <<turns>>
+UNION ALL SELECT DISTINCT session_id * 1000 + 999, '  ' FROM <<turns>>""",
+    "candidates": """
+SELECT l_orderkey AS item_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos,
+ l_discount * 5 AS score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
+ concat('select ', l_linestatus, ', ', l_returnflag) AS text, CASE WHEN l_tax = 0.08 THEN NULL WHEN l_quantity > 25 THEN 0 ELSE l_quantity END AS n_rows
+FROM {lineitem}""",
+    # Beams of one input side by side: select, structure and table candidates of an order.
+    "beams": """
+SELECT o_orderkey AS input_id, concat('select ', lower(o_orderpriority), ', ', lower(o_orderstatus)) AS gold_select,
+ array(concat('select ', lower(o_orderstatus), ', ', lower(o_orderpriority)), concat('select ', lower(o_orderstatus)), concat('select ', lower(o_orderpriority), ', p'), 'select f') AS selects,
+ CASE o_orderstatus WHEN 'F' THEN array('SELECT-FROM-WHRE', 'SELECT-FROM-WHERE', 'SELECT-FROM', 'SELECT-FROM-GROUP BY') WHEN 'O' THEN array('SELECT-FROM', 'SELECT_FROM')
+  ELSE array('SELECT-FROM-UNION-SELECT-FROM', 'SELECT-FROM-ORDER BY', 'SELECT') END AS structures,
+ CASE o_orderpriority WHEN '1-URGENT' THEN array('orders', 'orders custmer', 'customer orders') WHEN '2-HIGH' THEN array('', 'part') ELSE array('lineitem', 'region nation', 'nation') END AS table_lists
+FROM {orders}""",
+    # Templates with variables, their examples and sentences.
+    "templates": """
+SELECT o_orderkey AS orig_idx, CASE o_orderstatus WHEN 'F' THEN 'small' WHEN 'O' THEN 'large' ELSE 'other' END AS db_id,
+ CASE WHEN o_totalprice > 200000 THEN 'test' ELSE 'train' END AS split,
+ concat('SELECT n FROM orders AS ordersalias0 WHERE s = ', CASE WHEN o_totalprice > 400000 THEN '" status_name0 "' ELSE '"status_name0"' END, ' AND k > price0',
+  CASE WHEN o_orderpriority = '5-LOW' THEN ' AND x = unknown7' ELSE '' END) AS query,
+ array(concat('orders with " status_name0 " above price0'), concat('give me price0 of ', lower(o_orderpriority))) AS sentences,
+ o_orderstatus AS status_example, cast(o_custkey AS varchar(20)) AS price_example FROM {orders}""",
+    # Select texts with the tables they come from.
+    "select_texts": """
+SELECT o_orderkey AS idx, 'sales' AS db_id, CASE o_orderstatus WHEN 'F' THEN 'select o_orderkey , max(o_totalprice), count(orders.o_custkey)'
+ WHEN 'O' THEN 'select o_totalprice, c_name' ELSE 'select customer.c_name , avg( c_acctbal ), o_orderdate' END AS select_text,
+ CASE WHEN o_orderpriority = '1-URGENT' THEN 't5' WHEN o_orderpriority = '2-HIGH' THEN 't2 t5' ELSE 't2' END AS table_list,
+ CASE o_orderstatus WHEN 'F' THEN 'SELECT max(o_totalprice) FROM Orders JOIN lineitem ;' WHEN 'O' THEN 'select 1 from part , nation where part.p_size = 1;'
+  ELSE 'select c_name from customer' END AS query FROM {orders}""",
 }
 
-
 _REF = re.compile(r"<<(\w+)>>")
 
 
@@ -180,7 +335,7 @@ def oracle(text: str, **parts: str) -> str:
         body = body.replace(f"[[{key}]]", value)
     for name in TABLE_NAMES:
         body = body.replace("{" + name + "}", name)
-    return body.replace(" DIV ", " // ")
+    return body.replace(" DIV ", " // ").replace(" array(", " list_value(")
 
 
 def view(tables: Tables, name: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -59,3 +61,17 @@ def settled(df: DataFrame, label: str = "settled") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(spark: SparkSession, root: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``settled(make())``, but written only the first time a session asks for ``label`` of ``root``.
+
+    For small tables that belong to a database rather than to a query: its value index and
+    its map of key columns.
+    """
+    key = (spark.sparkContext.applicationId, root, label)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, label)
+        make().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
