@@ -30,43 +30,35 @@ COMPONENTS = [
 _QUERY = ["query_id", "role"]
 
 
-def _in(*clauses: str) -> Column:
-    return F.col("clause").isin(*clauses)
+# Expressions over unit rows are written as SQL text: they are many, and one parsed text is
+# much quicker to build than the same expression put together call by call.
+_CONDITION = "(clause IN ('where', 'having') OR (clause = 'from' AND op IS NOT NULL))"
+_TABLE = "(clause = 'from' AND op IS NULL)"
 
 
-def _any(condition: Column) -> Column:
-    return F.coalesce(F.bool_or(condition), F.lit(False))
-
-
-def _condition() -> Column:
-    """Rows that are conditions; a FROM row is one when it has an operator."""
-    return _in("where", "having") | (_in("from") & F.col("op").isNotNull())
-
-
-def _table_unit() -> Column:
-    return _in("from") & F.col("op").isNull()
+def _any(condition: str, name: str) -> Column:
+    return F.expr(f"coalesce(bool_or({condition}), false) AS {name}")
 
 
 def predicates(units: DataFrame) -> DataFrame:
     """Per query: which clauses and features it has, from one aggregate."""
-    cond = _condition()
+    clauses = {"where": "where", "groupBy": "group", "having": "having", "orderBy": "order", "limit": "limit"}
     return units.groupBy(*_QUERY).agg(
-        *[_any(_in(c)).alias(f"has_{n}") for c, n in [
-            ("where", "where"), ("groupBy", "group"), ("having", "having"), ("orderBy", "order"), ("limit", "limit")]],
-        F.max(F.when(_in("orderBy"), F.col("direction"))).alias("direction"),
-        _any(F.col("connector") == "or").alias("has_or"),
-        _any(cond & F.col("not_op")).alias("has_not"),
-        _any(cond & (F.col("op") == "in")).alias("has_in"),
-        _any(cond & (F.col("op") == "like")).alias("has_like"),
-        _any(cond & (F.col("value_kind") == "nested")).alias("has_nested"),
-        _any(F.col("unit_op") != "none").alias("has_arithmetic"),
-        _any(F.col("agg") != "none").alias("has_aggregate"),
+        *[_any(f"clause = '{c}'", f"has_{n}") for c, n in clauses.items()],
+        F.expr("max(CASE WHEN clause = 'orderBy' THEN direction END) AS direction"),
+        _any("connector = 'or'", "has_or"),
+        _any(f"{_CONDITION} AND not_op", "has_not"),
+        _any(f"{_CONDITION} AND op = 'in'", "has_in"),
+        _any(f"{_CONDITION} AND op = 'like'", "has_like"),
+        _any(f"{_CONDITION} AND value_kind = 'nested'", "has_nested"),
+        _any("unit_op <> 'none'", "has_arithmetic"),
+        _any("agg <> 'none'", "has_aggregate"),
     )
 
 
 def set_op_flags(links: DataFrame) -> DataFrame:
     return links.groupBy(F.col("parent_id").alias("query_id"), "role").agg(
-        *[_any(F.col("kind") == k).alias(f"has_{k}") for k in SET_OPS], F.count("*").alias("n_nested")
+        *[_any(f"kind = '{k}'", f"has_{k}") for k in SET_OPS], F.count("*").alias("n_nested")
     )
 
 
@@ -81,9 +73,9 @@ def structures(units: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
     ``depth`` bounds how far branches nest. A query has at most three branches, so the
     lists built here are short.
     """
-    parts = [("where", "WHERE"), ("group", "GROUP BY"), ("having", "HAVING"), ("order", "ORDER BY"), ("limit", "LIMIT")]
-    words = F.array(F.lit("SELECT"), F.lit("FROM"), *[F.when(F.col(f"has_{n}"), F.lit(w)) for n, w in parts])
-    own = predicates(units).select(*_QUERY, F.array_join(words, "-").alias("own"))
+    parts = {"where": "WHERE", "group": "GROUP BY", "having": "HAVING", "order": "ORDER BY", "limit": "LIMIT"}
+    words = ", ".join(f"if(has_{n}, '{w}', null)" for n, w in parts.items())
+    own = predicates(units).select(*_QUERY, F.expr(f"concat_ws('-', 'SELECT', 'FROM', {words}) AS own"))
     branches = links.filter(F.col("kind").isin(*SET_OPS))
     kinds = F.array(*map(F.lit, SET_OPS))
     full = own.withColumnRenamed("own", "structure")
@@ -101,8 +93,8 @@ def structures(units: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
 def keywords(units: DataFrame, links: DataFrame) -> DataFrame:
     """Per query the sorted set of keywords it uses."""
     names = ["where", "group", "having", "order", "limit", "except", "union", "intersect", "or", "not", "in", "like"]
-    words = F.array(F.col("direction"), *[F.when(F.col(f"has_{n}"), F.lit(n)) for n in names])
-    return _flagged(units, links).select(*_QUERY, F.array_sort(F.filter(words, lambda w: w.isNotNull())).alias("keywords"))
+    words = ", ".join(f"if(has_{n}, '{n}', null)" for n in names)
+    return _flagged(units, links).select(*_QUERY, F.expr(f"array_sort(array_compact(array(direction, {words}))) AS keywords"))
 
 
 def counts(units: DataFrame, links: DataFrame, compat: bool = True) -> DataFrame:
@@ -112,39 +104,25 @@ def counts(units: DataFrame, links: DataFrame, compat: bool = True) -> DataFrame
     does: by the NOT flag of a condition, and by every connector of HAVING.
     """
 
-    def n(condition: Column) -> Column:
-        return F.count_if(condition)
-
-    def one(condition: Column) -> Column:
-        return condition.cast("int")
-
-    agg = F.col("agg") != "none"
     if compat:
-        aggregates = (_in("select", "groupBy", "orderBy") & agg) | (_in("where", "having") & F.col("not_op"))
-        n_aggregates = n(aggregates) + n(_in("having") & F.col("connector").isNotNull())
+        aggregates = (
+            "count_if(clause IN ('select', 'groupBy', 'orderBy') AND agg <> 'none' OR clause IN ('where', 'having') AND not_op)"
+            " + count_if(clause = 'having' AND connector IS NOT NULL)"
+        )
     else:
-        n_aggregates = n(_in("select", "groupBy", "orderBy", "where", "having") & agg)
-    cond = _condition()
+        aggregates = "count_if(clause IN ('select', 'groupBy', 'orderBy', 'where', 'having') AND agg <> 'none')"
+    present = " + ".join(f"int(bool_or(clause = '{c}'))" for c in ("where", "groupBy", "orderBy", "limit"))
+    several = " + ".join(f"int(count_if(clause = '{c}') > 1)" for c in ("select", "where", "groupBy"))
     sizes = units.groupBy(*_QUERY).agg(
-        one(_any(_in("where"))).alias("w"),
-        one(_any(_in("groupBy"))).alias("g"),
-        one(_any(_in("orderBy"))).alias("o"),
-        one(_any(_in("limit"))).alias("l"),
-        F.greatest(n(_table_unit()) - 1, F.lit(0)).alias("joins"),
-        n(F.col("connector") == "or").alias("ors"),
-        n(cond & (F.col("op") == "like")).alias("likes"),
-        one(n_aggregates > 1).alias("a"),
-        one(n(_in("select")) > 1).alias("s"),
-        one(n(_in("where")) > 1).alias("c"),
-        one(n(_in("groupBy")) > 1).alias("gs"),
+        F.expr(
+            f"{present} + greatest(count_if({_TABLE}) - 1, 0) + count_if(connector = 'or')"
+            f" + count_if({_CONDITION} AND op = 'like') AS component1"
+        ),
+        F.expr(f"int({aggregates} > 1) + {several} AS others"),
     )
     nested = links.groupBy(F.col("parent_id").alias("query_id"), "role").agg(F.count("*").alias("nested"))
-    plus = lambda *cs: sum((F.col(c) for c in cs), F.lit(0))
     return sizes.join(nested, _QUERY, "left").select(
-        *_QUERY,
-        plus("w", "g", "o", "l", "joins", "ors", "likes").alias("component1"),
-        F.coalesce("nested", F.lit(0)).alias("nested"),
-        plus("a", "s", "c", "gs").alias("others"),
+        *_QUERY, "component1", F.coalesce("nested", F.lit(0)).alias("nested"), "others"
     )
 
 
@@ -179,9 +157,9 @@ def canonical_columns(units: DataFrame, canonical: DataFrame) -> DataFrame:
 
     canonical: col, canonical; one row per key column of the schema, hence broadcast.
     """
-    tables = units.filter(_table_unit()).select(*_QUERY, F.lower("col").alias("__tbl")).distinct().withColumn("__in", F.lit(True))
+    tables = units.filter(_TABLE).select(*_QUERY, F.lower("col").alias("__tbl")).distinct().withColumn("__in", F.lit(True))
     owner = F.regexp_extract("col", r"^__([^.]+)\.", 1)
-    known = units.withColumn("__tbl", F.when(~_table_unit(), owner)).join(tables, [*_QUERY, "__tbl"], "left")
+    known = units.withColumn("__tbl", F.when(~F.expr(_TABLE), owner)).join(tables, [*_QUERY, "__tbl"], "left")
     return (
         known.join(F.broadcast(canonical), "col", "left")
         .withColumn("col", F.when(F.col("__in"), F.coalesce("canonical", "col")).otherwise(F.col("col")))
@@ -193,34 +171,37 @@ def canonical_columns(units: DataFrame, canonical: DataFrame) -> DataFrame:
 # ---- comparison ------------------------------------------------------------------------
 
 
-def _text(*cols: Column) -> Column:
-    return F.concat_ws("\x01", *[F.coalesce(c.cast("string"), F.lit("\x02")) for c in cols])
+_EXPRESSION = ["unit_op", "col", "is_distinct"]
+_TEST = ["not_op", "op", "agg", *_EXPRESSION, "value"]
+
+# part -> (rows it is made of, what is compared of each row)
+_PARTS = {
+    "select": ("clause = 'select'", ["agg", *_EXPRESSION]),
+    "select(no AGG)": ("clause = 'select'", _EXPRESSION),
+    "where": ("clause = 'where'", _TEST),
+    "where(no OP)": ("clause = 'where'", ["agg", *_EXPRESSION]),
+    "group(no Having)": ("clause = 'groupBy'", ["substring_index(col, '.', -1)"]),
+    "group list": ("clause = 'groupBy'", ["ordinal", "col"]),
+    "having list": ("clause = 'having'", ["ordinal", "connector", *_TEST]),
+    "order list": ("clause = 'orderBy'", ["ordinal", "direction", "agg", *_EXPRESSION]),
+    "tables": (_TABLE, ["lower(col)"]),
+    # Sets: each key counts once.
+    "limit": ("clause = 'limit'", []),
+    "and/or": ("clause = 'where' AND connector IS NOT NULL", ["connector"]),
+    "query": ("true", []),
+    "keywords": (None, None),
+}
+_SETS = ["limit", "and/or", "query", "keywords"]
 
 
 def _comparable(units: DataFrame, links: DataFrame) -> DataFrame:
     """(query_id, role, part, key): what each component compares, as bags of keys."""
-    col = F.col
-    expr = [col("unit_op"), col("col"), col("is_distinct")]
-    cond = [col("not_op"), col("op"), col("agg"), *expr, col("value")]
-
-    def item(part: str, when: Column, *key: Column) -> Column:
-        return F.when(when, F.struct(F.lit(part).alias("part"), _text(*key).alias("key")))
-
-    items = F.array(
-        item("select", _in("select"), col("agg"), *expr),
-        item("select(no AGG)", _in("select"), *expr),
-        item("where", _in("where"), *cond),
-        item("where(no OP)", _in("where"), col("agg"), *expr),
-        item("group(no Having)", _in("groupBy"), F.substring_index(col("col"), ".", -1)),
-        item("group list", _in("groupBy"), col("ordinal"), col("col")),
-        item("having list", _in("having"), col("ordinal"), col("connector"), *cond),
-        item("order list", _in("orderBy"), col("ordinal"), col("direction"), col("agg"), *expr),
-        item("limit", _in("limit"), F.lit("limit")),
-        item("tables", _table_unit(), F.lower(col("col"))),
-        item("and/or", _in("where") & col("connector").isNotNull(), col("connector")),
-        item("query", F.lit(True), F.lit("")),
-    )
-    from_units = units.select(*_QUERY, F.inline(F.filter(items, lambda x: x.isNotNull())))
+    items = []
+    for part, (rows, cols) in _PARTS.items():
+        if rows is not None:
+            key = "concat_ws('\\u0001', ''" + "".join(f", coalesce(string({c}), '\\u0002')" for c in cols) + ")"
+            items.append(f"if({rows}, named_struct('part', '{part}', 'key', {key}), null)")
+    from_units = units.select(*_QUERY, F.expr(f"inline(array_compact(array({', '.join(items)})))"))
     words = keywords(units, links).select(*_QUERY, F.lit("keywords").alias("part"), F.explode("keywords").alias("key"))
     return from_units.unionAll(words)
 
@@ -231,39 +212,24 @@ def overlaps(units: DataFrame, links: DataFrame) -> DataFrame:
     Rows are counted per key before they are counted per query, so a key that fills a third
     of the table shrinks to one row per task. Columns are named ``<part>:g``, ``:p``, ``:o``.
     """
-    per_key = _comparable(units, links).groupBy("query_id", "part", "key").agg(
-        F.count_if(F.col("role") == "gold").alias("g"), F.count_if(F.col("role") == "pred").alias("p")
+    sets = ", ".join(f"'{p}'" for p in _SETS)
+    most = f"if(part IN ({sets}), 1L, {2**62}L)"
+    per_key = (
+        _comparable(units, links)
+        .groupBy("query_id", "part", "key")
+        .agg(F.expr("count_if(role = 'gold') AS g"), F.expr("count_if(role = 'pred') AS p"))
+        .selectExpr("query_id", "part", f"least(g, {most}) AS g", f"least(p, {most}) AS p")
     )
-    sets = F.col("part").isin("and/or", "limit", "query", "keywords")
-    per_key = per_key.withColumn("g", F.when(sets, F.least("g", F.lit(1))).otherwise(F.col("g"))).withColumn(
-        "p", F.when(sets, F.least("p", F.lit(1))).otherwise(F.col("p"))
-    )
-    parts = [
-        "select", "select(no AGG)", "where", "where(no OP)", "group(no Having)", "group list", "having list", "order list",
-        "limit", "tables", "and/or", "keywords", "query",
+    totals = [
+        F.expr(f"coalesce(sum(if(part = '{part}', {value}, null)), 0L) AS `{part}:{side}`")
+        for part in _PARTS
+        for side, value in (("g", "g"), ("p", "p"), ("o", "least(g, p)"))
     ]
+    return per_key.groupBy("query_id").agg(*totals).filter("`query:g` > 0")
 
-    def total(part: str, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("part") == part, value)), F.lit(0))
-
-    return (
-        per_key.groupBy("query_id")
-        .agg(
-            *[total(p, F.col("g")).alias(f"{p}:g") for p in parts],
-            *[total(p, F.col("p")).alias(f"{p}:p") for p in parts],
-            *[total(p, F.least("g", "p")).alias(f"{p}:o") for p in parts],
-        )
-        .filter(F.col("query:g") > 0)
-    )
-
-
-def _sizes(part: str) -> tuple[Column, Column, Column]:
-    return F.col(f"`{part}:g`"), F.col(f"`{part}:p`"), F.col(f"`{part}:o`")
 
-
-def _same(part: str) -> Column:
-    g, p, o = _sizes(part)
-    return (g == p) & (o == g)
+def _same(part: str) -> str:
+    return f"(`{part}:g` = `{part}:p` AND `{part}:o` = `{part}:g`)"
 
 
 def all_or_nothing(overlap: Column, pred_total: Column, label_total: Column) -> Column:
@@ -271,23 +237,26 @@ def all_or_nothing(overlap: Column, pred_total: Column, label_total: Column) ->
     return ((pred_total == label_total) & (overlap == pred_total)).cast("int")
 
 
-def _component(name: str) -> tuple[Column, Column, Column]:
+def _component(name: str) -> tuple[str, str, str]:
     """(label_total, pred_total, overlap) of one component."""
-    one = lambda c: c.cast("bigint")
-    if name in ("select", "select(no AGG)", "where", "where(no OP)", "group(no Having)", "keywords"):
-        return _sizes(name)
+    if name == "IUEN":
+        return "label_total", "pred_total", "overlap"
     if name == "group":
-        g, p, _ = _sizes("group list")
-        return one(g > 0), one(p > 0), one((g > 0) & _same("group list") & _same("having list"))
+        both = f"`group list:g` > 0 AND {_same('group list')} AND {_same('having list')}"
+        return "bigint(`group list:g` > 0)", "bigint(`group list:p` > 0)", f"bigint({both})"
     if name == "order":
-        g, p, _ = _sizes("order list")
-        return one(g > 0), one(p > 0), one((g > 0) & _same("order list") & _same("limit"))
+        both = f"`order list:g` > 0 AND {_same('order list')} AND {_same('limit')}"
+        return "bigint(`order list:g` > 0)", "bigint(`order list:p` > 0)", f"bigint({both})"
     if name == "and/or":
         # Equal sets count as one of one; else the two sizes stand, in the established, swapped order.
-        g, p, _ = _sizes("and/or")
         same = _same("and/or")
-        return F.when(same, 1).otherwise(p), F.when(same, 1).otherwise(g), one(same)
-    raise ValueError(name)
+        return f"if({same}, 1L, `and/or:p`)", f"if({same}, 1L, `and/or:g`)", f"bigint({same})"
+    return f"`{name}:g`", f"`{name}:p`", f"`{name}:o`"
+
+
+def _hit(name: str) -> str:
+    label, pred, overlap = _component(name)
+    return f"({pred} = {label} AND {overlap} = {pred})"
 
 
 def branch_pairs(links: DataFrame) -> DataFrame:
@@ -326,14 +295,8 @@ def exact_matches(base: DataFrame, links: DataFrame, depth: int = 3) -> DataFram
 
 
 def _base(units: DataFrame, links: DataFrame) -> DataFrame:
-    sized = overlaps(units, links)
-    same = F.lit(True)
-    for name in COMPONENTS:
-        if name != "IUEN":
-            label, pred, overlap = _component(name)
-            same = same & (all_or_nothing(overlap, pred, label) == 1)
-    tables_same = (F.col("`tables:g`") == 0) | _same("tables")
-    return sized.withColumn("same", same & tables_same).withColumn("tables_same", tables_same)
+    same = " AND ".join(_hit(name) for name in COMPONENTS if name != "IUEN")
+    return overlaps(units, links).withColumn("same", F.expr(f"{same} AND (`tables:g` = 0 OR {_same('tables')})"))
 
 
 def score(units: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
@@ -352,18 +315,13 @@ def partial_scores(scored: DataFrame, components: Sequence[str] = COMPONENTS) ->
     """
     rows = []
     for name in components:
-        if name == "IUEN":
-            label, pred, overlap = F.col("label_total"), F.col("pred_total"), F.col("overlap")
-        else:
-            label, pred, overlap = _component(name)
-        got = all_or_nothing(overlap, pred, label)
+        label, pred, overlap = _component(name)
+        hit = f"int({_hit(name)})"
         rows.append(
-            F.struct(
-                F.lit(name).alias("component"), label.cast("bigint").alias("label_total"), pred.cast("bigint").alias("pred_total"),
-                overlap.cast("bigint").alias("overlap"), got.alias("acc"), got.alias("rec"), got.alias("f1"),
-            )
+            f"named_struct('component', '{name}', 'label_total', {label}, 'pred_total', {pred}, 'overlap', {overlap},"
+            f" 'acc', {hit}, 'rec', {hit}, 'f1', {hit})"
         )
-    return scored.select("query_id", F.inline(F.array(*rows)))
+    return scored.select("query_id", F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def connected_minimum(edges: DataFrame) -> DataFrame:
