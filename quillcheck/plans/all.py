@@ -3,6 +3,7 @@
 from quillcheck.plans import (  # noqa: F401
     catalog_queries,
     clause_queries,
+    dataset_queries,
     equivalence_queries,
     linking_queries,
     metric_queries,
