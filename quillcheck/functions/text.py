@@ -35,7 +35,7 @@ def _all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once per row, also inside nested lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -72,7 +72,7 @@ def lower_outside_quotes(c: Column) -> Column:
 
         return F.array_join(F.transform(parts, cased), "")
 
-    return _let(_all(c, WORD_OR_NOT), join)
+    return let(_all(c, WORD_OR_NOT), join)
 
 
 def squeeze(c: Column) -> Column:

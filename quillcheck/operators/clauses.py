@@ -174,34 +174,39 @@ def canonical_columns(units: DataFrame, canonical: DataFrame) -> DataFrame:
 _EXPRESSION = ["unit_op", "col", "is_distinct"]
 _TEST = ["not_op", "op", "agg", *_EXPRESSION, "value"]
 
-# part -> (rows it is made of, what is compared of each row)
+# clause -> part -> what is compared of each of its rows
 _PARTS = {
-    "select": ("clause = 'select'", ["agg", *_EXPRESSION]),
-    "select(no AGG)": ("clause = 'select'", _EXPRESSION),
-    "where": ("clause = 'where'", _TEST),
-    "where(no OP)": ("clause = 'where'", ["agg", *_EXPRESSION]),
-    "group(no Having)": ("clause = 'groupBy'", ["substring_index(col, '.', -1)"]),
-    "group list": ("clause = 'groupBy'", ["ordinal", "col"]),
-    "having list": ("clause = 'having'", ["ordinal", "connector", *_TEST]),
-    "order list": ("clause = 'orderBy'", ["ordinal", "direction", "agg", *_EXPRESSION]),
-    "tables": (_TABLE, ["lower(col)"]),
-    # Sets: each key counts once.
-    "limit": ("clause = 'limit'", []),
-    "and/or": ("clause = 'where' AND connector IS NOT NULL", ["connector"]),
-    "query": ("true", []),
-    "keywords": (None, None),
+    "select": {"select": ["agg", *_EXPRESSION], "select(no AGG)": _EXPRESSION},
+    "where": {"where": _TEST, "where(no OP)": ["agg", *_EXPRESSION], "and/or": ["connector"]},
+    "groupBy": {"group(no Having)": ["substring_index(col, '.', -1)"], "group list": ["ordinal", "col"]},
+    "having": {"having list": ["ordinal", "connector", *_TEST]},
+    "orderBy": {"order list": ["ordinal", "direction", "agg", *_EXPRESSION]},
+    "from": {"tables": ["lower(col)"]},
+    "limit": {"limit": []},
 }
-_SETS = ["limit", "and/or", "query", "keywords"]
+_PART_NAMES = [part for parts in _PARTS.values() for part in parts] + ["keywords"]
+# Parts in which a key counts once.
+_SETS = ["limit", "and/or", "keywords"]
 
 
 def _comparable(units: DataFrame, links: DataFrame) -> DataFrame:
     """(query_id, role, part, key): what each component compares, as bags of keys."""
-    items = []
-    for part, (rows, cols) in _PARTS.items():
-        if rows is not None:
-            key = "concat_ws('\\u0001', ''" + "".join(f", coalesce(string({c}), '\\u0002')" for c in cols) + ")"
-            items.append(f"if({rows}, named_struct('part', '{part}', 'key', {key}), null)")
-    from_units = units.select(*_QUERY, F.expr(f"inline(array_compact(array({', '.join(items)})))"))
+
+    def key(cols: Sequence[str]) -> str:
+        return "concat_ws('\\u0001', ''" + "".join(f", coalesce(string({c}), '\\u0002')" for c in cols) + ")"
+
+    branches = " ".join(
+        f"WHEN '{clause}' THEN array("
+        + ", ".join(f"named_struct('part', '{part}', 'key', {key(cols)})" for part, cols in parts.items())
+        + ")"
+        for clause, parts in _PARTS.items()
+    )
+    from_units = (
+        units.filter(f"clause <> 'from' OR {_TABLE}")
+        .select(*_QUERY, "connector", F.expr(f"inline(CASE clause {branches} END)"))
+        .filter("part <> 'and/or' OR connector IS NOT NULL")
+        .select(*_QUERY, "part", "key")
+    )
     words = keywords(units, links).select(*_QUERY, F.lit("keywords").alias("part"), F.explode("keywords").alias("key"))
     return from_units.unionAll(words)
 
@@ -222,10 +227,11 @@ def overlaps(units: DataFrame, links: DataFrame) -> DataFrame:
     )
     totals = [
         F.expr(f"coalesce(sum(if(part = '{part}', {value}, null)), 0L) AS `{part}:{side}`")
-        for part in _PARTS
+        for part in _PART_NAMES
         for side, value in (("g", "g"), ("p", "p"), ("o", "least(g, p)"))
     ]
-    return per_key.groupBy("query_id").agg(*totals).filter("`query:g` > 0")
+    gold_rows = F.expr("sum(g) AS gold_rows")
+    return per_key.groupBy("query_id").agg(*totals, gold_rows).filter("gold_rows > 0").drop("gold_rows")
 
 
 def _same(part: str) -> str:

@@ -8,7 +8,7 @@ from quillcheck.operators import ranking as rk
 from quillcheck.plans.catalog_queries import DATABASES
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import oracle, view
-from quillcheck.session import scratch_path
+from quillcheck.session import scratch_path, spread
 from quillcheck.sources import corpus
 from quillcheck.streaming import resume
 
@@ -16,11 +16,11 @@ _SALES = DATABASES["sales"]
 
 
 def select_texts(t):
-    return view(t, "select_texts")
+    return spread(view(t, "select_texts"))
 
 
 def templates(t):
-    return view(t, "templates")
+    return spread(view(t, "templates"))
 
 
 def with_ids(t):

@@ -10,6 +10,7 @@ from quillcheck.plans.catalog_queries import DATABASES, DECLARED, FK_SCHEMA, FOR
 from quillcheck.plans.registry import plan
 from quillcheck.plans.value_queries import stored_index as index
 from quillcheck.plans.views import PARTS, oracle, view
+from quillcheck.session import spread
 
 
 def _sql_text(s: str) -> str:
@@ -178,7 +179,7 @@ def sales_schema(t, values, fallback: bool = True):
 def with_schema(t, fallback: bool = True):
     values = index(t)
     linked = ln.linked_values(questions(t), "question", values)
-    return ser.with_schema(questions(t), linked, "question", sales_schema(t, values, fallback))
+    return ser.with_schema(spread(questions(t)), linked, "question", sales_schema(t, values, fallback))
 
 
 @plan(

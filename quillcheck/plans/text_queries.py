@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillcheck.functions import text as tx
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import oracle, view
+from quillcheck.session import spread
 
 _SQ, _DQ = "''", '"'
 _QUOTED = "''[^'']*''|\"[^\"]*\""
@@ -24,12 +25,18 @@ _LITERALS = (
 _UNQUOTE = "replace(replace(replace(regexp_replace(regexp_replace([[v]], '^[`''\"]', ''), '[`''\"]$', ''), '``', '`'), '''''', ''''), '\"\"', '\"')"
 
 
-def _column_query(name: str, make, sql: str):
+def texts(t):
+    """The SQL texts, shared among all cores."""
+    return spread(view(t, "sql_text"))
+
+
+def _column_query(name: str, make, sql: str, heavy: bool = False):
     """A query that applies one text function to every SQL text."""
 
     @plan(name, oracle(f"SELECT query_id, {sql} AS result FROM <<sql_text>>"))
     def build(t):
-        return view(t, "sql_text").select("query_id", make(F.col("sql_text")).alias("result"))
+        rows = texts(t) if heavy else view(t, "sql_text")
+        return rows.select("query_id", make(F.col("sql_text")).alias("result"))
 
     return build
 
@@ -51,6 +58,7 @@ _column_query(
     WHEN regexp_matches(coalesce(CASE WHEN i > 1 THEN p[i - 1] END, ''), '[''"]$')
       OR regexp_matches(coalesce(p[i + 1], ''), '^[''"]') THEN p[i] ELSE lower(p[i]) END), '')
     FROM (SELECT regexp_extract_all(sql_text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') AS p) w)""",
+    heavy=True,
 )
 _column_query(
     "t04_squeeze", tx.squeeze,
@@ -79,10 +87,10 @@ _column_query(
     "f NOT IN ('AVG', 'MAX', 'SUM', 'COUNT', 'MIN')))), ',')",
 )
 _column_query(
-    "t10_mask_literals", lambda c: F.array_join(tx.masked_tokens(c), " "), f"array_to_string({_MASKED}, ' ')"
+    "t10_mask_literals", lambda c: F.array_join(tx.masked_tokens(c), " "), f"array_to_string({_MASKED}, ' ')", heavy=True
 )
 _column_query(
-    "t11_literal_set", lambda c: F.array_join(tx.literal_set(c), "|"), f"array_to_string({_LITERALS}, '|')"
+    "t11_literal_set", lambda c: F.array_join(tx.literal_set(c), "|"), f"array_to_string({_LITERALS}, '|')", heavy=True
 )
 
 
@@ -105,7 +113,7 @@ _column_query(
 )
 def fill_slots(t):
     c = F.col("sql_text")
-    parsed = view(t, "sql_text").select(
+    parsed = texts(t).select(
         "query_id", tx.slot_segments(tx.masked_tokens(c)).alias("segments"), tx.literal_set(c).alias("vals")
     )
     n_variants = F.pow(F.size("vals"), F.size("segments") - 1).cast("bigint")
@@ -133,7 +141,7 @@ _column_query(
     ),
 )
 def unquote(t):
-    found = view(t, "sql_text").select(
+    found = texts(t).select(
         "query_id", F.posexplode(F.regexp_extract_all("sql_text", F.lit(tx.QUOTED), F.lit(0))).alias("pos", "v")
     )
     return found.select("query_id", F.col("pos").cast("bigint").alias("pos"), tx.unquote(F.col("v")).alias("result"))
@@ -167,7 +175,7 @@ _BTW = "(?:([^\\.\\s]*)\\.)?([^\\.\\s]+) between ([^\\s;]+) and ([^\\s;]+)"
     ),
 )
 def typed_comparisons(t):
-    return view(t, "sql_text").select("query_id", F.inline(tx.comparisons(F.col("sql_text"))))
+    return texts(t).select("query_id", F.inline(tx.comparisons(F.col("sql_text"))))
 
 
 @plan(
@@ -181,7 +189,7 @@ def typed_comparisons(t):
 )
 def select_text(t):
     c = F.col("sql_text")
-    return view(t, "sql_text").select("query_id", tx.select_text(c, tx.alias_entries(c)).alias("result"))
+    return texts(t).select("query_id", tx.select_text(c, tx.alias_entries(c)).alias("result"))
 
 
 _column_query("t18_double_quotes", tx.double_quotes, "replace(sql_text, '''', '\"')")
