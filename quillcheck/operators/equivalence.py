@@ -105,11 +105,16 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 def quick_reject(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """One row: True when the fingerprints already rule equality out."""
-    g, p = fingerprint(gold).toDF("n_gold", "gold_total"), fingerprint(pred).toDF("n_pred", "pred_total")
-    # Two one-row aggregates side by side.
-    both = g.withColumn("one", F.lit(1)).join(p.withColumn("one", F.lit(1)), "one")
-    same = (F.col("n_gold") == F.col("n_pred")) & (F.col("gold_total") == F.col("pred_total"))
-    return both.select("n_gold", "n_pred", (~same).alias("rejected"))
+    both = fingerprint(gold).withColumn("side", F.lit("g")).unionAll(fingerprint(pred).withColumn("side", F.lit("p")))
+
+    def of(side: str, col: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(col)))
+
+    return both.agg(
+        of("g", "n").alias("n_gold"),
+        of("p", "n").alias("n_pred"),
+        ((of("g", "n") != of("p", "n")) | (of("g", "total") != of("p", "total"))).alias("rejected"),
+    )
 
 
 def column_fingerprints(df: DataFrame) -> DataFrame:

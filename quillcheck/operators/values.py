@@ -56,8 +56,7 @@ def gated(index: DataFrame, counts: DataFrame, gate: int | None = None) -> DataF
     """Give the index up when the database has more than ``gate`` rows; off by default."""
     if gate is None:
         return index
-    small = counts.agg((F.sum("n_rows") <= gate).alias("small")).filter("small").select(F.lit(1).alias("__open"))
-    return index.withColumn("__open", F.lit(1)).join(F.broadcast(small), "__open").drop("__open")
+    return index.filter(counts.agg((F.sum("n_rows") <= gate).alias("small")).scalar())
 
 
 def match_key(c: Column) -> Column:

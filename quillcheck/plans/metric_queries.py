@@ -173,11 +173,12 @@ def rank_accuracy(t):
 
     rows = view(t, "candidates")
     chosen = rk.gap_choice(rows, "item_id", "pos", "score").select("item_id", "chosen")
-    after = rows.join(chosen, "item_id").filter(F.col("pos") == F.col("chosen")).agg(F.count("*").alias("n"), F.avg("label").alias("a"))
-    before = rows.filter("pos = 0").agg(F.avg("label").alias("b"))
-    one = F.lit(1).alias("one")
-    both = after.select(one, "n", "a").join(before.select(one, "b"), "one")
-    return both.select("n", F.round("b", 6).alias("before_rank"), F.round("a", 6).alias("after_rank"))
+    both = rows.join(chosen, "item_id")
+    return both.agg(
+        F.count_if(F.col("pos") == 0).alias("n"),
+        F.round(F.avg(F.when(F.col("pos") == 0, F.col("label"))), 6).alias("before_rank"),
+        F.round(F.avg(F.when(F.col("pos") == F.col("chosen"), F.col("label"))), 6).alias("after_rank"),
+    )
 
 
 @plan(
