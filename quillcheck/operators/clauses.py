@@ -338,15 +338,16 @@ def connected_minimum(edges: DataFrame) -> DataFrame:
     bottleneck, and is written to the shared folder.
     """
     both = settled(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("canonical")), "labels")
+    # The first round needs no labels yet: the least neighbour, or the node itself.
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
+        "node", F.least("node", "m").alias("canonical")
+    )
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("canonical").alias("m"))
         nxt = labels.join(near, labels.node == near.a, "left").select(
             "node", F.least("canonical", "m").alias("canonical"), (F.col("m") < F.col("canonical")).alias("moved")
         )
         nxt = settled(nxt, "labels")
-        moved = nxt.filter("moved").limit(1).count()
         labels = nxt.select("node", "canonical")
-        if moved == 0:
+        if nxt.filter("moved").isEmpty():
             return labels

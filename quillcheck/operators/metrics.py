@@ -62,14 +62,14 @@ def partial_rates(partial: DataFrame, level: str = "level") -> DataFrame:
 
     A side without such rows has rate 0.
     """
-    rolled = partial.rollup("component", level).agg(
+    component, lev = F.col("component"), F.col(level)
+    rolled = partial.groupingSets([[component, lev], [component]], component, lev).agg(
         F.grouping(level).alias("__all"),
-        F.grouping("component").alias("__none"),
         F.coalesce(F.avg(F.when(F.col("pred_total") > 0, F.col("acc").cast("double"))), F.lit(0.0)).alias("acc"),
         F.coalesce(F.avg(F.when(F.col("label_total") > 0, F.col("rec").cast("double"))), F.lit(0.0)).alias("rec"),
     )
     name = F.when(F.col("__all") == 1, "all").otherwise(F.col(level))
-    return rolled.filter("__none = 0").select("component", name.alias("level"), "acc", "rec")
+    return rolled.select("component", name.alias("level"), "acc", "rec")
 
 
 def f1(acc: Column, rec: Column, zero_f1: float = 1.0) -> Column:

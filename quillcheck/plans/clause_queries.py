@@ -7,7 +7,7 @@ from quillcheck.operators import clauses as cl
 from quillcheck.plans.catalog_queries import DATABASES, FK_SCHEMA, FOREIGN_KEYS
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import PARTS, oracle, view
-from quillcheck.session import once, settled
+from quillcheck.session import once
 
 _SHORT = {
     "select": "select", "select(no AGG)": "selectn", "where": "where", "where(no OP)": "wheren", "group(no Having)": "groupn",
@@ -21,7 +21,8 @@ PARTS["wide"] = ", ".join(
 
 
 def units(t):
-    return view(t, "clause_units")
+    """The parsed queries, a clause table stored once per database."""
+    return once(t.spark, t.root, "clause-units", lambda: view(t, "clause_units"))
 
 
 def links(t):
@@ -51,7 +52,7 @@ def key_columns(t):
 
 def ready(t):
     """Units as they are compared: literals masked, key columns made canonical."""
-    return cl.canonical_columns(cl.mask_values(settled(units(t), "units")), canonical(t))
+    return cl.canonical_columns(cl.mask_values(units(t)), canonical(t))
 
 
 def scored(t):
