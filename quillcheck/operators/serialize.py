@@ -79,8 +79,9 @@ def named_table(table: Column, found: Column, with_keys: bool) -> Column:
 
     def column(c: Column) -> Column:
         values = F.coalesce(_values(found, table["tbl"], c["col"]), c["fallback"])
+        # Without values the text is null as a whole, and the bare name stands.
         shown = F.concat(F.lower(c["col"]), F.lit(" ["), F.array_join(quoted(values), ", "), F.lit("]"))
-        return F.when(F.size(F.coalesce(values, F.array().cast("array<string>"))) > 0, shown).otherwise(F.lower(c["col"]))
+        return F.coalesce(shown, F.lower(c["col"]))
 
     body = F.concat(F.lower(table["tbl"]), F.lit("("), F.array_join(F.transform(table["cols"], column), ", "), F.lit(")"))
     if not with_keys:
@@ -115,9 +116,7 @@ def positional_schema(rows: DataFrame) -> Column:
         def column(c: Column) -> Column:
             values = _values(found, t["tbl"], c["col"])
             plain = F.concat(F.lit("c"), c["pos"].cast("string"), F.lit(": "), F.lower(c["col"]))
-            return F.when(
-                values.isNotNull(), F.concat(plain, F.lit(" ("), F.array_join(values, ", "), F.lit(")"))
-            ).otherwise(plain)
+            return F.coalesce(F.concat(plain, F.lit(" ("), F.array_join(values, ", "), F.lit(")")), plain)
 
         def key(k: Column) -> Column:
             return F.concat(
