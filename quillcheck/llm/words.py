@@ -51,8 +51,12 @@ class Texts:
     its first word, so that its words are ``first[i]:first[i + 1]``.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = False):
         column = column.cast(pa.large_binary())
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks)
         if column.null_count:
             column = column.fill_null(b"")
         n = len(column)
@@ -96,11 +100,9 @@ class Texts:
             value = _BYTE[self.data[rel + np.repeat(s, size)]] * powers(0x2545F4914F6CDD1D, int(size.max()))[rel]
             return mix(np.add.reduceat(value, firsts) + size.astype(np.uint64) * np.uint64(_GOLDEN))
 
-    def word(self, i: int) -> bytes:
-        return self.data[self.starts[i] : self.ends[i]].tobytes()
-
-    def of(self, i: int) -> np.ndarray:
-        return np.arange(self.first[i], self.first[i + 1])
+    def joined(self, a: int, n: int) -> bytes:
+        """The n words from word a on, joined by blanks."""
+        return b" ".join(self.data[self.starts[a] : self.ends[a + n - 1]].tobytes().split())
 
 
 def window_starts(first: np.ndarray, size: int, n_words: int) -> np.ndarray:
@@ -124,12 +126,6 @@ def windows(words: np.ndarray, size: int, seed: int) -> np.ndarray:
     if n <= 0:
         return out
     with np.errstate(over="ignore"):
-        total = np.zeros(n, dtype=np.uint64)
-        for factor, k in zip(powers(base, size), range(size), strict=True) if size <= 8 else ():
-            total += words[k : k + n] * factor
-        if size > 8:
-            up = powers(base, len(words))
-            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up, dtype=np.uint64)])
-            total = (run[size:] - run[:-size]) * powers(pow(base, -1, 1 << 64), len(words))[:n]
-        out[:n] = mix(total + np.uint64(seed))
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(base, len(words)), dtype=np.uint64)])
+        out[:n] = mix((run[size:] - run[:-size]) * powers(pow(base, -1, 1 << 64), n) + np.uint64(seed))
     return out
