@@ -4,16 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillcheck.llm import packing
+from quillcheck.llm import contamination, packing, pii, quality, simhash
 from quillcheck.session import settled
 
 
+def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents, personal data replaced by its kind; n_chars follows the text."""
+    return pii.redacted(docs, length_col="n_chars")
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left and their places in sequences of 2048."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("quality classifier", accepted),
+    ("SimHash near-dedup", distinct),
+    ("benchmark decontamination", uncontaminated),
+    ("PII", masked),
     ("best-fit packing", packed),
 ]
 

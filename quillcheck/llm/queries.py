@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillcheck.llm import packing
+from quillcheck.llm import contamination, licenses, packing, pii, quality, rules, secrets, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,6 +27,101 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _of(spans: str, kinds: tuple[str, ...]):
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+def _counts(spans: str, kinds: tuple[str, ...]):
+    return [F.size(_of(spans, (k,))).cast("long").alias(f"n_{k}") for k in kinds]
+
+
+@query("op1_pii")
+def personal_data(spark, sf_dir):
+    d = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.sha2(pii.written(_of("pii", pii.BASE)), 256).alias("base_sha256")
+    return d.select("doc_id", *_counts("pii", pii.BASE), base, pii.written(F.col("pii")).alias("spans"))
+
+
+@query(
+    "op2_substring_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35) x),
+    repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM windows) x WHERE c > 1),
+    gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM repeated) x),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+    kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.p) AS t
+             FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p WHERE gone.p IS NULL GROUP BY words.doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
+)
+def substring_dedup(spark, sf_dir):
+    d = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op3_decontamination",
+    r"""
+    WITH words AS (SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+                   UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') FROM benchmark),
+    shingles AS (SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5) x),
+    sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 'i' GROUP BY id),
+    met AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n FROM shingles d JOIN shingles i ON d.s = i.s WHERE d.side = 'd' AND i.side = 'i' GROUP BY d.id, i.id)
+    SELECT doc_id, item_id, sizes.n AS n_shingles, met.n AS n_found, CAST(met.n AS DOUBLE) / sizes.n AS containment
+    FROM met JOIN sizes ON item_id = sizes.id WHERE met.n >= 0.8 * sizes.n - 1e-9
+    """,
+)
+def decontamination(spark, sf_dir):
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_license_scan")
+def license_scan(spark, sf_dir):
+    return licenses.licensed(table(spark, sf_dir, "documents"))
+
+
+@query("op5_simhash_near_dedup")
+def simhash_near_dedup(spark, sf_dir):
+    d = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op6_best_fit_packing")
 def best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op7_secret_scan")
+def secret_scan(spark, sf_dir):
+    d = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.sha2(secrets.written(_of("secrets", secrets.KINDS[:3])), 256).alias("base_sha256")
+    return d.select("doc_id", *_counts("secrets", secrets.KINDS[:3]), base, secrets.written(F.col("secrets")).alias("spans"))
+
+
+@query("op8_quality_rules")
+def quality_rules(spark, sf_dir):
+    d = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op9_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op10_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    q AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+      CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to
+    FROM q
+    """,
+)
+def archives(spark, sf_dir):
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
