@@ -26,9 +26,9 @@ COMPARISON = (
     r"(?i)\b(?:([a-z_][a-z0-9_]*)\.)?([a-z_][a-z0-9_]*)\b\s*(?:>=|<=|!=|<>|=|<|>|\blike\b)\s*"
     r"""('[^']*'|"[^"]*"|-?[0-9]+(?:\.[0-9]+)?)"""
 )
-BETWEEN = r"(?i)(?:([^\.\s]*)\.)?([^\.\s]+) between ([^\s;]+) and ([^\s;]+)"
-FLOAT_TOKEN = r"^[-+]?[0-9]*\.[0-9]+$"
-INT_TOKEN = r"^[^tT]?[0-9]+$"
+_BOUND = r"""('[^']*'|"[^"]*"|[-+]?[0-9]+(?:\.[0-9]+)?|[a-z_][a-z0-9_.]*)"""
+BETWEEN = rf"(?i)\b(?:([a-z_][a-z0-9_]*)\.)?([a-z_][a-z0-9_]*)\s+between\s+{_BOUND}\s+and\s+{_BOUND}"
+NUMBER_TOKEN = r"^[(<>=!,+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"  # with an operator or bracket that sticks to it
 
 
 def _all(c: Column, pattern: str, group: int = 0) -> Column:
@@ -113,7 +113,7 @@ def _bare_tokens(c: Column) -> Column:
 
 
 def _is_number_token(x: Column) -> Column:
-    return x.rlike(FLOAT_TOKEN) | x.rlike(INT_TOKEN)
+    return x.rlike(NUMBER_TOKEN)
 
 
 def masked_tokens(c: Column) -> Column:
@@ -194,11 +194,11 @@ def comparisons(c: Column) -> Column:
 
     def both_ends(x: Column) -> Column:
         known = F.nullif(part(x, BETWEEN, 1), F.lit(""))
-        return F.array(row(known, x, BETWEEN, part(x, BETWEEN, 3)), row(known, x, BETWEEN, part(x, BETWEEN, 4)))
+        return F.array(*(row(known, x, BETWEEN, unquote(part(x, BETWEEN, end))) for end in (3, 4)))
 
     # One pass finds the few comparisons of a text; their parts are read from the short hits.
     # Most texts hold no BETWEEN, and the plain test spares them the costlier pattern.
-    has_between = F.contains(F.lower(c), F.lit(" between "))
+    has_between = F.contains(F.lower(c), F.lit("between"))
     return F.concat(
         F.transform(_all(c, COMPARISON), typed),
         F.when(has_between, F.flatten(F.transform(_all(c, BETWEEN), both_ends))).otherwise(
@@ -236,5 +236,5 @@ def tolerant_decode(c: Column) -> Column:
 
 
 def number_or_null(c: Column) -> Column:
-    """The text as a number, null when it is none."""
-    return F.trim(c).try_cast("double")
+    """The text as a number, null when it is none; a Java suffix (1d, 1f) makes it none."""
+    return F.when(F.trim(c).rlike(r"^[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"), F.trim(c).try_cast("double"))

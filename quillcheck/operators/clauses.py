@@ -67,12 +67,28 @@ def _flagged(units: DataFrame, links: DataFrame) -> DataFrame:
     return flags.fillna(False, [f"has_{k}" for k in SET_OPS]).fillna(0, ["n_nested"])
 
 
-def structures(units: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
+def nesting(links: DataFrame) -> int:
+    """How deep set-operator branches nest: the number of links of the longest chain.
+
+    Follows the ends of chains, a level at a time, until none goes on; only set-operator links are read, once.
+    """
+    steps = settled(links.filter(F.col("kind").isin(*SET_OPS)).select("role", "parent_id", "child_id").distinct(), "links")
+    most = steps.count()  # a chain longer than that runs in a circle
+    ends, depth = steps.select("role", "child_id"), 0
+    while depth < most and not ends.isEmpty():
+        depth += 1
+        on = ends.distinct().withColumnRenamed("child_id", "parent_id")
+        ends = settled(steps.join(on, ["role", "parent_id"]).select("role", "child_id"), "ends")
+    return depth
+
+
+def structures(units: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
     """``SELECT-FROM-WHERE-…``; a set operator is followed by the structure of its branch.
 
-    ``depth`` bounds how far branches nest. A query has at most three branches, so the
-    lists built here are short.
+    ``depth`` is how far branches nest, found from the links unless the caller knows it. A query has at most three
+    branches, so the lists built here are short.
     """
+    depth = nesting(links) if depth is None else depth
     parts = {"where": "WHERE", "group": "GROUP BY", "having": "HAVING", "order": "ORDER BY", "limit": "LIMIT"}
     words = ", ".join(f"if(has_{n}, '{w}', null)" for n, w in parts.items())
     own = predicates(units).select(*_QUERY, F.expr(f"concat_ws('-', 'SELECT', 'FROM', {words}) AS own"))
@@ -161,7 +177,7 @@ def canonical_columns(units: DataFrame, canonical: DataFrame) -> DataFrame:
     owner = F.regexp_extract("col", r"^__([^.]+)\.", 1)
     known = units.withColumn("__tbl", F.when(~F.expr(_TABLE), owner)).join(tables, [*_QUERY, "__tbl"], "left")
     return (
-        known.join(F.broadcast(canonical), "col", "left")
+        known.join(canonical, "col", "left")
         .withColumn("col", F.when(F.col("__in"), F.coalesce("canonical", "col")).otherwise(F.col("col")))
         .withColumn("is_distinct", F.lit(None).cast("boolean"))
         .select(*units.columns)
@@ -274,23 +290,26 @@ def branch_pairs(links: DataFrame) -> DataFrame:
     return ids
 
 
-def exact_matches(base: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
+def exact_matches(base: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
     """Per gold query: exact match including its branches, and the branch totals.
 
     ``base`` has query_id and ``same``, whether everything but the branches agrees. A branch
     pair agrees when its two queries are each other's gold and prediction and match exactly;
-    ``depth`` bounds how far branches nest.
+    ``depth`` is how far branches nest, found from the links unless the caller knows it.
     """
-    pairs = branch_pairs(links)
-    result = base.withColumn("exact", F.col("same"))
-    for _ in range(depth):
+    depth = max(1, nesting(links) if depth is None else depth)
+    pairs = settled(branch_pairs(links), "pairs")
+    # Only queries below a branch are looked at again and again; the whole table is joined once.
+    result = base.join(pairs.select(F.col("gold_id").alias("query_id")).distinct(), "query_id", "left_semi").withColumn("exact", F.col("same"))
+    for level in range(depth):
+        of = base if level == depth - 1 else base.join(result.select("query_id"), "query_id", "left_semi")
         child = result.select(F.col("query_id").alias("gold_id"), F.col("exact").alias("child_exact"))
         agree = (F.col("gold_id") == F.col("pred_id")) & F.col("child_exact")
         per_query = pairs.join(child, "gold_id", "left").groupBy("query_id").agg(
             F.count("gold_id").alias("label_total"), F.count("pred_id").alias("pred_total"), F.count_if(agree).alias("overlap")
         )
         result = (
-            base.join(per_query, "query_id", "left")
+            of.join(per_query, "query_id", "left")
             .fillna(0, ["label_total", "pred_total", "overlap"])
             .withColumn(
                 "exact",
@@ -305,7 +324,7 @@ def _base(units: DataFrame, links: DataFrame) -> DataFrame:
     return overlaps(units, links).withColumn("same", F.expr(f"{same} AND (`tables:g` = 0 OR {_same('tables')})"))
 
 
-def score(units: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
+def score(units: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
     """Per gold query the ten component totals and the exact-match verdict.
 
     A gold query without a readable prediction has no predicted rows and scores 0.

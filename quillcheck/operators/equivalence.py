@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,20 @@ def _family(kind: T.DataType) -> str:
     return kind.simpleString()
 
 
+def _number(c: Column, kind: T.DataType) -> Column:
+    """A number as the text of a double; whole numbers that a double can't tell apart keep all their digits."""
+    large = F.abs(c) >= 2**53
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        exact = c.cast("string") if isinstance(kind, T.IntegralType) else F.when(c == F.floor(c), F.floor(c).cast("string"))
+    else:
+        exact = F.when(F.abs(c) < 9.2e18, F.floor(c).cast("string"))
+    text = c.cast("double").cast("string")
+    return F.coalesce(F.when(large, exact), text)
+
+
 def typed_cell(name: str, kind: T.DataType) -> Column:
     """The cell as text with its type family, for results whose column types disagree."""
-    value = F.col(name).cast("double").cast("string") if isinstance(kind, T.NumericType) else F.col(name).cast("string")
+    value = _number(F.col(name), kind) if isinstance(kind, T.NumericType) else F.col(name).cast("string")
     return F.when(F.col(name).isNotNull(), F.concat(value, F.lit(":" + _family(kind))))
 
 
@@ -34,7 +46,8 @@ def aligned(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both results with columns c0, c1, …; columns whose types cannot be equal become typed text."""
     g, p = _numbered(gold), _numbered(pred)
     for a, b in zip(g.schema.fields, p.schema.fields):
-        if _family(a.dataType) != _family(b.dataType):
+        mixed = a.dataType != b.dataType and not (isinstance(a.dataType, T.IntegralType) and isinstance(b.dataType, T.IntegralType))
+        if _family(a.dataType) != _family(b.dataType) or (mixed and _family(a.dataType) == "number"):
             g = g.withColumn(a.name, typed_cell(a.name, a.dataType))
             p = p.withColumn(b.name, typed_cell(b.name, b.dataType))
     return g, p
@@ -137,59 +150,95 @@ def permute(df: DataFrame, order: Sequence[int]) -> DataFrame:
     return df.select(*[df.columns[i] for i in order])
 
 
-def permutations(matches: dict[int, list[int]], width: int) -> Iterator[list[int]]:
-    """Ways to give every gold column its own matching predicted column."""
+def permutations(matches: dict[int, list[int]], width: int, like: Sequence[int] = ()) -> Iterator[list[int]]:
+    """Ways to give every gold column its own matching predicted column.
+
+    ``like``: for each predicted column the first one that is the same in every row; of columns that are the same only
+    one order is tried.
+    """
 
     def extend(chosen: list[int]) -> Iterator[list[int]]:
         if len(chosen) == width:
             yield chosen
             return
+        tried = set()
         for p in matches.get(len(chosen), []):
-            if p not in chosen:
+            kind = like[p] if like else p
+            if p not in chosen and kind not in tried:
+                tried.add(kind)
                 yield from extend([*chosen, p])
 
     return extend([])
 
 
-def equal_up_to_columns(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Bag comparison under the best column order.
+def same_columns(df: DataFrame) -> list[int]:
+    """For each column the number of the first one with the same cell in every row: one job, numbers only."""
+    names = df.columns
+    pairs = [(i, j) for j in range(len(names)) for i in range(j)]
+    if not pairs:
+        return list(range(len(names)))
+    kinds = {i: f.dataType for i, f in enumerate(df.schema.fields)}
+    tests = [F.bool_and(F.col(names[i]).eqNullSafe(F.col(names[j]))) if kinds[i] == kinds[j] else F.lit(False) for i, j in pairs]
+    found = df.agg(*[t.alias(f"t{k}") for k, t in enumerate(tests)]).first()
+    first = list(range(len(names)))
+    for (i, j), same in zip(pairs, found):
+        if same:
+            first[j] = min(first[j], first[i])
+    return first
+
 
-    Only column numbers reach the driver; the fingerprints of all columns take one scan per
-    result. Usually one order is left and its exact comparison is the answer.
+_ORDERS_PER_JOB = 64
+
+
+def equal_up_to_columns(gold: DataFrame, pred: DataFrame, pinned: int = 0) -> DataFrame:
+    """Bag comparison under the best column order; the last ``pinned`` columns stay where they are.
+
+    Only column numbers reach the driver; the fingerprints of all columns take one scan per result. Usually one order
+    is left and its exact comparison is the answer; where several are, one job compares many of them.
     """
-    if len(gold.columns) != len(pred.columns):
+    width = len(gold.columns)
+    if width != len(pred.columns):
         return bag_equal(gold, pred)
     found: dict[int, list[int]] = {}
     for row in column_matches(gold, pred).orderBy("gold_pos", "pred_pos").collect():
-        found.setdefault(row["gold_pos"], []).append(row["pred_pos"])
-    orders = permutations(found, len(gold.columns))
-    order = next(orders, None)
-    if order is None:
+        if row["gold_pos"] == row["pred_pos"] or max(row["gold_pos"], row["pred_pos"]) < width - pinned:
+            found.setdefault(row["gold_pos"], []).append(row["pred_pos"])
+    several = any(len(v) > 1 for v in found.values())
+    orders = permutations(found, width, same_columns(_numbered(pred)) if several else ())
+    batch = list(islice(orders, _ORDERS_PER_JOB))
+    if not batch:
         return bag_equal(gold, pred).withColumn("equal", (F.col("n_gold") == 0) & (F.col("n_pred") == 0))
-    following = next(orders, None)
-    while following is not None:
-        if bag_equal(gold, permute(pred, order)).first()["equal"]:
+    order = batch[0]
+    while len(batch) > 1:
+        each = [bag_equal(gold, permute(pred, o)).select(F.lit(k).alias("k"), "equal") for k, o in enumerate(batch)]
+        hit = union_all(each).filter("equal").agg(F.min("k")).first()[0]
+        if hit is not None:
+            order = batch[hit]
             break
-        order, following = following, next(orders, None)
+        batch = list(islice(orders, _ORDERS_PER_JOB))
+        order = batch[0] if batch else order
     return bag_equal(gold, permute(pred, order))
 
 
 def ordered_equal(gold: DataFrame, pred: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """Comparison row by row: both results carry their row number in ``ordinal``."""
+    """Comparison row by row, up to the order of columns: both results carry their row number in ``ordinal``."""
     g = gold.select(*[c for c in gold.columns if c != ordinal], ordinal)
     p = pred.select(*[c for c in pred.columns if c != ordinal], ordinal)
-    return bag_equal(g, p)
+    return equal_up_to_columns(g, p, pinned=1)
 
 
-def suite_verdicts(results: DataFrame) -> DataFrame:
+def suite_verdicts(results: DataFrame, roster: DataFrame | None = None) -> DataFrame:
     """Per query: equal on all databases.
 
-    results: query_id, db_id, role (gold or pred) and the cells of one result row. All pairs
-    on all databases are compared in one grouped job.
+    results: query_id, db_id, role (gold or pred) and the cells of one result row. All pairs on all databases are
+    compared in one grouped job. ``roster``: every (query_id, db_id) that was run; one without any row on both sides
+    is equal.
     """
     cells = [c for c in results.columns if c not in ("role",)]
     signed = results.withColumn("__sign", F.when(F.col("role") == "gold", 1).otherwise(-1)).drop("role")
     per_db = _verdict(signed, cells, ["query_id", "db_id"])
+    if roster is not None:
+        per_db = roster.select("query_id", "db_id").distinct().join(per_db, ["query_id", "db_id"], "left").fillna(True, ["equal"])
     return per_db.groupBy("query_id").agg(
         F.count("*").alias("n_databases"), F.count_if("equal").alias("n_equal"), F.bool_and("equal").alias("passed")
     )

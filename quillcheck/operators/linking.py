@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -49,23 +49,24 @@ def max_edits(size: Column, threshold: float) -> Column:
     return F.floor(size * ((1 - threshold) * (1 + longest)) + 1e-9).cast("int")
 
 
-def spans(texts: DataFrame, text: str, max_words: Column, max_chars: Column) -> DataFrame:
-    """Add ``span``: one row per distinct run of whole words within the two limits."""
+def spans(texts: DataFrame, text: str, max_words: Column | None = None, max_chars: Column | None = None) -> DataFrame:
+    """Add ``span``: one row per distinct run of whole words, within the limits that are given."""
 
     def from_word(i: Column) -> Column:
-        counts = F.sequence(F.lit(1), F.least("__words", F.size("__pieces") - i + 1))
+        left = F.size("__pieces") - i + 1
+        counts = F.sequence(F.lit(1), left if max_words is None else F.least("__words", left))
         return F.transform(
             counts,
             lambda n: F.regexp_replace(F.array_join(F.slice("__pieces", i, n), ""), f"{_SEP}+$", ""),
         )
 
-    cut = texts.select("*", word_pieces(F.col(text)).alias("__pieces"), max_words.alias("__words"))
+    cut = texts.select("*", word_pieces(F.col(text)).alias("__pieces"), (F.lit(None) if max_words is None else max_words).alias("__words"))
     starts = F.sequence(F.lit(1), F.size("__pieces"))
     runs = F.flatten(F.transform(starts, from_word))
     return (
         cut.filter(F.size("__pieces") > 0)
         .select(*texts.columns, F.explode(F.array_distinct(runs)).alias("span"))
-        .filter((F.length("span") > 1) & (F.length("span") <= max_chars))
+        .filter((F.length("span") > 1) & (F.lit(True) if max_chars is None else F.length("span") <= max_chars))
     )
 
 
@@ -132,15 +133,41 @@ def close_pairs(span_list: DataFrame, keys: DataFrame, threshold: float = THRESH
     return candidates.withColumn("score", indel_ratio(F.col("key"), F.col("span"))).filter(F.col("score") >= threshold)
 
 
-def _longest_run(a: str, b: str) -> tuple[int, int]:
-    """Place in ``a`` and length of the longest text that ``a`` and ``b`` share, earliest first."""
-    run = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
-    return run.a, run.size
+_PAIRS_AT_ONCE = 512
+
+
+def _codes(texts: list[str], pad: int) -> np.ndarray:
+    """Code points, one text a row, filled up with ``pad``."""
+    out = np.full((len(texts), max(map(len, texts), default=0)), pad, dtype=np.int64)
+    for row, text in zip(out, texts):
+        row[: len(text)] = [ord(c) for c in text]
+    return out
+
+
+def longest_runs(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Place in a[i] and length of the longest text that a[i] and b[i] share, earliest first, for many pairs at once.
+
+    One step for each character of the longest a: how far the run that ends there reaches back, at every place of b.
+    """
+    left, right = _codes(a, -1), _codes(b, -2)
+    reach = np.zeros((len(a), right.shape[1] + 1), dtype=np.int32)
+    at, size = np.zeros(len(a), dtype=np.int32), np.zeros(len(a), dtype=np.int32)
+    for i in range(left.shape[1]):
+        reach[:, 1:] = np.where(left[:, i : i + 1] == right, reach[:, :-1] + 1, 0)
+        here = reach.max(axis=1)
+        better = here > size
+        size[better], at[better] = here[better], i + 1 - here[better]
+    return at, size
 
 
 @F.pandas_udf(StructType([StructField("at", IntegerType()), StructField("size", IntegerType())]))
 def longest_run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_longest_run(x, y) for x, y in zip(a, b)], columns=["at", "size"])
+    order = np.argsort(a.str.len().to_numpy() + b.str.len().to_numpy(), kind="stable")  # texts of like length together
+    out = np.zeros((len(a), 2), dtype=np.int32)
+    for k in range(0, len(order), _PAIRS_AT_ONCE):
+        rows = order[k : k + _PAIRS_AT_ONCE]
+        out[rows, 0], out[rows, 1] = longest_runs(a.iloc[rows].tolist(), b.iloc[rows].tolist())
+    return pd.DataFrame(out, columns=["at", "size"])
 
 
 def is_number(c: Column) -> Column:

@@ -21,10 +21,9 @@ def _dense(df: DataFrame, name: str) -> DataFrame:
     sizes = df.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    # One row per partition, so the broadcast is bounded by the number of tasks.
     return (
         df.withColumn("__part", part)
-        .join(F.broadcast(starts), "__part")
+        .join(starts, "__part")
         .withColumn(name, F.col("__start") + F.col("__mono").bitwiseAND(F.lit(_LOW_BITS)))
         .drop("__part", "__start", "__mono")
     )
@@ -51,9 +50,8 @@ def file_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
     splits = rows.groupBy("__file", "__at").agg(F.count("*").alias("__size"), F.min("__mono").alias("__first"))
     before = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("__file", "__at", "__first", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    # One row per file split, so the broadcast is bounded by the number of tasks.
     return (
-        rows.join(F.broadcast(starts), ["__file", "__at"])
+        rows.join(starts, ["__file", "__at"])
         .withColumn(name, F.col("__start") + F.col("__mono") - F.col("__first"))
         .select(*df.columns, name)
     )
@@ -64,12 +62,12 @@ def running(
 ) -> DataFrame:
     """Add running ``sum`` or ``max`` columns along ``order``, a unique integer column.
 
-    ``order`` is cut into blocks of ``block`` consecutive numbers, so no window holds more
-    than ``block`` rows however the other columns are skewed. Block totals, one row each,
-    are accumulated first and added to the totals inside the blocks.
+    The sorted rows are cut into blocks of ``block``, so no window holds more than ``block`` rows however sparse ``order``
+    is and however the other columns are skewed. Block totals, one row each, are accumulated first and added to the
+    totals inside the blocks.
     """
     fold = {"sum": F.sum, "max": F.max}
-    work = df.withColumn("__block", F.floor(F.col(order) / F.lit(block)))
+    work = with_ordinal(df, [order], "__at").withColumn("__block", F.floor(F.col("__at") / F.lit(block)))
     for name, (_, value) in totals.items():
         work = work.withColumn(f"__v_{name}", value)
     per_block = work.groupBy("__block").agg(

@@ -13,18 +13,20 @@ from quillcheck.functions.text import STRUCTURE_KEYWORDS
 GAP = 0.2
 
 
-def fold(hypotheses: DataFrame, index: str, text: str, k: int) -> DataFrame:
-    """Flat hypotheses, k per input, as one list per input."""
-    entry = F.struct((F.col(index) % k).alias("at"), F.col(text).alias("text"))
-    listed = F.array_sort(F.collect_list(entry))
-    return hypotheses.groupBy(F.floor(F.col(index) / k).alias("input_id")).agg(
-        F.transform(listed, lambda x: x["text"]).alias("topk")
-    )
+def placed(hypotheses: DataFrame, index: str, k: int) -> DataFrame:
+    """Input and rank of hypotheses that come in one flat list, exactly k per input."""
+    return hypotheses.withColumns({"input_id": F.floor(F.col(index) / k), "rank": F.col(index) % k})
+
+
+def fold(hypotheses: DataFrame, item: str, rank: str, text: str) -> DataFrame:
+    """Hypotheses as one list per input, by rank; as many as an input has."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("at"), F.col(text).alias("text"))))
+    return hypotheses.groupBy(F.col(item).alias("input_id")).agg(F.transform(listed, lambda x: x["text"]).alias("topk"))
 
 
-def best(hypotheses: DataFrame, index: str, text: str, k: int) -> DataFrame:
+def best(hypotheses: DataFrame, item: str, rank: str, text: str) -> DataFrame:
     """The first hypothesis of each input, by partial aggregation."""
-    return hypotheses.groupBy(F.floor(F.col(index) / k).alias("input_id")).agg(F.min_by(text, index).alias("best"))
+    return hypotheses.groupBy(F.col(item).alias("input_id")).agg(F.min_by(text, rank).alias("best"))
 
 
 def regroup(rows: DataFrame, index: str, payload: str, names: Sequence[str]) -> DataFrame:
@@ -122,7 +124,7 @@ def with_negatives(rows: DataFrame, group: str, item: str, label: str, n: int =
     Which wrong ones is decided by a seeded hash, so a rerun draws the same. The rank filter
     is applied before the shuffle as well, so a hot group sends only its few lowest hashes.
     """
-    draw = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), F.col(item)), item)
+    draw = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(item).cast("string"))), item)
     drawn = (
         rows.filter(F.col(label) == 0)
         .select(group, F.col(item).alias("negative"), F.row_number().over(draw).alias("r"))

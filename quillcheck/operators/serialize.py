@@ -67,7 +67,7 @@ def with_schema(texts: DataFrame, linked: DataFrame, text: str, schema: DataFram
     """Bring to each row of ``texts`` its database's schema and its own linked values."""
     per_text = text_values(linked, text)
     # One row per database; the schema text is bounded by the number of its columns.
-    return texts.join(per_text, text, "left").join(F.broadcast(schema), "db_id")
+    return texts.join(per_text, text, "left").join(schema, "db_id")
 
 
 def _values(found: Column, tbl: Column, col: Column) -> Column:

@@ -19,10 +19,8 @@ from quillcheck.session import settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# The score a fuzzy hit must exceed, and the row count above which the
-# whole-database index is given up when the gate is asked for.
+# Fixed value: the score a fuzzy hit must exceed.
 ACCEPT_ABOVE = 0.65
-INDEX_ROW_GATE = 100000
 
 VALUES_PER_BLOCK = 256
 PROBES_PER_BLOCK = 256
@@ -39,7 +37,7 @@ def picklist(frame: DataFrame, col: str) -> DataFrame:
 def table_values(frame: DataFrame, tbl: str, cols: Sequence[str]) -> DataFrame:
     """(tbl, col, value), distinct, from one scan of the table."""
     text = frame.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    return text.unpivot([], list(cols), "col", "value").distinct().select(F.lit(tbl).alias("tbl"), "col", "value")
+    return text.unpivot([], list(cols), "col", "value").filter("value IS NOT NULL").distinct().select(F.lit(tbl).alias("tbl"), "col", "value")
 
 
 def value_index(frames: dict[str, DataFrame], columns: dict[str, Sequence[str]]) -> DataFrame:
@@ -125,13 +123,13 @@ def search(
     hot column is shared by many tasks.
     """
     carried = [c for c in values.columns if c not in on and c != "value"]
-    v = values.distinct().withColumn("norm", token_sorted(F.col("value")))
+    v = values.filter("value IS NOT NULL").distinct().withColumn("norm", token_sorted(F.col("value")))
     v = v.withColumn("size", F.length("norm").cast("bigint"))
     v = v.withColumn("__salt", F.pmod(F.xxhash64("value"), F.lit(spread)).cast("int"))
     v_blocks = _pack(v, [*on, *differ, "__salt"], "size", VALUES_PER_BLOCK)
 
     p_keys = [*on, *differ]
-    p = probes.select(*p_keys, "literal").distinct().withColumn("norm", token_sorted(F.col("literal")))
+    p = probes.select(*p_keys, "literal").filter("literal IS NOT NULL").distinct().withColumn("norm", token_sorted(F.col("literal")))
     p = p.withColumn("size", F.length("norm").cast("bigint"))
     p_blocks = _pack(p, p_keys, "size", PROBES_PER_BLOCK)
     salts = F.explode(F.array(*[F.lit(i) for i in range(spread)]))

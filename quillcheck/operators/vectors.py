@@ -37,11 +37,21 @@ def _blocks(df: DataFrame, keys: Sequence[str], per_block: int) -> DataFrame:
 
 
 def _unit(vectors) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    """Rows of length 1; a null vector is a row of NaN."""
+    width = next((len(v) for v in vectors if v is not None), 1)
+    matrix = np.stack([np.full(width, np.nan) if v is None else np.asarray(v, dtype=np.float64) for v in vectors])
     size = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(size == 0, 1.0, size)
 
 
+def _cosine(a, b) -> np.ndarray:
+    """All pairs; where a vector is null the score is -1."""
+    left, right = _unit(a), _unit(b)
+    if left.shape[1] != right.shape[1]:  # one side has no vector at all
+        return np.full((len(left), len(right)), -1.0)
+    return np.nan_to_num(left @ right.T, nan=-1.0)
+
+
 def nearest(
     probes: DataFrame, values: DataFrame, on: Sequence[str], k: int = 1, skip_same: bool = False, spread: int = 8, digits: int = 6
 ) -> DataFrame:
@@ -66,7 +76,7 @@ def nearest(
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                cosine = np.round(_unit(row["p_vector"]) @ _unit(row["vector"]).T, places)
+                cosine = np.round(_cosine(row["p_vector"], row["vector"]), places)
                 ids = np.asarray(row["id"])
                 if skip_same:
                     cosine[np.asarray(row["p_id"])[:, None] == ids[None, :]] = -np.inf

@@ -71,7 +71,7 @@ def profiled(t):
     """The catalog with the row and value counts of one scan per table."""
     dbs = databases(t)
     # The catalog has a row per column of the schema, so it is small by its nature.
-    return cat.profile(dbs).join(F.broadcast(cat.read_catalog(t.spark, dbs)), ["db_id", "tbl", "col"])
+    return cat.profile(dbs).join(cat.read_catalog(t.spark, dbs), ["db_id", "tbl", "col"])
 
 
 @plan("c01_tables", CATALOG_SQL + "SELECT db_id, table_id, tbl, count(*) AS n_columns, max(n_rows) AS n_rows FROM cat GROUP BY ALL")
@@ -90,7 +90,7 @@ def tables(t):
 def columns(t):
     dbs = databases(t)
     counts = cat.profile(dbs).select("db_id", "tbl", "col", "n_values")
-    return F.broadcast(cat.column_list(cat.read_catalog(t.spark, dbs))).join(counts, ["db_id", "tbl", "col"], "left")
+    return cat.column_list(cat.read_catalog(t.spark, dbs)).join(counts, ["db_id", "tbl", "col"], "left")
 
 
 @plan(
@@ -165,7 +165,7 @@ def foreign_key_numbers(t):
     edges = t.spark.createDataFrame([*FOREIGN_KEYS, ("sales", "orders", "o_ghost", "customer", "c_custkey")], FK_SCHEMA)
     numbered = cat.foreign_key_numbers(edges, cat.read_catalog(t.spark, dbs))
     counts = cat.profile(dbs).select("db_id", "tbl", "col", "n_values")
-    return counts.join(F.broadcast(numbered), ["db_id", "tbl", "col"])
+    return counts.join(numbered, ["db_id", "tbl", "col"])
 
 
 @plan(
@@ -234,7 +234,7 @@ def lower_schema(t):
     dbs = databases(t)
     listed = cat.lower_schema(cat.read_catalog(t.spark, dbs)).withColumn("columns", F.array_join("columns", ","))
     counts = cat.profile(dbs).groupBy("db_id", "tbl").agg(F.max("n_rows").alias("n_rows"))
-    return counts.join(F.broadcast(listed), ["db_id", "tbl"])
+    return counts.join(listed, ["db_id", "tbl"])
 
 
 @plan(

@@ -63,19 +63,14 @@ _OWN = """array_to_string(list_filter(['SELECT', 'FROM', CASE WHEN has_where THE
  CASE WHEN has_having THEN 'HAVING' END, CASE WHEN has_order THEN 'ORDER BY' END, CASE WHEN has_limit THEN 'LIMIT' END], lambda x: x IS NOT NULL), '-')"""
 
 
-def _structure_step(before: str) -> str:
-    return f"""SELECT o.query_id, o.role, o.own, o.own || coalesce('-' || tail, '') AS structure FROM own o LEFT JOIN (
-    SELECT parent_id, l.role, string_agg(upper(kind) || '-' || s.structure, '-' ORDER BY CASE kind WHEN 'intersect' THEN 1 WHEN 'union' THEN 2 ELSE 3 END) AS tail
-    FROM <<query_links>> l JOIN {before} s ON s.query_id = l.child_id AND s.role = l.role WHERE kind <> 'where' GROUP BY parent_id, l.role) x
-    ON x.parent_id = o.query_id AND x.role = o.role"""
-
-
 @plan(
     "a01_structure",
     oracle(
-        f"""WITH own AS (SELECT query_id, role, {_OWN} AS own, {_OWN} AS structure FROM <<unit_flags>>),
-        s1 AS ({_structure_step('own')}), s2 AS ({_structure_step('s1')}), s3 AS ({_structure_step('s2')})
-        SELECT query_id, role, structure FROM s3"""
+        f"""WITH own AS (SELECT query_id, role, {_OWN} AS own FROM <<unit_flags>>),
+        walk AS (SELECT query_id AS root, query_id, role, own AS piece, [0] AS path FROM own
+          UNION ALL SELECT w.root, c.query_id, w.role, upper(kind) || '-' || c.own, list_append(path, CASE kind WHEN 'intersect' THEN 1 WHEN 'union' THEN 2 ELSE 3 END)
+          FROM walk w JOIN <<query_links>> l ON l.parent_id = w.query_id AND l.role = w.role AND kind <> 'where' JOIN own c ON c.query_id = l.child_id AND c.role = l.role)
+        SELECT root AS query_id, role, string_agg(piece, '-' ORDER BY path) AS structure FROM walk GROUP BY root, role"""
     ),
 )
 def structure(t):
@@ -152,7 +147,7 @@ def partial_scores(t):
     return cl.partial_scores(scored(t))
 
 
-@plan("a17_exact_match", oracle("SELECT query_id, exact FROM <<exact_3>>"))
+@plan("a17_exact_match", oracle("SELECT query_id, exact FROM <<exact_all>>"))
 def exact_match(t):
     return scored(t).select("query_id", "exact")
 

@@ -8,7 +8,7 @@ from quillcheck.operators import ranking as rk
 from quillcheck.plans.catalog_queries import DATABASES
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import oracle, view
-from quillcheck.session import scratch_path, spread
+from quillcheck.session import scratch_path
 from quillcheck.sources import corpus
 from quillcheck.streaming import resume
 
@@ -16,17 +16,17 @@ _SALES = DATABASES["sales"]
 
 
 def select_texts(t):
-    return spread(view(t, "select_texts"))
+    return view(t, "select_texts")
 
 
 def templates(t):
-    return spread(view(t, "templates"))
+    return view(t, "templates")
 
 
 def with_ids(t):
     frames = {"sales": {tbl: t.scan(tbl) for tbl in _SALES}}
     # One row per database, as large as its schema.
-    return select_texts(t).join(F.broadcast(ds.column_ids(cat.read_catalog(t.spark, frames))), "db_id")
+    return select_texts(t).join(ds.column_ids(cat.read_catalog(t.spark, frames)), "db_id")
 
 
 @plan(
@@ -196,10 +196,18 @@ def mixed_groups(t):
     return rk.mixed_groups(rows, "item_id", "label")
 
 
-@plan("d14_negative_samples")
+@plan(
+    "d14_negative_samples",
+    oracle(
+        """WITH drawn AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY md5('1:' || pos), pos) AS r FROM <<candidates>> WHERE label = 0),
+        wrong AS (SELECT item_id, pos FROM drawn WHERE r <= 3), good AS (SELECT item_id, pos AS positive FROM <<candidates>> WHERE label = 1)
+        SELECT item_id, positive, pos, 0 AS label FROM good JOIN wrong USING (item_id)
+        UNION ALL SELECT item_id, positive, positive, 1 FROM good WHERE item_id IN (SELECT item_id FROM wrong)"""
+    ),
+)
 def negative_samples(t):
     rows = view(t, "candidates").select("item_id", "pos", "label")
-    return rk.with_negatives(rows, "item_id", "pos", "label")
+    return rk.with_negatives(rows, "item_id", "pos", "label").withColumnRenamed("item", "pos")
 
 
 @plan(
@@ -258,14 +266,13 @@ def gold_lines(t):
 @plan(
     "s04_sessions",
     oracle(
-        """SELECT line_no, line, session_id AS session_no, turn_idx FROM (SELECT line_no, line, line_no // 1000 AS conv_id, line_no % 1000 AS turn_idx
+        """SELECT line_no, line, session_id AS session_no, turn_idx FROM (SELECT line_no, line, line_no // 1000000000 AS conv_id, line_no % 1000000000 AS turn_idx
         FROM <<session_lines>> WHERE trim(line) <> '') l JOIN (SELECT session_id AS conv_id, row_number() OVER (ORDER BY session_id) - 1 AS session_id
         FROM (SELECT DISTINCT session_id FROM <<turns>>) x) s USING (conv_id)"""
     ),
 )
 def sessions(t):
-    # A small block shows the carry-over between blocks on this data.
-    return corpus.sessions(view(t, "session_lines"), block=4096)
+    return corpus.sessions(view(t, "session_lines"))
 
 
 @plan("s05_predicted_lines", oracle("SELECT row_number() OVER (ORDER BY idx) - 1 AS line_no, trim(query) AS query FROM <<select_texts>>"))

@@ -9,8 +9,7 @@ from quillcheck.operators import serialize as ser
 from quillcheck.plans.catalog_queries import DATABASES, DECLARED, FK_SCHEMA, FOREIGN_KEYS
 from quillcheck.plans.registry import plan
 from quillcheck.plans.value_queries import stored_index as index
-from quillcheck.plans.views import PARTS, oracle, view
-from quillcheck.session import spread
+from quillcheck.plans.views import VIEWS, PARTS, oracle, view
 
 
 def _sql_text(s: str) -> str:
@@ -49,11 +48,11 @@ def longest_run(t):
 
 @plan(
     "l02_word_spans",
-    oracle("SELECT question, span FROM <<question_spans>> WHERE length(span) <= 20 AND len(regexp_extract_all(span, '[^''\"()`,.?! ]+')) <= 3"),
+    oracle(VIEWS["question_spans"].replace(" AND length(span) <= 60", "")),
 )
 def word_spans(t):
     texts = questions(t).select("question").distinct()
-    return ln.spans(texts, "question", F.lit(3), F.lit(20))
+    return ln.spans(texts, "question")
 
 
 @plan(
@@ -179,7 +178,7 @@ def sales_schema(t, values, fallback: bool = True):
 def with_schema(t, fallback: bool = True):
     values = index(t)
     linked = ln.linked_values(questions(t), "question", values)
-    return ser.with_schema(spread(questions(t)), linked, "question", sales_schema(t, values, fallback))
+    return ser.with_schema(questions(t), linked, "question", sales_schema(t, values, fallback))
 
 
 @plan(

@@ -58,7 +58,7 @@ def exact_by_level(t):
 @plan(
     "m03_exact_of_queries",
     oracle(
-        """WITH s AS (SELECT e.query_id, CAST(exact AS INT) AS ok, hardness AS level FROM <<exact_3>> e JOIN <<levels>> l
+        """WITH s AS (SELECT e.query_id, CAST(exact AS INT) AS ok, hardness AS level FROM <<exact_all>> e JOIN <<levels>> l
           ON l.query_id = e.query_id AND l.role = 'gold')
         SELECT level, count(*) AS n, round(avg(ok), 6) AS rate FROM s GROUP BY level UNION ALL SELECT 'all', count(*), round(avg(ok), 6) FROM s"""
     ),
@@ -196,8 +196,7 @@ def duplicates(t):
     FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
 )
 def running_mean(t):
-    # A small block shows the carry-over between blocks on this data.
-    found = mt.running_mean(t.events, "event_id", F.col("value").cast("decimal(18,4)"), (F.col("user_id") + 1).cast("decimal(18,0)"), 1024)
+    found = mt.running_mean(t.events, "event_id", F.col("value").cast("decimal(18,4)"), (F.col("user_id") + 1).cast("decimal(18,0)"))
     return found.select("event_id", F.round("mean", 6).alias("mean"))
 
 

@@ -6,8 +6,6 @@ from quillcheck.operators import ranking as rk
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import oracle, view
 
-_K = 64
-
 
 def candidates(t):
     return view(t, "candidates")
@@ -17,22 +15,17 @@ def beams(t):
     return view(t, "beams")
 
 
-def flat(t):
-    """Hypotheses in one flat list: place = input * k + rank."""
-    return candidates(t).select((F.col("item_id") * _K + F.col("pos")).alias("idx"), "text")
-
-
 @plan(
     "r01_folded",
     oracle("SELECT item_id AS input_id, string_agg(text, '|' ORDER BY pos) AS topk FROM <<candidates>> GROUP BY item_id"),
 )
 def folded(t):
-    return rk.fold(flat(t), "idx", "text", _K).withColumn("topk", F.array_join("topk", "|"))
+    return rk.fold(candidates(t), "item_id", "pos", "text").withColumn("topk", F.array_join("topk", "|"))
 
 
 @plan("r02_best", oracle("SELECT item_id AS input_id, text AS best FROM <<candidates>> WHERE pos = 0"))
 def best(t):
-    return rk.best(flat(t), "idx", "text", _K)
+    return rk.best(candidates(t), "item_id", "pos", "text")
 
 
 @plan(

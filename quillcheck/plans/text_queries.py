@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from quillcheck.functions import text as tx
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import oracle, view
-from quillcheck.session import spread
 
 _SQ, _DQ = "''", '"'
 _QUOTED = "''[^'']*''|\"[^\"]*\""
@@ -13,7 +12,7 @@ _TOKENS = (
     "list_filter(regexp_split_to_array(regexp_replace(sql_text, '" + _QUOTED + "', 'VALUERARE', 'g'), '\\s+'),"
     " lambda x: x <> '')"
 )
-_NUMBER = "(regexp_matches(x, '^[-+]?[0-9]*\\.[0-9]+$') OR regexp_matches(x, '^[^tT]?[0-9]+$'))"
+_NUMBER = "regexp_matches(x, '^[(<>=!,+-]?(?:[0-9]+(?:\\.[0-9]*)?|\\.[0-9]+)$')"
 _MASKED = (
     "string_split(array_to_string(list_transform(" + _TOKENS + ", lambda x: CASE WHEN " + _NUMBER
     + " THEN 'valuerare' WHEN regexp_matches(x, '[Tt][0-9]+\\.') THEN lower(replace(x, '.', ' . ')) ELSE lower(x) END), ' '), ' ')"
@@ -27,7 +26,7 @@ _UNQUOTE = "replace(replace(replace(regexp_replace(regexp_replace([[v]], '^[`''\
 
 def texts(t):
     """The SQL texts, shared among all cores."""
-    return spread(view(t, "sql_text"))
+    return view(t, "sql_text")
 
 
 def _column_query(name: str, make, sql: str, heavy: bool = False):
@@ -117,9 +116,13 @@ def fill_slots(t):
         "query_id", tx.slot_segments(tx.masked_tokens(c)).alias("segments"), tx.literal_set(c).alias("vals")
     )
     n_variants = F.pow(F.size("vals"), F.size("segments") - 1).cast("bigint")
-    # sequence(0, -1) would count down, so a text with slots but no values yields no variant.
-    numbers = F.when(n_variants > 0, F.sequence(F.lit(0).cast("bigint"), n_variants - 1))
-    return parsed.select("*", F.explode(numbers).alias("variant")).select(
+    # sequence(0, -1) would count down, so a text with slots but no values yields no variant. The numbers are
+    # dealt out in two steps, so that no array is longer than the root of their count.
+    step = F.ceil(F.sqrt(n_variants)).cast("bigint")
+    firsts = F.when(n_variants > 0, F.sequence(F.lit(0).cast("bigint"), n_variants - 1, step))
+    dealt = parsed.select("*", n_variants.alias("n"), step.alias("step"), F.explode(firsts).alias("first"))
+    dealt = dealt.select("*", F.explode(F.sequence("first", F.least(F.col("first") + F.col("step"), F.col("n")) - 1)).alias("variant"))
+    return dealt.select(
         "query_id", "variant", tx.filled(F.col("segments"), F.col("vals"), F.col("variant")).alias("result")
     )
 
@@ -151,7 +154,8 @@ _CMP = (
     "\\b(?:([a-z_][a-z0-9_]*)\\.)?([a-z_][a-z0-9_]*)\\b\\s*(?:>=|<=|!=|<>|=|<|>|\\blike\\b)\\s*"
     "(''[^'']*''|\"[^\"]*\"|-?[0-9]+(?:\\.[0-9]+)?)"
 )
-_BTW = "(?:([^\\.\\s]*)\\.)?([^\\.\\s]+) between ([^\\s;]+) and ([^\\s;]+)"
+_END = "(''[^'']*''|\"[^\"]*\"|[-+]?[0-9]+(?:\\.[0-9]+)?|[a-z_][a-z0-9_.]*)"
+_BTW = f"\\b(?:([a-z_][a-z0-9_]*)\\.)?([a-z_][a-z0-9_]*)\\s+between\\s+{_END}\\s+and\\s+{_END}"
 
 
 @plan(

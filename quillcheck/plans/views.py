@@ -252,32 +252,31 @@ FROM <<component_sizes>> JOIN <<wide_sizes>> USING (query_id) GROUP BY query_id"
     "branch_pairs": """
 SELECT parent_id AS query_id, kind, max(CASE WHEN role = 'gold' THEN child_id END) AS gold_id, max(CASE WHEN role = 'pred' THEN child_id END) AS pred_id
 FROM <<query_links>> WHERE kind <> 'where' GROUP BY parent_id, kind""",
-    "exact_1": """
-SELECT b.query_id, same, count(gold_id) AS label_total, count(pred_id) AS pred_total, count(*) FILTER (WHERE child) AS overlap,
- same AND count(gold_id) = count(pred_id) AND count(*) FILTER (WHERE child) = count(pred_id) AS exact
-FROM <<base_match>> b LEFT JOIN (SELECT p.*, p.gold_id = p.pred_id AND c.same AS child FROM <<branch_pairs>> p LEFT JOIN <<base_match>> c ON c.query_id = p.gold_id) x
- ON x.query_id = b.query_id GROUP BY b.query_id, same""",
-    "exact_2": """
-SELECT b.query_id, same, count(gold_id) AS label_total, count(pred_id) AS pred_total, count(*) FILTER (WHERE child) AS overlap,
- same AND count(gold_id) = count(pred_id) AND count(*) FILTER (WHERE child) = count(pred_id) AS exact
-FROM <<base_match>> b LEFT JOIN (SELECT p.*, p.gold_id = p.pred_id AND c.exact AS child FROM <<branch_pairs>> p LEFT JOIN <<exact_1>> c ON c.query_id = p.gold_id) x
- ON x.query_id = b.query_id GROUP BY b.query_id, same""",
-    "exact_3": """
-SELECT b.query_id, same, count(gold_id) AS label_total, count(pred_id) AS pred_total, count(*) FILTER (WHERE child) AS overlap,
- same AND count(gold_id) = count(pred_id) AND count(*) FILTER (WHERE child) = count(pred_id) AS exact
-FROM <<base_match>> b LEFT JOIN (SELECT p.*, p.gold_id = p.pred_id AND c.exact AS child FROM <<branch_pairs>> p LEFT JOIN <<exact_2>> c ON c.query_id = p.gold_id) x
- ON x.query_id = b.query_id GROUP BY b.query_id, same""",
+    # What decides a query apart from its branches, the branches below each query, and both together.
+    "branch_local": """
+SELECT b.query_id, same, count(gold_id) AS label_total, count(pred_id) AS pred_total,
+ same AND count(gold_id) = count(pred_id) AND count(*) FILTER (WHERE gold_id = pred_id) = count(pred_id) AS local
+FROM <<base_match>> b LEFT JOIN <<branch_pairs>> p ON p.query_id = b.query_id GROUP BY b.query_id, same""",
+    "branch_reach": """
+SELECT query_id AS root, query_id AS node FROM <<branch_local>>
+UNION SELECT r.root, p.gold_id FROM branch_reach r JOIN <<branch_pairs>> p ON p.query_id = r.node WHERE p.gold_id = p.pred_id""",
+    "branch_exact": """
+SELECT root AS query_id, bool_and(coalesce(local, false)) AS exact FROM <<branch_reach>> LEFT JOIN <<branch_local>> ON query_id = node GROUP BY root""",
+    "exact_all": """
+SELECT l.query_id, l.same, label_total, pred_total, count(*) FILTER (WHERE p.gold_id = p.pred_id AND c.exact) AS overlap, e.exact
+FROM <<branch_local>> l JOIN <<branch_exact>> e ON e.query_id = l.query_id LEFT JOIN <<branch_pairs>> p ON p.query_id = l.query_id
+LEFT JOIN <<branch_exact>> c ON c.query_id = p.gold_id GROUP BY l.query_id, l.same, label_total, pred_total, e.exact""",
     "partial_rows": """
 SELECT query_id, component, label_total, pred_total, overlap, CAST(label_total = pred_total AND overlap = pred_total AS INT) AS hit FROM (
- SELECT * FROM <<component_sizes>> UNION ALL SELECT query_id, 'IUEN', label_total, pred_total, overlap FROM <<exact_3>>) p""",
+ SELECT * FROM <<component_sizes>> UNION ALL SELECT query_id, 'IUEN', label_total, pred_total, overlap FROM <<exact_all>>) p""",
     "turns": """
 SELECT conv_id AS session_id, turn AS turn_idx, role, text, CASE WHEN length(text) % 5 <> 0 THEN 1 ELSE 0 END AS exec_ok,
  CASE WHEN length(text) % 3 <> 0 THEN 1 ELSE 0 END AS exact_ok,
  CASE length(text) % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'extra' END AS level FROM {conversations}""",
     # Turns as lines of a file, a blank line after each session.
     "session_lines": """
-SELECT session_id * 1000 + turn_idx AS line_no, concat(level, ' ', role, chr(9), 'db', exec_ok) AS line FROM <<turns>>
-UNION ALL SELECT DISTINCT session_id * 1000 + 999, '  ' FROM <<turns>>""",
+SELECT session_id * 1000000000 + turn_idx AS line_no, concat(level, ' ', role, chr(9), 'db', exec_ok) AS line FROM <<turns>>
+UNION ALL SELECT DISTINCT session_id * 1000000000 + 999999999, '  ' FROM <<turns>>""",
     "candidates": """
 SELECT l_orderkey AS item_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos,
  l_discount * 5 AS score, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
@@ -328,9 +327,9 @@ def oracle(text: str, **parts: str) -> str:
     if ctes:
         stripped = body.lstrip()
         if stripped[:5].upper() == "WITH ":
-            body = f"WITH {ctes}, {stripped[5:]}"
+            body = f"WITH RECURSIVE {ctes}, {stripped[5:]}"
         else:
-            body = f"WITH {ctes} {body}"
+            body = f"WITH RECURSIVE {ctes} {body}"
     for key, value in PARTS.items():
         body = body.replace(f"[[{key}]]", value)
     for name in TABLE_NAMES:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -24,6 +23,7 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", os.environ.get("QUILLCHECK_SCRATCH", f"/tmp/quillcheck-{os.getpid()}"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,21 +31,9 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
-
-    On a cluster it is the one named in ``spark.checkpoint.dir``. A local session that
-    names none gets a temporary folder, remembered for the life of the session.
-    """
+    """The folder every executor can reach: the one named in ``spark.checkpoint.dir``, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="quillcheck-")
-    return _LOCAL_DIRS[app]
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -64,25 +52,26 @@ def settled(df: DataFrame, label: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _versions(spark: SparkSession, root: str) -> tuple:
+    """Name, size and time of every file under ``root``: another state of the tables is another key."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def once(spark: SparkSession, root: str, label: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """``settled(make())``, but written only the first time a session asks for ``label`` of ``root``.
+    """``settled(make())``, but written only the first time a session asks for ``label`` of the tables under ``root``.
 
-    For small tables that belong to a database rather than to a query: its value index and
-    its map of key columns.
+    For small tables that belong to a database rather than to a query: its value index and its map of key columns.
+    They are made anew when a file under ``root`` has changed.
     """
-    key = (spark.sparkContext.applicationId, root, label)
+    key = (spark.sparkContext.applicationId, label, _versions(spark, root))
     if key not in _WRITTEN:
         path = scratch_path(spark, label)
         make().write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share a small scan among all cores before work that costs much per row.
-
-    Only a frame with fewer partitions than the session has cores is shuffled; a large table
-    comes in many file splits and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

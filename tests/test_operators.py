@@ -9,8 +9,11 @@ from quillcheck.functions import text as tx
 from quillcheck.operators import catalog as cat
 from quillcheck.operators import clauses as cl
 from quillcheck.operators import equivalence as eq
+from quillcheck.operators import linking as ln
 from quillcheck.operators import metrics as mt
 from quillcheck.operators import ranking as rk
+from quillcheck.operators import values as vals
+from quillcheck.operators import vectors as vec
 from quillcheck.operators.ordering import running, with_ordinal
 from quillcheck.sources import corpus
 
@@ -156,3 +159,76 @@ def test_final_pick(spark):
     df = spark.createDataFrame(rows, "g string, pos int, text string, n int")
     got = {r["g"]: r["pick"] for r in rk.final_pick(df, "g", "pos", "text", "n").collect()}
     assert got == {"none": "None", "first": "a", "alone": "a", "second": "b", "failed": "a"}
+
+
+def test_search_survives_nulls(spark):
+    frame = spark.createDataFrame([("Rome", 1), (None, 2), ("Romme", None)], "city string, n int")
+    index = vals.table_values(frame, "t", ["city", "n"])
+    assert {tuple(r) for r in index.collect()} == {("t", "city", "Rome"), ("t", "city", "Romme"), ("t", "n", "1"), ("t", "n", "2")}
+    probes = spark.createDataFrame([("t", "city", "rome"), ("t", "city", None)], "tbl string, col string, literal string")
+    found = vals.search(probes, index.unionAll(spark.createDataFrame([("t", "city", None)], index.schema)), ["tbl", "col"], k=2)
+    assert [(r["literal"], r["value"]) for r in found.orderBy("place").collect()] == [("rome", "Rome"), ("rome", "Romme")]
+
+
+def test_null_vectors_score_least(spark):
+    rows = [("x", 1, [1.0, 0.0]), ("x", 2, None), ("x", 3, [0.0, 1.0])]
+    emb = spark.createDataFrame(rows, "label string, id int, vector array<double>")
+    got = {r["id"]: (r["other_id"], r["score"]) for r in vec.nearest(emb, emb, ["label"], k=1, skip_same=True).collect()}
+    assert got == {1: (3, 0.0), 2: (1, -1.0), 3: (1, 0.0)}
+
+
+def test_java_suffixes_are_no_numbers(spark):
+    for text, number in (("1d", None), ("1f", None), (" 1.50 ", 1.5), ("-.5", -0.5), ("1e3", 1000.0), ("", None), ("1.", 1.0)):
+        assert one(spark, text, tx.number_or_null) == number
+
+
+def test_longest_runs_are_the_earliest():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    at, size = ln.longest_runs(texts[:200], texts[200:])
+    for a, b, x, n in zip(texts[:200], texts[200:], at, size):
+        best = max((k for i in range(len(a)) for k in range(len(a) - i + 1) if a[i : i + k] in b), default=0)
+        assert n == best and (not n or x == next(i for i in range(len(a)) if a[i : i + n] in b))
+
+
+def test_equality_of_numbers_is_exact(spark):
+    big = spark.createDataFrame([(9007199254740993,)], "a bigint")
+    near = spark.createDataFrame([(9007199254740992.0,)], "a double")
+    assert not eq.bag_equal(big, near).first()["equal"] and eq.bag_equal(big.selectExpr("a - 1 AS a"), near).first()["equal"]
+    assert not eq.keyed_columns_equal(big.selectExpr("0 AS n", "a"), big.selectExpr("0 AS n", "a - 1 AS a"), "n").first()["equal"]
+    assert eq.bag_equal(spark.sql("SELECT 1.50BD AS a"), spark.sql("SELECT 1.5D AS a")).first()["equal"]
+
+
+def test_ordered_results_in_other_columns(spark):
+    gold = spark.createDataFrame([(0, "a", 5), (1, "b", 4), (2, "a", 3)], "ordinal int, x string, n int")
+    assert eq.ordered_equal(gold, gold.select("n", "ordinal", "x")).first()["equal"]
+    turned = gold.selectExpr("2 - ordinal AS ordinal", "n", "x")
+    assert not eq.ordered_equal(gold, turned).first()["equal"]
+    # a column that holds the same numbers as the ordinal isn't taken for it
+    same = spark.createDataFrame([(0, 2), (1, 1), (2, 0)], "ordinal int, n int")
+    assert not eq.ordered_equal(same, same.selectExpr("n AS ordinal", "ordinal AS n").selectExpr("ordinal", "2 - n AS n")).first()["equal"]
+
+
+def test_many_like_columns_take_few_jobs(spark):
+    wide = spark.range(5).selectExpr(*[f"id AS c{i}" for i in range(8)])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("like-columns", "")
+    assert eq.equal_up_to_columns(wide, wide).first()["equal"]
+    assert len(tracker.getJobIdsForGroup("like-columns")) <= 12  # three queries of a few stages each
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_empty_results_count_in_a_suite(spark):
+    rows = [(1, "a", "gold", 5), (1, "a", "pred", 5), (2, "a", "gold", 5)]
+    results = spark.createDataFrame(rows, "query_id int, db_id string, role string, c0 int")
+    roster = spark.createDataFrame([(q, d) for q in (1, 2, 3) for d in "ab"], "query_id int, db_id string")
+    got = {r["query_id"]: (r["n_databases"], r["n_equal"], r["passed"]) for r in eq.suite_verdicts(results, roster).collect()}
+    assert got == {1: (2, 2, True), 2: (2, 1, False), 3: (2, 2, True)}
+
+
+def test_branches_of_any_depth(spark):
+    base = spark.createDataFrame([(n, n != 6) for n in range(20)], "query_id bigint, same boolean")
+    links = spark.createDataFrame([(n, n + 1, role, "union") for n in range(6) for role in ("gold", "pred")], "parent_id bigint, child_id bigint, role string, kind string")
+    assert cl.nesting(links) == 6 and cl.nesting(links.filter("parent_id < 0")) == 0
+    got = {r["query_id"]: r["exact"] for r in cl.exact_matches(base, links).collect()}
+    assert got == {n: n > 6 for n in range(20)}
