@@ -45,7 +45,7 @@ def personal_data(spark, sf_dir):
 @query(
     "op2_substring_dedup",
     r"""
-    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
     windows AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35) x),
     repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM windows) x WHERE c > 1),
     gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM repeated) x),
@@ -64,8 +64,8 @@ def substring_dedup(spark, sf_dir):
 @query(
     "op3_decontamination",
     r"""
-    WITH words AS (SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
-                   UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') FROM benchmark),
+    WITH words AS (SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+                   UNION ALL SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark),
     shingles AS (SELECT DISTINCT side, id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5) x),
     sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 'i' GROUP BY id),
     met AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n FROM shingles d JOIN shingles i ON d.s = i.s WHERE d.side = 'd' AND i.side = 'i' GROUP BY d.id, i.id)
@@ -77,7 +77,35 @@ def decontamination(spark, sf_dir):
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op4_license_scan")
+def _canonical_sql(x: str) -> str:
+    out = rf"(' ' || regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ')"
+    for rare, usual in licenses.SPELLINGS.items():
+        out = f"replace({out}, ' {rare} ', ' {usual} ')"
+    return f"trim({out})"
+
+
+def _lines_sql(text: str) -> str:
+    line = f"{{'line': {_canonical_sql('x')}, 'c': regexp_matches(lower(x), '{licenses.COPYRIGHT}')}}"
+    return f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda x: {line}), lambda s: s.line <> '')"
+
+
+def _license_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = [("text", k, v) for k, v in licenses.TEXTS.items()] + [("notice", k, v) for k, vs in licenses.NOTICES.items() for v in vs]
+    values = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+    whole = "array_to_string(list_transform(list_filter(lines, lambda s: NOT s.c), lambda s: s.line), ' ')"
+    return f"""
+    WITH known AS (SELECT kind, license, {_lines_sql('t')} AS lines FROM (VALUES {values}) v(kind, license, t)),
+    texts AS (SELECT min(license) AS license, {whole} AS said FROM known WHERE kind = 'text' GROUP BY 2),
+    notices AS (SELECT min(license) AS license, lines[1].line AS line FROM known WHERE kind = 'notice' GROUP BY 2),
+    d AS (SELECT doc_id, lines, {whole} AS said FROM (SELECT doc_id, {_lines_sql('text')} AS lines FROM documents) x),
+    named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+              FROM (SELECT doc_id, unnest(list_transform(lines, lambda s: s.line)) AS line FROM d) x JOIN notices USING (line) GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN d.said <> '' THEN sha256(d.said) END AS digest, texts.license, coalesce(named.notices, '') AS notices
+    FROM d LEFT JOIN texts ON texts.said = d.said LEFT JOIN named ON named.doc_id = d.doc_id"""
+
+
+@query("op4_license_scan", _license_sql())
 def license_scan(spark, sf_dir):
     return licenses.licensed(table(spark, sf_dir, "documents"))
 
