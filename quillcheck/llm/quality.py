@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillcheck.llm.words import Texts, mix, seeded
+from quillcheck.llm.words import Texts, mix, portions, seeded
 
 FORMS = 8192
 DIM = 32
@@ -26,7 +26,7 @@ HIDDEN = 32
 EPOCHS = 40
 THRESHOLD = 0.3
 FOLDS = 5  # fold 0 is held out
-_SLAB = 1 << 18
+_SLAB = 1 << 16
 _UPPER = np.zeros(256, dtype=np.int64)
 _UPPER[65:91] = 1
 _LETTER = np.zeros(256, dtype=np.int64)
@@ -77,8 +77,8 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total = index_vectors(), np.zeros((FORMS, DIM))
-        for batch in batches:
-            texts = Texts(batch.column(0))
+        for column in (part for batch in batches for part in portions(batch.column(0))):
+            texts = Texts(column)
             form, _ = forms(texts)
             inner = np.ones(max(len(form) - 1, 0), dtype=bool)
             seams = texts.first[1:-1] - 1
@@ -112,9 +112,15 @@ def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def describe(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """One row per text: mean and spread of the word vectors, how much one spelling prevails, and the size."""
+    signs = index_vectors().astype(np.float32)
+    parts = [_described(part, vectors, signs) for part in portions(column)]
+    return np.vstack(parts) if parts else np.zeros((0, 2 * DIM + 3))
+
+
+def _described(column: pa.Array, vectors: np.ndarray, signs: np.ndarray) -> np.ndarray:
     texts = Texts(column)
     form, exact = forms(texts)
-    first, signs = texts.first, index_vectors().astype(np.float32)
+    first = texts.first
     n = len(texts)
     sums, squares, spelled = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros((n, DIM))
     at = 0

@@ -6,8 +6,11 @@ one flat buffer that holds the texts one after the other, so a batch costs a few
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 9, 10, 11, 12, 13]] = True
@@ -44,6 +47,17 @@ def powers(base: int, n: int) -> np.ndarray:
         return np.cumprod(out, dtype=np.uint64)
 
 
+def portions(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """The column in runs of rows with about ``most`` bytes of text each (a longer text is a run of its own)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        begun = int(size[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(size, begun + most, side="right")))
+        yield column.slice(at, to - at)
+        at = to
+
+
 class Texts:
     """The texts of an Arrow column as one buffer; a null counts as empty.
 
