@@ -221,7 +221,9 @@ def read_archives(spark: SparkSession, index: DataFrame) -> DataFrame:
                     for k in range(len(bundle.frames)):
                         yield _batch([_row(head, http, payload) for _, _, head, http, payload in parse(bundle.frame(k))], _RECORD_SCHEMA)
 
-    return index.select("bundle").distinct().mapInArrow(read, RECORD)
+    bundles = index.select("bundle").distinct()
+    # A task for each bundle: their names alone are so small that Spark would put them all in one.
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(read, RECORD)
 
 
 def fetch(wanted: DataFrame) -> DataFrame:
