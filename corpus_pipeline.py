@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillcheck.llm import contamination, packing, pii, quality, simhash
+from quillcheck.llm import contamination, packing, pii, quality, ship, simhash
 from quillcheck.session import settled
 
 
@@ -47,6 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each one's rows are written to the shared folder and read again."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
