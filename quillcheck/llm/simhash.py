@@ -115,14 +115,20 @@ def _forest(fps: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray
         tile = fps[q : q + _TILE]
         a, b = within(tile, planes(tile), len(tile))
         _joined(root, a + q, b + q)
-    for at in range(0, len(both), _ROWS):
-        block = both[at : at + _ROWS]
+    for at in range(0, len(fps), _ROWS):
+        block = fps[at : at + _ROWS]
         table = planes(block)
         for q in range(0, len(fps), _TILE):
             skip = max(q + _TILE - at, 0)  # only with what comes after the tile
             if skip < len(block):
                 a, b = within(fps[q : q + _TILE], table[:, skip // 64 :], len(block) - skip)
                 _joined(root, a + q, b + at + skip)
+    for at in range(0, len(others), _ROWS):  # planes of their own: ``fps`` may end inside a tile
+        block = others[at : at + _ROWS]
+        table = planes(block)
+        for q in range(0, len(fps), _TILE):
+            a, b = within(fps[q : q + _TILE], table, len(block))
+            _joined(root, a + q, b + len(fps) + at)
     tied = np.flatnonzero(root != np.arange(len(both)))
     return both[tied], both[root[tied]]
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -107,3 +108,38 @@ def test_whole_table(sample_docs):
     want = groups([(a, b) for a in fps for b in fps if a > b and bin(fps[a] ^ fps[b]).count("1") <= 2], fps)
     found = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(sample_docs).collect()}
     assert found == {i: (fps[i], want[i]) for i in fps}
+
+
+@pytest.mark.parametrize("rows", [128, 2048])
+@pytest.mark.parametrize("sizes", [(1, 1), (2, 3), (3, 2), (300, 7), (50, 60), (200, 300), (130, 2, 259)])
+def test_blocks_that_straddle_runs_and_batches(monkeypatch, rows, sizes):
+    monkeypatch.setattr(simhash, "_ROWS", rows)
+    rng = np.random.default_rng(sum(sizes))
+    n = sum(sizes)
+    near = rng.integers(0, 1 << 63, -(-n // 2), dtype=np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 32, len(near), dtype=np.uint64)) | (np.uint64(1) << rng.integers(32, 64, len(near), dtype=np.uint64))
+    fps = np.concatenate([near, near ^ flips])[:n]  # a fingerprint's only copy lies half the block away
+    before = rng.integers(0, 1 << 63, rows - 1, dtype=np.uint64)  # another block, so that the run's end cuts this one
+    for lead in (before[:0], before):
+        key = np.concatenate([np.zeros(len(lead), np.int64), np.ones(n, np.int64)])
+        both, cuts = np.concatenate([lead, fps]), np.cumsum([len(lead) + sizes[0], *sizes[1:]])[:-1]
+        batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(k * 0), pa.array(k * 0), pa.array(f.view(np.int64))], names=["block", "lo", "hi", "fp"]) for k, f in zip(np.split(key, cuts), np.split(both, cuts), strict=True)]
+        found = [(a % (1 << 64), b % (1 << 64)) for out in simhash._compare(iter(batches)) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+        pairs = [(int(a), int(b)) for a, b in zip(near, near ^ flips, strict=True)][: n - len(near)]
+        assert groups(found, both.tolist()) == groups(pairs, both.tolist())
+
+
+@pytest.mark.parametrize("n,m", [(1, 1), (2, 3), (50, 60), (200, 300), (1808, 2048)])
+def test_every_pair_across_a_seam(monkeypatch, n, m):
+    met = np.zeros((n, m), dtype=int)
+
+    def within(queries, table, width):
+        bits = np.unpackbits(np.ascontiguousarray(table).view(np.uint8), axis=1, bitorder="little")[:, :width].T
+        ids = np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits), axis=1, bitorder="little")).view("<u8").ravel()
+        left, right = queries[queries < n].astype(int), ids[ids >= n].astype(int) - n
+        met[np.ix_(left, right)] += 1
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+
+    monkeypatch.setattr(simhash, "within", within)
+    simhash._forest(np.arange(n, dtype=np.uint64), np.arange(n, n + m, dtype=np.uint64))
+    assert (met == 1).all()
