@@ -13,7 +13,7 @@ is cut in parts of bounded size, and each pair of parts is a task's work of its
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +56,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns in ``keep``: fp holds the 64 bits as a signed long."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    kinds = [f"{c} {slim.schema[c].dataType.simpleString()}" for c in keep]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(each, "doc_id long, fp long")
+    return slim.mapInArrow(each, ", ".join(["doc_id long", "fp long", *kinds]))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -171,6 +172,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.repartition(n, "block", "lo", "hi").sortWithinPartitions("block", "lo", "hi").mapInArrow(_compare, "a long, b long")
 
 
+def _members(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with the component (a fingerprint) of every fingerprint."""
+    groups = components(links(distinct.select("fp")))
+    return distinct.join(groups, distinct["fp"] == groups["node"], "left").select(*distinct.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the least doc_id that can be reached, its own included) for every row.
 
@@ -179,21 +186,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other columns are not read. Fingerprints are written once to the shared folder.
     """
     marked = settled(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = settled(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    groups = components(links(distinct.select("fp")))
-    members = distinct.join(groups, distinct["fp"] == groups["node"], "left")
-    members = members.select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    members = _members(settled(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"))
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     named = members.join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group of near copies: that with the least doc_id, and of rows that share it, one.
+    """The documents with one of each group of near copies, columns unchanged.
 
-    Rows without doc_id stay only where their whole group has none, and then one of them.
+    That with the least doc_id stays, rows without one come last; of rows that share it, that with the least digest of
+    its text, and of rows that share both, one. Each group is judged on its own, whatever ids its rows have.
     """
-    found = near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("_digest"))
+    marked = fingerprints(keyed, "_id", keep=["_digest"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_digest").alias("digest")))
+    members = _members(settled(marked.groupBy("fp").agg(first.alias("first")), "distinct"))
+    stay = members.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.digest")
+    kept = keyed.join(stay, keyed["_id"].eqNullSafe(stay["id"]) & (keyed["_digest"] == stay["digest"]), "left_semi")
+    return kept.dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")

@@ -143,3 +143,21 @@ def test_every_pair_across_a_seam(monkeypatch, n, m):
     monkeypatch.setattr(simhash, "within", within)
     simhash._forest(np.arange(n, dtype=np.uint64), np.arange(n, n + m, dtype=np.uint64))
     assert (met == 1).all()
+
+
+def test_one_of_each_without_ids_or_with_ids_repeated(docs_of):
+    words = [f"{c}{k}" for c in "abcdefgh" for k in range(40)]
+    text = lambda seed: " ".join(random.Random(seed).choices(words, k=200))
+    rows = [(None, text(i)) for i in range(6)] + [(None, text(0)), (None, text(1) + "x"), (7, text(10)), (7, text(11)), (7, text(11)), (8, text(2)), (9, text(2)), (9, text(12)), (None, None), (None, "")]
+    fps = [slow_fingerprint(t) for _, t in rows]
+    pairs = [(a, b) for a in set(fps) for b in set(fps) if bin(a ^ b).count("1") <= 2]
+    group = groups(pairs, set(fps))
+    least = {}
+    for (i, t), fp in zip(rows, fps, strict=True):
+        if group[fp] not in least or (i is None, i or 0) < least[group[fp]][0]:
+            least[group[fp]] = ((i is None, i or 0), i)
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(docs_of(rows)).collect()]
+    assert len(kept) == len({group[slow_fingerprint(t)] for _, t in kept}) == len(least) == 10
+    assert all(least[group[slow_fingerprint(t)]][1] == i and ((i, t) in rows) for i, t in kept)
+    assert {t for i, t in kept if i == 7} == {text(10), text(11)} and (8, text(2)) in kept and (9, text(12)) in kept
+    assert {t for i, t in kept if i is None} - {None, "", text(1) + "x"} <= {text(k) for k in (0, 1, 3, 4, 5)}
