@@ -1,9 +1,11 @@
 """Quality scores from random-indexing word vectors and a small network.
 
-Random indexing: every form of a word (its ending, case, length class and first sign) has a fixed sparse random index
-vector; a form's word vector is the sum of the index vectors met next to it, over the whole corpus. The forms are
-hashed to ``FORMS`` places, so all vectors together are a table of fixed size. A text is described by mean and spread
-of its words' vectors; a two-layer network turns that into a score, whose temperature is set on rows kept aside.
+Random indexing: every word has a fixed sparse random index vector, made from the hash of its exact spelling; a word's
+vector is the sum of the index vectors met next to it, over the whole corpus. Words are hashed to ``WORDS`` places, so
+all vectors together are a table of fixed size. Beside them stand the same sums for the forms of words (ending, case,
+length class and first sign), hashed to ``FORMS`` places, for words that are rare. A text is described by mean and
+spread of its words' and forms' vectors; a two-layer network turns that into a score, whose temperature is set on rows
+kept aside.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from quillcheck.llm.words import Texts, mix, portions, seeded
 
 FORMS = 8192
+WORDS = 1 << 18
 DIM = 32
 NONZERO = 4
+WIDTH = 4 * DIM + 3  # numbers that describe a text
 SAMPLE = 20_000  # most labelled rows that the network is fitted on
 HIDDEN = 32
 EPOCHS = 40
@@ -45,12 +49,29 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+def word_index(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dimension, +1 or -1) of the ``NONZERO`` entries of each word's own index vector, a row for each entry."""
+    draws = mix(hashes ^ np.uint64(0x9E3779B97F4A7C15))
+    parts = (draws >> (np.uint64(16) * np.arange(NONZERO, dtype=np.uint64)[:, None])) & np.uint64(0xFFFF)
+    return ((parts >> np.uint64(1)) % np.uint64(DIM)).astype(np.int64), np.where(parts & np.uint64(1), 1.0, -1.0)
+
+
+def word_places(hashes: np.ndarray) -> np.ndarray:
+    """The place of each word's vector, below ``WORDS``."""
+    return (mix(hashes) % np.uint64(WORDS)).astype(np.int64)
+
+
 def forms(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """For each word the number of its form and of its exact spelling, both below ``FORMS``."""
+    return _forms(texts), _spellings(texts.hashes())
+
+
+def _spellings(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) % FORMS
+
+
+def _forms(texts: Texts) -> np.ndarray:
     n = len(texts.starts)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    exact = (texts.hashes() >> np.uint64(20)).astype(np.int64) % FORMS
     form = np.empty(n, dtype=np.int64)
     for a in range(0, n, _SLAB):
         s, e = texts.starts[a : a + _SLAB], texts.ends[a : a + _SLAB]
@@ -65,21 +86,26 @@ def forms(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         head = np.where(_LETTER[head] > 0, 0, head)
         key = ((((last * 256 + before) * 256 + head) * 4 + case) * 4 + other) * 8 + np.minimum(size // 4, 7)
         form[a : a + _SLAB] = (mix(key.astype(np.uint64)) % np.uint64(FORMS)).astype(np.int64)
-    return form, exact
+    return form
 
 
 def corpus_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The word vectors of all forms, from all texts; ``FORMS`` rows at most come to the driver.
+    """The vectors of all forms, from all texts."""
+    return all_vectors(docs, text_col)[0]
+
+
+def all_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of all forms and of all words, from all texts; ``FORMS + WORDS`` rows at most come to the driver.
 
     Each task adds up its own texts first; the sums of tasks meet in an ordinary aggregate. All addends are whole
     numbers, so the order of addition doesn't matter.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), np.zeros((FORMS, DIM))
+        index, total = index_vectors(), np.zeros((FORMS + WORDS, DIM))
         for column in (part for batch in batches for part in portions(batch.column(0))):
             texts = Texts(column)
-            form, _ = forms(texts)
+            form, hashes = _forms(texts), texts.hashes()
             inner = np.ones(max(len(form) - 1, 0), dtype=bool)
             seams = texts.first[1:-1] - 1
             inner[seams[(seams >= 0) & (seams < len(inner))]] = False
@@ -88,17 +114,29 @@ def corpus_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 pairs, times = np.unique(form[here] * FORMS + form[here + 1], return_counts=True)
                 left, right = pairs // FORMS, pairs % FORMS
                 for d in range(DIM):
-                    total[:, d] += np.bincount(left, times * index[right, d], FORMS) + np.bincount(right, times * index[left, d], FORMS)
-        seen = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), *(pa.array(total[seen, d]) for d in range(DIM))], names=["form", *(f"v{d}" for d in range(DIM))])
+                    total[:FORMS, d] += np.bincount(left, times * index[right, d], FORMS) + np.bincount(right, times * index[left, d], FORMS)
+            for a in range(0, len(inner), _SLAB):
+                left = np.flatnonzero(inner[a : a + _SLAB])
+                h = hashes[a : a + _SLAB + 1]
+                places, own = np.unique(word_places(h), return_inverse=True)
+                sums = np.zeros(len(places) * DIM)
+                for at, sign in zip(*word_index(h), strict=True):
+                    sums += np.bincount(own[left] * DIM + at[left + 1], sign[left + 1], len(sums))
+                    sums += np.bincount(own[left + 1] * DIM + at[left], sign[left], len(sums))
+                total[FORMS + places] += sums.reshape(-1, DIM)
+        seen = np.flatnonzero(total.any(axis=1))
+        for a in range(0, len(seen), FORMS):
+            some = seen[a : a + FORMS]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, d]) for d in range(DIM))], names=["form", *(f"v{d}" for d in range(DIM))])
 
     kind = "form long, " + ", ".join(f"v{d} double" for d in range(DIM))
     sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(add, kind)
-    out = np.zeros((FORMS, DIM))
-    for row in sums.groupBy("form").agg(*(F.sum(f"v{d}") for d in range(DIM))).collect():  # at most FORMS rows
-        out[row[0]] = row[1:]
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.maximum(size, 1e-9)).astype(np.float32)
+    found = sums.groupBy("form").agg(*(F.sum(f"v{d}").cast("float").alias(f"v{d}") for d in range(DIM))).toArrow()  # at most FORMS + WORDS rows
+    out, place = np.zeros((FORMS + WORDS, DIM), dtype=np.float32), found.column(0).to_numpy()
+    for d in range(DIM):
+        out[place, d] = found.column(1 + d).to_numpy()
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out[:FORMS], out[FORMS:]
 
 
 def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -110,19 +148,23 @@ def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def describe(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """One row per text: mean and spread of the word vectors, how much one spelling prevails, and the size."""
+def describe(column: pa.Array, vectors: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """One row per text: mean and spread of the forms' vectors, how much one spelling prevails, the size, and then mean
+    and spread of the words' vectors where these are given."""
     signs = index_vectors().astype(np.float32)
-    parts = [_described(part, vectors, signs) for part in portions(column)]
-    return np.vstack(parts) if parts else np.zeros((0, 2 * DIM + 3))
+    parts = [_described(part, vectors, words, signs) for part in portions(column)]
+    return np.vstack(parts) if parts else np.zeros((0, 2 * DIM + 3 if words is None else WIDTH))
 
 
-def _described(column: pa.Array, vectors: np.ndarray, signs: np.ndarray) -> np.ndarray:
+def _described(column: pa.Array, vectors: np.ndarray, words: np.ndarray | None, signs: np.ndarray) -> np.ndarray:
     texts = Texts(column)
-    form, exact = forms(texts)
+    form, hashes = _forms(texts), texts.hashes()
+    tables = [(vectors, form)] + ([] if words is None else [(words, word_places(hashes))])
+    exact = _spellings(hashes)
     first = texts.first
     n = len(texts)
-    sums, squares, spelled = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros((n, DIM))
+    sums, squares = np.zeros((len(tables), n, DIM)), np.zeros((len(tables), n, DIM))
+    spelled = np.zeros((n, DIM))
     at = 0
     while at < n:  # some texts at a time, by their number of words
         to = max(at + 1, int(np.searchsorted(first, first[at] + _SLAB, side="right")) - 1)
@@ -131,22 +173,25 @@ def _described(column: pa.Array, vectors: np.ndarray, signs: np.ndarray) -> np.n
             if b <= a:
                 break
             cut = np.clip(first[at : to + 1], a, b) - a
-            v = vectors[form[a:b]]
-            sums[at:to] += _per_text(v, cut)
-            squares[at:to] += _per_text(v * v, cut)
+            for i, (table, place) in enumerate(tables):
+                v = table[place[a:b]]
+                sums[i, at:to] += _per_text(v, cut)
+                squares[i, at:to] += _per_text(v * v, cut)
             spelled[at:to] += _per_text(signs[exact[a:b]], cut)
         at = to
-    words = np.maximum(np.diff(first), 1)[:, None]
-    mean = sums / words
-    spread = np.sqrt(np.maximum(squares / words - mean**2, 0))
-    one = np.linalg.norm(spelled / words, axis=1, keepdims=True)
+    count = np.maximum(np.diff(first), 1)[:, None]
+    mean = sums / count
+    spread = np.sqrt(np.maximum(squares / count - mean**2, 0))
+    one = np.linalg.norm(spelled / count, axis=1, keepdims=True)
     size = np.diff(first)[:, None]
-    return np.hstack([mean, spread, one, np.log1p(size), np.minimum(size / 50.0, 1.0)])
+    more = [m for i in range(1, len(tables)) for m in (mean[i], spread[i])]
+    return np.hstack([mean[0], spread[0], one, np.log1p(size), np.minimum(size / 50.0, 1.0), *more])
 
 
 @dataclass
 class Model:
     vectors: np.ndarray
+    words: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -168,21 +213,21 @@ class Model:
 
         @F.arrow_udf("double")
         def score(column: pa.Array) -> pa.Array:
-            return pa.array(model.probability(describe(column, model.vectors)))
+            return pa.array(model.probability(describe(column, model.vectors, model.words)))
 
         return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 3) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, words: np.ndarray, seed: int = 3) -> Model:
     """A network of two layers by Adam on four fifths of the rows; the temperature by the likelihood of the rest.
 
     With no labels, or labels of one kind only, the score is the share of label 1 (1 without labels).
     """
-    width = 2 * DIM + 3
+    width = WIDTH
     share = float(y.mean()) if len(y) else 1.0
     if len(y) < 20 or share in (0.0, 1.0):
         logit = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-        return Model(vectors, np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), logit, 1.0)
+        return Model(vectors, words, np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), logit, 1.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     aside, used = order[: len(y) // 5], order[len(y) // 5 :]
@@ -203,7 +248,7 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 3) -> Mod
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] = p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    model = Model(vectors, centre, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
+    model = Model(vectors, words, centre, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
     logits, truth = model.logits(x[aside]), y[aside]
     loss = lambda heat: np.logaddexp(0, np.where(truth == 1, -logits, logits) / heat).mean()
     model.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
@@ -220,20 +265,20 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     Labels with null id or quality don't count.
     """
-    vectors = corpus_vectors(docs, text_col)
+    vectors, words = all_vectors(docs, text_col)
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 0)
     few = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).select("doc_id", "quality").dropDuplicates(["doc_id"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = describe(batch.column(2), vectors)
+            x = describe(batch.column(2), vectors, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "doc_id")
     found = chosen.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(rows, "doc_id long, quality int, x array<double>")
-    got = sorted((r["doc_id"], r["quality"], r["x"]) for r in found.dropDuplicates(["doc_id"]).collect())  # at most ``sample`` rows
-    x = np.array([r[2] for r in got]).reshape(-1, 2 * DIM + 3)
-    return fit(x, np.array([r[1] for r in got], dtype=float), vectors)
+    got = found.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")  # at most ``sample`` rows
+    x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, WIDTH)
+    return fit(x, got["quality"].to_numpy().astype(float), vectors, words)
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

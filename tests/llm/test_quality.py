@@ -69,3 +69,28 @@ def test_odd_tables(spark, docs_of):
     rows = quality.scored(docs, spark.createDataFrame([(None, 1, 0), (1, None, 0), (9, 0, 0)], LABELS)).collect()
     assert len(rows) == 4 and all(r.score > 0.99 and r.predicted == 1 for r in rows) and not any(r.held_out for r in rows if r.doc_id is None)
     assert quality.accepted(docs, none).schema == docs.schema
+
+
+def test_vocabulary_counts_not_only_shape(spark, docs_of):
+    rng = np.random.default_rng(4)
+    heads = [a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnprs"]
+    rng.shuffle(heads)
+    good, bad = ([h + "ino" for h in heads[k::2]] for k in (0, 1))  # 'casino' and 'domino' have one form
+    assert len(set(quality.forms(Texts(pa.array([" ".join(good + bad)])))[0])) == 1
+    rows = [(i, " ".join(rng.choice([*(good if i % 2 else bad), *["the", "of", "some"] * 10], 60))) for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], LABELS)
+    held = [r for r in quality.scored(docs_of(rows), labels).collect() if r.held_out]
+    assert len(held) > 80 and sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in held) >= 0.95 * len(held)
+
+
+def test_word_vectors_are_sums_of_neighbours(docs_of):
+    texts = ["alpha beta alpha", "beta", None, "Gamma x9 alpha beta #"]
+    want = np.zeros((quality.WORDS, quality.DIM))
+    for t in texts:
+        h = Texts(pa.array([t])).hashes()
+        places, (at, sign) = quality.word_places(h), quality.word_index(h)
+        for i in range(len(h) - 1):
+            for a, b in ((i, i + 1), (i + 1, i)):
+                np.add.at(want[places[a]], at[:, b], sign[:, b])
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality.all_vectors(docs_of(list(enumerate(texts))))[1], want, atol=1e-6) and want.any(axis=1).sum() == 5
