@@ -1,5 +1,9 @@
 """Licences found whatever their layout; other texts by digest only."""
 
+from pathlib import Path
+
+import pytest
+
 from quillcheck.llm import licenses
 
 
@@ -31,3 +35,35 @@ def test_every_known_text_is_told_apart(spark, docs_of):
 def test_whole_table(sample_docs):
     found = licenses.licensed(sample_docs).collect()
     assert len(found) == sample_docs.count() and len({r.digest for r in found}) > 100 and any(r.notices for r in found)
+
+
+def test_notices_in_other_words(docs_of):
+    want = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Licensed under the GNU General Public License v3.0": "GPL-3.0",
+        "# This program is distributed under the terms of the GNU General Public License, version 2 or later.": "GPL-2.0",
+        "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "This software is released under the GNU LGPL v2.1": "LGPL-2.1",
+        "Released under the GPLv3": "GPL-3.0",
+        "Licensed under the Mozilla Public License, v. 2.0": "MPL-2.0",
+        "Licensed under the BSD 2-Clause Licence": "BSD-2-Clause",
+        "This work is released under CC0 1.0 Universal": "CC0-1.0",
+        "This work is licensed under a": "",
+        "This work is licensed under the GNU General Public License, version 3.1": "",
+        "This project is licensed under the Apache License 2.0": "Apache-2.0",
+        "This work is licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    }
+    found = rows(docs_of([(i, f"Some text\n{line}\nmore") for i, line in enumerate(want)]))
+    assert [found[i][1] for i in range(len(want))] == list(want.values())
+
+
+def test_full_public_texts(docs_of):
+    folder = Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    here = {f: name for f, name in want.items() if (folder / f).exists()}
+    if not here:
+        pytest.skip("no folder of licences")
+    texts = [(folder / f).read_text() for f in here]
+    found = rows(docs_of([*enumerate(texts), *((100 + i, t.upper().replace("\n", "\n\n  ")) for i, t in enumerate(texts)), (200, texts[0] + "\nmore")]))
+    assert [found[i][0] for i in range(len(texts))] == [found[100 + i][0] for i in range(len(texts))] == list(here.values())
+    assert found[200][0] is None
