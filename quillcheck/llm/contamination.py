@@ -118,13 +118,14 @@ def evidence(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id", text_col
 
 def _verified(docs: DataFrame, items: DataFrame, contained: float, shingle: int) -> DataFrame:
     """(doc_id, text_hash, item_id, n_shingles, n_found) for every row of ``docs`` and item at the threshold."""
-    lists = item_shingles(items, shingle=shingle).groupBy("item_id").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
-    named = settled(lists, "items")
+    own = F.when(F.col("item_id").isNull(), F.monotonically_increasing_id()).alias("own")
+    lists = item_shingles(items, shingle=shingle).select("*", own).groupBy("item_id", "own").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
+    named = settled(lists.drop("own").withColumn("item", F.monotonically_increasing_id()), "items")  # written, so that items keep their numbers
     found = evidence(docs, bitmap(named, shingle), shingle=shingle).withColumn("row", F.monotonically_increasing_id())
     found = settled(found, "evidence")  # written, so that rows keep their numbers
     met = found.select("row", F.explode("shingles").alias("shingle"))
-    candidates = met.join(sketches(named, contained), "shingle").select("row", "item_id").distinct()
-    both = candidates.join(found.withColumnRenamed("shingles", "held"), "row").join(named, "item_id")
+    candidates = met.join(sketches(named.select(F.col("item").alias("item_id"), "shingles"), contained), "shingle").select("row", F.col("item_id").alias("item")).distinct()
+    both = candidates.join(found.withColumnRenamed("shingles", "held"), "row").join(named, "item")
     counted = both.select("doc_id", "text_hash", "item_id", F.size("shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("held", "shingles")).cast("long").alias("n_found"))
     return counted.where(F.col("n_found") >= contained * F.col("n_shingles") - 1e-9)
 
@@ -133,8 +134,8 @@ def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED
     """doc_id, item_id, n_shingles, n_found, containment: every document that holds ``contained`` of an item's shingles.
 
     Words are compared in lower case (A-Z). An item of fewer words than a shingle, or with a null text, is in no
-    document; a document of fewer words holds nothing. Rows that share an item_id are one item; a repeated row of
-    ``docs`` gives its result once; a row without doc_id gives one without doc_id. Empty tables give no rows; other
+    document; a document of fewer words holds nothing. Rows that share an item_id are one item, each row without one is
+    an item of its own, named null; a repeated row of ``docs`` gives its result once; a row without doc_id gives one without doc_id. Empty tables give no rows; other
     columns are not read.
     """
     found = _verified(docs, items, contained, shingle).drop("text_hash").distinct()

@@ -76,3 +76,10 @@ def test_rows_without_id_are_told_apart(spark, docs_of):
     docs = docs_of([(None, "x a b c d e f g y"), (None, "clean"), (2, "a b c d e f g"), (2, "a b c d e f g")])
     assert [r.text for r in contamination.clean(docs, items).collect()] == ["clean"]
     assert found(docs, items) == {(None, 1, 3, 3), (2, 1, 3, 3)}
+
+
+def test_items_without_id_are_searched_each_on_its_own(spark, docs_of):
+    items = spark.createDataFrame([(None, "a b c d e f g"), (None, "h i j k l m n o"), (4, "p q r s t u v"), (None, None)], ITEMS)
+    docs = docs_of([(1, "x a b c d e f g y"), (2, "h i j k l m n o"), (3, "P Q r s t u v"), (4, "clean words that hold no item")])
+    assert found(docs, items) == {(1, None, 3, 3), (2, None, 4, 4), (3, 4, 3, 3)}
+    assert [r.doc_id for r in contamination.clean(docs, items).collect()] == [4]
