@@ -112,3 +112,18 @@ def test_best_fit_equals_one_by_one(seed):
     made = packing.best_fit(np.bincount(sizes, minlength=101), 100)
     assert sum(n for _, n in made) == len(rooms)
     assert sorted(100 - sum(m) for m, n in made for _ in range(n)) == sorted(rooms)
+
+
+def test_ids_of_odd_texts():
+    """Long runs, special names and signs of all kinds, against the tokeniser itself."""
+    rng = random.Random(5)
+    signs = "aAé1 \n\t'sß中\x85\xa0 ½²^<|>\x00​😀ｓ́tll've"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += ["a" * 300_000, " " * 1_200_000 + "x", "x" + "\n" * 1_200_000, "x " * 700_000, "a<|endoftext|>b"]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    assert packing.Encoder.at(None).quick is not None
+    for t in texts:
+        assert packing.Encoder.at(None)(t) == np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert packing.Encoder.at(None, plain=True)(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert [len(b) for b in packing.Encoder.at(None).bytes_of[:256]] == [1] * 256
