@@ -26,7 +26,7 @@ from quillcheck.llm.words import Texts, mix, seeded
 
 ORDER = 3
 #: Weight of the shorter history, for sequences of two tokens, of three, and so on (the last one holds for all longer ones).
-PRIOR = (4.0, 8.0)
+PRIOR = (64.0, 16.0)
 CHUNK_BYTES = 8 << 20  # text handled at once by a Python worker
 RANGE_BYTES = 16 << 20  # text whose sequences make up one range of hashes, about two million for the usual order
 _STEPS = 512  # tokens of one run; longer texts are cut into runs that begin in the right state
