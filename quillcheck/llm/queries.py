@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcheck.llm import contamination, licenses, ngrams, packing, pii, quality, rules, secrets, ship, simhash, substrings, warc
+from quillcheck.llm import alignment, contamination, licenses, ngrams, packing, pii, quality, rules, secrets, ship, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,6 +156,11 @@ def archives(spark, sf_dir):
     return warc.read_archives(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark, sf_dir):
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 @query("op13_lm_scoring")
 def lm_scoring(spark, sf_dir):
     return ngrams.scored(table(spark, sf_dir, "documents"))
