@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillcheck.llm import alignment, contamination, licenses, ngrams, packing, pii, quality, rules, secrets, ship, simhash, substrings, warc
+from quillcheck.llm import alignment, contamination, licenses, ngrams, packing, pii, prefixes, quality, rules, secrets, ship, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -161,6 +161,37 @@ def cross_tokenizer_alignment(spark, sf_dir):
     return alignment.aligned(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op12_conversation_prefix_trie",
+    """
+    WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+                         FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM t),
+    crc AS (SELECT c, s, 0 AS step, CAST(4294967295 AS BIGINT) AS v FROM ids
+            UNION ALL SELECT c, s, step + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+            FROM (SELECT c, s, step, CASE WHEN step % 8 = 0 THEN xor(v, CAST(ascii(substr(s, step // 8 + 1, 1)) AS BIGINT)) ELSE v END AS x FROM crc WHERE step < 8 * length(s)) y),
+    lent AS (SELECT c, xor(v, CAST(4294967295 AS BIGINT)) % 6 AS h FROM crc WHERE step = 8 * length(s)),
+    moved AS (SELECT c, 0 AS own, i, role, text FROM lent JOIN t ON conv_id = c - c % 100 AND i <= h
+              UNION ALL SELECT c, 1, i, role, text FROM lent JOIN t ON conv_id = c AND i > h),
+    turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, text, sha256(length(role) || ':' || role || text) AS k FROM moved),
+    p AS (SELECT c, d, text, string_agg(k, ',') OVER (PARTITION BY c ORDER BY d) AS k FROM turns UNION ALL SELECT c, 0, '', '' FROM ids),
+    last AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+    node AS (SELECT p.d, p.k, min(p.c) AS conv_id, count(*) AS n, max(length(text)) AS size, string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (WHERE p.d = last.d) AS ends
+             FROM p JOIN last ON p.c = last.c GROUP BY p.d, p.k),
+    up AS (SELECT node.*, parent.conv_id AS parent_conv_id, parent.k AS parent_k FROM node
+           LEFT JOIN p ON p.c = node.conv_id AND p.d = node.d - 1 LEFT JOIN node parent ON parent.d = p.d AND parent.k = p.k),
+    kids AS (SELECT d - 1 AS d, parent_k AS k, count(*) AS n FROM up WHERE d > 0 GROUP BY 1, 2),
+    under AS (SELECT p.d, p.k, count(*) FILTER (WHERE kids.n IS NULL) AS leaves, sum((node.n - 1) * node.size) AS saved
+              FROM node LEFT JOIN kids ON kids.d = node.d AND kids.k = node.k JOIN p ON p.c = node.conv_id AND p.d <= node.d GROUP BY p.d, p.k)
+    SELECT up.conv_id, CAST(up.d AS BIGINT) AS depth, up.parent_conv_id, CAST(up.n AS BIGINT) AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+      CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+    FROM up LEFT JOIN kids ON kids.d = up.d AND kids.k = up.k JOIN under ON under.d = up.d AND under.k = up.k
+    """,
+)
+def conversation_prefix_trie(spark, sf_dir):
+    return prefixes.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_lm_scoring")
 def lm_scoring(spark, sf_dir):
     return ngrams.scored(table(spark, sf_dir, "documents"))
