@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,19 @@ def _from_planes(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(flat, np.uint8).reshape(8, n).T.copy().view("<u8").ravel()
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: half the bytes of what a shuffle makes of them."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch["text"]), 0).cast(pa.int64())
+        text = pa.array([pa.compress(t.as_buffer(), codec="zstd", asbytes=True) if t.is_valid else b"" for t in batch["text"]], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["chunk"], batch["doc_id"], batch["held_out"], text, size], names=["chunk", "doc_id", "held_out", "text", "size"])
+
+
+def _texts(table: pa.Table) -> pa.Array:
+    sizes = table["size"].to_pylist()
+    return pa.array([pa.decompress(t.as_buffer(), n, codec="zstd").to_pybytes() if n else b"" for t, n in zip(table["text"], sizes, strict=True)], pa.large_binary())
+
+
 def _differences(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=np.uint64(0))
 
@@ -61,7 +75,7 @@ class _Chunk:
     """Sequences of one chunk of texts. ``keys[k]`` are its distinct ones of k + 1 tokens, sorted, so the order of texts is of
     no matter; ``at[k]`` says which of them ends at each token (-1: none that lies within the text)."""
 
-    def __init__(self, column: pa.ChunkedArray, order: int):
+    def __init__(self, column: pa.Array, order: int):
         texts = Texts(column, lower=True)
         hashes, n = texts.hashes(), len(texts)
         size = np.diff(texts.first) + 2  # with start and end
@@ -71,8 +85,8 @@ class _Chunk:
         inner[self.first[:-1]] = inner[self.first[1:] - 1] = False
         self.tokens[inner] = hashes
         self.tokens[self.first[:-1]], self.tokens[self.first[1:] - 1] = _START, _END
-        self.text = np.repeat(np.arange(n), size)
-        self.place = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], size)
+        self.text = np.repeat(np.arange(n, dtype=np.int32), size)
+        self.place = (np.arange(len(self.tokens)) - np.repeat(self.first[:-1], size)).astype(np.int32)
         self.keys, self.at, self.example = [], [], []
         run = self.tokens
         with np.errstate(over="ignore"):
@@ -81,11 +95,12 @@ class _Chunk:
                     run = mix(run + np.concatenate([np.zeros(min(k, len(run)), np.uint64), self.tokens[:-k]]) * (seeded(40 + k, 1)[0] | np.uint64(1)))
                 here = np.flatnonzero(self.place >= k)
                 keys, example, which = np.unique(run[here] >> np.uint64(8 if k else 0), return_index=True, return_inverse=True)
-                at = np.full(len(self.tokens), -1, dtype=np.int64)
+                at = np.full(len(self.tokens), -1, dtype=np.int32)
                 at[here] = which
                 self.keys.append(keys)
                 self.at.append(at)
-                self.example.append(here[example])
+                self.example.append(here[example].astype(np.int32))
+                del here, which, example
 
     def edges(self, k: int, n_buckets: int) -> np.ndarray:
         """Where each range of hashes begins in the keys; ranges follow the order of hashes."""
@@ -167,7 +182,7 @@ class Automaton:
             ok = known[k] & (chunk.tokens[end] != _START)
             end = end[ok]
             begin = state[k - 1][chunk.at[k - 1][end - 1]] if k else np.zeros(len(end), np.int64)
-            arcs.append(begin * self.n_words + chunk.at[0][end])
+            arcs.append(begin.astype(np.int64) * self.n_words + chunk.at[0][end])
             if k < order - 1:
                 to.append(state[k][ok])
             else:
@@ -237,14 +252,15 @@ def scored(
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds))
     id_type = slim.schema["doc_id"].dataType.simpleString()
     chunked = slim.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk"), "doc_id", (fold == held_out).alias("held_out"), "text")
+    chunked = chunked.mapInArrow(_squeezed, f"chunk long, doc_id {id_type}, held_out boolean, text binary, size long")
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         train = ~table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
         number = key[0].as_py()
-        return _cells([(b, number, length, n, keys, counts, 0, 0) for b, length, n, keys, counts in _Chunk(table["text"], order).cells(train, n_buckets)])
+        return _cells([(b, number, length, n, keys, counts, 0, 0) for b, length, n, keys, counts in _Chunk(_texts(table), order).cells(train, n_buckets)])
 
     def score(key: tuple, table: pa.Table, sums: pa.Table) -> pa.Table:
-        chunk = _Chunk(table["text"], order)
+        chunk = _Chunk(_texts(table), order)
         counts = [np.zeros(len(k), dtype=np.int64) for k in chunk.keys]
         edges = [chunk.edges(k, n_buckets) for k in range(order)]
         tokens = types = 0
