@@ -10,6 +10,13 @@ from pathlib import Path
 _SHIPPED: set[str] = set()
 
 
+def free_prefix(columns: list[str], wanted: str) -> str:
+    """``wanted``, lengthened until no column begins with it in any case of letters: for helper columns."""
+    while any(c.lower().startswith(wanted.lower()) for c in columns):
+        wanted = "_" + wanted
+    return wanted
+
+
 def ship(spark) -> None:
     """Lets Python workers import this package where neither PYTHONPATH nor the working folder leads to it."""
     root = Path(__file__).resolve().parent.parent.parent

@@ -118,9 +118,7 @@ def evidence(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id", text_col
 
 def _verified(docs: DataFrame, items: DataFrame, contained: float, shingle: int) -> DataFrame:
     """(doc_id, text_hash, item_id, n_shingles, n_found) for every row of ``docs`` and item at the threshold."""
-    own = F.when(F.col("item_id").isNull(), F.monotonically_increasing_id()).alias("own")
-    lists = item_shingles(items, shingle=shingle).select("*", own).groupBy("item_id", "own").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
-    named = settled(lists.drop("own").withColumn("item", F.monotonically_increasing_id()), "items")  # written, so that items keep their numbers
+    named = settled(item_shingles(items, shingle=shingle).withColumn("item", F.monotonically_increasing_id()), "items")  # written, so that rows keep their numbers
     found = evidence(docs, bitmap(named, shingle), shingle=shingle).withColumn("row", F.monotonically_increasing_id())
     found = settled(found, "evidence")  # written, so that rows keep their numbers
     met = found.select("row", F.explode("shingles").alias("shingle"))
@@ -134,16 +132,20 @@ def contaminated(docs: DataFrame, items: DataFrame, contained: float = CONTAINED
     """doc_id, item_id, n_shingles, n_found, containment: every document that holds ``contained`` of an item's shingles.
 
     Words are compared in lower case (A-Z). An item of fewer words than a shingle, or with a null text, is in no
-    document; a document of fewer words holds nothing. Rows that share an item_id are one item, each row without one is
-    an item of its own, named null; a repeated row of ``docs`` gives its result once; a row without doc_id gives one without doc_id. Empty tables give no rows; other
-    columns are not read.
+    document; a document of fewer words holds nothing. Each row of ``items`` is an item of its own, whatever item_id it
+    shares or lacks; equal results are given once, so is that of a repeated row of ``docs``; a row without doc_id gives
+    one without doc_id. Empty tables give no rows; other columns are not read.
     """
     found = _verified(docs, items, contained, shingle).drop("text_hash").distinct()
     return found.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item, columns unchanged; rows without doc_id are told apart by their text."""
+    """The rows of ``docs`` that contain no item, columns unchanged; rows without doc_id are told apart by their text.
+
+    A null or empty text contains none and stays, as do all rows where ``items`` is empty; an empty table gives no rows;
+    each of repeated rows is judged, and alike. Every row of ``items`` counts, with or without an item_id of its own.
+    """
     found = _verified(docs, items, CONTAINED, SHINGLE).select("doc_id", "text_hash").distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_hash"])
     return docs.join(found, same, "left_anti")

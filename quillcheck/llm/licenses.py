@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillcheck.session import settled
+
 # Words that count as equal, rarer spelling first.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "acknowledgement": "acknowledgment",
@@ -112,6 +114,8 @@ def _notices() -> dict[str, tuple[str, ...]]:
 
 
 NOTICES = _notices()
+HINTS = "license|licensed under|released under|distributed under|reserved"
+MOST_BROADCAST = 200_000  # known notices, about 100 bytes each, that every executor may hold
 
 
 def canonical(line: Column) -> Column:
@@ -128,6 +132,11 @@ def _lines(text: Column) -> Column:
     return F.filter(each, lambda x: x["line"] != "")
 
 
+def _may_name(line: Column) -> Column:
+    """Whether a canonical line can be one of ``NOTICES``: each of them has one of these."""
+    return line.rlike(HINTS)
+
+
 def _whole(lines: Column) -> Column:
     said = F.array_join(F.transform(F.filter(lines, lambda x: ~x["copyright"]), lambda x: x["line"]), " ")
     return F.when(said != "", F.sha2(said, 256))
@@ -154,13 +163,18 @@ def licensed(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "
     give repeated results; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    licenses = known(spark) if licenses is None else licenses
+    own = licenses is None
+    licenses = settled(known(spark) if own else licenses.select("license", "kind", "digest"), "licences")
     texts = licenses.where("kind = 'text'").groupBy("digest").agg(F.min("license").alias("license"))
     notices = licenses.where("kind = 'notice'").groupBy("digest").agg(F.min("license").alias("license"))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), _lines(F.col(text_col)).alias("lines"))
-    d = d.select("doc_id", "row", _whole(F.col("lines")).alias("digest"), F.array_distinct(F.transform("lines", lambda x: F.sha2(x["line"], 256))).alias("each"))
-    named = d.select(F.col("doc_id").alias("id"), F.col("row").alias("of"), F.explode("each").alias("digest")).join(notices, "digest")
-    named = named.groupBy("id", "of").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))  # of one text
-    d = d.drop("each").join(texts, "digest", "left")
-    d = d.join(named, d["doc_id"].eqNullSafe(named["id"]) & (d["row"] == named["of"]), "left")
+    if licenses.count() <= MOST_BROADCAST:
+        texts, notices = F.broadcast(texts), F.broadcast(notices)
+    d = docs.select(F.col(id_col).alias("doc_id"), _lines(F.col(text_col)).alias("lines"))
+    lines = F.filter("lines", lambda x: _may_name(x["line"])) if own else F.col("lines")
+    d = d.select("doc_id", _whole(F.col("lines")).alias("digest"), F.array_distinct(F.transform(lines, lambda x: F.unhex(F.sha2(x["line"], 256)))).alias("each"))
+    # Texts are read once: what is left of them is written, a number to each row, and numbers can't change any more
+    d = settled(d.withColumn("row", F.monotonically_increasing_id()), "digests")
+    named = d.select("row", F.explode("each").alias("line")).withColumn("digest", F.lower(F.hex("line"))).join(notices, "digest")
+    named = named.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))  # of one text
+    d = d.select("row", "doc_id", "digest").join(texts, "digest", "left").join(named, "row", "left")
     return d.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillcheck.llm import free_prefix
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
@@ -126,9 +128,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "pii") -> Dat
     its own, so nulls elsewhere, repeated rows and an empty table need no rule; helper columns have names that the
     table doesn't. The patterns of ``BASE`` are never dropped for their score.
     """
-    tag = "__" + out
-    while any(c.lower().startswith(tag.lower()) for c in docs.columns):
-        tag = "_" + tag
+    tag = free_prefix(docs.columns, "__" + out)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     held = docs.withColumns(
         {
@@ -186,9 +186,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = N
 
     ``length_col``: a column that holds the length of the text, set anew where the text has changed.
     """
-    found = "pii_found"
-    while any(c.lower().startswith(found) for c in docs.columns):
-        found = "_" + found
+    found = free_prefix(docs.columns, "pii_found")
     d = with_spans(docs, text_col, found).withColumn(found, in_order(F.col(found)))
     d = d.withColumn(found + "_text", masked(F.col(text_col), F.col(found)))
     changed = {text_col: F.col(found + "_text")}

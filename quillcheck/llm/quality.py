@@ -263,20 +263,22 @@ def fold(doc_id: Column) -> Column:
 def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Vectors from all texts; the network from at most ``sample`` labelled rows outside fold 0, by the hash of the id.
 
-    Labels with null id or quality don't count.
+    Labels with null id or quality don't count; an id with unlike labels counts with the least, rows that share an id as
+    the one whose text has the least hash.
     """
     vectors, words = all_vectors(docs, text_col)
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 0)
-    few = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    few = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = describe(batch.column(2), vectors, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+            x = describe(batch.column(3), vectors, words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "said", "x"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "doc_id")
-    found = chosen.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(rows, "doc_id long, quality int, x array<double>")
-    got = found.dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")  # at most ``sample`` rows
+    slim = chosen.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.xxhash64("text").alias("said"), "text")
+    first = slim.mapInArrow(rows, "doc_id long, quality int, said long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("said", "quality", "x")).alias("row"))
+    got = first.select("doc_id", "row.quality", "row.x").toArrow().sort_by("doc_id")  # at most ``sample`` rows
     x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, WIDTH)
     return fit(x, got["quality"].to_numpy().astype(float), vectors, words)
 
@@ -293,5 +295,9 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, columns unchanged."""
+    """The rows of ``docs`` that the classifier doesn't reject, columns unchanged.
+
+    A null or empty text is judged as a text without words; each of repeated rows is judged, and alike; a null id is a
+    row like any other that no label names; an empty table gives no rows; without labels all rows stay.
+    """
     return docs.where(trained(docs, labels).score(F.col("text")) >= THRESHOLD)

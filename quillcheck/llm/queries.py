@@ -94,16 +94,17 @@ def _license_sql() -> str:
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     rows = [("text", k, v) for k, v in licenses.TEXTS.items()] + [("notice", k, v) for k, vs in licenses.NOTICES.items() for v in vs]
     values = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+    digests = ", ".join("(" + ", ".join(map(quoted, (k, x))) + ")" for k, ds in licenses.DIGESTS.items() for x in ds)
     whole = "array_to_string(list_transform(list_filter(lines, lambda s: NOT s.c), lambda s: s.line), ' ')"
     return f"""
     WITH known AS (SELECT kind, license, {_lines_sql('t')} AS lines FROM (VALUES {values}) v(kind, license, t)),
-    texts AS (SELECT min(license) AS license, {whole} AS said FROM known WHERE kind = 'text' GROUP BY 2),
+    texts AS (SELECT min(license) AS license, digest FROM (SELECT license, sha256({whole}) AS digest FROM known WHERE kind = 'text' UNION ALL VALUES {digests}) k GROUP BY digest),
     notices AS (SELECT min(license) AS license, lines[1].line AS line FROM known WHERE kind = 'notice' GROUP BY 2),
     d AS (SELECT doc_id, lines, {whole} AS said FROM (SELECT doc_id, {_lines_sql('text')} AS lines FROM documents) x),
     named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
               FROM (SELECT doc_id, unnest(list_transform(lines, lambda s: s.line)) AS line FROM d) x JOIN notices USING (line) GROUP BY doc_id)
     SELECT d.doc_id, CASE WHEN d.said <> '' THEN sha256(d.said) END AS digest, texts.license, coalesce(named.notices, '') AS notices
-    FROM d LEFT JOIN texts ON texts.said = d.said LEFT JOIN named ON named.doc_id = d.doc_id"""
+    FROM d LEFT JOIN texts ON texts.digest = sha256(d.said) LEFT JOIN named ON named.doc_id = d.doc_id"""
 
 
 @query("op4_license_scan", _license_sql())

@@ -139,17 +139,20 @@ def _precision(rule: Rule, x: np.ndarray, bad: np.ndarray) -> float:
     return (bad[covered].sum() + 0.5) / (covered.sum() + 1)
 
 
-def learn(x: np.ndarray, quality: np.ndarray) -> list[Rule]:
-    """An ordered list of rules; a row that one of them covers is of low quality."""
+def learn(x: np.ndarray, quality: np.ndarray, most_rules: int = MOST_RULES, most_literals: int = MOST_LITERALS) -> list[Rule]:
+    """An ordered list of rules; a row that one of them covers is of low quality.
+
+    Bounds that a user may move: ``most_rules`` rules, each of ``most_literals`` thresholds.
+    """
     bad = np.asarray(quality) == 0
     part = np.arange(len(x)) % 3 < 2
     left, rules = np.ones(len(x), dtype=bool), []
-    while len(rules) < MOST_RULES:
+    while len(rules) < most_rules:
         grow, prune = left & part, left & ~part
         if bad[grow].sum() < 5 or not (bad & prune).any():
             break
         rule: Rule = ()
-        while len(rule) < MOST_LITERALS:
+        while len(rule) < most_literals:
             at = np.flatnonzero(grow)[_covers(rule, x[grow])]
             literal = None if bad[at].all() else _best_literal(x[at], bad[at])
             if literal is None:
@@ -178,20 +181,24 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def judged(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_rules: int = MOST_RULES, most_literals: int = MOST_LITERALS
+) -> DataFrame:
     """Statistics of every row, base_failed and kept.
 
     Rules are learned from at most ``sample`` labelled rows, those whose id has the least hash; ids or qualities that
-    are null don't count, nor do labels without document; without labels there are no rules. Empty texts fail the base.
+    are null don't count, nor do labels without document; without labels there are no rules. An id with unlike labels
+    counts with the least, rows that share an id as the one with the least statistics. Empty texts fail the base; an
+    empty table gives no rows. At most ``most_rules`` rules of at most ``most_literals`` thresholds are learned.
     The statistics (a few numbers per row) are written once to the shared folder, so every text is read once.
     """
     found = settled(statistics(docs, id_col, text_col), "statistics")
-    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
-    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    seen = found.where(f"n_words >= {MIN_WORDS}").join(F.broadcast(few.dropDuplicates(["doc_id"])), "doc_id")
-    rows = seen.dropDuplicates(["doc_id"]).select("quality", *FEATURES).collect()  # at most ``sample`` rows
+    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    seen = found.where(f"n_words >= {MIN_WORDS}").join(F.broadcast(few), "doc_id")
+    rows = seen.groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("row")).select("row.*").collect()  # at most ``sample`` rows
     x = np.array([r[1:] for r in rows], dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T) if len(x) else np.zeros(0, dtype=int)
-    rules = learn(x[order], np.array([r[0] for r in rows], dtype=int)[order]) if rows else []
+    rules = learn(x[order], np.array([r[0] for r in rows], dtype=int)[order], most_rules, most_literals) if rows else []
     failed = base_failed(found)
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))

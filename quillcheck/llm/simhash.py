@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillcheck.llm import free_prefix
 from quillcheck.llm.components import components
 from quillcheck.session import settled
 
@@ -196,12 +197,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one of each group of near copies, columns unchanged.
 
     That with the least doc_id stays, rows without one come last; of rows that share it, that with the least digest of
-    its text, and of rows that share both, one. Each group is judged on its own, whatever ids its rows have.
+    its text, and of rows that share both, one. Each group is judged on its own, whatever ids its rows have. A null
+    text counts as an empty one, and all texts without words are copies of each other; an empty table gives no rows;
+    helper columns have names that the table doesn't, in any case of letters.
     """
-    keyed = docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("_digest"))
-    marked = fingerprints(keyed, "_id", keep=["_digest"])
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("_digest").alias("digest")))
+    tag = free_prefix(docs.columns, "__kept")
+    mine, digest = f"{tag}_id", f"{tag}_digest"
+    keyed = docs.select("*", F.col("doc_id").cast("long").alias(mine), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias(digest))
+    marked = fingerprints(keyed.select(mine, digest, "text"), mine, keep=[digest])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(digest).alias("digest")))
     members = _members(settled(marked.groupBy("fp").agg(first.alias("first")), "distinct"))
-    stay = members.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.digest")
-    kept = keyed.join(stay, keyed["_id"].eqNullSafe(stay["id"]) & (keyed["_digest"] == stay["digest"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    stay = members.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.id").alias(f"{tag}_own"), F.col("first.digest").alias(f"{tag}_of"))
+    kept = keyed.join(stay, F.col(mine).eqNullSafe(F.col(f"{tag}_own")) & (F.col(digest) == F.col(f"{tag}_of")), "left_semi")
+    return kept.dropDuplicates([mine, digest]).drop(mine, digest)

@@ -24,6 +24,7 @@ from quillcheck.llm.words import Texts, window_starts, windows
 
 SIZE = 35
 CHUNK_BYTES = 4 << 20  # text handled at once by a Python worker
+RANGE_BYTES = 16 << 20  # text whose keys make up one range of hashes: about three million keys, whatever the corpus
 _CELL = "bucket int, chunk long, kind int, n long, keys binary, flags binary"
 _CELL_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("flags", pa.binary())])
 _ANCHOR, _WINDOW = 0, 1
@@ -180,7 +181,7 @@ def _count_windows(table: pa.Table) -> pa.Table:
     return _cells(out)
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by blanks) for every row.
 
     A word goes if a window of ``size`` words around it begins anywhere else too: in another document, in a repeated
@@ -188,11 +189,10 @@ def without_repeats(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", t
     counts as a document of its own; other columns are not read; an empty table gives no rows. Texts may be of any
     length (a chunk holds whole texts, so one text of x bytes needs about 12x of a worker's memory).
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
-    n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(1, -(-total // range_bytes))
     id_type = slim.schema["doc_id"].dataType.simpleString()
     chunked = slim.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk"), "doc_id", "text")
 

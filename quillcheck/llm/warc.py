@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from quillcheck.session import scratch_path, settled
 
 REVISIT_FROM = 1000  # bytes; smaller payloads are stored again
+MOST_HEAVY = 1000  # payloads that are looked up by broadcast
 FRAME_BYTES = 256 << 10  # records before compression
 BUNDLE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -145,15 +146,22 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest, size, refers_to and revisit of every row.
 
     Of equal payloads of ``REVISIT_FROM`` bytes or more, that with the largest page_id is the response (rows that share
-    that page_id are each); without any page_id all are. Only ids and digests are aggregated.
+    that page_id are each); without any page_id all are. Only ids and digests are aggregated. Payloads that make up more
+    than a thousandth of all repeated bytes, a thousand at most, are looked up without a shuffle; the join by digest
+    then deals their rows out by page.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html").cast("long")})
     groups = p.where(F.col("size") >= REVISIT_FROM).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1 AND first IS NOT NULL").drop("n")
-    both = p.join(groups, ["digest", "size"], "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return both.select("page_id", "url", "html", "digest", "size", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    groups = settled(groups.where("n > 1 AND first IS NOT NULL"), "copies")
+    total = groups.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
+    heavy = groups.where(F.col("n") * F.col("size") > total / MOST_HEAVY).select("digest", F.col("first").alias("known"))
+    both = p.join(F.broadcast(heavy), "digest", "left")  # fewer than MOST_HEAVY rows
+    apart = F.when(F.col("known").isNull(), F.col("digest")).otherwise(F.concat(F.col("digest"), F.lit(":"), F.xxhash64("page_id", "url").cast("string")))
+    both = both.withColumn("by", apart).join(groups.select(F.col("digest").alias("by"), "first"), "by", "left")
+    first = F.coalesce("known", "first")
+    revisit = first.isNotNull() & ~F.col("page_id").eqNullSafe(first)
+    return both.select("page_id", "url", "html", "digest", "size", F.when(revisit, first).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -209,7 +217,7 @@ def _row(head: dict[str, str], http: dict[str, str], payload: bytes) -> tuple:
 def read_archives(spark: SparkSession, index: DataFrame) -> DataFrame:
     """Every record of the bundles that ``index`` names, read frame by frame; payload is null for revisits.
 
-    Payloads are checked against their digests.
+    Payloads are checked against their digests; an empty index gives no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +235,7 @@ def read_archives(spark: SparkSession, index: DataFrame) -> DataFrame:
 
 
 def fetch(wanted: DataFrame) -> DataFrame:
-    """The records of some rows of an index, each by reading one frame."""
+    """The records of some rows of an index, each by reading one frame; no rows of an index give no records."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

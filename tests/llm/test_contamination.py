@@ -16,13 +16,11 @@ def shingles(text):
 
 
 def brute(docs, items):
-    sets = {}
-    for i, t in items:
-        sets.setdefault(i, set()).update(shingles(t))
+    sets = [(i, shingles(t)) for i, t in items]
     out = set()
     for d, t in docs:
         have = shingles(t)
-        out |= {(d, i, len(s), len(s & have)) for i, s in sets.items() if s and len(s & have) >= 0.8 * len(s) - 1e-9}
+        out |= {(d, i, len(s), len(s & have)) for i, s in sets if s and len(s & have) >= 0.8 * len(s) - 1e-9}
     return out
 
 
@@ -83,3 +81,10 @@ def test_items_without_id_are_searched_each_on_its_own(spark, docs_of):
     docs = docs_of([(1, "x a b c d e f g y"), (2, "h i j k l m n o"), (3, "P Q r s t u v"), (4, "clean words that hold no item")])
     assert found(docs, items) == {(1, None, 3, 3), (2, None, 4, 4), (3, 4, 3, 3)}
     assert [r.doc_id for r in contamination.clean(docs, items).collect()] == [4]
+
+
+def test_rows_that_share_an_id_are_items_of_their_own(spark, docs_of):
+    items = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n o p q r s t u v"), (1, "a b c d e f g")], ITEMS)
+    docs = docs_of([(1, "x a b c d e f g y"), (2, "only h i j k l m n"), (3, "h i j k l m n o p q r s t u v")])
+    assert found(docs, items) == {(1, 1, 3, 3), (3, 1, 11, 11)}
+    assert [r.doc_id for r in contamination.clean(docs, items).collect()] == [2]

@@ -1,8 +1,10 @@
 """Licences found whatever their layout; other texts by digest only."""
 
+import hashlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillcheck.llm import licenses
 
@@ -67,3 +69,17 @@ def test_full_public_texts(docs_of):
     found = rows(docs_of([*enumerate(texts), *((100 + i, t.upper().replace("\n", "\n\n  ")) for i, t in enumerate(texts)), (200, texts[0] + "\nmore")]))
     assert [found[i][0] for i in range(len(texts))] == [found[100 + i][0] for i in range(len(texts))] == list(here.values())
     assert found[200][0] is None
+
+
+def test_every_notice_can_be_named(spark):
+    """No known notice is kept out by the hints, and lines that many documents share are found in each."""
+    rows = [(v,) for vs in licenses.NOTICES.values() for v in vs]
+    lines = spark.createDataFrame(rows, "line string").select(licenses.canonical(F.col("line")).alias("line"))
+    assert lines.where(~licenses._may_name(F.col("line"))).count() == 0 and len(rows) > 30_000
+
+
+def test_own_table_of_licences(spark, docs_of):
+    mine = spark.createDataFrame([("Mine", "notice", hashlib.sha256(b"do as you like").hexdigest())], "license string, kind string, digest string")
+    docs = docs_of([(i, f"text {i}\nDo, as you like!") for i in range(300)] + [(300, "nothing")])
+    found = rows(docs, licenses=mine)
+    assert {found[i][1] for i in range(300)} == {"Mine"} and found[300][1] == ""

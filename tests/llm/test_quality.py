@@ -94,3 +94,18 @@ def test_word_vectors_are_sums_of_neighbours(docs_of):
                 np.add.at(want[places[a]], at[:, b], sign[:, b])
     want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
     assert np.allclose(quality.all_vectors(docs_of(list(enumerate(texts))))[1], want, atol=1e-6) and want.any(axis=1).sum() == 5
+
+
+def test_repeated_ids_do_not_depend_on_the_partitions(spark, docs_of):
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in range(30)]
+    rows = [(i, " ".join(rng.choice(words[: 90 if (i + k) % 2 else 180], 60))) for i in range(150) for k in range(2)]
+    labels = [(i, q, 0) for i in range(150) for q in ((i % 2,) if i % 7 else (0, 1))]
+    got = []
+    for parts in (1, 8):
+        docs = docs_of([rows[k] for k in rng.permutation(len(rows))], parts)
+        marked = spark.createDataFrame([labels[k] for k in rng.permutation(len(labels))], LABELS).repartition(parts)
+        scores = quality.scored(docs, marked).select("doc_id", "score").collect()
+        kept = quality.accepted(docs, marked).select("doc_id", "text").collect()
+        got.append((sorted((r.doc_id, round(r.score, 9)) for r in scores), sorted(map(tuple, kept))))
+    assert got[0] == got[1]

@@ -74,3 +74,17 @@ def test_odd_tables(spark, docs_of):
 def test_native(spark, docs_of):
     plan = rules.statistics(docs_of([(1, "a b")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_ids_do_not_depend_on_the_partitions(spark, docs_of):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(200)] if (i + k) % 2 else ["#$%", "a", "b"], 80))) for i in range(120) for k in range(2)]
+    labels = [(i, q, 0) for i in range(120) for q in ((i % 2,) if i % 7 else (0, 1))]
+    got = []
+    for parts in (1, 8):
+        docs = docs_of([rows[k] for k in rng.permutation(len(rows))], parts)
+        marked = spark.createDataFrame([labels[k] for k in rng.permutation(len(labels))], LABELS).repartition(parts)
+        got.append(sorted((r.doc_id, r.n_symbols, r.kept) for r in rules.judged(docs, marked).collect()))
+    assert got[0] == got[1] and any(r[2] for r in got[0]) and not all(r[2] for r in got[0])
+    one = rules.judged(docs_of(rows), spark.createDataFrame(labels, LABELS), most_rules=0)
+    assert all(r.kept != r.base_failed for r in one.collect())

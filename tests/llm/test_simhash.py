@@ -161,3 +161,11 @@ def test_one_of_each_without_ids_or_with_ids_repeated(docs_of):
     assert all(least[group[slow_fingerprint(t)]][1] == i and ((i, t) in rows) for i, t in kept)
     assert {t for i, t in kept if i == 7} == {text(10), text(11)} and (8, text(2)) in kept and (9, text(12)) in kept
     assert {t for i, t in kept if i is None} - {None, "", text(1) + "x"} <= {text(k) for k in (0, 1, 3, 4, 5)}
+
+
+def test_one_of_each_with_clashing_columns(docs_of):
+    docs = docs_of([(1, "a b c d"), (2, "a b c d"), (3, "other words here now")])
+    odd = docs.selectExpr("*", "7 AS _id", "'x' AS _digest", "1 AS fp", "2 AS component", "'q' AS __kept_id", "5 AS __KEPT_own", "'r' AS first")
+    kept = simhash.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r["doc_id"], r["_id"], r["__kept_id"]) for r in kept.collect()) == [(1, 7, "q"), (3, 7, "q")]

@@ -63,3 +63,14 @@ def test_random_access_and_plain_decompression(spark):
 def test_empty_table(spark):
     index = warc.write_archives(pages_of(spark, []))
     assert index.collect() == [] and warc.read_archives(spark, index).collect() == []
+
+
+def test_heavy_and_light_copies(spark, monkeypatch):
+    """Payloads known by broadcast and those known by the join give the same records."""
+    big, small = "x" * 5000, "y" * 1000
+    rows = [(i, f"u{i}", big) for i in range(200)] + [(1000 + i, None, small) for i in range(2)] + [(None, "u", big), (2000, "u", "z" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for most in (1, 10, 1000):
+        monkeypatch.setattr(warc, "MOST_HEAVY", most)
+        found = {(r.page_id, r.refers_to, r.revisit) for r in warc.with_revisits(pages).collect()}
+        assert found == {(i, 199 if i != 199 else None, i != 199) for i in range(200)} | {(1000, 1001, True), (1001, None, False), (None, 199, True), (2000, None, False)}
