@@ -28,7 +28,7 @@ from quillcheck.session import settled
 
 LEAD_FROM = 100  # conversations c - c % 100 lend their first turns
 MOST_LENT = 6  # fewer turns than this are lent
-CHUNK_TURNS = 1 << 15  # turns of a chunk, give or take
+CHUNK_TURNS = 1 << 12  # turns of a chunk, give or take
 _BATCH = 512  # conversations located together
 _PIECE = 1 << 20  # characters of conversation ids hashed at a time
 _ROW = "chunk long, place int, parent int, depth int, k1 long, k2 long, members long, least long, ends long, size long"
