@@ -1,11 +1,10 @@
 """Quality scores from random-indexing word vectors and a small network.
 
 Random indexing: every word has a fixed sparse random index vector, made from the hash of its exact spelling; a word's
-vector is the sum of the index vectors met next to it, over the whole corpus. Words are hashed to ``WORDS`` places, so
-all vectors together are a table of fixed size. Beside them stand the same sums for the forms of words (ending, case,
-length class and first sign), hashed to ``FORMS`` places, for words that are rare. A text is described by mean and
-spread of its words' and forms' vectors; a two-layer network turns that into a score, whose temperature is set on rows
-kept aside.
+vector is the sum of the index vectors met next to it, over the whole corpus. Words are hashed to ``WORDS`` places (a
+parameter), so all vectors together are a table of fixed size; words that meet in a place share its vector. A text is
+described by mean and spread of its words' vectors, the length of the mean of their index vectors, and its size; a
+two-layer network turns that into a score, whose temperature is set on rows kept aside.
 """
 
 from __future__ import annotations
@@ -18,35 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillcheck.llm.words import Texts, mix, portions, seeded
+from quillcheck.llm.words import Texts, mix, portions
 
-FORMS = 8192
 WORDS = 1 << 18
 DIM = 32
 NONZERO = 4
-WIDTH = 4 * DIM + 3  # numbers that describe a text
+WIDTH = 2 * DIM + 3  # numbers that describe a text
 SAMPLE = 20_000  # most labelled rows that the network is fitted on
 HIDDEN = 32
 EPOCHS = 40
 THRESHOLD = 0.3
 FOLDS = 5  # fold 0 is held out
 _SLAB = 1 << 16
-_UPPER = np.zeros(256, dtype=np.int64)
-_UPPER[65:91] = 1
-_LETTER = np.zeros(256, dtype=np.int64)
-_LETTER[65:91] = _LETTER[97:123] = 1
-_LETTER[128:] = 1
-_DIGIT = np.zeros(256, dtype=np.int64)
-_DIGIT[48:58] = 1
-
-
-def index_vectors() -> np.ndarray:
-    """Sparse random vectors of +1 and -1, a fixed function of the form's number."""
-    out = np.zeros((FORMS, DIM), dtype=np.float64)
-    draws = seeded(7, FORMS * NONZERO).reshape(FORMS, NONZERO)
-    for k in range(NONZERO):
-        out[np.arange(FORMS), (draws[:, k] >> np.uint64(1)) % np.uint64(DIM)] += np.where(draws[:, k] & np.uint64(1), 1.0, -1.0)
-    return out
+_ROWS = 8192
 
 
 def word_index(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,87 +39,48 @@ def word_index(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((parts >> np.uint64(1)) % np.uint64(DIM)).astype(np.int64), np.where(parts & np.uint64(1), 1.0, -1.0)
 
 
-def word_places(hashes: np.ndarray) -> np.ndarray:
-    """The place of each word's vector, below ``WORDS``."""
-    return (mix(hashes) % np.uint64(WORDS)).astype(np.int64)
-
-
-def forms(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the number of its form and of its exact spelling, both below ``FORMS``."""
-    return _forms(texts), _spellings(texts.hashes())
-
-
-def _spellings(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(20)).astype(np.int64) % FORMS
+def word_places(hashes: np.ndarray, places: int = WORDS) -> np.ndarray:
+    """The place of each word's vector, below ``places``."""
+    return (mix(hashes) % np.uint64(places)).astype(np.int64)
 
 
-def _forms(texts: Texts) -> np.ndarray:
-    n = len(texts.starts)
-    form = np.empty(n, dtype=np.int64)
-    for a in range(0, n, _SLAB):
-        s, e = texts.starts[a : a + _SLAB], texts.ends[a : a + _SLAB]
-        size = e - s
-        base = int(s[0])
-        flat = texts.data[base : int(e[-1])]
-        count = lambda table: (lambda t: t[e - base] - t[s - base])(np.concatenate([[0], np.cumsum(table[flat])]))
-        upper, letters, digits = count(_UPPER), count(_LETTER), count(_DIGIT)
-        case = np.where(upper == 0, 0, np.where((upper == 1) & (size > 1), 1, np.where(2 * upper >= letters, 2, 3)))
-        other = np.minimum(size - letters - digits, 3)
-        last, before, head = texts.data[e - 1].astype(np.int64), texts.data[np.maximum(e - 2, s)].astype(np.int64), texts.data[s].astype(np.int64)
-        head = np.where(_LETTER[head] > 0, 0, head)
-        key = ((((last * 256 + before) * 256 + head) * 4 + case) * 4 + other) * 8 + np.minimum(size // 4, 7)
-        form[a : a + _SLAB] = (mix(key.astype(np.uint64)) % np.uint64(FORMS)).astype(np.int64)
-    return form
-
-
-def corpus_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The vectors of all forms, from all texts."""
-    return all_vectors(docs, text_col)[0]
-
-
-def all_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """The vectors of all forms and of all words, from all texts; ``FORMS + WORDS`` rows at most come to the driver.
+def word_vectors(docs: DataFrame, text_col: str = "text", places: int = WORDS) -> np.ndarray:
+    """The vectors of all words, from all texts; ``places`` rows at most come to the driver.
 
     Each task adds up its own texts first; the sums of tasks meet in an ordinary aggregate. All addends are whole
     numbers, so the order of addition doesn't matter.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), np.zeros((FORMS + WORDS, DIM))
+        total = np.zeros((places, DIM))
         for column in (part for batch in batches for part in portions(batch.column(0))):
             texts = Texts(column)
-            form, hashes = _forms(texts), texts.hashes()
-            inner = np.ones(max(len(form) - 1, 0), dtype=bool)
+            hashes = texts.hashes()
+            inner = np.ones(max(len(hashes) - 1, 0), dtype=bool)
             seams = texts.first[1:-1] - 1
             inner[seams[(seams >= 0) & (seams < len(inner))]] = False
-            for a in range(0, len(inner), 4 * _SLAB):
-                here = np.flatnonzero(inner[a : a + 4 * _SLAB]) + a
-                pairs, times = np.unique(form[here] * FORMS + form[here + 1], return_counts=True)
-                left, right = pairs // FORMS, pairs % FORMS
-                for d in range(DIM):
-                    total[:FORMS, d] += np.bincount(left, times * index[right, d], FORMS) + np.bincount(right, times * index[left, d], FORMS)
             for a in range(0, len(inner), _SLAB):
                 left = np.flatnonzero(inner[a : a + _SLAB])
                 h = hashes[a : a + _SLAB + 1]
-                places, own = np.unique(word_places(h), return_inverse=True)
-                sums = np.zeros(len(places) * DIM)
+                seen, own = np.unique(word_places(h, places), return_inverse=True)
+                sums = np.zeros(len(seen) * DIM)
                 for at, sign in zip(*word_index(h), strict=True):
                     sums += np.bincount(own[left] * DIM + at[left + 1], sign[left + 1], len(sums))
                     sums += np.bincount(own[left + 1] * DIM + at[left], sign[left], len(sums))
-                total[FORMS + places] += sums.reshape(-1, DIM)
+                total[seen] += sums.reshape(-1, DIM)
         seen = np.flatnonzero(total.any(axis=1))
-        for a in range(0, len(seen), FORMS):
-            some = seen[a : a + FORMS]
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, d]) for d in range(DIM))], names=["form", *(f"v{d}" for d in range(DIM))])
+        for a in range(0, len(seen), _ROWS):
+            some = seen[a : a + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, d]) for d in range(DIM))], names=["place", *(f"v{d}" for d in range(DIM))])
 
-    kind = "form long, " + ", ".join(f"v{d} double" for d in range(DIM))
+    kind = "place long, " + ", ".join(f"v{d} double" for d in range(DIM))
     sums = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(add, kind)
-    found = sums.groupBy("form").agg(*(F.sum(f"v{d}").cast("float").alias(f"v{d}") for d in range(DIM))).toArrow()  # at most FORMS + WORDS rows
-    out, place = np.zeros((FORMS + WORDS, DIM), dtype=np.float32), found.column(0).to_numpy()
+    found = sums.groupBy("place").agg(*(F.sum(f"v{d}").cast("float").alias(f"v{d}") for d in range(DIM))).toArrow()  # at most ``places`` rows
+    out, place = np.zeros((places, DIM), dtype=np.float32), found.column(0).to_numpy()
     for d in range(DIM):
         out[place, d] = found.column(1 + d).to_numpy()
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-    return out[:FORMS], out[FORMS:]
+    return out
 
 
 def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -148,23 +92,19 @@ def _per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def describe(column: pa.Array, vectors: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
-    """One row per text: mean and spread of the forms' vectors, how much one spelling prevails, the size, and then mean
-    and spread of the words' vectors where these are given."""
-    signs = index_vectors().astype(np.float32)
-    parts = [_described(part, vectors, words, signs) for part in portions(column)]
-    return np.vstack(parts) if parts else np.zeros((0, 2 * DIM + 3 if words is None else WIDTH))
+def describe(column: pa.Array, words: np.ndarray) -> np.ndarray:
+    """One row per text: mean and spread of its words' vectors, how much one word prevails, and the size."""
+    parts = [_described(part, words) for part in portions(column)]
+    return np.vstack(parts) if parts else np.zeros((0, WIDTH))
 
 
-def _described(column: pa.Array, vectors: np.ndarray, words: np.ndarray | None, signs: np.ndarray) -> np.ndarray:
+def _described(column: pa.Array, words: np.ndarray) -> np.ndarray:
     texts = Texts(column)
-    form, hashes = _forms(texts), texts.hashes()
-    tables = [(vectors, form)] + ([] if words is None else [(words, word_places(hashes))])
-    exact = _spellings(hashes)
+    hashes = texts.hashes()
+    place = word_places(hashes, len(words))
     first = texts.first
     n = len(texts)
-    sums, squares = np.zeros((len(tables), n, DIM)), np.zeros((len(tables), n, DIM))
-    spelled = np.zeros((n, DIM))
+    sums, squares, own = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros((n, DIM))
     at = 0
     while at < n:  # some texts at a time, by their number of words
         to = max(at + 1, int(np.searchsorted(first, first[at] + _SLAB, side="right")) - 1)
@@ -173,24 +113,23 @@ def _described(column: pa.Array, vectors: np.ndarray, words: np.ndarray | None,
             if b <= a:
                 break
             cut = np.clip(first[at : to + 1], a, b) - a
-            for i, (table, place) in enumerate(tables):
-                v = table[place[a:b]]
-                sums[i, at:to] += _per_text(v, cut)
-                squares[i, at:to] += _per_text(v * v, cut)
-            spelled[at:to] += _per_text(signs[exact[a:b]], cut)
+            v = words[place[a:b]]
+            sums[at:to] += _per_text(v, cut)
+            squares[at:to] += _per_text(v * v, cut)
+            of = np.repeat(np.arange(to - at), np.diff(cut)) * DIM
+            for d, sign in zip(*word_index(hashes[a:b]), strict=True):
+                own[at:to] += np.bincount(of + d, sign, (to - at) * DIM).reshape(-1, DIM)
         at = to
     count = np.maximum(np.diff(first), 1)[:, None]
     mean = sums / count
     spread = np.sqrt(np.maximum(squares / count - mean**2, 0))
-    one = np.linalg.norm(spelled / count, axis=1, keepdims=True)
+    one = np.linalg.norm(own / count, axis=1, keepdims=True)
     size = np.diff(first)[:, None]
-    more = [m for i in range(1, len(tables)) for m in (mean[i], spread[i])]
-    return np.hstack([mean[0], spread[0], one, np.log1p(size), np.minimum(size / 50.0, 1.0), *more])
+    return np.hstack([mean, spread, one, np.log1p(size), np.minimum(size / 50.0, 1.0)])
 
 
 @dataclass
 class Model:
-    vectors: np.ndarray
     words: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
@@ -213,12 +152,12 @@ class Model:
 
         @F.arrow_udf("double")
         def score(column: pa.Array) -> pa.Array:
-            return pa.array(model.probability(describe(column, model.vectors, model.words)))
+            return pa.array(model.probability(describe(column, model.words)))
 
         return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, words: np.ndarray, seed: int = 3) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, words: np.ndarray, seed: int = 3) -> Model:
     """A network of two layers by Adam on four fifths of the rows; the temperature by the likelihood of the rest.
 
     With no labels, or labels of one kind only, the score is the share of label 1 (1 without labels).
@@ -227,7 +166,7 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, words: np.ndarray, se
     share = float(y.mean()) if len(y) else 1.0
     if len(y) < 20 or share in (0.0, 1.0):
         logit = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
-        return Model(vectors, words, np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), logit, 1.0)
+        return Model(words, np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), logit, 1.0)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     aside, used = order[: len(y) // 5], order[len(y) // 5 :]
@@ -248,7 +187,7 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, words: np.ndarray, se
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 p[i] = p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-    model = Model(vectors, words, centre, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
+    model = Model(words, centre, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
     logits, truth = model.logits(x[aside]), y[aside]
     loss = lambda heat: np.logaddexp(0, np.where(truth == 1, -logits, logits) / heat).mean()
     model.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
@@ -260,19 +199,19 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, places: int = WORDS) -> Model:
     """Vectors from all texts; the network from at most ``sample`` labelled rows outside fold 0, by the hash of the id.
 
     Labels with null id or quality don't count; an id with unlike labels counts with the least, rows that share an id as
     the one whose text has the least hash.
     """
-    vectors, words = all_vectors(docs, text_col)
+    words = word_vectors(docs, text_col, places)
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(fold(F.col("doc_id")) != 0)
     few = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = describe(batch.column(3), vectors, words)
+            x = describe(batch.column(3), words)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "said", "x"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "doc_id")
@@ -280,7 +219,7 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     first = slim.mapInArrow(rows, "doc_id long, quality int, said long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("said", "quality", "x")).alias("row"))
     got = first.select("doc_id", "row.quality", "row.x").toArrow().sort_by("doc_id")  # at most ``sample`` rows
     x = np.array(got["x"].combine_chunks().flatten()).reshape(-1, WIDTH)
-    return fit(x, got["quality"].to_numpy().astype(float), vectors, words)
+    return fit(x, got["quality"].to_numpy().astype(float), words)
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,21 +40,9 @@ def test_labels_of_held_out_rows_change_nothing(spark, docs_of):
     assert scores[0] == scores[1] and len(set(scores[0].values())) > 1
 
 
-def test_vectors_are_sums_of_neighbours(docs_of):
-    texts = ["alpha beta alpha", "beta", None, "Gamma x9 alpha beta #"]
-    index, want = quality.index_vectors(), np.zeros((quality.FORMS, quality.DIM))
-    for t in texts:
-        form, _ = quality.forms(Texts(pa.array([t])))
-        for a, b in zip(form, form[1:]):
-            want[a] += index[b]
-            want[b] += index[a]
-    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
-    assert np.allclose(quality.corpus_vectors(docs_of(list(enumerate(texts)))), want, atol=1e-6)
-
-
 def test_descriptions_do_not_depend_on_the_batch(monkeypatch):
     rng = np.random.default_rng(0)
-    vectors = rng.normal(size=(quality.FORMS, quality.DIM)).astype(np.float32)
+    vectors = rng.normal(size=(quality.WORDS, quality.DIM)).astype(np.float32)
     texts = pa.array([None, "", "one", "A b c " * 50, "x", "", "last WORDS!! here " * 30])
     whole = quality.describe(texts, vectors)
     alone = np.vstack([quality.describe(texts[i : i + 1], vectors) for i in range(len(texts))])
@@ -75,8 +63,7 @@ def test_vocabulary_counts_not_only_shape(spark, docs_of):
     rng = np.random.default_rng(4)
     heads = [a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnprs"]
     rng.shuffle(heads)
-    good, bad = ([h + "ino" for h in heads[k::2]] for k in (0, 1))  # 'casino' and 'domino' have one form
-    assert len(set(quality.forms(Texts(pa.array([" ".join(good + bad)])))[0])) == 1
+    good, bad = ([h + "ino" for h in heads[k::2]] for k in (0, 1))
     rows = [(i, " ".join(rng.choice([*(good if i % 2 else bad), *["the", "of", "some"] * 10], 60))) for i in range(600)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], LABELS)
     held = [r for r in quality.scored(docs_of(rows), labels).collect() if r.held_out]
@@ -93,7 +80,7 @@ def test_word_vectors_are_sums_of_neighbours(docs_of):
             for a, b in ((i, i + 1), (i + 1, i)):
                 np.add.at(want[places[a]], at[:, b], sign[:, b])
     want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
-    assert np.allclose(quality.all_vectors(docs_of(list(enumerate(texts))))[1], want, atol=1e-6) and want.any(axis=1).sum() == 5
+    assert np.allclose(quality.word_vectors(docs_of(list(enumerate(texts)))), want, atol=1e-6) and want.any(axis=1).sum() == 5
 
 
 def test_repeated_ids_do_not_depend_on_the_partitions(spark, docs_of):
@@ -109,3 +96,24 @@ def test_repeated_ids_do_not_depend_on_the_partitions(spark, docs_of):
         kept = quality.accepted(docs, marked).select("doc_id", "text").collect()
         got.append((sorted((r.doc_id, round(r.score, 9)) for r in scores), sorted(map(tuple, kept))))
     assert got[0] == got[1]
+
+
+def test_temperature_lowers_the_loss_of_the_rows_kept_aside():
+    rng = np.random.default_rng(3)
+    y = (rng.random(600) < 0.5).astype(float)
+    x = np.hstack([rng.normal(0, 1, (600, quality.WIDTH - 1)), (y + rng.normal(0, 1.5, 600))[:, None]])
+    model = quality.fit(x, y, np.zeros((1, quality.DIM)))
+    aside = np.random.default_rng(3).permutation(600)[:120]
+    loss = lambda heat: np.logaddexp(0, np.where(y[aside] == 1, -1, 1) * model.logits(x[aside]) / heat).mean()
+    assert model.temperature > 1.3  # an overfitted network is too sure of itself
+    assert loss(model.temperature) <= min(loss(h) for h in (0.25, 0.5, 1, 2, 4, 8)) + 1e-9
+    p = model.probability(x)
+    assert ((p > 0.5) == (model.logits(x) > 0)).all()
+
+
+def test_fewer_places(spark, sample_docs):
+    from harness import DATA
+
+    labels = spark.read.parquet(f"{DATA}/sf0.001/labels.parquet")
+    model = quality.trained(sample_docs, labels, places=64)
+    assert model.words.shape == (64, quality.DIM) and sample_docs.select(model.score(sample_docs["text"]).alias("s")).where("s between 0 and 1").count() == sample_docs.count()
