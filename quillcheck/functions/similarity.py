@@ -43,67 +43,115 @@ def lcs_length(a: str, b: str) -> int:
     return len(b) - row.bit_count()
 
 
-def _position_masks(values: list[str]) -> dict[str, np.ndarray]:
-    """character -> per value, the bits of the places where it stands."""
-    n = len(values)
-    chars = np.zeros((n, _WORD_BITS), dtype=np.uint32)
-    for row, value in enumerate(values):
-        chars[row, : len(value)] = np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32)
-    return {
-        chr(code): np.packbits(chars == code, axis=1, bitorder="little").view(np.uint64).ravel()
-        for code in np.unique(chars)
-        if code
-    }
+def _codes(values: list[str], width: int) -> np.ndarray:
+    """Characters as numbers, one row per value, 0 beyond its end."""
+    out = np.zeros((len(values), width), dtype=np.uint32)
+    size = np.array([len(v) for v in values], dtype=np.int64)
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(np.arange(len(values)), size), place] = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return out
+
+
+def _words(length: int) -> int:
+    return max(-(-length // _WORD_BITS), 1)
+
+
+def _bits(equal: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words."""
+    return np.packbits(equal, axis=1, bitorder="little").view(np.uint64)
+
+
+def _step(row: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """One character of the recurrence for rows of one or more words; the sum carries from word to word."""
+    hit = row & mask
+    if row.shape[1] == 1:
+        return (row + hit) | (row - hit)
+    total, carry = np.empty_like(row), np.zeros(len(row), dtype=np.uint64)
+    for w in range(row.shape[1]):
+        part = row[:, w] + hit[:, w]
+        total[:, w] = part + carry
+        carry = ((part < row[:, w]) | (total[:, w] < part)).astype(np.uint64)
+    return total | (row - hit)
+
+
+def _inside(lengths: np.ndarray, words: int) -> np.ndarray:
+    """The bits of the places that a value has."""
+    return _bits(np.arange(words * _WORD_BITS) < lengths[:, None])
 
 
 class ValueBlock:
-    """A few hundred strings prepared for scoring against many probes."""
+    """Some hundred or thousand strings prepared for scoring against many probes, grouped by the words their bits take."""
 
     def __init__(self, values: Iterable[str]):
         self.values = list(values)
         self.lengths = np.array([len(v) for v in self.values], dtype=np.int64)
-        self.short = np.flatnonzero(self.lengths <= _WORD_BITS)
-        self.long = np.flatnonzero(self.lengths > _WORD_BITS)
-        self.masks = _position_masks([self.values[i] for i in self.short])
-        widths = self.lengths[self.short].astype(np.uint64)
-        shift = np.minimum(widths, np.uint64(63))
-        self.full = np.where(widths == 64, ~np.uint64(0), (np.uint64(1) << shift) - np.uint64(1))
-
-    def lcs(self, probe: str) -> np.ndarray:
+        words = np.maximum(-(-self.lengths // _WORD_BITS), 1)
+        self.groups = []
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            codes = _codes([self.values[i] for i in at], w * _WORD_BITS)
+            masks = {chr(c): _bits(codes == c) for c in np.unique(codes) if c}
+            self.groups.append((at, masks, _inside(self.lengths[at], w)))
+
+    def lcs(self, probe: str, among: np.ndarray | None = None) -> np.ndarray:
+        """LCS with every value, or with those of the (sorted) places ``among``."""
         out = np.zeros(len(self.values), dtype=np.int64)
-        row = np.full(len(self.short), ~np.uint64(0))
-        for ch in probe:
-            mask = self.masks.get(ch)
-            if mask is not None:
-                hit = row & mask
-                row = (row + hit) | (row - hit)
-        out[self.short] = np.bitwise_count(~row & self.full)
-        for at in self.long:
-            out[at] = lcs_length(probe, self.values[at])
-        return out
-
-    def ratio(self, probe: str) -> np.ndarray:
-        total = self.lengths + len(probe)
-        return np.where(total > 0, 2.0 * self.lcs(probe) / np.maximum(total, 1), 0.0)
-
-    def percent(self, probe: str) -> np.ndarray:
+        for at, masks, inside in self.groups:
+            some = slice(None) if among is None else np.searchsorted(at, among[np.isin(among, at, assume_unique=True)])
+            full = inside[some]
+            row = np.full(full.shape, ~np.uint64(0))
+            for ch in probe:
+                mask = masks.get(ch)
+                if mask is not None:
+                    row = _step(row, mask[some])
+            out[at[some]] = np.bitwise_count(~row & full).sum(axis=1)
+        return out if among is None else out[among]
+
+    def ratio(self, probe: str, among: np.ndarray | None = None) -> np.ndarray:
+        total = (self.lengths if among is None else self.lengths[among]) + len(probe)
+        return np.where(total > 0, 2.0 * self.lcs(probe, among) / np.maximum(total, 1), 0.0)
+
+    def percent(self, probe: str, among: np.ndarray | None = None) -> np.ndarray:
         """The ratio rounded to whole percent; an empty side scores 0."""
         if not probe:
-            return np.zeros(len(self.values))
-        return np.rint(100.0 * self.ratio(probe)) / 100.0
+            return np.zeros(len(self.values) if among is None else len(among))
+        return np.rint(100.0 * self.ratio(probe, among)) / 100.0
+
+
+def lcs_pairs(a: list[str], b: list[str], at_once: int = 4096) -> np.ndarray:
+    """LCS of a[i] and b[i] for every i: the same recurrence, run side by side for pairs of like lengths."""
+    out = np.zeros(len(a), dtype=np.int64)
+    la, lb = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+    order = np.lexsort((la, -(-lb // _WORD_BITS)))
+    at = 0
+    while at < len(order):
+        words = _words(int(lb[order[at]]))
+        size = max(at_once // words, 1)
+        rows = order[at : at + size]
+        rows = rows[np.maximum(-(-lb[rows] // _WORD_BITS), 1) == words]
+        at += len(rows)
+        left = _codes([a[i] for i in rows], int(la[rows].max()))
+        right = _codes([b[i] for i in rows], words * _WORD_BITS)
+        row = np.full((len(rows), words), ~np.uint64(0))
+        for j in range(left.shape[1]):  # rows are sorted by the length of a
+            live = int(np.searchsorted(la[rows], j, side="right"))
+            row[live:] = _step(row[live:], _bits(right[live:] == left[live:, j, None]))
+        out[rows] = np.bitwise_count(~row & _inside(lb[rows], words)).sum(axis=1)
+    return out
 
 
 @F.pandas_udf(IntegerType())
 def _lcs_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if x is None or y is None else lcs_length(x, y) for x, y in zip(a, b)], dtype="Int32"
-    )
+    known = a.notna() & b.notna()
+    out = pd.Series([None] * len(a), dtype="Int32")
+    out[known.to_numpy()] = lcs_pairs(a[known].tolist(), b[known].tolist())
+    return out
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
-    """``2 * LCS / (len + len)``, 0 for two empty strings."""
+    """``2 * LCS / (len + len)``, 0 for two empty strings, null where one is missing."""
     total = F.length(a) + F.length(b)
-    return F.when(total > 0, F.lit(2.0) * _lcs_column(a, b) / total).otherwise(F.lit(0.0))
+    return F.when(total > 0, F.lit(2.0) * _lcs_column(a, b) / total).when(total == 0, F.lit(0.0))
 
 
 def token_sort_score(a: Column, b: Column) -> Column:
@@ -111,19 +159,3 @@ def token_sort_score(a: Column, b: Column) -> Column:
     left, right = token_sorted(a), token_sorted(b)
     empty = (F.length(left) == 0) | (F.length(right) == 0)
     return F.when(empty, F.lit(0.0)).otherwise(F.bround(indel_ratio(left, right) * 100, 0) / 100)
-
-
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors; -1 where one is missing, as an unknown text scores."""
-    size = norm(a) * norm(b)
-    known = a.isNotNull() & b.isNotNull() & (size > 0)
-    return F.when(known, dot(a, b) / size).otherwise(F.lit(-1.0))

@@ -1,25 +1,30 @@
 """Which column values does a text mention?
 
-A mention is a run of whole words of the text whose indel ratio with a value reaches the
-threshold. Candidate pairs come from a join on short pieces: a value of length n is cut
-into more pieces than there can be edits at the threshold, so a true match leaves at least
-one piece untouched and the join loses nothing.
+A mention is a run of whole words of the text whose indel ratio with a value reaches the threshold and that begins with the
+same sign. Runs come out of a generator in batches, each with the number of its text, only of lengths that a partner of
+some value can have; no row holds all runs of a text. Distinct runs look values up in an index by grams (``grams``), which loses
+no pair, and each distinct pair is scored once. Texts are told apart by digest and joined back at the end.
 """
 
 from __future__ import annotations
 
+import re
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quillcheck.functions.similarity import indel_ratio
+from quillcheck.functions.text import number_or_null
 from quillcheck.functions.wordlists import COMMON_WORDS, DATABASE_TERMS, LONG_BOOLEANS, STOP_WORDS
+from quillcheck.operators.grams import GramIndex, partner_lengths, write_now
+from quillcheck.operators.skew import salted_join
+from quillcheck.session import settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -43,94 +48,85 @@ def word_pieces(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.trim(c)), F.lit(f"{_NOT_SEP}+{_SEP}*"), F.lit(0))
 
 
-def max_edits(size: Column, threshold: float) -> Column:
-    """The most insertions and deletions that a partner of a value of ``size`` may need."""
-    longest = (2 - threshold) / threshold
-    return F.floor(size * ((1 - threshold) * (1 + longest)) + 1e-9).cast("int")
+_WORD = re.compile(f"{_NOT_SEP}+{_SEP}*")
+_ROWS_AT_ONCE = 8192
 
 
-def spans(texts: DataFrame, text: str, max_words: Column | None = None, max_chars: Column | None = None) -> DataFrame:
-    """Add ``span``: one row per distinct run of whole words, within the limits that are given."""
+def runs(text: str, lengths: Sequence[int] | None = None) -> Iterator[str]:
+    """Runs of whole words of the lower-cased text, without the separators that end them, of two letters or more.
 
-    def from_word(i: Column) -> Column:
-        left = F.size("__pieces") - i + 1
-        counts = F.sequence(F.lit(1), left if max_words is None else F.least("__words", left))
-        return F.transform(
-            counts,
-            lambda n: F.regexp_replace(F.array_join(F.slice("__pieces", i, n), ""), f"{_SEP}+$", ""),
-        )
+    ``lengths``: sorted lengths that count; the others are passed over without being put together.
+    """
+    lower = text.strip(" ").lower()
+    words = [(m.start(), m.start() + len(m.group().rstrip(SEPARATORS))) for m in _WORD.finditer(lower)]
+    wanted = None if lengths is None else np.asarray(lengths, dtype=np.int64)
+    ends = np.array([e for _, e in words], dtype=np.int64)
+    for i, (start, _) in enumerate(words):
+        if wanted is None:
+            last = ends[i:]
+        else:
+            last = ends[i : int(np.searchsorted(ends, start + (wanted[-1] if len(wanted) else 0), side="right"))]
+            last = last[np.isin(last - start, wanted)]
+        for end in last.tolist():
+            if end - start > 1:
+                yield lower[start:end]
 
-    cut = texts.select("*", word_pieces(F.col(text)).alias("__pieces"), (F.lit(None) if max_words is None else max_words).alias("__words"))
-    starts = F.sequence(F.lit(1), F.size("__pieces"))
-    runs = F.flatten(F.transform(starts, from_word))
-    return (
-        cut.filter(F.size("__pieces") > 0)
-        .select(*texts.columns, F.explode(F.array_distinct(runs)).alias("span"))
-        .filter((F.length("span") > 1) & (F.lit(True) if max_chars is None else F.length("span") <= max_chars))
-    )
 
+def _run_rows(lengths: Sequence[int] | None, id_type: pa.DataType) -> Callable:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, found = [], []
 
-def span_limits(keys: DataFrame, threshold: float) -> tuple[Column, Column]:
-    """How many words and characters a span may have and still match some value of ``keys``."""
-    size = F.length("key")
-    words = F.size(word_pieces(F.col("key")))
-    limits = keys.agg(
-        F.max(words + max_edits(size, threshold)).alias("words"),
-        F.max(F.floor(size * ((2 - threshold) / threshold) + 1e-9)).cast("int").alias("chars"),
-    )
-    return (
-        F.coalesce(limits.select("words").scalar(), F.lit(1)),
-        F.coalesce(limits.select("chars").scalar(), F.lit(1)),
-    )
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(found, pa.string())], names=["of", "span"])
 
+        for batch in batches:
+            for of, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen = set()
+                for run in runs(text.as_py() or "", lengths):
+                    if run not in seen:
+                        seen.add(run)
+                        ids.append(of)
+                        found.append(run)
+                        if len(found) >= _ROWS_AT_ONCE:
+                            yield rows()
+                            ids, found = [], []
+        yield rows()
 
-def _value_pieces(keys: DataFrame, threshold: float) -> DataFrame:
-    size = F.length("key")
-    n = max_edits(size, threshold) + 1
-    start = lambda j: F.floor(j * size / n).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda j: F.struct(
-            start(j).alias("at"), F.substr("key", start(j) + 1, start(j + 1) - start(j)).alias("piece")
-        ),
-    )
-    return keys.select("key", head(F.col("key")).alias("head"), F.inline(pieces))
+    return each
 
 
-def _span_pieces(found: DataFrame, threshold: float) -> DataFrame:
-    """Every substring of a span that could be a piece of a value within the length band."""
-    size = F.length("span")
-    shortest = F.greatest(F.lit(1), F.ceil(size * (threshold / (2 - threshold)) - 1e-9)).cast("int")
-    longest = F.floor(size * ((2 - threshold) / threshold) + 1e-9).cast("int")
+def spans(texts: DataFrame, text: str, lengths: Sequence[int] | None = None) -> DataFrame:
+    """(of, span): the distinct runs of whole words of every distinct text, named by its digest; see ``runs``."""
+    named = texts.select(F.unhex(F.sha2(text, 256)).alias("of"), F.col(text).alias("text")).where("text IS NOT NULL").dropDuplicates(["of"])
+    return named.mapInArrow(_run_rows(lengths, pa.binary()), "of binary, span string")
 
-    def widths_of(n: Column) -> Column:
-        parts = max_edits(n, threshold) + 1
-        return F.array(F.floor(n / parts).cast("int"), F.ceil(n / parts).cast("int"))
 
-    widths = F.array_distinct(F.flatten(F.transform(F.sequence(shortest, longest), widths_of)))
-    cut = found.select("span", head(F.col("span")).alias("head"), F.explode(widths).alias("width"))
-    cut = cut.filter(F.col("width") <= size)
-    places = F.transform(
-        F.sequence(F.lit(0), size - F.col("width")),
-        lambda i: F.struct(i.alias("span_at"), F.substr("span", i + 1, "width").alias("piece")),
-    )
-    return cut.select("span", "head", F.inline(places))
+def of_text(texts: DataFrame, text: str, found: DataFrame) -> DataFrame:
+    """``found`` with the text itself in place of its digest ``of``."""
+    named = texts.select(F.unhex(F.sha2(text, 256)).alias("of"), text).dropDuplicates(["of"])
+    return named.join(found, "of").select(text, *[c for c in found.columns if c != "of"])
+
 
+def key_index(keys: DataFrame, threshold: float = THRESHOLD, write: Callable = write_now) -> GramIndex:
+    """The values (``key``, distinct) filed for partners at the threshold that begin with the same sign."""
+    return GramIndex(keys.select(F.col("key").alias("text")), threshold - 1e-9, write, {"head": head})
 
-def close_pairs(span_list: DataFrame, keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def span_lengths(index: GramIndex) -> list[int]:
+    """The lengths that partners of some value can have; as many numbers as the longest value has letters, at most twice."""
+    sizes = [r[0] for r in index.texts.select(F.length("text")).distinct().collect()]
+    return sorted({int(n) for s in sizes for n in partner_lengths(int(s), index.ratio)})
+
+
+def close_pairs(span_list: DataFrame, keys: DataFrame | GramIndex, threshold: float = THRESHOLD) -> DataFrame:
     """(span, key, score) of all pairs that share their head and reach the threshold.
 
-    span_list has ``span``, keys has ``key``; both distinct. Each pair is scored once.
+    span_list has ``span``, keys has ``key`` (or is their index); both distinct. Each pair is scored once.
     """
-    v = _value_pieces(keys, threshold)
-    s = _span_pieces(span_list, threshold)
-    drift = max_edits(F.length("key"), threshold)
-    band = (F.length("span") * (2 - threshold) + 1e-9 >= F.length("key") * threshold) & (
-        F.length("key") * (2 - threshold) + 1e-9 >= F.length("span") * threshold
-    )
-    near = F.abs(F.col("at") - F.col("span_at")) <= drift
-    candidates = s.join(v, ["head", "piece"]).filter(band & near).select("span", "key").distinct()
-    return candidates.withColumn("score", indel_ratio(F.col("key"), F.col("span"))).filter(F.col("score") >= threshold)
+    index = keys if isinstance(keys, GramIndex) else key_index(keys, threshold)
+    found = index.partners(span_list.select(F.col("span").alias("asked")))
+    same = head(F.col("asked")) == head(F.col("text"))
+    return found.where(same).select(F.col("asked").alias("span"), F.col("text").alias("key"), F.col("ratio").alias("score"))
 
 
 _PAIRS_AT_ONCE = 512
@@ -171,7 +167,7 @@ def longest_run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 
 def is_number(c: Column) -> Column:
-    return F.replace(c, F.lit(","), F.lit("")).try_cast("double").isNotNull()
+    return number_or_null(F.replace(c, F.lit(","), F.lit(""))).isNotNull()
 
 
 def usable(run: Column, span: Column, key: Column, score: Column) -> Column:
@@ -193,38 +189,37 @@ def all_upper(c: Column) -> Column:
     return (F.upper(c) == c) & (F.lower(c) != c)
 
 
-def scored_pairs(texts: DataFrame, text: str, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(span, key, score, run_at, run_size, run): usable pairs of text spans and index values."""
-    keys = index.select(F.lower(F.trim("value")).alias("key")).filter(F.length("key") > 0).distinct()
-    words, chars = span_limits(keys, threshold)
-    distinct_spans = spans(texts.select(text).distinct(), text, words, chars).select("span").distinct()
-    pairs = close_pairs(distinct_spans, keys, threshold).withColumn("r", longest_run(F.col("key"), F.col("span")))
+def keys_of(index: DataFrame) -> DataFrame:
+    """The distinct values as they are compared: trimmed, in lower case, not empty."""
+    return index.select(F.lower(F.trim("value")).alias("key")).filter(F.length("key") > 0).distinct()
+
+
+def scored_pairs(found: DataFrame, keys: GramIndex) -> DataFrame:
+    """(span, key, score, run_at, run_size, run): usable pairs of the runs ``found`` (of, span) and indexed values."""
+    pairs = close_pairs(found.select("span").distinct(), keys).withColumn("r", longest_run(F.col("key"), F.col("span")))
     run = F.trim(F.substr("key", F.col("r.at") + 1, F.col("r.size")))
     return pairs.select(
         "span", "key", "score", F.col("r.at").alias("run_at"), F.col("r.size").alias("run_size"), run.alias("run")
     ).filter(usable(F.col("run"), F.col("span"), F.col("key"), F.col("score")))
 
 
-def mentions(texts: DataFrame, text: str, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def mentions(texts: DataFrame, text: str, index: DataFrame, threshold: float = THRESHOLD, keys: GramIndex | None = None) -> DataFrame:
     """(text, tbl, col, value, score, run_size): each value a text mentions, at its best span.
 
-    Works per distinct text. Values written all in capitals count only when exact. Where
-    several values of a column share the same matched run, the last in order stands for all.
+    Works per distinct text. Values written all in capitals count only when exact. Where several values of a column
+    share the same matched run, the last in order stands for all. A null or empty text mentions nothing. ``keys``: the
+    values' index by grams, if there is one already.
     """
-    pairs = scored_pairs(texts, text, index, threshold)
-    keys = index.select(F.lower(F.trim("value")).alias("key")).distinct()
-    words, chars = span_limits(keys.filter(F.length("key") > 0), threshold)
-    per_text = spans(texts.select(text).distinct(), text, words, chars)
+    keys = key_index(keys_of(index), threshold) if keys is None else keys
+    found = settled(spans(texts, text, span_lengths(keys)), "spans")
+    pairs = settled(scored_pairs(found, keys), "pairs")
     named = index.select("tbl", "col", F.trim("value").alias("value"), F.lower(F.trim("value")).alias("key"))
     hits = pairs.join(named, "key").filter((F.col("score") >= 1) | ~all_upper(F.col("value")))
     best = F.max(F.struct("score", "run_size", F.substr("value", F.col("run_at") + 1, "run_size").alias("run")))
-    per_value = per_text.join(hits, "span").groupBy(text, "tbl", "col", "value").agg(best.alias("m"))
+    per_value = salted_join(found, hits, ["span"]).groupBy("of", "tbl", "col", "value").agg(best.alias("m"))
     last = F.max(F.struct("value", F.col("m.score").alias("score"), F.col("m.run_size").alias("run_size")))
-    return (
-        per_value.groupBy(text, "tbl", "col", F.col("m.run").alias("run"))
-        .agg(last.alias("l"))
-        .select(text, "tbl", "col", "l.value", "l.score", "l.run_size")
-    )
+    per_run = per_value.groupBy("of", "tbl", "col", F.col("m.run").alias("run")).agg(last.alias("l"))
+    return of_text(texts, text, per_run.select("of", "tbl", "col", "l.value", "l.score", "l.run_size"))
 
 
 def top_mentions(found: DataFrame, text: str, k: int = TOP_K) -> DataFrame:
@@ -254,8 +249,8 @@ def quoted(values: Column) -> Column:
     return F.transform(values, lambda v: F.concat(F.lit('"'), v, F.lit('"')))
 
 
-def linked_values(texts: DataFrame, text: str, index: DataFrame) -> DataFrame:
+def linked_values(texts: DataFrame, text: str, index: DataFrame, keys: GramIndex | None = None) -> DataFrame:
     """(text, tbl, col, values): the best mentions of each column, in order, at most TOP_K."""
-    top = top_mentions(mentions(texts, text, index), text)
+    top = top_mentions(mentions(texts, text, index, keys=keys), text)
     listed = F.array_sort(F.collect_list(F.struct("place", "value")))
     return top.groupBy(text, "tbl", "col").agg(F.transform(listed, lambda x: x["value"]).alias("values"))

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillcheck.functions.similarity import ValueBlock, token_sorted
 from quillcheck.functions.text import number_or_null
+from quillcheck.operators.search import Searchable, search, search_elsewhere
 from quillcheck.session import settled
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Fixed value: the score a fuzzy hit must exceed.
 ACCEPT_ABOVE = 0.65
-
-VALUES_PER_BLOCK = 256
-PROBES_PER_BLOCK = 256
+# What the feedback says of a predicate, by verdict.
+WRONG_VALUE = '%d. Column %s does not contain the value "%s", but it contains a value "%s" '
+WRONG_COLUMN = '%d. Column %s does not contain value "%s", but the column %s contains value "%s"'
 
 
 # ---- index -----------------------------------------------------------------------------
@@ -35,14 +28,22 @@ def picklist(frame: DataFrame, col: str) -> DataFrame:
 
 
 def table_values(frame: DataFrame, tbl: str, cols: Sequence[str]) -> DataFrame:
-    """(tbl, col, value), distinct, from one scan of the table."""
-    text = frame.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    return text.unpivot([], list(cols), "col", "value").filter("value IS NOT NULL").distinct().select(F.lit(tbl).alias("tbl"), "col", "value")
+    """(tbl, col, value), distinct."""
+    return value_index({tbl: frame}, {tbl: cols})
 
 
 def value_index(frames: dict[str, DataFrame], columns: dict[str, Sequence[str]]) -> DataFrame:
-    """The index of a database: one scan per table."""
-    return reduce(DataFrame.unionAll, [table_values(frames[t], t, cols) for t, cols in columns.items()])
+    """(tbl, col, value), distinct, of a database; null values have no entry.
+
+    Each column is a scan of its own, which reads no more of a columnar file and lets columns be worked on side by
+    side; what is left of each goes through one shuffle.
+    """
+    each = [
+        frames[t].select(F.lit(t).alias("tbl"), F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("value")).filter("value IS NOT NULL")
+        for t, cols in columns.items()
+        for c in cols
+    ]
+    return reduce(DataFrame.unionAll, each).distinct()
 
 
 def inverted(index: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -61,153 +62,6 @@ def match_key(c: Column) -> Column:
     return F.lower(F.trim(c))
 
 
-# ---- blocked search --------------------------------------------------------------------
-
-
-def _pack(df: DataFrame, keys: Sequence[str], size_col: str, per_block: int) -> DataFrame:
-    """Fold rows of equal ``keys`` into arrays of at most ``per_block`` items, without a shuffle.
-
-    Each task sorts its own rows and cuts its own blocks, so a hot key makes many blocks
-    and never one large group. Sorting by size keeps the sizes within a block close.
-    """
-    items = [c for c in df.columns if c not in keys]
-    schema = T.StructType(
-        [df.schema[k] for k in keys]
-        + [T.StructField(c, T.ArrayType(df.schema[c].dataType)) for c in items]
-        + [T.StructField("__lo", T.LongType()), T.StructField("__hi", T.LongType())]
-    )
-    key_list = list(keys)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            groups = batch.groupby(key_list, sort=False, dropna=False) if key_list else [((), batch)]
-            for key, group in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                for at in range(0, len(group), per_block):
-                    part = group.iloc[at : at + per_block]
-                    sizes = part[size_col]
-                    rows.append((*key, *[part[c].tolist() for c in items], int(sizes.min()), int(sizes.max())))
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return df.sortWithinPartitions(*keys, size_col).mapInPandas(cut, schema)
-
-
-def _top(score: np.ndarray, exact: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best: score, then exact hit, then the given order of the values."""
-    if k == 1:
-        best = np.flatnonzero(score == score.max())
-        hit = best[exact[best]]
-        return (hit if len(hit) else best)[[np.argmin(order[hit if len(hit) else best])]]
-    return np.lexsort((order, ~exact, -score))[:k]
-
-
-def search(
-    probes: DataFrame,
-    values: DataFrame,
-    on: Sequence[str],
-    k: int = 1,
-    above: float | None = None,
-    differ: Sequence[str] = (),
-    spread: int = 8,
-) -> DataFrame:
-    """The k best values per distinct (``on``, ``differ``, literal), by token-sort score.
-
-    probes: ``on`` + ``differ`` columns and ``literal``. values: ``on`` columns, ``value`` and
-    any further columns that travel with it. ``differ`` columns exist on both sides and must not
-    be equal. With ``above`` only scores beyond it count, which lets blocks whose lengths rule
-    such a score out stay unjoined.
-
-    Both sides are cut into blocks of a few hundred strings and the join pairs blocks, not
-    strings; each pair yields k rows per probe. Blocks are spread over ``spread`` salts, so one
-    hot column is shared by many tasks.
-    """
-    carried = [c for c in values.columns if c not in on and c != "value"]
-    v = values.filter("value IS NOT NULL").distinct().withColumn("norm", token_sorted(F.col("value")))
-    v = v.withColumn("size", F.length("norm").cast("bigint"))
-    v = v.withColumn("__salt", F.pmod(F.xxhash64("value"), F.lit(spread)).cast("int"))
-    v_blocks = _pack(v, [*on, *differ, "__salt"], "size", VALUES_PER_BLOCK)
-
-    p_keys = [*on, *differ]
-    p = probes.select(*p_keys, "literal").filter("literal IS NOT NULL").distinct().withColumn("norm", token_sorted(F.col("literal")))
-    p = p.withColumn("size", F.length("norm").cast("bigint"))
-    p_blocks = _pack(p, p_keys, "size", PROBES_PER_BLOCK)
-    salts = F.explode(F.array(*[F.lit(i) for i in range(spread)]))
-    p_blocks = p_blocks.select(
-        *[F.col(c) for c in on],
-        *[F.col(c).alias(f"__p_{c}") for c in differ],
-        salts.alias("__salt"),
-        F.col("literal"),
-        F.col("norm").alias("__p_norm"),
-        F.col("__lo").alias("__p_lo"),
-        F.col("__hi").alias("__p_hi"),
-    )
-    pairs = p_blocks.join(v_blocks, [*on, "__salt"])
-    for c in differ:
-        pairs = pairs.filter(F.col(f"__p_{c}") != F.col(c))
-    if above is not None:
-        # score <= 2 * shorter / (shorter + longer), and a score is rounded to whole percent.
-        reach = above - 0.01
-        pairs = pairs.filter(
-            (F.col("__p_hi") * (2 - reach) >= F.col("__lo") * reach) & (F.col("__hi") * (2 - reach) >= F.col("__p_lo") * reach)
-        )
-    payload = [c for c in carried if c not in differ]
-    out_schema = T.StructType(
-        [values.schema[c] for c in on]
-        + [T.StructField(f"__p_{c}", values.schema[c].dataType) for c in differ]
-        + [T.StructField("literal", T.StringType())]
-        + [T.StructField("value", T.StringType())]
-        + [values.schema[c] for c in carried]
-        + [T.StructField("score", T.DoubleType()), T.StructField("exact", T.BooleanType())]
-    )
-    names = out_schema.names
-    on_cols, differ_cols, floor_score, keep = list(on), list(differ), above, k
-
-    def score_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                vals = list(row["value"])
-                block = ValueBlock(row["norm"])
-                plain = np.array([x.strip().lower() for x in vals], dtype=object)
-                ties = pd.DataFrame({"value": vals, **{c: list(row[c]) for c in payload}})
-                order = np.empty(len(vals), dtype=np.int64)
-                order[ties.sort_values(list(ties.columns)).index] = np.arange(len(vals))
-                rows = []
-                for literal, norm in zip(row["literal"], row["__p_norm"]):
-                    score = block.percent(norm)
-                    exact = plain == literal.strip().lower()
-                    for i in _top(score, exact, order, keep):
-                        if floor_score is not None and not score[i] > floor_score:
-                            continue
-                        rows.append(
-                            (
-                                *[row[c] for c in on_cols],
-                                *[row[f"__p_{c}"] for c in differ_cols],
-                                literal,
-                                vals[i],
-                                *[row[c] if c in differ_cols else row[c][i] for c in carried],
-                                float(score[i]),
-                                bool(exact[i]),
-                            )
-                        )
-                yield pd.DataFrame(rows, columns=names)
-
-    found = pairs.mapInPandas(score_blocks, out_schema)
-    group = [*on, *[f"__p_{c}" for c in differ], "literal"]
-    better = F.struct(
-        (-F.col("score")).alias("worse"), (~F.col("exact")).alias("inexact"), "value", *carried
-    )
-    if k == 1:
-        best = found.groupBy(*group).agg(F.min(better).alias("b"))
-        return best.select(
-            *group, (-F.col("b.worse")).alias("score"), (~F.col("b.inexact")).alias("exact"), "b.value", *[f"b.{c}" for c in carried]
-        )
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("exact"), "value", *carried))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
-
-
 # ---- stages ----------------------------------------------------------------------------
 
 
@@ -218,20 +72,19 @@ def exact_in_column(probes: DataFrame, index: DataFrame) -> DataFrame:
     return probes.withColumn("key", match_key(F.col("literal"))).join(best, ["tbl", "col", "key"]).drop("key")
 
 
-def best_in_table(probes: DataFrame, index: DataFrame, exclude_own: bool = False, above: float | None = None) -> DataFrame:
-    """Best (score, column, value) of the probe's table; its own column may be left out."""
+def best_in_table(probes: DataFrame, index: DataFrame | Searchable, exclude_own: bool = False, above: float | None = None, near: DataFrame | None = None) -> DataFrame:
+    """Best (score, value, found_col) of the probe's table; its own column (``own_col``) may be left out."""
     if exclude_own:
-        return search(probes, index, ["tbl"], differ=["col"], above=above)
-    found = index.select("tbl", "value", F.col("col").alias("found_col"))
-    return search(probes.select("tbl", "literal"), found, ["tbl"], above=above)
+        found = search(probes, index, ["tbl"], differ=["col"], above=above, near=near)
+        return found.select("tbl", F.col("__p_col").alias("own_col"), "literal", "score", "value", F.col("col").alias("found_col"))
+    return search(probes, index, ["tbl"], above=above, near=near).select("tbl", "literal", "score", "value", F.col("col").alias("found_col"))
 
 
-def best_elsewhere(probes: DataFrame, index: DataFrame, above: float | None = None) -> DataFrame:
+def best_elsewhere(probes: DataFrame, index: DataFrame | Searchable, above: float | None = None, near: DataFrame | None = None) -> DataFrame:
     """Best (score, table, column, value) outside the probe's table."""
-    one = F.lit(1).alias("db")
-    return search(
-        probes.select(one, "tbl", "literal"), index.select(one, "tbl", "value", "col"), ["db"], differ=["tbl"], above=above
-    ).select(F.col("__p_tbl").alias("tbl"), "literal", "score", "value", F.col("tbl").alias("found_tbl"), F.col("col").alias("found_col"))
+    index = index if isinstance(index, Searchable) else Searchable(index)
+    found = search_elsewhere(probes, index, "tbl", above=above, near=near)
+    return found.select(F.col("__p_tbl").alias("tbl"), "literal", "score", "value", F.col("tbl").alias("found_tbl"), F.col("col").alias("found_col"))
 
 
 def number_checked(literal: Column, candidate: Column) -> Column:
@@ -240,7 +93,7 @@ def number_checked(literal: Column, candidate: Column) -> Column:
     return F.when(~both, candidate)
 
 
-def calibrate(probes: DataFrame, index: DataFrame) -> DataFrame:
+def calibrate(probes: DataFrame, index: DataFrame | Searchable) -> DataFrame:
     """For each probe the column and value it most likely means.
 
     probes: tbl, col, literal (and anything else). Adds stage, match_tbl, match_col and
@@ -249,16 +102,15 @@ def calibrate(probes: DataFrame, index: DataFrame) -> DataFrame:
     in another table, 6 the column's best however poor. Work is done per distinct probe,
     and each stage searches only for what the cheaper ones left over.
     """
+    searched = index if isinstance(index, Searchable) else Searchable(index)
+    index = searched.entries
     unique = probes.select("tbl", "col", "literal").distinct()
     keyed = unique.withColumn("key", match_key(F.col("literal")))
-    in_column = index.select("tbl", "col", match_key(F.col("value")).alias("key")).distinct().withColumn("own", F.lit(True))
-    in_table = (
-        index.select("tbl", match_key(F.col("value")).alias("key"), F.struct("value", "col").alias("hit"))
-        .groupBy("tbl", "key")
-        .agg(F.min("hit").alias("hit"))
-    )
-    looked_up = keyed.join(in_column, ["tbl", "col", "key"], "left").join(in_table, ["tbl", "key"], "left").drop("key")
-    looked_up = settled(looked_up)
+    values = index.select("tbl", F.col("col").alias("found"), "value", match_key(F.col("value")).alias("key"))
+    hits = keyed.join(values, ["tbl", "key"], "left").groupBy("tbl", "col", "literal")
+    own = F.when(F.max(F.col("found") == F.col("col")), F.lit(True))
+    hit = F.min(F.when(F.col("found").isNotNull(), F.struct("value", F.col("found").alias("col"))))
+    looked_up = settled(hits.agg(own.alias("own"), hit.alias("hit")), "looked-up")
 
     own_tbl, own_col, none = F.col("tbl"), F.col("col"), F.lit(None).cast("string")
 
@@ -273,11 +125,12 @@ def calibrate(probes: DataFrame, index: DataFrame) -> DataFrame:
         looked_up.filter("own IS NULL AND hit IS NOT NULL"), 2, own_tbl, F.col("hit.col"), F.col("hit.value")
     )
     left = looked_up.filter("own IS NULL AND hit IS NULL").select("tbl", "col", "literal")
+    near = settled(searched.near(left), "near")
 
     # A probe whose column holds no value at all gets no candidate and a null answer.
     column_best = settled(
         left.join(
-            search(left, index.select("tbl", "col", "value"), ["tbl", "col"]).select(
+            search(left, searched, ["tbl", "col"], near=near).select(
                 "tbl", "col", "literal", F.col("score").alias("col_score"), F.col("value").alias("col_value")
             ),
             ["tbl", "col", "literal"],
@@ -290,7 +143,7 @@ def calibrate(probes: DataFrame, index: DataFrame) -> DataFrame:
 
     table_best = settled(
         left.join(
-            best_in_table(left, index, above=ACCEPT_ABOVE).select("tbl", "literal", "value", "found_col"),
+            best_in_table(left, searched, above=ACCEPT_ABOVE, near=near).select("tbl", "literal", "value", "found_col"),
             ["tbl", "literal"],
             "left",
         )
@@ -303,7 +156,7 @@ def calibrate(probes: DataFrame, index: DataFrame) -> DataFrame:
     left = table_best.filter("value IS NULL").drop("value", "found_col")
 
     other_best = left.join(
-        best_elsewhere(left, index, above=ACCEPT_ABOVE).select("tbl", "literal", "value", "found_tbl", "found_col"),
+        best_elsewhere(left, searched, above=ACCEPT_ABOVE, near=near).select("tbl", "literal", "value", "found_tbl", "found_col"),
         ["tbl", "literal"],
         "left",
     )
@@ -339,18 +192,9 @@ def feedback(judged: DataFrame, query: str, order: str) -> DataFrame:
         "n", F.row_number().over(Window.partitionBy(query).orderBy(order))
     )
     own = F.concat_ws(".", "tbl", "col")
-    line = F.when(
-        F.col("verdict") == "value wrong",
-        F.format_string(
-            '%d. Column %s does not contain the value "%s", but it contains a value "%s" ',
-            "n", own, "literal", "match_value",
-        ),
-    ).otherwise(
-        F.format_string(
-            '%d. Column %s does not contain value "%s", but the column %s contains value "%s"',
-            "n", own, "literal", F.concat_ws(".", "match_tbl", "match_col"), "match_value",
-        )
-    )
+    in_column = F.format_string(WRONG_VALUE, "n", own, "literal", "match_value")
+    in_other = F.format_string(WRONG_COLUMN, "n", own, "literal", F.concat_ws(".", "match_tbl", "match_col"), "match_value")
+    line = F.when(F.col("verdict") == "value wrong", in_column).otherwise(in_other)
     lines = F.array_sort(F.collect_list(F.struct("n", line.alias("line"))))
     return wrong.groupBy(query).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("feedback"))
 

@@ -8,8 +8,9 @@ from quillcheck.operators import linking as ln
 from quillcheck.operators import serialize as ser
 from quillcheck.plans.catalog_queries import DATABASES, DECLARED, FK_SCHEMA, FOREIGN_KEYS
 from quillcheck.plans.registry import plan
-from quillcheck.plans.value_queries import stored_index as index
+from quillcheck.plans.value_queries import searchable
 from quillcheck.plans.views import VIEWS, PARTS, oracle, view
+from quillcheck.session import once
 
 
 def _sql_text(s: str) -> str:
@@ -37,8 +38,23 @@ def questions(t):
     return view(t, "questions")
 
 
+def index(t):
+    """All values of all columns, written once."""
+    return searchable(t).entries.select("tbl", "col", "value")
+
+
+def keys(t):
+    """The values' index by grams; each part is written once per session and state of the tables."""
+    distinct = once(t.spark, t.root, "keys", lambda: ln.keys_of(index(t)))
+    return ln.key_index(distinct, write=lambda label, make: once(t.spark, t.root, f"keys-{label}", make))
+
+
+def question_spans(t):
+    return ln.spans(questions(t), "question", ln.span_lengths(keys(t)))
+
+
 def pairs(t):
-    return ln.scored_pairs(questions(t), "question", index(t))
+    return ln.scored_pairs(question_spans(t), keys(t))
 
 
 @plan("l01_longest_run", oracle("SELECT span, key, run_at, run_size FROM <<usable_pairs>>"))
@@ -52,7 +68,7 @@ def longest_run(t):
 )
 def word_spans(t):
     texts = questions(t).select("question").distinct()
-    return ln.spans(texts, "question")
+    return ln.of_text(texts, "question", ln.spans(texts, "question"))
 
 
 @plan(
@@ -69,10 +85,7 @@ def head_gate(t):
 
 @plan("l04_ratio", oracle("SELECT span, key, round(score, 6) AS score FROM <<span_pairs>>"))
 def ratio(t):
-    keys = index(t).select(F.lower(F.trim("value")).alias("key")).distinct()
-    words, chars = ln.span_limits(keys, ln.THRESHOLD)
-    found = ln.spans(questions(t).select("question").distinct(), "question", words, chars).select("span").distinct()
-    return ln.close_pairs(found, keys).withColumn("score", F.round("score", 6))
+    return ln.close_pairs(question_spans(t).select("span").distinct(), keys(t)).withColumn("score", F.round("score", 6))
 
 
 @plan(
@@ -96,11 +109,8 @@ def possessive(t):
     ),
 )
 def word_filters(t):
-    keys = index(t).select(F.lower(F.trim("value")).alias("key")).distinct()
-    words, chars = ln.span_limits(keys, ln.THRESHOLD)
-    found = ln.spans(questions(t).select("question").distinct(), "question", words, chars).select("span").distinct()
     run = ln.longest_run(F.col("key"), F.col("span"))
-    close = ln.close_pairs(found, keys).withColumn("r", run)
+    close = ln.close_pairs(question_spans(t).select("span").distinct(), keys(t)).withColumn("r", run)
     text = F.trim(F.substr("key", F.col("r.at") + 1, F.col("r.size")))
     return close.select("span", "key", ln.usable(text, F.col("span"), F.col("key"), F.col("score")).alias("usable"))
 
@@ -116,11 +126,11 @@ def all_upper(t):
     values = index(t)
     named = values.select("tbl", "col", "value", F.lower(F.trim("value")).alias("key"))
     kept = (F.col("score") >= 1) | ~ln.all_upper(F.col("value"))
-    return ln.scored_pairs(questions(t), "question", values).join(named, "key").select("span", "tbl", "col", "value", kept.alias("kept"))
+    return pairs(t).join(named, "key").select("span", "tbl", "col", "value", kept.alias("kept"))
 
 
 def mentioned(t):
-    return ln.mentions(questions(t), "question", index(t))
+    return ln.mentions(questions(t), "question", index(t), keys=keys(t))
 
 
 @plan(
@@ -149,7 +159,7 @@ def always_shown(t):
     ),
 )
 def quoted_values(t):
-    linked = ln.linked_values(questions(t), "question", index(t))
+    linked = ln.linked_values(questions(t), "question", index(t), keys(t))
     return linked.select("question", "tbl", "col", F.array_join(ln.quoted(F.col("values")), ", ").alias("vals"))
 
 
@@ -160,7 +170,7 @@ def quoted_values(t):
     ),
 )
 def linked_questions(t):
-    linked = ln.linked_values(questions(t), "question", index(t))
+    linked = ln.linked_values(questions(t), "question", index(t), keys(t))
     return (
         questions(t).join(linked, "question").select("q_id", "tbl", "col", F.array_join("values", "|").alias("vals"))
     )

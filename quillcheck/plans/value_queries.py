@@ -7,20 +7,12 @@ from quillcheck.functions.text import number_or_null
 from quillcheck.operators import catalog as cat
 from quillcheck.operators import values as vals
 from quillcheck.operators import vectors as vec
+from quillcheck.operators.search import Searchable, search
 from quillcheck.plans.catalog_queries import DATABASES, DECLARED
 from quillcheck.plans.registry import plan
-from quillcheck.plans.views import oracle, view
+from quillcheck.plans.views import PARTS, oracle, view
 from quillcheck.session import once
 
-# The columns whose contents are searched.
-INDEXED = {
-    "customer": ["c_mktsegment"],
-    "orders": ["o_orderpriority", "o_orderstatus"],
-    "part": ["p_name", "p_brand", "p_type"],
-    "region": ["r_name"],
-    "nation": ["n_name"],
-    "lineitem": ["l_returnflag", "l_linestatus"],
-}
 # The columns of the sales tables as declared, for the SQL; the query takes them from the tables.
 ALL_COLUMNS = {line.split()[0]: [c.split(":")[0] for c in line.split()[1:]] for line in DECLARED.split("\n") if line.split() and line.split()[0] in DATABASES["sales"]}
 
@@ -29,13 +21,21 @@ def sales(t) -> dict:
     return {tbl: t.scan(tbl) for tbl in DATABASES["sales"]}
 
 
-def index(t, columns=INDEXED):
-    return vals.value_index(sales(t), columns)
+def index(t):
+    """All values of all columns of the sales tables."""
+    frames = sales(t)
+    return vals.value_index(frames, {tbl: f.columns for tbl, f in frames.items()})
 
 
-def stored_index(t):
-    """The index as a table written once per database, for jobs that read it more than once."""
-    return once(t.spark, t.root, "value-index", lambda: index(t))
+def searchable(t):
+    """The index ready for search; each part is written once per session and state of the tables."""
+    return Searchable(index(t), lambda label, make: once(t.spark, t.root, f"values-{label}", make))
+
+
+PARTS["all_values"] = " UNION ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM {t}" for t, cs in ALL_COLUMNS.items() for c in cs)
+# The score of the literal ``a`` against a value of ``n`` letters, whose places are bits by letter in ``m``.
+PARTS["score"] = """CASE WHEN a = '' OR n = 0 THEN 0.0 ELSE round_even(100 * (2.0 * (n - bit_count(list_reduce(string_split(a, ''), lambda r, c:
+ ((r + (r & coalesce(m[c], 0::UBIGINT))) | (r - (r & coalesce(m[c], 0::UBIGINT)))) & ((1::UBIGINT << n::UBIGINT) - 1), (1::UBIGINT << n::UBIGINT) - 1))) / (length(a) + n)), 0) / 100 END"""
 
 
 def probes(t):
@@ -64,11 +64,11 @@ def table_index(t):
 @plan(
     "v03_database_index",
     "SELECT value, tbl, string_agg(DISTINCT col, ',' ORDER BY col) AS cols FROM ("
-    + " UNION ".join(f"SELECT '{t}' AS tbl, '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM {t}" for t, cs in ALL_COLUMNS.items() for c in cs)
+    + PARTS["all_values"]
     + ") u WHERE value IS NOT NULL GROUP BY value, tbl",
 )
 def database_index(t):
-    found = vals.inverted(vals.value_index(sales(t), {n: f.columns for n, f in sales(t).items()}), ["value", "tbl"])
+    found = vals.inverted(index(t), ["value", "tbl"])
     return found.select("value", "tbl", F.array_join("cols", ",").alias("cols"))
 
 
@@ -134,17 +134,19 @@ def mean_vector(t):
     )
 
 
+_PAIRS = "JOIN <<literal_norms>> l ON l.literal = p.literal JOIN <<value_norms>> n ON n.value = v.value"
+
+
 @plan(
     "v08_ranked_candidates",
     oracle(
-        """SELECT tbl, col, literal, place, value, score FROM (SELECT p.tbl, p.col, p.literal, v.value, s.score, row_number() OVER
-        (PARTITION BY p.tbl, p.col, p.literal ORDER BY score DESC, exact DESC, v.value) AS place FROM
-        (SELECT DISTINCT tbl, col, literal FROM <<probes>>) p JOIN <<value_index>> v ON v.tbl = p.tbl AND v.col = p.col
-        JOIN <<literal_scores>> s ON s.literal = p.literal AND s.value = v.value) x WHERE place <= 3"""
+        f"""SELECT tbl, col, literal, place, value, score FROM (SELECT *, row_number() OVER (PARTITION BY tbl, col, literal ORDER BY score DESC, exact DESC, value) AS place
+        FROM (SELECT p.tbl, p.col, p.literal, v.value, [[score]] AS score, lower(trim(p.literal)) = lower(trim(v.value)) AS exact
+        FROM (SELECT DISTINCT tbl, col, literal FROM <<probes>>) p JOIN <<value_index>> v ON v.tbl = p.tbl AND v.col = p.col {_PAIRS}) y) x WHERE place <= 3"""
     ),
 )
 def ranked_candidates(t):
-    found = vals.search(probes(t), index(t), ["tbl", "col"], k=3)
+    found = search(probes(t), searchable(t), ["tbl", "col"], k=3)
     return found.select("tbl", "col", "literal", F.col("place").cast("bigint").alias("place"), "value", "score")
 
 
@@ -156,47 +158,45 @@ def ranked_candidates(t):
     ),
 )
 def exact_hit(t):
-    return vals.exact_in_column(probes(t), index(t))
+    return vals.exact_in_column(probes(t), searchable(t).entries)
 
 
 @plan(
     "v10_best_in_table",
     oracle(
-        """SELECT tbl, literal, score, value, found_col FROM (SELECT p.tbl, p.literal, s.score, v.value, v.col AS found_col, row_number()
-        OVER (PARTITION BY p.tbl, p.literal ORDER BY score DESC, exact DESC, v.value, v.col) AS rn
-        FROM (SELECT DISTINCT tbl, literal FROM <<probes>>) p JOIN <<value_index>> v ON v.tbl = p.tbl
-        JOIN <<literal_scores>> s ON s.literal = p.literal AND s.value = v.value) x WHERE rn = 1"""
+        f"""SELECT tbl, literal, score, value, found_col FROM (SELECT *, row_number() OVER (PARTITION BY tbl, literal ORDER BY score DESC, exact DESC, value, found_col) AS rn
+        FROM (SELECT p.tbl, p.literal, v.value, v.col AS found_col, [[score]] AS score, lower(trim(p.literal)) = lower(trim(v.value)) AS exact
+        FROM (SELECT DISTINCT tbl, literal FROM <<probes>>) p JOIN <<value_index>> v ON v.tbl = p.tbl {_PAIRS}) y) x WHERE rn = 1"""
     ),
 )
 def best_in_table(t):
-    return vals.best_in_table(probes(t), index(t)).select("tbl", "literal", "score", "value", "found_col")
+    return vals.best_in_table(probes(t), searchable(t))
 
 
 @plan(
     "v10_best_in_other_columns",
     oracle(
-        """SELECT tbl, own_col, literal, score, value, found_col FROM (SELECT p.tbl, p.col AS own_col, p.literal, s.score, v.value,
-        v.col AS found_col, row_number() OVER (PARTITION BY p.tbl, p.col, p.literal ORDER BY score DESC, exact DESC, v.value, v.col) AS rn
-        FROM (SELECT DISTINCT tbl, col, literal FROM <<probes>>) p JOIN <<value_index>> v ON v.tbl = p.tbl AND v.col <> p.col
-        JOIN <<literal_scores>> s ON s.literal = p.literal AND s.value = v.value) x WHERE rn = 1"""
+        f"""SELECT tbl, own_col, literal, score, value, found_col FROM (SELECT *, row_number() OVER (PARTITION BY tbl, own_col, literal
+        ORDER BY score DESC, exact DESC, value, found_col) AS rn FROM (SELECT p.tbl, p.col AS own_col, p.literal, v.value, v.col AS found_col, [[score]] AS score,
+        lower(trim(p.literal)) = lower(trim(v.value)) AS exact FROM (SELECT DISTINCT tbl, col, literal FROM <<probes>>) p
+        JOIN <<value_index>> v ON v.tbl = p.tbl AND v.col <> p.col {_PAIRS}) y) x WHERE rn = 1"""
     ),
 )
 def best_in_other_columns(t):
-    found = vals.best_in_table(probes(t), index(t), exclude_own=True)
-    return found.select("tbl", F.col("__p_col").alias("own_col"), "literal", "score", "value", F.col("col").alias("found_col"))
+    return vals.best_in_table(probes(t), searchable(t), exclude_own=True)
 
 
 @plan(
     "v11_best_elsewhere",
     oracle(
-        """SELECT tbl, literal, score, value, found_tbl, found_col FROM (SELECT p.tbl, p.literal, s.score, v.value, v.tbl AS found_tbl,
-        v.col AS found_col, row_number() OVER (PARTITION BY p.tbl, p.literal ORDER BY score DESC, exact DESC, v.value, v.tbl, v.col) AS rn
-        FROM (SELECT DISTINCT tbl, literal FROM <<probes>>) p JOIN <<value_index>> v ON v.tbl <> p.tbl
-        JOIN <<literal_scores>> s ON s.literal = p.literal AND s.value = v.value) x WHERE rn = 1"""
+        f"""SELECT tbl, literal, score, value, found_tbl, found_col FROM (SELECT *, row_number() OVER (PARTITION BY tbl, literal
+        ORDER BY score DESC, exact DESC, value, found_tbl, found_col) AS rn FROM (SELECT p.tbl, p.literal, v.value, v.tbl AS found_tbl, v.col AS found_col, [[score]] AS score,
+        lower(trim(p.literal)) = lower(trim(v.value)) AS exact FROM (SELECT DISTINCT tbl, literal FROM <<probes>>) p
+        JOIN <<value_index>> v ON v.tbl <> p.tbl {_PAIRS}) y) x WHERE rn = 1"""
     ),
 )
 def best_elsewhere(t):
-    return vals.best_elsewhere(probes(t), index(t))
+    return vals.best_elsewhere(probes(t), searchable(t))
 
 
 @plan(
@@ -214,7 +214,7 @@ def number_check(t):
 
 
 def calibrated(t):
-    return vals.calibrate(probes(t), stored_index(t))
+    return vals.calibrate(probes(t), searchable(t))
 
 
 @plan(

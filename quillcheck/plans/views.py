@@ -34,63 +34,67 @@ SELECT o_orderkey AS query_id, CASE o_orderkey % 7
  ELSE concat('Select Count(*) , Avg(o_totalprice) From orders Where o_custkey = ', cast(o_custkey AS varchar(20)),
    ' Group By o_orderstatus Having Count(*) > ', cast(o_orderkey % 10 AS varchar(20))) END AS sql_text
 FROM {orders}""",
-    # Low-cardinality string columns of the sales tables: (table, column, value), distinct.
+    # All values of all columns of the sales tables: (table, column, value), distinct.
     "value_index": """
-SELECT 'customer' AS tbl, 'c_mktsegment' AS col, c_mktsegment AS value FROM {customer}
-UNION SELECT 'orders', 'o_orderpriority', o_orderpriority FROM {orders}
-UNION SELECT 'orders', 'o_orderstatus', o_orderstatus FROM {orders}
-UNION SELECT 'part', 'p_name', p_name FROM {part}
-UNION SELECT 'part', 'p_brand', p_brand FROM {part}
-UNION SELECT 'part', 'p_type', p_type FROM {part}
-UNION SELECT 'region', 'r_name', r_name FROM {region}
-UNION SELECT 'nation', 'n_name', n_name FROM {nation}
-UNION SELECT 'lineitem', 'l_returnflag', l_returnflag FROM {lineitem}
-UNION SELECT 'lineitem', 'l_linestatus', l_linestatus FROM {lineitem}""",
-    # One literal per part, aimed at a column: exact, other case, swapped words, a letter lost,
-    # wrong column, a number, a value of another table, no such value, stray blanks.
+SELECT * FROM ([[all_values]]) u WHERE value IS NOT NULL""",
+    # One literal per part, aimed at a column: exact, other case, swapped words, a letter lost, wrong column, a number,
+    # a value of another table, no such value, stray blanks; some customers and suppliers misspelt, and some nulls.
     "probes": """
 SELECT p_partkey AS probe_id, 'part' AS tbl,
  CASE WHEN p_partkey % 9 IN (4, 6, 7) THEN 'p_type' ELSE 'p_name' END AS col,
- CASE p_partkey % 9 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name)
+ CASE WHEN p_partkey % 40 = 39 THEN NULL WHEN p_partkey % 40 = 17 THEN concat('Custmer#', cast(p_partkey % 1500 AS varchar(12)))
+   WHEN p_partkey % 40 = 18 THEN concat('supplier#0000000', cast(p_partkey % 100 AS varchar(12)))
+   ELSE CASE p_partkey % 9 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name)
    WHEN 2 THEN concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1))
    WHEN 3 THEN substring(p_name, 1, length(p_name) - 1)
    WHEN 4 THEN p_brand WHEN 5 THEN cast(p_size AS varchar(12))
    WHEN 6 THEN CASE p_size % 5 WHEN 0 THEN 'Household' WHEN 1 THEN 'BILDING' WHEN 2 THEN 'midle east'
      WHEN 3 THEN 'urgent 1' ELSE 'furnitures' END
    WHEN 7 THEN concat('zzz qq', cast(p_size AS varchar(12)))
-   ELSE concat(' ', p_name, ' ') END AS literal
+   ELSE concat(' ', p_name, ' ') END END AS literal
 FROM {part}""",
-    # Token-sort score of every distinct literal against every distinct indexed value.
-    "literal_scores": """
-SELECT literal, value, CASE WHEN length(a) = 0 OR length(b) = 0 THEN 0.0 ELSE round_even(100 * (2.0 * list_extract(
- list_reduce(string_split(a, ''), lambda prev, c: list_reduce(range(1, length(b) + 1), lambda cur, j: list_append(cur,
-   CASE WHEN substring(b, j, 1) = c THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0::BIGINT]),
-   list_transform(range(0, length(b) + 1), lambda z: 0::BIGINT)), -1) / (length(a) + length(b))), 0) / 100 END AS score,
- lower(trim(literal)) = lower(trim(value)) AS exact
-FROM (SELECT literal, array_to_string(list_sort(string_split(trim(lower(regexp_replace(literal, '[^A-Za-z0-9_]+', ' ', 'g'))), ' ')), ' ') AS a
-  FROM (SELECT DISTINCT literal FROM <<probes>>) p) l,
- (SELECT value, array_to_string(list_sort(string_split(trim(lower(regexp_replace(value, '[^A-Za-z0-9_]+', ' ', 'g'))), ' ')), ' ') AS b
-  FROM (SELECT DISTINCT value FROM <<value_index>>) v) r""",
+    # Token-sorted texts of literals and values; of a value (up to 63 letters) also the bits of each letter's places.
+    "literal_norms": """
+SELECT literal, array_to_string(list_sort(string_split(trim(lower(regexp_replace(regexp_replace(literal, '[^\\x00-\\x7f]', '', 'g'), '[^A-Za-z0-9_]+', ' ', 'g'))), ' ')), ' ') AS a
+FROM (SELECT DISTINCT literal FROM <<probes>> WHERE literal IS NOT NULL) p""",
+    "value_norms": """
+SELECT value, b, length(b) AS n, map_from_entries(list_transform(list_distinct(string_split(b, '')), lambda c: {'k': c, 'v': list_sum(list_transform(range(1, length(b) + 1),
+ lambda i: CASE WHEN substring(b, i, 1) = c THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END))::UBIGINT})) AS m
+FROM (SELECT value, array_to_string(list_sort(string_split(trim(lower(regexp_replace(regexp_replace(value, '[^\\x00-\\x7f]', '', 'g'), '[^A-Za-z0-9_]+', ' ', 'g'))), ' ')), ' ') AS b
+ FROM (SELECT DISTINCT value FROM <<value_index>>) v) r""",
     "token_vectors": """
 SELECT t.token, e.embedding FROM (SELECT token, row_number() OVER (ORDER BY token) AS rn FROM
  (SELECT DISTINCT split_part(p_name, ' ', 1) AS token FROM {part} UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM {part}) u) t
 LEFT JOIN {embeddings} e ON e.vec_id = t.rn * 3""",
-    # The calibration cascade over the distinct probes, written over the full score table.
+    # The calibration cascade over the distinct probes, written over the scores of all values.
+    "unique_probes": """
+SELECT DISTINCT tbl, col, literal FROM <<probes>> WHERE literal IS NOT NULL""",
+    "in_table": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tbl, col, literal ORDER BY stage, score DESC, exact DESC, mval, mcol) AS rn FROM (
+ SELECT tbl, col, literal, tbl AS mtbl, mcol, mval, score, exact, CASE WHEN mcol = col AND exact THEN 1 WHEN exact THEN 2 WHEN mcol = col AND score > 0.65 THEN 3
+   WHEN score > 0.65 THEN 4 ELSE 6 END AS stage FROM (
+  SELECT p.tbl, p.col, p.literal, v.col AS mcol, v.value AS mval, lower(trim(p.literal)) = lower(trim(v.value)) AS exact, [[score]] AS score
+  FROM <<unique_probes>> p JOIN <<value_index>> v ON v.tbl = p.tbl JOIN <<literal_norms>> l ON l.literal = p.literal JOIN <<value_norms>> n ON n.value = v.value) x
+ WHERE mcol = col OR exact OR score > 0.65) y) z WHERE rn = 1""",
+    "in_database": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tbl, col, literal ORDER BY score DESC, exact DESC, mval, mtbl, mcol) AS rn FROM (
+ SELECT p.tbl, p.col, p.literal, v.tbl AS mtbl, v.col AS mcol, v.value AS mval, lower(trim(p.literal)) = lower(trim(v.value)) AS exact, [[score]] AS score
+ FROM (SELECT * FROM <<unique_probes>> u WHERE NOT EXISTS (SELECT 1 FROM <<in_table>> i WHERE i.tbl = u.tbl AND i.col = u.col AND i.literal = u.literal AND stage < 6)) p
+ JOIN <<value_index>> v ON v.tbl <> p.tbl JOIN <<literal_norms>> l ON l.literal = p.literal JOIN <<value_norms>> n ON n.value = v.value) x
+ WHERE score > 0.65) y WHERE rn = 1""",
     "calibrated": """
 SELECT tbl, col, literal, stage, CASE WHEN stage IN (4, 5) AND kept IS NULL THEN tbl ELSE mtbl END AS match_tbl,
  CASE WHEN stage IN (4, 5) AND kept IS NULL THEN col ELSE mcol END AS match_col, CASE WHEN stage = 1 THEN NULL WHEN stage = 2 THEN mval ELSE kept END AS match_value
-FROM (SELECT *, CASE WHEN TRY_CAST(trim(literal) AS DOUBLE) IS NOT NULL AND TRY_CAST(trim(mval) AS DOUBLE) IS NOT NULL THEN NULL ELSE mval END AS kept,
-  row_number() OVER (PARTITION BY tbl, col, literal ORDER BY stage, score DESC, exact DESC, mval, mcol, mtbl) AS rn FROM (
- SELECT p.tbl, p.col, p.literal, v.tbl AS mtbl, v.col AS mcol, v.value AS mval, s.score, s.exact, unnest(list_filter([
-   CASE WHEN v.tbl = p.tbl AND v.col = p.col AND s.exact THEN 1 END, CASE WHEN v.tbl = p.tbl AND s.exact THEN 2 END,
-   CASE WHEN v.tbl = p.tbl AND v.col = p.col AND s.score > 0.65 THEN 3 END, CASE WHEN v.tbl = p.tbl AND s.score > 0.65 THEN 4 END,
-   CASE WHEN v.tbl <> p.tbl AND s.score > 0.65 THEN 5 END, CASE WHEN v.tbl = p.tbl AND v.col = p.col THEN 6 END], lambda x: x IS NOT NULL)) AS stage
- FROM (SELECT DISTINCT tbl, col, literal FROM <<probes>>) p JOIN <<literal_scores>> s ON s.literal = p.literal
- JOIN <<value_index>> v ON v.value = s.value) w) z WHERE rn = 1""",
+FROM (SELECT *, CASE WHEN TRY_CAST(trim(literal) AS DOUBLE) IS NOT NULL AND TRY_CAST(trim(mval) AS DOUBLE) IS NOT NULL THEN NULL ELSE mval END AS kept FROM (
+ SELECT u.tbl, u.col, u.literal, CASE WHEN d.literal IS NOT NULL THEN 5 ELSE coalesce(i.stage, 6) END AS stage,
+  CASE WHEN d.literal IS NOT NULL THEN d.mtbl ELSE u.tbl END AS mtbl, CASE WHEN d.literal IS NOT NULL THEN d.mcol ELSE coalesce(i.mcol, u.col) END AS mcol,
+  CASE WHEN d.literal IS NOT NULL THEN d.mval ELSE i.mval END AS mval
+ FROM <<unique_probes>> u LEFT JOIN <<in_table>> i ON i.tbl = u.tbl AND i.col = u.col AND i.literal = u.literal
+ LEFT JOIN <<in_database>> d ON d.tbl = u.tbl AND d.col = u.col AND d.literal = u.literal) w) z""",
     # Predicates of made-up queries: a bar-separated literal list per probe, grouped by size.
     "predicates": """
 SELECT probe_id, probe_id DIV 3 AS query_id, concat(tbl, CASE WHEN probe_id % 17 = 0 THEN '' ELSE '.' END, col) AS target,
- concat(literal, CASE WHEN probe_id % 4 = 0 THEN '|1.5' WHEN probe_id % 5 = 0 THEN '|"red" ring' ELSE '' END) AS literals,
+ concat(coalesce(literal, 'nothing'), CASE WHEN probe_id % 4 = 0 THEN '|1.5' WHEN probe_id % 5 = 0 THEN '|"red" ring' ELSE '' END) AS literals,
  CASE WHEN (probe_id DIV 3) % 7 = 0 THEN 'select p_name from part where p_type LIKE 1' ELSE 'select p_name from part' END AS sql_text
 FROM <<probes>>""",
     # One question per order about its customer's segment, its status and its priority.
@@ -112,11 +116,13 @@ SELECT span, key, score, run_at, run_size, trim(substring(key, run_at + 1, run_s
  SELECT span, key, score, CAST(list_max(hits).size AS BIGINT) AS run_size, CAST(-list_max(hits).at AS BIGINT) AS run_at FROM (
  SELECT *, list_filter(flatten(list_transform(range(1, length(key) + 1), lambda z: list_transform(range(0, length(key) - z + 1),
    lambda i: CASE WHEN contains(span, substring(key, i + 1, z)) THEN {'size': z, 'at': -i} END))), lambda h: h IS NOT NULL) AS hits
- FROM (SELECT span, key, 2.0 * list_extract(list_reduce(string_split(span, ''), lambda prev, c: list_reduce(range(1, length(key) + 1), lambda cur, j:
-   list_append(cur, CASE WHEN substring(key, j, 1) = c THEN prev[j] + 1 ELSE greatest(prev[j + 1], cur[j]) END), [0::BIGINT]),
-   list_transform(range(0, length(key) + 1), lambda z: 0::BIGINT)), -1) / (length(span) + length(key)) AS score
-  FROM (SELECT DISTINCT span FROM <<question_spans>>) s, (SELECT DISTINCT lower(trim(value)) AS key FROM <<value_index>>) k
-  WHERE left(span, 1) = left(key, 1) AND 2 * least(length(span), length(key)) >= 0.85 * (length(span) + length(key)) - 0.000001) x
+ FROM (SELECT *, 2.0 * (n - bit_count(list_reduce(string_split(span, ''), lambda r, c: ((r + (r & coalesce(m[c], 0::UBIGINT))) | (r - (r & coalesce(m[c], 0::UBIGINT))))
+    & ((1::UBIGINT << n::UBIGINT) - 1), (1::UBIGINT << n::UBIGINT) - 1))) / (length(span) + n) AS score
+  FROM (SELECT DISTINCT span, left(span, 1) AS head FROM <<question_spans>>) s JOIN (SELECT key, left(key, 1) AS head, length(key) AS n, map_from_entries(list_transform(
+   list_distinct(string_split(key, '')), lambda c: {'k': c, 'v': list_sum(list_transform(range(1, length(key) + 1),
+    lambda i: CASE WHEN substring(key, i, 1) = c THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END))::UBIGINT})) AS m
+   FROM (SELECT DISTINCT lower(trim(value)) AS key FROM <<value_index>> WHERE trim(value) <> '') d) k USING (head)
+  WHERE 2 * least(length(span), length(key)) >= 0.85 * (length(span) + length(key)) - 0.000001) x
  WHERE score >= 0.85) y) w""",
     "usable_pairs": """
 SELECT * FROM (SELECT *, [run, span, key] AS three FROM <<span_pairs>>) u

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions import similarity as sim
 from quillcheck.operators import linking as ln
+from quillcheck.operators import search as srch
 from quillcheck.operators import values as vals
 from quillcheck.operators import vectors as vec
 
@@ -39,9 +40,13 @@ def test_kernel_equals_plain_recurrence():
         assert [sim.lcs_length(probe, t) for t in texts] == expected
 
 
-def test_search_is_the_true_best(spark, monkeypatch):
-    monkeypatch.setattr(vals, "VALUES_PER_BLOCK", 7)
-    monkeypatch.setattr(vals, "PROBES_PER_BLOCK", 3)
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_search_is_the_true_best(spark, monkeypatch, most):
+    monkeypatch.setattr(srch, "VALUES_PER_BLOCK", 7)
+    monkeypatch.setattr(srch, "PROBES_PER_GROUP", 9)
+    monkeypatch.setattr(srch, "MOST_CANDIDATES", most)
+    monkeypatch.setattr(srch, "BLOCKS_PER_PART", 3)
+    monkeypatch.setattr(srch, "FIRST_BLOCKS", 1)
     rng = random.Random(2)
     index = sorted({(c, w) for c in ("x", "y") for w in words(rng, 60)})
     probes = sorted({(c, w) for c in ("x", "y") for w in words(rng, 25)})
@@ -65,6 +70,53 @@ def test_search_is_the_true_best(spark, monkeypatch):
     assert above == {k: ranked(*k)[0][2] for k in probes if -ranked(*k)[0][0] > 0.65}
 
 
+def test_near_values_are_all_found(spark):
+    """Every pair at the near score comes out of the gram index, whatever the lengths."""
+    rng = random.Random(12)
+    stems = words(rng, 40, "abcd12_", 16)
+    def twisted(w):
+        w = list(w)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            if rng.random() < 0.5 and w:
+                w[min(at, len(w) - 1)] = rng.choice("abcd ")
+            elif rng.random() < 0.5:
+                w.insert(at, rng.choice("abcd12"))
+            else:
+                del w[at : at + 1]
+        return "".join(w)
+    values = sorted({(rng.choice("xy"), twisted(w)) for w in stems for _ in range(6)} | {("x", "aaaaaaaa"), ("x", "aaaaaaab"), ("y", ""), ("y", "--"), ("x", "é")})
+    literals = sorted({twisted(w) for w in stems for _ in range(2)} | {"aaaaaaa", "", "a", "ab", "ba"})
+    s = srch.Searchable(spark.createDataFrame(values, "col string, value string"))
+    got = {(r["literal"], r["col"], r["value"], r["score"]) for r in s.near(spark.createDataFrame([(x,) for x in literals], "literal string")).collect()}
+    norm = lambda t: " ".join(sorted("".join(c if c.isascii() and (c.isalnum() or c == "_") else "" if not c.isascii() else " " for c in t).lower().split()))
+    score = lambda a, b: round(100 * ratio(norm(a), norm(b))) / 100 if norm(a) and norm(b) else 0.0
+    want = {(x, c, v, score(x, v)) for x in literals for c, v in values if score(x, v) >= srch.NEAR}
+    assert got == want and len(want) > 100
+
+
+def test_search_in_other_tables_and_columns(spark, monkeypatch):
+    monkeypatch.setattr(srch, "VALUES_PER_BLOCK", 5)
+    rng = random.Random(13)
+    values = sorted({(t, c, w) for t in ("s", "t", "u") for c in ("x", "y") for w in words(rng, 30, "abc", 6)})
+    probes = [(t, c, w) for t in ("s", "t") for c in ("x", "y") for w in words(rng, 12, "abcz", 7)] + [("s", "x", "zzz"), ("v", "x", "abc"), ("s", "x", None), ("s", "y", "")]
+    index = spark.createDataFrame([*values, ("s", "x", None)], "tbl string, col string, value string")
+    asked = spark.createDataFrame(probes, "tbl string, col string, literal string")
+    score = lambda a, b: round(100 * ratio(a, b)) / 100 if a and b else 0.0
+
+    def best(literal, rows):
+        return min(((-score(literal, v), v != literal, v, t, c) for t, c, v in rows), default=None)
+
+    for above in (None, 0.65):
+        keep = lambda b: b is not None and (above is None or -b[0] > above)  # noqa: E731, B023
+        got = {(r["tbl"], r["literal"]): (-r["score"], r["value"], r["found_tbl"], r["found_col"]) for r in vals.best_elsewhere(asked, index, above=above).collect()}
+        want = {(t, w): best(w, [r for r in values if r[0] != t]) for t, _, w in probes if w is not None}
+        assert got == {k: (b[0], *b[2:]) for k, b in want.items() if keep(b)}
+        got = {(r["tbl"], r["own_col"], r["literal"]): (-r["score"], r["value"], r["found_col"]) for r in vals.best_in_table(asked, index, exclude_own=True, above=above).collect()}
+        want = {(t, c, w): best(w, [r for r in values if r[0] == t and r[1] != c]) for t, c, w in probes if w is not None}
+        assert got == {k: (b[0], b[2], b[4]) for k, b in want.items() if keep(b)}
+
+
 def test_linking_loses_no_pair(spark):
     rng = random.Random(3)
     spans = sorted(set(words(rng, 400, "ab", 14) + words(rng, 200, "abc ", 20)))
