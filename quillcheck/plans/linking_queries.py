@@ -243,3 +243,10 @@ def _request_sql() -> str:
 def request_text(t):
     made = ser.request_text(with_schema(t), "table_list", "structure", "select_text", "question")
     return made.select("q_id", "request")
+
+
+@plan("l13_linked_documents")
+def linked_documents(t):
+    """Whole documents against the full index; a brute-force test stands in for SQL, which would pair all runs with all values."""
+    linked = ln.linked_values(t.documents.select("text"), "text", index(t), keys(t))
+    return t.documents.join(linked, "text").select("doc_id", "tbl", "col", F.array_join("values", "|").alias("vals"))

@@ -187,3 +187,55 @@ def test_calibration_stages(spark):
     assert got[7] == (6, "shop", "size", None)
     # A column without values has no candidate.
     assert got[8] == (6, "shop", "void", None)
+
+
+def test_mentions_are_those_of_all_runs(spark, monkeypatch):
+    """Mentions of random texts against every run of words and every value, with a hot run."""
+    from quillcheck.functions.wordlists import COMMON_WORDS, DATABASE_TERMS, STOP_WORDS
+    from quillcheck.operators import skew
+
+    monkeypatch.setattr(skew, "ROWS_PER_PART", 3)
+    rng = random.Random(21)
+    vocabulary = ["blue anvil", "Red Ring", "KNOT", "id", "the", "12", "St. Louis", "new yorker", "many", "b", "Économie", "a'b", "name", "yes"]
+    index = [("t", c, v) for c in ("c", "d_name") for v in rng.sample(vocabulary, 9)] + [("u", "e", v) for v in vocabulary] + [("u", "e", None)]
+    said = ["blue", "anvil", "blu", "anvill", "red", "ring", "rings,", "knot", "st.", "louis", "st", "new", "yorkers", "id", "the", "many", "économi", "b", "12", "a'b", "yes?", "é"]
+    texts = [" ".join(rng.choice(said) for _ in range(rng.randint(0, 14))) for _ in range(40)] + ["", " ", None, "blue anvil", "blue anvil", "x blue anvil y"]
+
+    def run_of(key, span):
+        best = max((n, -i) for n in range(1, len(key) + 1) for i in range(len(key) - n + 1) if key[i : i + n] in span) if set(key) & set(span) else (0, 0)
+        return -best[1], best[0]
+
+    def usable(key, span, score):
+        at, n = run_of(key, span)
+        run = key[at : at + n].strip(" ")
+        three = {run, span, key}
+        number = run.replace(",", "").isdigit()
+        return n and run and not number and run not in DATABASE_TERMS and not three & set(STOP_WORDS) and (not three & set(COMMON_WORDS) or score >= 1)
+
+    want = set()
+    for text in {t for t in texts if t is not None}:
+        spans = set(ln.runs(text))
+        found = {}
+        for tbl, col, value in index:
+            if value is None:
+                continue
+            value, key = value.strip(" "), value.strip(" ").lower()
+            hits = []
+            for s in spans:
+                score = ratio(s, key)
+                if s[0] == key[0] and score >= 0.85 and usable(key, s, score) and (score >= 1 or not (value.upper() == value and value.lower() != value)):
+                    at, n = run_of(key, s)
+                    hits.append((score, n, value[at : at + n]))
+            if hits:
+                score, n, run = max(hits)
+                found.setdefault((tbl, col, run), []).append((value, score, n))
+        want |= {(text, tbl, col, *max(v)) for (tbl, col, _), v in found.items()}
+    i = spark.createDataFrame(index, "tbl string, col string, value string")
+    got = ln.mentions(spark.createDataFrame([(t,) for t in texts], "q string"), "q", i)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 40
+
+
+def test_runs_of_words():
+    text = " The (big) House's, end.. "
+    assert list(ln.runs(text)) == ["the", "the (big", "the (big) house", "the (big) house's", "the (big) house's, end", "big", "big) house", "big) house's", "big) house's, end", "house", "house's", "house's, end", "s, end", "end"]
+    assert list(ln.runs(text, [3, 5])) == ["the", "big", "house", "end"] and list(ln.runs(text, [])) == [] and list(ln.runs("")) == []
