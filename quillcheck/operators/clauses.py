@@ -142,6 +142,7 @@ def counts(units: DataFrame, links: DataFrame, compat: bool = True) -> DataFrame
     )
 
 
+# The thresholds of the four levels of difficulty, as the established scorer has them.
 def hardness(component1: Column, nested: Column, others: Column) -> Column:
     c, n, o = component1, nested, others
     flat = n == 0
@@ -206,24 +207,25 @@ _SETS = ["limit", "and/or", "keywords"]
 
 
 def _comparable(units: DataFrame, links: DataFrame) -> DataFrame:
-    """(query_id, role, part, key): what each component compares, as bags of keys."""
+    """(query_id, role, part, key): what each component compares, as bags of hashed keys; ``part`` by its number."""
 
-    def key(cols: Sequence[str]) -> str:
-        return "concat_ws('\\u0001', ''" + "".join(f", coalesce(string({c}), '\\u0002')" for c in cols) + ")"
+    def key(cols: Sequence[str]) -> str:  # compared within one query and part only
+        return "xxhash64(0" + "".join(f", coalesce(string({c}), '\\u0002')" for c in cols) + ")"
 
     branches = " ".join(
         f"WHEN '{clause}' THEN array("
-        + ", ".join(f"named_struct('part', '{part}', 'key', {key(cols)})" for part, cols in parts.items())
+        + ", ".join(f"named_struct('part', {_PART_NAMES.index(part)}, 'key', {key(cols)})" for part, cols in parts.items())
         + ")"
         for clause, parts in _PARTS.items()
     )
     from_units = (
         units.filter(f"clause <> 'from' OR {_TABLE}")
         .select(*_QUERY, "connector", F.expr(f"inline(CASE clause {branches} END)"))
-        .filter("part <> 'and/or' OR connector IS NOT NULL")
+        .filter(f"part <> {_PART_NAMES.index('and/or')} OR connector IS NOT NULL")
         .select(*_QUERY, "part", "key")
     )
-    words = keywords(units, links).select(*_QUERY, F.lit("keywords").alias("part"), F.explode("keywords").alias("key"))
+    words = keywords(units, links).select(*_QUERY, F.lit(_PART_NAMES.index("keywords")).alias("part"), F.explode("keywords").alias("word"))
+    words = words.select(*_QUERY, "part", F.xxhash64("word").alias("key"))
     return from_units.unionAll(words)
 
 
@@ -233,7 +235,7 @@ def overlaps(units: DataFrame, links: DataFrame) -> DataFrame:
     Rows are counted per key before they are counted per query, so a key that fills a third
     of the table shrinks to one row per task. Columns are named ``<part>:g``, ``:p``, ``:o``.
     """
-    sets = ", ".join(f"'{p}'" for p in _SETS)
+    sets = ", ".join(str(_PART_NAMES.index(p)) for p in _SETS)
     most = f"if(part IN ({sets}), 1L, {2**62}L)"
     per_key = (
         _comparable(units, links)
@@ -242,8 +244,8 @@ def overlaps(units: DataFrame, links: DataFrame) -> DataFrame:
         .selectExpr("query_id", "part", f"least(g, {most}) AS g", f"least(p, {most}) AS p")
     )
     totals = [
-        F.expr(f"coalesce(sum(if(part = '{part}', {value}, null)), 0L) AS `{part}:{side}`")
-        for part in _PART_NAMES
+        F.expr(f"coalesce(sum(if(part = {number}, {value}, null)), 0L) AS `{part}:{side}`")
+        for number, part in enumerate(_PART_NAMES)
         for side, value in (("g", "g"), ("p", "p"), ("o", "least(g, p)"))
     ]
     gold_rows = F.expr("sum(g) AS gold_rows")
@@ -281,41 +283,67 @@ def _hit(name: str) -> str:
     return f"({pred} = {label} AND {overlap} = {pred})"
 
 
-def branch_pairs(links: DataFrame) -> DataFrame:
-    """Set-operator branches of gold and prediction side by side: query_id, kind, gold_id, pred_id."""
-    ids = links.filter(F.col("kind").isin(*SET_OPS)).groupBy(F.col("parent_id").alias("query_id"), "kind").agg(
+def branch_pairs(links: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Set-operator branches of gold and prediction side by side: query_id, kind, gold_id, pred_id.
+
+    Without ``parents`` a query is compared with the prediction of its own id; with ``parents`` (pair, gold_id, pred_id)
+    the branches of each such pair, and query_id is the pair's.
+    """
+    steps = links.filter(F.col("kind").isin(*SET_OPS))
+    if parents is None:
+        steps = steps.withColumn("query_id", F.col("parent_id"))
+    else:
+        sides = [parents.select(F.col("pair").alias("query_id"), F.lit(r).alias("role"), F.col(f"{r}_id").alias("parent_id")) for r in ("gold", "pred")]
+        steps = steps.join(sides[0].unionAll(sides[1]), ["role", "parent_id"])
+    return steps.groupBy("query_id", "kind").agg(
         F.max(F.when(F.col("role") == "gold", F.col("child_id"))).alias("gold_id"),
         F.max(F.when(F.col("role") == "pred", F.col("child_id"))).alias("pred_id"),
     )
-    return ids
 
 
-def exact_matches(base: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
-    """Per gold query: exact match including its branches, and the branch totals.
+def unlike_pairs(links: DataFrame) -> tuple[DataFrame, int]:
+    """(pair, gold_id, pred_id) of all branches that are stored under an id of their own on either side, and how far they nest.
 
-    ``base`` has query_id and ``same``, whether everything but the branches agrees. A branch
-    pair agrees when its two queries are each other's gold and prediction and match exactly;
-    ``depth`` is how far branches nest, found from the links unless the caller knows it.
+    A level at a time, from the branches of like ids down to the branches of what was found, each pair once. ``pair``
+    numbers are below zero and far from any id.
     """
-    depth = max(1, nesting(links) if depth is None else depth)
-    pairs = settled(branch_pairs(links), "pairs")
-    # Only queries below a branch are looked at again and again; the whole table is joined once.
-    result = base.join(pairs.select(F.col("gold_id").alias("query_id")).distinct(), "query_id", "left_semi").withColumn("exact", F.col("same"))
-    for level in range(depth):
-        of = base if level == depth - 1 else base.join(result.select("query_id"), "query_id", "left_semi")
-        child = result.select(F.col("query_id").alias("gold_id"), F.col("exact").alias("child_exact"))
-        agree = (F.col("gold_id") == F.col("pred_id")) & F.col("child_exact")
-        per_query = pairs.join(child, "gold_id", "left").groupBy("query_id").agg(
-            F.count("gold_id").alias("label_total"), F.count("pred_id").alias("pred_total"), F.count_if(agree).alias("overlap")
-        )
-        result = (
-            of.join(per_query, "query_id", "left")
-            .fillna(0, ["label_total", "pred_total", "overlap"])
-            .withColumn(
-                "exact",
-                F.col("same") & (F.col("label_total") == F.col("pred_total")) & (F.col("overlap") == F.col("pred_total")),
-            )
+    links = settled(links.filter(F.col("kind").isin(*SET_OPS)).distinct(), "links")
+    unlike = (F.col("gold_id") != F.col("pred_id")).alias("unlike")
+    numbered = lambda df: df.select((F.lit(-(2**62)) + F.monotonically_increasing_id()).alias("pair"), "gold_id", "pred_id")
+    found = settled(numbered(branch_pairs(links).where(unlike).select("gold_id", "pred_id").distinct()), "unlike")
+    newest, levels = found, 0
+    while not newest.isEmpty():
+        levels += 1
+        below = branch_pairs(links, newest).where(unlike).select("gold_id", "pred_id").distinct()
+        below = below.join(found, ["gold_id", "pred_id"], "left_anti")
+        newest = settled(below.select((F.lit(-(2**62) + (levels << 56)) + F.monotonically_increasing_id()).alias("pair"), "gold_id", "pred_id"), "unlike")
+        found = found.unionByName(newest)
+    return found, levels
+
+
+def _of_pairs(rows: DataFrame, pairs: DataFrame, query: str) -> DataFrame:
+    """Units or links of both sides of unlike pairs, under the pair's number instead of the query's."""
+    sides = [pairs.select("pair", F.lit(r).alias("role"), F.col(f"{r}_id").alias(query)) for r in ("gold", "pred")]
+    joined = rows.join(sides[0].unionAll(sides[1]), ["role", query])
+    return joined.select(*[F.col("pair").alias(query) if c == query else F.col(c) for c in rows.columns])
+
+
+def exact_matches(base: DataFrame, branches: DataFrame, depth: int) -> DataFrame:
+    """Per node: exact match including its branches, and the branch totals.
+
+    ``base`` has query_id and ``same``, whether everything but the branches agrees; ``branches`` has query_id, gold_id,
+    pred_id and child, the node that compares the two (null where a side is missing).
+    """
+    # Only nodes below a branch are looked at again and again; the whole table is joined once.
+    result = base.join(branches.select(F.col("child").alias("query_id")).distinct(), "query_id", "left_semi").withColumn("exact", F.col("same"))
+    for level in range(max(1, depth)):
+        of = base if level == max(1, depth) - 1 else base.join(result.select("query_id"), "query_id", "left_semi")
+        child = result.select(F.col("query_id").alias("child"), F.col("exact").alias("child_exact"))
+        per_query = branches.join(child, "child", "left").groupBy("query_id").agg(
+            F.count("gold_id").alias("label_total"), F.count("pred_id").alias("pred_total"), F.count_if("child_exact").alias("overlap")
         )
+        whole = F.col("same") & (F.col("label_total") == F.col("pred_total")) & (F.col("overlap") == F.col("pred_total"))
+        result = of.join(per_query, "query_id", "left").fillna(0, ["label_total", "pred_total", "overlap"]).withColumn("exact", whole)
     return result
 
 
@@ -327,10 +355,21 @@ def _base(units: DataFrame, links: DataFrame) -> DataFrame:
 def score(units: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
     """Per gold query the ten component totals and the exact-match verdict.
 
-    A gold query without a readable prediction has no predicted rows and scores 0.
+    A gold query without a readable prediction has no predicted rows and scores 0. Branches of the same operator are
+    compared by their own clauses and branches, whatever their ids.
     """
-    base = settled(_base(units, links), "clauses")
-    return exact_matches(base, links, depth)
+    pairs, levels = unlike_pairs(links)
+    own = _base(units, links)
+    branches = branch_pairs(links).select("query_id", "gold_id", "pred_id")
+    if levels:
+        below = _of_pairs(links.filter(F.col("kind").isin(*SET_OPS)), pairs, "parent_id")
+        own = own.unionByName(_base(_of_pairs(units, pairs, "query_id"), below))
+        branches = branches.unionByName(branch_pairs(links, pairs).select("query_id", "gold_id", "pred_id"))
+    node = F.when(F.col("gold_id") == F.col("pred_id"), F.col("gold_id")).otherwise(F.col("pair")).alias("child")
+    branches = settled(branches.join(pairs, ["gold_id", "pred_id"], "left").select("query_id", "gold_id", "pred_id", node), "branches")
+    depth = nesting(links) if depth is None else depth
+    found = exact_matches(settled(own, "clauses"), branches, depth)
+    return found.filter(F.col("query_id") > -(2**61)) if levels else found
 
 
 def partial_scores(scored: DataFrame, components: Sequence[str] = COMPONENTS) -> DataFrame:

@@ -160,7 +160,12 @@ SELECT question, table_id, tbl, plain || coalesce(' ' || fk, '') AS table_text F
     "clause_lines": """
 SELECT 'gold' AS role, l.* FROM {lineitem} l UNION ALL
 SELECT 'pred', l.* FROM {lineitem} l WHERE NOT (l_linestatus = 'O' AND l_returnflag = 'R' AND l_discount > 0.05)""",
+    # Half of the predicted branches are stored under ids of their own, below zero.
     "clause_units": """
+SELECT * FROM <<own_units>> UNION ALL
+SELECT -query_id, role, clause, ordinal, connector, not_op, op, agg, unit_op, col, is_distinct, value, value_kind, direction FROM <<own_units>>
+WHERE role = 'pred' AND query_id > 0 AND query_id - 1 IN (SELECT o_orderkey FROM {orders} WHERE o_totalprice > 250000)""",
+    "own_units": """
 SELECT query_id, role, clause, row_number() OVER (PARTITION BY query_id, role, clause ORDER BY a, b, c, d) - 1 AS ordinal, connector, not_op, op,
  agg, unit_op, col, is_distinct, value, value_kind, direction FROM (
 SELECT l_orderkey AS query_id, role, clause, l_linenumber AS a, l_partkey AS b, l_suppkey AS c, l_extendedprice AS d,
@@ -184,10 +189,11 @@ UNION ALL SELECT o_orderkey, role, 'from', 1, 0, 0, 0.0, NULL, false, NULL, 'non
 UNION ALL SELECT o_orderkey, role, 'limit', 0, 0, 0, 0.0, NULL, false, NULL, 'none', 'none', NULL, false, '1', 'number', NULL
  FROM (SELECT o_orderkey, 'gold' AS role FROM {orders} WHERE o_totalprice > 200000 UNION ALL SELECT o_orderkey, 'pred' FROM {orders} WHERE o_totalprice > 210000) c) y""",
     "query_links": """
-SELECT o_orderkey AS parent_id, o_orderkey + 1 AS child_id, 'gold' AS role, CASE o_orderpriority WHEN '1-URGENT' THEN 'intersect' WHEN '2-HIGH' THEN 'union'
- WHEN '3-MEDIUM' THEN 'except' ELSE 'where' END AS kind FROM {orders} WHERE o_totalprice > 350000
-UNION ALL SELECT o_orderkey, o_orderkey + 1, 'pred', CASE o_orderpriority WHEN '1-URGENT' THEN 'intersect' WHEN '2-HIGH' THEN 'union'
- WHEN '3-MEDIUM' THEN 'except' ELSE 'where' END FROM {orders} WHERE o_totalprice > 360000""",
+SELECT o_orderkey AS parent_id, o_orderkey + 1 AS child_id, 'gold' AS role, kind FROM <<order_links>> WHERE o_totalprice > 240000
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN -(o_orderkey + 1) ELSE o_orderkey + 1 END, 'pred', kind FROM <<order_links>> WHERE o_totalprice > 250000
+UNION ALL SELECT -o_orderkey, -(o_orderkey + 1), 'pred', kind FROM <<order_links>> WHERE o_totalprice > 250000 AND o_orderkey > 0""",
+    "order_links": """
+SELECT o_orderkey, o_totalprice, CASE o_orderpriority WHEN '1-URGENT' THEN 'intersect' WHEN '2-HIGH' THEN 'union' WHEN '3-MEDIUM' THEN 'except' ELSE 'where' END AS kind FROM {orders}""",
     # Key columns of the schema and the lowest column each is tied to by foreign keys.
     "canonical_columns": """
 SELECT * FROM (VALUES ('__lineitem.l_orderkey__', '__orders.o_orderkey__'), ('__lineitem.l_partkey__', '__part.p_partkey__'),
@@ -226,55 +232,74 @@ SELECT *, CASE WHEN component1 <= 1 AND others = 0 AND nested = 0 THEN 'easy'
  WHEN nested = 0 AND (others <= 2 AND component1 <= 1 OR component1 <= 2 AND others < 2) THEN 'medium'
  WHEN nested = 0 AND (others > 2 AND component1 <= 2 OR component1 = 3 AND others <= 2) OR component1 <= 1 AND others = 0 AND nested <= 1 THEN 'hard'
  ELSE 'extra' END AS hardness FROM <<unit_counts>>""",
+    # Every gold query beside the prediction of its id, and their branches side by side, whatever the ids.
+    "query_pairs": """
+SELECT query_id AS gold_id, query_id AS pred_id FROM <<gold_ids>>
+UNION SELECT g.child_id, p.child_id FROM query_pairs q JOIN <<query_links>> g ON g.parent_id = q.gold_id AND g.role = 'gold' AND g.kind <> 'where'
+ JOIN <<query_links>> p ON p.parent_id = q.pred_id AND p.role = 'pred' AND p.kind = g.kind""",
+    "gold_ids": """
+SELECT DISTINCT query_id FROM <<clause_units>> WHERE role = 'gold'""",
+    "pair_units": """
+SELECT gold_id, pred_id, u.* FROM <<query_pairs>> JOIN <<ready_units>> u ON u.query_id = gold_id WHERE role = 'gold'
+UNION ALL SELECT gold_id, pred_id, u.* FROM <<query_pairs>> JOIN <<ready_units>> u ON u.query_id = pred_id WHERE role = 'pred'""",
+    "pair_words": """
+SELECT gold_id, pred_id, role, words FROM <<query_pairs>> JOIN <<keyword_sets>> u ON u.query_id = gold_id WHERE role = 'gold'
+UNION ALL SELECT gold_id, pred_id, role, words FROM <<query_pairs>> JOIN <<keyword_sets>> u ON u.query_id = pred_id WHERE role = 'pred'""",
     # Per gold query and component: sizes and bag overlap.
     "part_sizes": """
-SELECT query_id, part, sum(g) AS g, sum(p) AS p, sum(least(g, p)) AS o FROM (
- SELECT query_id, part, key, count(*) FILTER (WHERE role = 'gold') AS g, count(*) FILTER (WHERE role = 'pred') AS p FROM (
-  SELECT query_id, role, 'select' AS part, CAST([agg, unit_op, col] AS VARCHAR) AS key FROM <<ready_units>> WHERE clause = 'select'
-  UNION ALL SELECT query_id, role, 'select(no AGG)', CAST([unit_op, col] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'select'
-  UNION ALL SELECT query_id, role, 'where', CAST([CAST(not_op AS VARCHAR), op, agg, unit_op, col, value] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'where'
-  UNION ALL SELECT query_id, role, 'where(no OP)', CAST([agg, unit_op, col] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'where'
-  UNION ALL SELECT query_id, role, 'group(no Having)', string_split(col, '.')[-1] FROM <<ready_units>> WHERE clause = 'groupBy'
-  UNION ALL SELECT query_id, role, 'group list', ordinal || col FROM <<ready_units>> WHERE clause = 'groupBy'
-  UNION ALL SELECT query_id, role, 'having list', CAST([CAST(ordinal AS VARCHAR), connector, CAST(not_op AS VARCHAR), op, agg, unit_op, col, value] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'having'
-  UNION ALL SELECT query_id, role, 'order list', CAST([CAST(ordinal AS VARCHAR), direction, agg, unit_op, col] AS VARCHAR) FROM <<ready_units>> WHERE clause = 'orderBy'
-  UNION ALL SELECT DISTINCT query_id, role, 'limit', '' FROM <<ready_units>> WHERE clause = 'limit'
-  UNION ALL SELECT query_id, role, 'tables', col FROM <<ready_units>> WHERE clause = 'from'
-  UNION ALL SELECT DISTINCT query_id, role, 'and/or', connector FROM <<ready_units>> WHERE clause = 'where' AND connector IS NOT NULL
-  UNION ALL SELECT DISTINCT query_id, role, 'query', '' FROM <<ready_units>>
-  UNION ALL SELECT query_id, role, 'keywords', unnest(words) FROM <<keyword_sets>>) k GROUP BY query_id, part, key) c GROUP BY query_id, part""",
+SELECT gold_id, pred_id, part, sum(g) AS g, sum(p) AS p, sum(least(g, p)) AS o FROM (
+ SELECT gold_id, pred_id, part, key, count(*) FILTER (WHERE role = 'gold') AS g, count(*) FILTER (WHERE role = 'pred') AS p FROM (
+  SELECT gold_id, pred_id, role, 'select' AS part, CAST([agg, unit_op, col] AS VARCHAR) AS key FROM <<pair_units>> WHERE clause = 'select'
+  UNION ALL SELECT gold_id, pred_id, role, 'select(no AGG)', CAST([unit_op, col] AS VARCHAR) FROM <<pair_units>> WHERE clause = 'select'
+  UNION ALL SELECT gold_id, pred_id, role, 'where', CAST([CAST(not_op AS VARCHAR), op, agg, unit_op, col, value] AS VARCHAR) FROM <<pair_units>> WHERE clause = 'where'
+  UNION ALL SELECT gold_id, pred_id, role, 'where(no OP)', CAST([agg, unit_op, col] AS VARCHAR) FROM <<pair_units>> WHERE clause = 'where'
+  UNION ALL SELECT gold_id, pred_id, role, 'group(no Having)', string_split(col, '.')[-1] FROM <<pair_units>> WHERE clause = 'groupBy'
+  UNION ALL SELECT gold_id, pred_id, role, 'group list', ordinal || col FROM <<pair_units>> WHERE clause = 'groupBy'
+  UNION ALL SELECT gold_id, pred_id, role, 'having list', CAST([CAST(ordinal AS VARCHAR), connector, CAST(not_op AS VARCHAR), op, agg, unit_op, col, value] AS VARCHAR) FROM <<pair_units>> WHERE clause = 'having'
+  UNION ALL SELECT gold_id, pred_id, role, 'order list', CAST([CAST(ordinal AS VARCHAR), direction, agg, unit_op, col] AS VARCHAR) FROM <<pair_units>> WHERE clause = 'orderBy'
+  UNION ALL SELECT DISTINCT gold_id, pred_id, role, 'limit', '' FROM <<pair_units>> WHERE clause = 'limit'
+  UNION ALL SELECT gold_id, pred_id, role, 'tables', col FROM <<pair_units>> WHERE clause = 'from'
+  UNION ALL SELECT DISTINCT gold_id, pred_id, role, 'and/or', connector FROM <<pair_units>> WHERE clause = 'where' AND connector IS NOT NULL
+  UNION ALL SELECT DISTINCT gold_id, pred_id, role, 'query', '' FROM <<pair_units>>
+  UNION ALL SELECT gold_id, pred_id, role, 'keywords', unnest(words) FROM <<pair_words>>) k GROUP BY gold_id, pred_id, part, key) c GROUP BY gold_id, pred_id, part""",
     "wide_sizes": """
-SELECT q.query_id, [[wide]] FROM (SELECT query_id FROM <<part_sizes>> WHERE part = 'query' AND g > 0) q LEFT JOIN <<part_sizes>> s ON s.query_id = q.query_id GROUP BY q.query_id""",
+SELECT q.gold_id, q.pred_id, [[wide]] FROM <<query_pairs>> q LEFT JOIN <<part_sizes>> s ON s.gold_id = q.gold_id AND s.pred_id = q.pred_id
+WHERE q.gold_id IN (SELECT query_id FROM <<gold_ids>>) GROUP BY q.gold_id, q.pred_id""",
     "component_sizes": """
-SELECT query_id, unnest(['select', 'select(no AGG)', 'where', 'where(no OP)', 'group(no Having)', 'group', 'order', 'and/or', 'keywords']) AS component,
+SELECT gold_id, pred_id, unnest(['select', 'select(no AGG)', 'where', 'where(no OP)', 'group(no Having)', 'group', 'order', 'and/or', 'keywords']) AS component,
  unnest([select_g, selectn_g, where_g, wheren_g, groupn_g, CAST(gl_g > 0 AS BIGINT), CAST(ol_g > 0 AS BIGINT), CASE WHEN ao_same THEN 1 ELSE ao_p END, kw_g]) AS label_total,
  unnest([select_p, selectn_p, where_p, wheren_p, groupn_p, CAST(gl_p > 0 AS BIGINT), CAST(ol_p > 0 AS BIGINT), CASE WHEN ao_same THEN 1 ELSE ao_g END, kw_p]) AS pred_total,
  unnest([select_o, selectn_o, where_o, wheren_o, groupn_o, CAST(gl_g > 0 AND gl_g = gl_p AND gl_o = gl_g AND hl_g = hl_p AND hl_o = hl_g AS BIGINT),
   CAST(ol_g > 0 AND ol_g = ol_p AND ol_o = ol_g AND li_g = li_p AS BIGINT), CAST(ao_same AS BIGINT), kw_o]) AS overlap
 FROM (SELECT *, ao_g = ao_p AND ao_o = ao_g AS ao_same FROM <<wide_sizes>>) w""",
     "base_match": """
-SELECT query_id, bool_and(label_total = pred_total AND overlap = pred_total) AND bool_and(tb_g = 0 OR tb_g = tb_p AND tb_o = tb_g) AS same
-FROM <<component_sizes>> JOIN <<wide_sizes>> USING (query_id) GROUP BY query_id""",
-    "branch_pairs": """
-SELECT parent_id AS query_id, kind, max(CASE WHEN role = 'gold' THEN child_id END) AS gold_id, max(CASE WHEN role = 'pred' THEN child_id END) AS pred_id
-FROM <<query_links>> WHERE kind <> 'where' GROUP BY parent_id, kind""",
-    # What decides a query apart from its branches, the branches below each query, and both together.
+SELECT gold_id, pred_id, bool_and(label_total = pred_total AND overlap = pred_total) AND bool_and(tb_g = 0 OR tb_g = tb_p AND tb_o = tb_g) AS same
+FROM <<component_sizes>> JOIN <<wide_sizes>> USING (gold_id, pred_id) GROUP BY gold_id, pred_id""",
+    # The branches of each pair by kind, what decides a pair apart from its branches, the pairs below each one, and all together.
+    "branch_kinds": """
+SELECT q.gold_id, q.pred_id, l.kind, max(CASE WHEN l.role = 'gold' THEN l.child_id END) AS gold_child, max(CASE WHEN l.role = 'pred' THEN l.child_id END) AS pred_child
+FROM <<query_pairs>> q JOIN <<query_links>> l ON l.kind <> 'where' AND (l.role = 'gold' AND l.parent_id = q.gold_id OR l.role = 'pred' AND l.parent_id = q.pred_id)
+GROUP BY q.gold_id, q.pred_id, l.kind""",
     "branch_local": """
-SELECT b.query_id, same, count(gold_id) AS label_total, count(pred_id) AS pred_total,
- same AND count(gold_id) = count(pred_id) AND count(*) FILTER (WHERE gold_id = pred_id) = count(pred_id) AS local
-FROM <<base_match>> b LEFT JOIN <<branch_pairs>> p ON p.query_id = b.query_id GROUP BY b.query_id, same""",
+SELECT b.gold_id, b.pred_id, same, count(gold_child) AS label_total, count(pred_child) AS pred_total,
+ same AND count(gold_child) = count(pred_child) AND count(*) FILTER (WHERE gold_child IS NOT NULL AND pred_child IS NOT NULL) = count(pred_child) AS local
+FROM <<base_match>> b LEFT JOIN <<branch_kinds>> p ON p.gold_id = b.gold_id AND p.pred_id = b.pred_id GROUP BY b.gold_id, b.pred_id, same""",
     "branch_reach": """
-SELECT query_id AS root, query_id AS node FROM <<branch_local>>
-UNION SELECT r.root, p.gold_id FROM branch_reach r JOIN <<branch_pairs>> p ON p.query_id = r.node WHERE p.gold_id = p.pred_id""",
+SELECT gold_id AS root_gold, pred_id AS root_pred, gold_id, pred_id FROM <<query_pairs>>
+UNION SELECT r.root_gold, r.root_pred, p.gold_child, p.pred_child FROM branch_reach r JOIN <<branch_kinds>> p ON p.gold_id = r.gold_id AND p.pred_id = r.pred_id
+WHERE p.gold_child IS NOT NULL AND p.pred_child IS NOT NULL""",
     "branch_exact": """
-SELECT root AS query_id, bool_and(coalesce(local, false)) AS exact FROM <<branch_reach>> LEFT JOIN <<branch_local>> ON query_id = node GROUP BY root""",
+SELECT root_gold AS gold_id, root_pred AS pred_id, bool_and(coalesce(local, false)) AS exact
+FROM <<branch_reach>> r LEFT JOIN <<branch_local>> l ON l.gold_id = r.gold_id AND l.pred_id = r.pred_id GROUP BY root_gold, root_pred""",
     "exact_all": """
-SELECT l.query_id, l.same, label_total, pred_total, count(*) FILTER (WHERE p.gold_id = p.pred_id AND c.exact) AS overlap, e.exact
-FROM <<branch_local>> l JOIN <<branch_exact>> e ON e.query_id = l.query_id LEFT JOIN <<branch_pairs>> p ON p.query_id = l.query_id
-LEFT JOIN <<branch_exact>> c ON c.query_id = p.gold_id GROUP BY l.query_id, l.same, label_total, pred_total, e.exact""",
+SELECT l.gold_id AS query_id, l.same, l.label_total, l.pred_total, count(*) FILTER (WHERE c.exact) AS overlap, e.exact
+FROM <<branch_local>> l JOIN <<branch_exact>> e ON e.gold_id = l.gold_id AND e.pred_id = l.pred_id LEFT JOIN <<branch_kinds>> p ON p.gold_id = l.gold_id AND p.pred_id = l.pred_id
+LEFT JOIN <<branch_exact>> c ON c.gold_id = p.gold_child AND c.pred_id = p.pred_child WHERE l.gold_id = l.pred_id
+GROUP BY l.gold_id, l.same, l.label_total, l.pred_total, e.exact""",
     "partial_rows": """
 SELECT query_id, component, label_total, pred_total, overlap, CAST(label_total = pred_total AND overlap = pred_total AS INT) AS hit FROM (
- SELECT * FROM <<component_sizes>> UNION ALL SELECT query_id, 'IUEN', label_total, pred_total, overlap FROM <<exact_all>>) p""",
+ SELECT gold_id AS query_id, component, label_total, pred_total, overlap FROM <<component_sizes>> WHERE gold_id = pred_id
+ UNION ALL SELECT query_id, 'IUEN', label_total, pred_total, overlap FROM <<exact_all>>) p""",
     "turns": """
 SELECT conv_id AS session_id, turn AS turn_idx, role, text, CASE WHEN length(text) % 5 <> 0 THEN 1 ELSE 0 END AS exec_ok,
  CASE WHEN length(text) % 3 <> 0 THEN 1 ELSE 0 END AS exact_ok,
