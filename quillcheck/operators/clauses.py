@@ -328,23 +328,33 @@ def _of_pairs(rows: DataFrame, pairs: DataFrame, query: str) -> DataFrame:
     return joined.select(*[F.col("pair").alias(query) if c == query else F.col(c) for c in rows.columns])
 
 
-def exact_matches(base: DataFrame, branches: DataFrame, depth: int) -> DataFrame:
+def exact_matches(base: DataFrame, branches: DataFrame) -> DataFrame:
     """Per node: exact match including its branches, and the branch totals.
 
     ``base`` has query_id and ``same``, whether everything but the branches agrees; ``branches`` has query_id, gold_id,
-    pred_id and child, the node that compares the two (null where a side is missing).
+    pred_id and child, the node that compares the two (null where a side is missing). Only nodes with branches and their
+    children are followed: from those that differ themselves upwards, a level at a time, until nothing new differs.
     """
-    # Only nodes below a branch are looked at again and again; the whole table is joined once.
-    result = base.join(branches.select(F.col("child").alias("query_id")).distinct(), "query_id", "left_semi").withColumn("exact", F.col("same"))
-    for level in range(max(1, depth)):
-        of = base if level == max(1, depth) - 1 else base.join(result.select("query_id"), "query_id", "left_semi")
-        child = result.select(F.col("query_id").alias("child"), F.col("exact").alias("child_exact"))
-        per_query = branches.join(child, "child", "left").groupBy("query_id").agg(
-            F.count("gold_id").alias("label_total"), F.count("pred_id").alias("pred_total"), F.count_if("child_exact").alias("overlap")
-        )
-        whole = F.col("same") & (F.col("label_total") == F.col("pred_total")) & (F.col("overlap") == F.col("pred_total"))
-        result = of.join(per_query, "query_id", "left").fillna(0, ["label_total", "pred_total", "overlap"]).withColumn("exact", whole)
-    return result
+    totals = branches.groupBy("query_id").agg(F.count("gold_id").alias("label_total"), F.count("pred_id").alias("pred_total"), F.count("child").alias("both"))
+    followed = branches.select("query_id").unionAll(branches.select("child").where("child IS NOT NULL")).distinct()
+    own = base.select("query_id", "same").join(followed, "query_id", "left_semi").join(totals, "query_id", "left")
+    own = own.fillna(0, ["label_total", "pred_total", "both"])
+    whole = F.col("same") & (F.col("label_total") == F.col("pred_total")) & (F.col("both") == F.col("pred_total"))
+    nodes = settled(own.select("query_id", "label_total", "pred_total", whole.alias("whole")), "nodes")
+    up = settled(branches.where("child IS NOT NULL").select("query_id", "child"), "up")
+    unlike = nodes.where("NOT whole").select("query_id")
+    newest = unlike
+    while True:
+        above = up.join(newest.withColumnRenamed("query_id", "child"), "child", "left_semi").select("query_id").distinct()
+        newest = settled(above.join(unlike, "query_id", "left_anti"), "unlike")
+        if newest.isEmpty():
+            break
+        unlike = unlike.unionAll(newest)
+    exact = nodes.join(unlike.withColumn("differs", F.lit(True)), "query_id", "left").select("query_id", "label_total", "pred_total", F.col("differs").isNull().alias("whole"))
+    hits = up.join(exact.where("whole").select(F.col("query_id").alias("child")), "child").groupBy("query_id").agg(F.count(F.lit(1)).alias("overlap"))
+    told = exact.join(hits, "query_id", "left")
+    out = base.join(told, "query_id", "left").fillna(0, ["label_total", "pred_total", "overlap"])
+    return out.withColumn("exact", F.coalesce("whole", "same")).drop("whole")
 
 
 def _base(units: DataFrame, links: DataFrame) -> DataFrame:
@@ -352,23 +362,21 @@ def _base(units: DataFrame, links: DataFrame) -> DataFrame:
     return overlaps(units, links).withColumn("same", F.expr(f"{same} AND (`tables:g` = 0 OR {_same('tables')})"))
 
 
-def score(units: DataFrame, links: DataFrame, depth: int | None = None) -> DataFrame:
+def score(units: DataFrame, links: DataFrame) -> DataFrame:
     """Per gold query the ten component totals and the exact-match verdict.
 
     A gold query without a readable prediction has no predicted rows and scores 0. Branches of the same operator are
     compared by their own clauses and branches, whatever their ids.
     """
     pairs, levels = unlike_pairs(links)
-    own = _base(units, links)
     branches = branch_pairs(links).select("query_id", "gold_id", "pred_id")
-    if levels:
-        below = _of_pairs(links.filter(F.col("kind").isin(*SET_OPS)), pairs, "parent_id")
-        own = own.unionByName(_base(_of_pairs(units, pairs, "query_id"), below))
+    if levels:  # the sides of unlike pairs go through the same pass as all others
         branches = branches.unionByName(branch_pairs(links, pairs).select("query_id", "gold_id", "pred_id"))
+        units = units.unionByName(_of_pairs(units, pairs, "query_id"))
+        links = links.unionByName(_of_pairs(links.filter(F.col("kind").isin(*SET_OPS)), pairs, "parent_id"))
     node = F.when(F.col("gold_id") == F.col("pred_id"), F.col("gold_id")).otherwise(F.col("pair")).alias("child")
     branches = settled(branches.join(pairs, ["gold_id", "pred_id"], "left").select("query_id", "gold_id", "pred_id", node), "branches")
-    depth = nesting(links) if depth is None else depth
-    found = exact_matches(settled(own, "clauses"), branches, depth)
+    found = exact_matches(settled(_base(units, links), "clauses"), branches)
     return found.filter(F.col("query_id") > -(2**61)) if levels else found
 
 
@@ -388,6 +396,21 @@ def partial_scores(scored: DataFrame, components: Sequence[str] = COMPONENTS) ->
     return scored.select("query_id", F.expr(f"inline(array({', '.join(rows)}))"))
 
 
+def partial_totals(scored: DataFrame, level: str, components: Sequence[str] = COMPONENTS) -> DataFrame:
+    """(level, component, hits and sizes): what rates are averaged from, added up side by side and only then set one below another.
+
+    ``pred_hits`` of ``pred_n`` rows with a prediction, ``label_hits`` of ``label_n`` rows with a label.
+    """
+    sums = []
+    for i, name in enumerate(components):
+        label, pred, _ = _component(name)
+        hit = f"int({_hit(name)})"
+        for side, total in (("pred", pred), ("label", label)):
+            sums += [F.expr(f"sum(if({total} > 0, {hit}, 0)) AS {side}_hits_{i}"), F.expr(f"count_if({total} > 0) AS {side}_n_{i}")]
+    rows = ", ".join(f"named_struct('component', '{name}', " + ", ".join(f"'{c}', {c}_{i}" for c in ("pred_hits", "pred_n", "label_hits", "label_n")) + ")" for i, name in enumerate(components))
+    return scored.groupBy(level).agg(*sums).select(level, F.expr(f"inline(array({rows}))"))
+
+
 def connected_minimum(edges: DataFrame) -> DataFrame:
     """(node, canonical): each node of the undirected graph with the least node it is joined to.
 

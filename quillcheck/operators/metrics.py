@@ -72,6 +72,15 @@ def partial_rates(partial: DataFrame, level: str = "level") -> DataFrame:
     return rolled.select("component", name.alias("level"), "acc", "rec")
 
 
+def rates_of(totals: DataFrame, level: str = "level") -> DataFrame:
+    """The same from totals per level and component: pred_hits, pred_n, label_hits, label_n."""
+    component, lev = F.col("component"), F.col(level)
+    rate_of = lambda side: F.coalesce(F.try_divide(F.sum(f"{side}_hits").cast("double"), F.sum(f"{side}_n")), F.lit(0.0))
+    rolled = totals.groupingSets([[component, lev], [component]], component, lev).agg(F.grouping(level).alias("__all"), rate_of("pred").alias("acc"), rate_of("label").alias("rec"))
+    name = F.when(F.col("__all") == 1, "all").otherwise(F.col(level))
+    return rolled.select("component", name.alias("level"), "acc", "rec")
+
+
 def f1(acc: Column, rec: Column, zero_f1: float = 1.0) -> Column:
     """F1 of two averaged rates; ``zero_f1`` where both are 0, as the established report has it."""
     return F.when((acc == 0) & (rec == 0), F.lit(zero_f1)).otherwise(2.0 * acc * rec / (acc + rec))

@@ -99,7 +99,7 @@ _RATES = """SELECT component, level, coalesce(avg(hit) FILTER (WHERE pred_total
 
 def partial_rates(t):
     levels = cl.difficulty(units(t), links(t)).filter("role = 'gold'").select("query_id", F.col("hardness").alias("level"))
-    return mt.partial_rates(cl.partial_scores(scored(t)).join(levels, "query_id"))
+    return mt.rates_of(cl.partial_totals(scored(t).join(levels, "query_id"), "level"))
 
 
 @plan("m06_partial_rates", oracle(f"SELECT component, level, round(acc, 6) AS acc, round(rec, 6) AS rec FROM ({_RATES}) r"))

@@ -230,5 +230,47 @@ def test_branches_of_any_depth(spark):
     base = spark.createDataFrame([(n, n != 6) for n in range(20)], "query_id bigint, same boolean")
     links = spark.createDataFrame([(n, n + 1, role, "union") for n in range(6) for role in ("gold", "pred")], "parent_id bigint, child_id bigint, role string, kind string")
     assert cl.nesting(links) == 6 and cl.nesting(links.filter("parent_id < 0")) == 0
-    got = {r["query_id"]: r["exact"] for r in cl.exact_matches(base, links).collect()}
+    branches = cl.branch_pairs(links).withColumn("child", F.col("gold_id"))
+    got = {r["query_id"]: r["exact"] for r in cl.exact_matches(base, branches).collect()}
     assert got == {n: n > 6 for n in range(20)}
+
+
+UNITS = (
+    "query_id bigint, role string, clause string, ordinal bigint, connector string, not_op boolean, op string, agg string, unit_op string, col string,"
+    " is_distinct boolean, value string, value_kind string, direction string"
+)
+
+
+def unit(query, role, clause, col, ordinal=0, agg="none"):
+    return (query, role, clause, ordinal, None, False, None, agg, "none", col, None, None, None, None)
+
+
+def test_branches_with_ids_of_their_own(spark):
+    """Chains of six set operators; the predicted branches have other ids, shared by no gold query."""
+    kinds = ["union", "except", "intersect"]
+    units, links, want = [], [], {}
+    for case, wrong in enumerate([None, 6, 3, 0, "kind", "missing"]):
+        start = 100 * case
+        for n in range(7):
+            gold, pred = start + n, start + n if n == 0 else start + 50 + n
+            for q, role in ((gold, "gold"), (pred, "pred")):
+                bad = role == "pred" and wrong == n
+                units += [unit(q, role, "select", f"c{n}"), unit(q, role, "select", "other" if bad else "d", 1), unit(q, role, "from", "t")]
+            if n:
+                kind = kinds[n % 3]
+                links.append((start + n - 1, gold, "gold", kind))
+                if not (wrong == "missing" and n == 4):
+                    links.append((start if n == 1 else start + 50 + n - 1, pred, "pred", kinds[(n + 1) % 3] if wrong == "kind" and n == 5 else kind))
+        want[start] = (wrong is None, 1 if wrong in (None, 0) else 0)
+    scored = cl.score(spark.createDataFrame(units, UNITS), spark.createDataFrame(links, "parent_id bigint, child_id bigint, role string, kind string"))
+    got = {r["query_id"]: (r["exact"], r["overlap"]) for r in scored.collect()}
+    assert {q: got[q] for q in want} == want
+    assert all(r[0] is False for q, r in got.items() if q not in want)  # gold branches without a prediction of their id
+    assert len(got) == 42
+
+
+def test_a_branch_that_many_queries_share(spark):
+    units = [unit(q, r, "select", "a") for q in range(40) for r in ("gold", "pred")] + [unit(900, "gold", "select", "b"), unit(901, "pred", "select", "b"), unit(902, "pred", "select", "z")]
+    links = [(q, 900, "gold", "union") for q in range(40)] + [(q, 901 if q % 2 else 902, "pred", "union") for q in range(40)]
+    scored = cl.score(spark.createDataFrame(units, UNITS), spark.createDataFrame(links, "parent_id bigint, child_id bigint, role string, kind string"))
+    assert {r["query_id"]: r["exact"] for r in scored.where("query_id < 900").collect()} == {q: q % 2 == 1 for q in range(40)}
