@@ -6,14 +6,23 @@ with +1 and predicted rows with -1, so equal rows cancel and map-side counts abs
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import islice
+from itertools import groupby, islice, product
+from itertools import permutations as arrange
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillcheck.operators.skew import salted_join
+from quillcheck.session import settled
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _family(kind: T.DataType) -> str:
     if isinstance(kind, T.NumericType):
@@ -190,24 +199,55 @@ def same_columns(df: DataFrame) -> list[int]:
 _ORDERS_PER_JOB = 64
 
 
+def _cells(df: DataFrame) -> Column:
+    return F.array(*[F.coalesce(typed_cell(f.name, f.dataType), F.lit("None:null")) for f in df.schema.fields])
+
+
+def column_classes(gold: DataFrame, pred: DataFrame, pinned: int = 0) -> tuple[list[int], list[int]]:
+    """Classes of the columns of both results, equal for columns that may stand for each other.
+
+    First by the bag of a column's cells; then, round by round, by the bag of its cells each beside a signature of their
+    row, which is a hash over the row's (class, cell) in no order of columns. Rounds end when no class is split any
+    more; each is one job that returns a number per column. The last ``pinned`` columns are classes of their own.
+    """
+    width = len(gold.columns)
+    g, p = aligned(gold, pred) if pinned else (_numbered(gold), _numbered(pred))
+    both = g.select(F.lit(0).alias("side"), _cells(g).alias("cells")).unionAll(p.select(F.lit(1).alias("side"), _cells(p).alias("cells")))
+    classes = [[-1 - i if i >= width - pinned else 0 for i in range(width)] for _ in range(2)]
+    first = not pinned  # without any class yet, a row's signature says nothing of it
+    while True:
+        known = F.when(F.col("side") == 0, F.array(*[F.lit(c) for c in classes[0]])).otherwise(F.array(*[F.lit(c) for c in classes[1]]))
+        named = F.zip_with(known, "cells", lambda k, c: F.concat_ws(":", k.cast("string"), c))
+        rows = both.select("side", "cells", F.xxhash64(F.array_sort(named)).alias("row"))
+        seen = [F.sum(F.xxhash64(F.get("cells", F.lit(i)), *([] if first else ["row"])).cast("decimal(38,0)")).alias(f"s{i}") for i in range(width)]
+        sums = {r["side"]: r for r in rows.groupBy("side").agg(*seen).collect()}
+        told = [[(classes[k][i], sums[k][f"s{i}"] if k in sums else None) for i in range(width)] for k in range(2)]
+        number = {t: n for n, t in enumerate(sorted({t for side in told for t in side if t[0] >= 0}, key=str))}
+        split = [[t[0] if t[0] < 0 else number[t] for t in side] for side in told]
+        done = [len(set(a)) == len(set(b)) for a, b in zip(split, classes, strict=True)]
+        classes = split
+        if sorted(classes[0]) != sorted(classes[1]) or (all(done) and not first) or all(len(set(c)) == width for c in classes):
+            return classes[0], classes[1]
+        first = False
+
+
 def equal_up_to_columns(gold: DataFrame, pred: DataFrame, pinned: int = 0) -> DataFrame:
     """Bag comparison under the best column order; the last ``pinned`` columns stay where they are.
 
-    Only column numbers reach the driver; the fingerprints of all columns take one scan per result. Usually one order
-    is left and its exact comparison is the answer; where several are, one job compares many of them.
+    Only numbers per column reach the driver. Classes of columns (``column_classes``) usually leave one order, whose exact
+    comparison is the answer. Columns of a class that are the same in every row take one order only; where several
+    are left all the same, one job compares many of them.
     """
     width = len(gold.columns)
     if width != len(pred.columns):
         return bag_equal(gold, pred)
-    found: dict[int, list[int]] = {}
-    for row in column_matches(gold, pred).orderBy("gold_pos", "pred_pos").collect():
-        if row["gold_pos"] == row["pred_pos"] or max(row["gold_pos"], row["pred_pos"]) < width - pinned:
-            found.setdefault(row["gold_pos"], []).append(row["pred_pos"])
+    of_gold, of_pred = column_classes(gold, pred, pinned)
+    if sorted(of_gold) != sorted(of_pred):
+        return bag_equal(gold, pred).withColumn("equal", (F.col("n_gold") == 0) & (F.col("n_pred") == 0))
+    found = {i: [j for j in range(width) if of_pred[j] == c] for i, c in enumerate(of_gold)}
     several = any(len(v) > 1 for v in found.values())
     orders = permutations(found, width, same_columns(_numbered(pred)) if several else ())
     batch = list(islice(orders, _ORDERS_PER_JOB))
-    if not batch:
-        return bag_equal(gold, pred).withColumn("equal", (F.col("n_gold") == 0) & (F.col("n_pred") == 0))
     order = batch[0]
     while len(batch) > 1:
         each = [bag_equal(gold, permute(pred, o)).select(F.lit(k).alias("k"), "equal") for k, o in enumerate(batch)]
@@ -227,18 +267,90 @@ def ordered_equal(gold: DataFrame, pred: DataFrame, ordinal: str = "ordinal") ->
     return equal_up_to_columns(g, p, pinned=1)
 
 
-def suite_verdicts(results: DataFrame, roster: DataFrame | None = None) -> DataFrame:
-    """Per query: equal on all databases.
+_PAIR = ["query_id", "db_id"]
+
+
+def _signatures(rows: DataFrame, beside: Column) -> DataFrame:
+    """(query_id, db_id, role, signs): for each column a hash total of its cells, each beside what ``beside`` says of its row."""
+    cells = rows.select(*_PAIR, "role", beside.alias("__beside"), F.posexplode("cells").alias("pos", "cell"))
+    total = F.sum(F.xxhash64("cell", "__beside").cast("decimal(38,0)"))
+    per_column = cells.groupBy(*_PAIR, "role", "pos").agg(total.alias("total"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", F.col("total").cast("string").alias("total"))))  # as many as a result has columns
+    return per_column.groupBy(*_PAIR, "role").agg(F.transform(listed, lambda x: x["total"]).alias("signs"))
+
 
-    results: query_id, db_id, role (gold or pred) and the cells of one result row. All pairs on all databases are
-    compared in one grouped job. ``roster``: every (query_id, db_id) that was run; one without any row on both sides
-    is equal.
+def _orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All orders of the columns in which only columns of equal signature change places, one row at a time."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            groups = [list(g) for _, g in groupby(sorted(range(len(row.signs)), key=lambda i: row.signs[i]), key=lambda i: row.signs[i])]
+            for k, chosen in enumerate(product(*(arrange(g) for g in groups))):
+                yield pd.DataFrame({"query_id": [row.query_id], "db_id": [row.db_id], "variant": [k], "order": [[i for g in chosen for i in g]]})
+
+
+def _in_order(rows: DataFrame, orders: DataFrame, keys: Sequence[str]) -> DataFrame:
+    placed = salted_join(rows, orders, keys)
+    return placed.withColumn("cells", F.transform("order", lambda i: F.get("cells", i))).drop("order")
+
+
+def suite_verdicts(results: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+    """Per query: equal on all databases, up to the order of columns.
+
+    results: query_id, db_id, role (gold or pred), ``ordinal`` (the row's number, if results are in order) and the cells of
+    one result row, as columns of their own or as an array ``cells`` of typed text (results of unlike widths).
+    ``roster``: every (query_id, db_id) that was run; one without any row on both sides is equal. Its boolean ``ordered``
+    tells which gold queries sort: there rows must agree in their places too.
+
+    All pairs on all databases are compared together. A column's signature is a hash total of its cells, each beside the
+    row's number where order counts, else beside a signature of the row that no order of columns changes, refined
+    twice. Results whose columns' signatures differ are not equal; else columns are put in the order of their signatures
+    and the rows are compared in full. Where unlike columns share a signature, their other orders are tried, for these
+    pairs only.
     """
-    cells = [c for c in results.columns if c not in ("role",)]
-    signed = results.withColumn("__sign", F.when(F.col("role") == "gold", 1).otherwise(-1)).drop("role")
-    per_db = _verdict(signed, cells, ["query_id", "db_id"])
-    if roster is not None:
-        per_db = roster.select("query_id", "db_id").distinct().join(per_db, ["query_id", "db_id"], "left").fillna(True, ["equal"])
+    if "cells" not in results.columns:
+        rest = [c for c in results.columns if c not in (*_PAIR, "role", "ordinal")]
+        cells = _cells(results.select(*rest))
+        results = results.withColumn("cells", cells)
+    rows = results.select(*_PAIR, "role", "cells", (F.col("ordinal") if "ordinal" in results.columns else F.lit(None)).cast("long").alias("ordinal"))
+    run = roster if roster is not None else results.select(*_PAIR).distinct()
+    run = run.select(*_PAIR, (F.coalesce("ordered", F.lit(False)) if "ordered" in run.columns else F.lit(False)).alias("ordered")).distinct()
+    of = lambda role, c: F.max(F.when(F.col("role") == role, c))
+    shapes = rows.groupBy(*_PAIR).agg(
+        F.count_if(F.col("role") == "gold").alias("n_gold"), F.count_if(F.col("role") == "pred").alias("n_pred"),
+        of("gold", F.size("cells")).alias("gold_width"), of("pred", F.size("cells")).alias("pred_width"),
+    )
+    shapes = run.join(shapes, _PAIR, "left").fillna(0, ["n_gold", "n_pred"])
+    alike = (F.col("n_gold") == F.col("n_pred")) & (F.col("gold_width") == F.col("pred_width"))
+    shapes = settled(shapes.select(*_PAIR, "ordered", F.when((F.col("n_gold") == 0) & (F.col("n_pred") == 0), True).when(~F.coalesce(alike, F.lit(False)), False).alias("decided")), "shapes")
+    rows = salted_join(rows, shapes.where("decided IS NULL").select(*_PAIR, "ordered"), _PAIR)
+    rows = settled(rows.withColumn("ordinal", F.when(F.col("ordered"), F.coalesce("ordinal", F.lit(-1)))).drop("ordered"), "rows")
+
+    signs = _signatures(rows, F.col("ordinal"))
+    for _ in range(2):
+        signed = salted_join(rows, settled(signs, "signatures"), [*_PAIR, "role"])
+        row = F.xxhash64(F.array_sort(F.zip_with("signs", "cells", lambda s, c: F.concat_ws(":", s, c))))
+        signs = _signatures(signed, F.xxhash64(row, "ordinal"))
+    signs = settled(signs, "signatures")
+    places = F.transform(F.array_sort(F.transform("signs", lambda s, i: F.struct(s.alias("s"), i.alias("i")))), lambda x: x["i"])
+    canonical = _in_order(rows, signs.select(*_PAIR, "role", places.alias("order")), [*_PAIR, "role"])
+
+    def compared(gold_and_pred: DataFrame, by: Sequence[str]) -> DataFrame:
+        sign = F.when(F.col("role") == "gold", 1).otherwise(-1)
+        net = gold_and_pred.groupBy(*by, "ordinal", "cells").agg(F.sum(sign).alias("net"))
+        return net.groupBy(*by).agg(F.bool_and(F.col("net") == 0).alias("equal"))
+
+    sides = signs.groupBy(*_PAIR).agg(of("gold", F.array_sort("signs")).alias("g"), of("pred", F.array_sort("signs")).alias("p"))
+    tied = sides.select(*_PAIR, (F.col("g") == F.col("p")).alias("may"), (F.size(F.array_distinct("p")) < F.size("p")).alias("tied"))
+    first = settled(compared(canonical, _PAIR).join(tied, _PAIR).select(*_PAIR, (F.col("equal") & F.col("may")).alias("equal"), (~F.col("equal") & F.col("may") & F.col("tied")).alias("open")), "first")
+    open_ = first.where("open").select(*_PAIR)
+    kinds = {c: results.schema[c].dataType.simpleString() for c in _PAIR}
+    orders = signs.where("role = 'pred'").join(open_, _PAIR, "left_semi").select(*_PAIR, "signs")
+    orders = orders.mapInPandas(_orders, f"query_id {kinds['query_id']}, db_id {kinds['db_id']}, variant long, order array<int>")
+    tried = _in_order(rows.where("role = 'pred'").select(*_PAIR, "role", "cells", "ordinal"), orders, _PAIR)
+    golds = canonical.where("role = 'gold'").join(orders.select(*_PAIR, "variant"), _PAIR).select(*tried.columns)
+    other = compared(tried.unionByName(golds), [*_PAIR, "variant"]).groupBy(*_PAIR).agg(F.bool_or("equal").alias("other"))
+    told = first.join(other, _PAIR, "left").select(*_PAIR, (F.col("equal") | F.coalesce("other", F.lit(False))).alias("equal"))
+    per_db = shapes.join(told, _PAIR, "left").select(*_PAIR, F.coalesce("decided", "equal").alias("equal"))
     return per_db.groupBy("query_id").agg(
         F.count("*").alias("n_databases"), F.count_if("equal").alias("n_equal"), F.bool_and("equal").alias("passed")
     )

@@ -156,27 +156,37 @@ def permute(t):
     return eq.permute(gold(t), [2, 0, 1])
 
 
-# Results of one query per nation on three databases: its customers' segments and balances.
-_RESULTS = """SELECT c_nationkey AS query_id, 'db' || (c_custkey % 3) AS db_id, 'gold' AS role, c_mktsegment AS c0, c_acctbal AS c1 FROM customer
- UNION ALL SELECT c_nationkey, 'db' || (c_custkey % 3), 'pred', c_mktsegment, CASE WHEN c_nationkey % 5 = 0 AND c_acctbal > 9900 THEN 0.0 ELSE c_acctbal END
- FROM customer WHERE c_nationkey <> 6 OR c_mktsegment <> 'BUILDING'"""
+# Results of one query per nation on three databases: its customers' segments and balances, the best first. Predictions of every
+# second nation have their columns swapped, those of every third their rows turned round, and some lose rows or cells.
+_RESULTS = """SELECT c_nationkey AS query_id, 'db' || (c_custkey % 3) AS db_id, 'gold' AS role, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 3
+  ORDER BY c_acctbal DESC, c_custkey) AS ordinal, c_mktsegment AS c0, CAST(c_acctbal AS VARCHAR(30)) AS c1, c_custkey AS id FROM customer
+ UNION ALL SELECT query_id, db_id, 'pred', ordinal, CASE WHEN query_id % 2 = 0 THEN c1 ELSE c0 END, CASE WHEN query_id % 2 = 0 THEN c0 ELSE c1 END, id FROM (
+  SELECT c_nationkey AS query_id, 'db' || (c_custkey % 3) AS db_id, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 3
+   ORDER BY CASE WHEN c_nationkey % 3 = 0 THEN -c_acctbal ELSE c_acctbal END DESC, c_custkey) AS ordinal, c_mktsegment AS c0,
+   CASE WHEN c_nationkey % 5 = 0 AND c_acctbal > 9900 THEN '0.0' ELSE CAST(c_acctbal AS VARCHAR(30)) END AS c1, c_custkey AS id
+  FROM customer WHERE c_nationkey <> 6 OR c_mktsegment <> 'BUILDING') x"""
 
 
 def results(t):
-    return t.sql(_RESULTS.replace("FROM customer", "FROM {customer}"))
+    return t.sql(_RESULTS.replace("FROM customer", "FROM {customer}")).drop("id")
 
 
 @plan(
     "e09_suite_verdicts",
-    f"""WITH r AS ({_RESULTS}), n AS (SELECT query_id, db_id, c0, c1, sum(CASE role WHEN 'gold' THEN 1 ELSE -1 END) AS net FROM r GROUP BY ALL),
-    run AS (SELECT n_nationkey AS query_id, 'db' || k AS db_id FROM nation, (SELECT unnest(range(4)) AS k) x),
-    d AS (SELECT run.query_id, run.db_id, coalesce(bool_and(net = 0), true) AS equal FROM run LEFT JOIN n ON n.query_id = run.query_id AND n.db_id = run.db_id GROUP BY ALL)
+    f"""WITH r AS ({_RESULTS}), run AS (SELECT n_nationkey AS query_id, 'db' || k AS db_id, n_nationkey % 4 = 0 AS ordered FROM nation, (SELECT unnest(range(4)) AS k) x),
+    rows_ AS (SELECT r.query_id, r.db_id, role, CASE WHEN ordered THEN ordinal END AS place, c0, c1 FROM r JOIN run USING (query_id, db_id)),
+    sides AS (SELECT query_id, db_id, place, role, c0, c1, 'same' AS v FROM rows_ UNION ALL SELECT query_id, db_id, place, role, c0, c1, 'swapped' FROM rows_ WHERE role = 'gold'
+      UNION ALL SELECT query_id, db_id, place, role, c1, c0, 'swapped' FROM rows_ WHERE role = 'pred'),
+    n AS (SELECT query_id, db_id, v, place, c0, c1, sum(CASE role WHEN 'gold' THEN 1 ELSE -1 END) AS net FROM sides GROUP BY ALL),
+    tried AS (SELECT query_id, db_id, v, bool_and(net = 0) AS equal FROM n GROUP BY ALL),
+    d AS (SELECT run.query_id, run.db_id, coalesce(bool_or(equal), true) AS equal FROM run LEFT JOIN tried ON tried.query_id = run.query_id AND tried.db_id = run.db_id GROUP BY ALL)
     SELECT query_id, count(*) AS n_databases, count(*) FILTER (WHERE equal) AS n_equal, bool_and(equal) AS passed FROM d GROUP BY query_id""",
 )
 def suite_verdicts(t):
-    # a fourth database on which every query is empty
+    # a fourth database on which every query is empty; every fourth query sorts its rows
     databases = F.explode(F.array(*[F.lit(f"db{k}") for k in range(4)]))
-    return eq.suite_verdicts(results(t), t.nation.select(F.col("n_nationkey").alias("query_id"), databases.alias("db_id")))
+    run = t.nation.select(F.col("n_nationkey").alias("query_id"), databases.alias("db_id"), (F.col("n_nationkey") % 4 == 0).alias("ordered"))
+    return eq.suite_verdicts(results(t), run)
 
 
 _VARIANTS = """SELECT l_orderkey AS query_id, l_linenumber AS variant, l_returnflag AS db_id, l_discount * 100 >= l_linenumber AS equal FROM lineitem"""

@@ -274,3 +274,79 @@ def test_a_branch_that_many_queries_share(spark):
     links = [(q, 900, "gold", "union") for q in range(40)] + [(q, 901 if q % 2 else 902, "pred", "union") for q in range(40)]
     scored = cl.score(spark.createDataFrame(units, UNITS), spark.createDataFrame(links, "parent_id bigint, child_id bigint, role string, kind string"))
     assert {r["query_id"]: r["exact"] for r in scored.where("query_id < 900").collect()} == {q: q % 2 == 1 for q in range(40)}
+
+
+def brute_equal(gold, pred, ordered):
+    from itertools import permutations
+
+    if not gold and not pred:
+        return True
+    if len(gold) != len(pred) or len(gold[0]) != len(pred[0]):
+        return False
+    turned = ([tuple(r[i] for i in o) for r in pred] for o in permutations(range(len(gold[0]))))
+    return any(t == gold if ordered else sorted(t) == sorted(gold) for t in turned)
+
+
+def test_suite_against_all_permutations(spark):
+    """Small results with many like columns, each compared with an altered copy, with and without order."""
+    rng = random.Random(31)
+    rows, run, want = [], [], {}
+    for q in range(60):
+        width, ordered = rng.randint(1, 4), q % 2 == 0
+        for d in "ab":
+            gold = [tuple(rng.choice("xy") for _ in range(width)) for _ in range(rng.randint(0, 5))]
+            order = rng.sample(range(width), width)
+            pred = [tuple(r[i] for i in order) for r in gold]
+            turn = rng.random()
+            if turn < 0.25:
+                rng.shuffle(pred)
+            elif turn < 0.45 and pred:
+                at = rng.randrange(len(pred))
+                pred[at] = tuple(rng.choice("xy") for _ in range(width))
+            elif turn < 0.5:
+                pred = pred[:-1]
+            elif turn < 0.55:
+                pred = [(*r, "x") for r in pred]
+            run.append((q, d, ordered))
+            want[q] = want.get(q, 0) + brute_equal(gold, pred, ordered)
+            rows += [(q, d, role, n, list(r)) for role, side in (("gold", gold), ("pred", pred)) for n, r in enumerate(side)]
+    # unlike columns that no signature tells apart: rows of a cyclic square and its mirror image
+    square = [("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y")]
+    for q, other in ((100, [r[::-1] for r in square]), (101, square[::-1]), (102, [("x", "z", "y"), *square[1:]])):
+        run.append((q, "a", False))
+        want[q] = int(brute_equal(square, other, False))
+        rows += [(q, "a", role, n, list(r)) for role, side in (("gold", square), ("pred", other)) for n, r in enumerate(side)]
+    results = spark.createDataFrame(rows, "query_id int, db_id string, role string, ordinal int, cells array<string>").repartition(6)
+    verdicts = eq.suite_verdicts(results, spark.createDataFrame(run, "query_id int, db_id string, ordered boolean")).collect()
+    assert {r["query_id"]: r["n_equal"] for r in verdicts} == want and 20 < sum(want.values()) < 100
+
+
+def test_equal_up_to_columns_against_all_permutations(spark):
+    rng = random.Random(32)
+    for _ in range(8):
+        gold = [tuple(rng.choice("xy") for _ in range(4)) for _ in range(rng.randint(1, 5))]
+        order = rng.sample(range(4), 4)
+        pred = [tuple(r[i] for i in order) for r in gold]
+        rng.shuffle(pred)
+        if rng.random() < 0.5:
+            pred[0] = tuple(rng.choice("xy") for _ in range(4))
+        g, p = (spark.createDataFrame(x, "a string, b string, c string, d string") for x in (gold, pred))
+        assert eq.equal_up_to_columns(g, p).first()["equal"] == brute_equal(gold, pred, False)
+
+
+def test_unlike_columns_of_the_same_cells_take_few_jobs(spark):
+    """Ten columns with the same bag of cells, each in its own arrangement: rows tell them apart."""
+    rng = random.Random(33)
+    values = [*range(12)]
+    columns = [rng.sample(values, 12) for _ in range(10)]
+    gold = spark.createDataFrame(list(zip(*columns)), [f"c{i}" for i in range(10)])
+    order = rng.sample(range(10), 10)
+    pred = gold.select(*[gold.columns[i] for i in order])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("unlike-columns", "")
+    verdict = eq.equal_up_to_columns(gold, pred)
+    assert len(tracker.getJobIdsForGroup("unlike-columns")) <= 10  # three queries of a few stages each
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert verdict.first()["equal"]
+    wrong = spark.createDataFrame([tuple(r) for r in zip(*columns[:9], columns[9][::-1])], gold.columns)
+    assert not eq.equal_up_to_columns(gold, wrong.select(*[wrong.columns[i] for i in order])).first()["equal"]
