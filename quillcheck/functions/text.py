@@ -138,10 +138,6 @@ def literal_set(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(_all(c, QUOTED), numbers)))
 
 
-def slot_count(tokens: Column) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == SLOT))
-
-
 def slot_segments(tokens: Column) -> Column:
     """The masked text cut at its slots: one segment more than there are slots."""
     marked = F.transform(tokens, lambda x: F.when(x == SLOT, F.lit("\x01")).otherwise(x))
@@ -159,6 +155,16 @@ def filled(segments: Column, values: Column, variant: Column) -> Column:
     return F.array_join(F.transform(segments, piece), "")
 
 
+def variant_count(segments: Column, values: Column) -> Column:
+    """How many texts there are to try: the unchanged one and each way of filling the slots, one if there are none."""
+    return (F.pow(F.size(values), F.size(segments) - 1) + 1).cast("bigint")
+
+
+def variant_text(own: Column, segments: Column, values: Column, variant: Column) -> Column:
+    """Number 0 is the text as it is, number n the (n - 1)-th combination of values in its slots."""
+    return F.when(variant == 0, own).otherwise(filled(segments, values, variant - 1))
+
+
 def drop_inner(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("INNER "), F.lit("")), F.lit("inner "), F.lit(""))
 

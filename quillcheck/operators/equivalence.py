@@ -7,7 +7,7 @@ with +1 and predicted rows with -1, so equal rows cancel and map-side counts abs
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import groupby, islice, product
 from itertools import permutations as arrange
@@ -362,6 +362,28 @@ def any_variant(verdicts: DataFrame) -> DataFrame:
     return per_variant.groupBy("query_id").agg(F.count("*").alias("n_variants"), F.bool_or("passed").alias("passed"))
 
 
+def first_passing(queries: DataFrame, judge: Callable[[DataFrame], DataFrame], at_once: int = 4096) -> DataFrame:
+    """Per query the first variant that passes on all databases: query_id, n_variants, first_variant (null if none), passed.
+
+    queries: query_id, ``n`` (variants 0 to n - 1) and whatever ``judge`` needs to make verdicts (query_id, variant, db_id,
+    equal) of rows with a ``variant``. Variants are dealt out in rounds that grow up to ``at_once``, and only to queries that none has
+    passed for yet, so no row holds all of them and those behind the first that passes are not made.
+    """
+    open_ = settled(queries, "open")
+    low, high, found = 0, 1, None
+    while True:
+        asked = open_.withColumn("variant", F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.lit(high).cast("long"), F.col("n")) - 1)))
+        per_variant = judge(asked).groupBy("query_id", "variant").agg(F.bool_and("equal").alias("passed"))
+        passing = settled(per_variant.where("passed").groupBy("query_id").agg(F.min("variant").alias("first_variant")), "passing")
+        found = passing if found is None else found.unionAll(passing)
+        open_ = settled(open_.where(F.col("n") > high).join(passing, "query_id", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+        low, high = high, high + min(16 * high, at_once)
+    told = queries.select("query_id", F.col("n").alias("n_variants")).join(found, "query_id", "left")
+    return told.withColumn("passed", F.col("first_variant").isNotNull())
+
+
 def keyed_columns_equal(gold: DataFrame, pred: DataFrame, ordinal: str) -> DataFrame:
     """Compare columns by name, whatever their order, keeping the row order.
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from quillcheck.operators import equivalence as eq
 from quillcheck.operators.ordering import with_ordinal
 from quillcheck.plans.registry import plan
+from quillcheck.plans.text_queries import parsed_pairs, with_text
+from quillcheck.plans.views import oracle
 from quillcheck.session import settled
 
 _GOLD = "SELECT l_orderkey AS k, sum(l_quantity) AS qty, count(*) AS n FROM lineitem GROUP BY l_orderkey"
@@ -189,16 +191,24 @@ def suite_verdicts(t):
     return eq.suite_verdicts(results(t), run)
 
 
-_VARIANTS = """SELECT l_orderkey AS query_id, l_linenumber AS variant, l_returnflag AS db_id, l_discount * 100 >= l_linenumber AS equal FROM lineitem"""
+# What executing a variant gives: on one database or two, the gold result where the texts agree, and by chance now and then.
+_EQUAL = "(lower(trim(regexp_replace(result, '\\s+', ' '{g}))) = lower(trim(regexp_replace(gold, '\\s+', ' '{g}))) OR (query_id + variant + db_id) % 5 = 0)"
 
 
 @plan(
     "e10_any_variant",
-    f"""SELECT query_id, count(*) AS n_variants, bool_or(passed) AS passed FROM (SELECT query_id, variant, bool_and(equal) AS passed
-    FROM ({_VARIANTS}) v GROUP BY query_id, variant) x GROUP BY query_id""",
+    oracle(
+        f"""WITH passes AS (SELECT query_id, variant, bool_and({_EQUAL.format(g=", 'g'")}) AS passed FROM
+          (SELECT *, unnest(range(0, 1 + query_id % 2)) AS db_id FROM <<pair_variants>>) v GROUP BY query_id, variant)
+        SELECT query_id, count(*) AS n_variants, min(variant) FILTER (WHERE passed) AS first_variant, bool_or(passed) AS passed FROM passes GROUP BY query_id"""
+    ),
 )
 def any_variant(t):
-    return eq.any_variant(t.sql(_VARIANTS.replace("FROM lineitem", "FROM {lineitem}")))
+    def judge(asked):
+        on = with_text(asked).withColumn("db_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("query_id") % 2)))
+        return on.select("query_id", "variant", "db_id", F.expr(_EQUAL.format(g="").replace("\\s", "\\\\s")).alias("equal"))
+
+    return eq.first_passing(parsed_pairs(t), judge)
 
 
 @plan(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.functions import text as tx
 from quillcheck.plans.registry import plan
-from quillcheck.plans.views import oracle, view
+from quillcheck.plans.views import PARTS, oracle, view
 
 _SQ, _DQ = "''", '"'
 _QUOTED = "''[^'']*''|\"[^\"]*\""
@@ -25,17 +25,16 @@ _UNQUOTE = "replace(replace(replace(regexp_replace(regexp_replace([[v]], '^[`''\
 
 
 def texts(t):
-    """The SQL texts, shared among all cores."""
+    """The SQL texts."""
     return view(t, "sql_text")
 
 
-def _column_query(name: str, make, sql: str, heavy: bool = False):
+def _column_query(name: str, make, sql: str):
     """A query that applies one text function to every SQL text."""
 
     @plan(name, oracle(f"SELECT query_id, {sql} AS result FROM <<sql_text>>"))
     def build(t):
-        rows = texts(t) if heavy else view(t, "sql_text")
-        return rows.select("query_id", make(F.col("sql_text")).alias("result"))
+        return texts(t).select("query_id", make(F.col("sql_text")).alias("result"))
 
     return build
 
@@ -57,7 +56,6 @@ _column_query(
     WHEN regexp_matches(coalesce(CASE WHEN i > 1 THEN p[i - 1] END, ''), '[''"]$')
       OR regexp_matches(coalesce(p[i + 1], ''), '^[''"]') THEN p[i] ELSE lower(p[i]) END), '')
     FROM (SELECT regexp_extract_all(sql_text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+') AS p) w)""",
-    heavy=True,
 )
 _column_query(
     "t04_squeeze", tx.squeeze,
@@ -86,45 +84,42 @@ _column_query(
     "f NOT IN ('AVG', 'MAX', 'SUM', 'COUNT', 'MIN')))), ',')",
 )
 _column_query(
-    "t10_mask_literals", lambda c: F.array_join(tx.masked_tokens(c), " "), f"array_to_string({_MASKED}, ' ')", heavy=True
+    "t10_mask_literals", lambda c: F.array_join(tx.masked_tokens(c), " "), f"array_to_string({_MASKED}, ' ')"
 )
 _column_query(
-    "t11_literal_set", lambda c: F.array_join(tx.literal_set(c), "|"), f"array_to_string({_LITERALS}, '|')", heavy=True
+    "t11_literal_set", lambda c: F.array_join(tx.literal_set(c), "|"), f"array_to_string({_LITERALS}, '|')"
 )
 
 
-@plan(
-    "t12_fill_slots",
-    oracle(
-        """WITH parsed AS (SELECT query_id, [[masked]] AS toks, [[literals]] AS vals FROM <<sql_text>>),
-        placed AS (SELECT query_id, vals, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM parsed),
-        numbered AS (SELECT *, sum(CASE WHEN tok = 'valuerare' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY pos) AS slot,
-          sum(CASE WHEN tok = 'valuerare' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS slots FROM placed),
-        variants AS (SELECT query_id, unnest(range(CAST(pow(any_value(len(vals)), max(slots)) AS BIGINT))) AS variant
-          FROM numbered GROUP BY query_id)
-        SELECT n.query_id, v.variant, string_agg(CASE WHEN tok = 'valuerare'
-          THEN vals[1 + CAST((v.variant // CAST(pow(len(vals), slots - slot) AS BIGINT)) % len(vals) AS BIGINT)]
-          ELSE tok END, ' ' ORDER BY pos) AS result
-        FROM numbered n JOIN variants v ON n.query_id = v.query_id GROUP BY n.query_id, v.variant""",
-        masked=_MASKED,
-        literals=_LITERALS,
-    ),
-)
+# Gold values in the slots of predictions: variant 0 is the prediction as it is.
+PARTS["pair_variants"] = """
+ SELECT query_id, gold, 0 AS variant, pred AS result FROM sql_pairs UNION ALL
+ SELECT n.query_id, any_value(gold), v.variant + 1, string_agg(CASE WHEN tok = 'valuerare' THEN vals[1 + CAST((v.variant // CAST(pow(len(vals), slots - slot) AS BIGINT)) % len(vals) AS BIGINT)]
+  ELSE tok END, ' ' ORDER BY pos) FROM (
+  SELECT *, sum(CASE WHEN tok = 'valuerare' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY pos) AS slot, sum(CASE WHEN tok = 'valuerare' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS slots
+  FROM (SELECT query_id, gold, vals, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM (SELECT query_id, gold, [[masked]] AS toks, [[literals]] AS vals FROM sql_pairs) a) b) n
+ JOIN (SELECT query_id, unnest(range(CAST(pow(len(vals), n) AS BIGINT))) AS variant FROM (SELECT query_id, [[literals]] AS vals, len(list_filter([[masked]], lambda x: x = 'valuerare')) AS n
+  FROM sql_pairs) c) v ON n.query_id = v.query_id GROUP BY n.query_id, v.variant""".replace("[[masked]]", _MASKED.replace("sql_text", "pred")).replace("[[literals]]", _LITERALS.replace("sql_text", "gold"))
+
+
+def parsed_pairs(t):
+    """(query_id, gold, pred, segments, vals, n): the predictions cut at their slots and the values of their gold queries."""
+    pairs = view(t, "sql_pairs")
+    parsed = pairs.select("*", tx.slot_segments(tx.masked_tokens(F.col("pred"))).alias("segments"), tx.literal_set(F.col("gold")).alias("vals"))
+    return parsed.withColumn("n", tx.variant_count(F.col("segments"), F.col("vals")))
+
+
+def with_text(asked):
+    return asked.withColumn("result", tx.variant_text(F.col("pred"), F.col("segments"), F.col("vals"), F.col("variant")))
+
+
+@plan("t12_fill_slots", oracle("SELECT query_id, variant, result FROM <<pair_variants>>"))
 def fill_slots(t):
-    c = F.col("sql_text")
-    parsed = texts(t).select(
-        "query_id", tx.slot_segments(tx.masked_tokens(c)).alias("segments"), tx.literal_set(c).alias("vals")
-    )
-    n_variants = F.pow(F.size("vals"), F.size("segments") - 1).cast("bigint")
-    # sequence(0, -1) would count down, so a text with slots but no values yields no variant. The numbers are
-    # dealt out in two steps, so that no array is longer than the root of their count.
-    step = F.ceil(F.sqrt(n_variants)).cast("bigint")
-    firsts = F.when(n_variants > 0, F.sequence(F.lit(0).cast("bigint"), n_variants - 1, step))
-    dealt = parsed.select("*", n_variants.alias("n"), step.alias("step"), F.explode(firsts).alias("first"))
+    # Numbers are dealt out in two steps, so that no array is longer than the root of their count
+    step = F.ceil(F.sqrt("n")).cast("bigint")
+    dealt = parsed_pairs(t).select("*", step.alias("step"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, step)).alias("first"))
     dealt = dealt.select("*", F.explode(F.sequence("first", F.least(F.col("first") + F.col("step"), F.col("n")) - 1)).alias("variant"))
-    return dealt.select(
-        "query_id", "variant", tx.filled(F.col("segments"), F.col("vals"), F.col("variant")).alias("result")
-    )
+    return with_text(dealt).select("query_id", "variant", "result")
 
 
 _column_query("t13_drop_inner", tx.drop_inner, "replace(replace(sql_text, 'INNER ', ''), 'inner ', '')")

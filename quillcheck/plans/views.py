@@ -34,6 +34,11 @@ SELECT o_orderkey AS query_id, CASE o_orderkey % 7
  ELSE concat('Select Count(*) , Avg(o_totalprice) From orders Where o_custkey = ', cast(o_custkey AS varchar(20)),
    ' Group By o_orderstatus Having Count(*) > ', cast(o_orderkey % 10 AS varchar(20))) END AS sql_text
 FROM {orders}""",
+    # Each text beside that of another order with the same pattern, as gold query and prediction; and the texts tried for each pair.
+    "sql_pairs": """
+SELECT g.query_id, g.sql_text AS gold, p.sql_text AS pred FROM <<sql_text>> g JOIN <<sql_text>> p ON p.query_id = g.query_id + 7""",
+    "pair_variants": """
+SELECT * FROM ([[pair_variants]]) v CROSS JOIN (SELECT 1 FROM <<sql_pairs>> LIMIT 1) x""",
     # All values of all columns of the sales tables: (table, column, value), distinct.
     "value_index": """
 SELECT * FROM ([[all_values]]) u WHERE value IS NOT NULL""",

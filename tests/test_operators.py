@@ -350,3 +350,28 @@ def test_unlike_columns_of_the_same_cells_take_few_jobs(spark):
     assert verdict.first()["equal"]
     wrong = spark.createDataFrame([tuple(r) for r in zip(*columns[:9], columns[9][::-1])], gold.columns)
     assert not eq.equal_up_to_columns(gold, wrong.select(*[wrong.columns[i] for i in order])).first()["equal"]
+
+
+def test_variants_stop_at_the_first_that_passes(spark):
+    """Rounds of variants: judged are those up to the round of the first that passes, and all where none does."""
+    judged = []
+
+    def judge(asked):
+        judged.extend((r["query_id"], r["variant"]) for r in asked.select("query_id", "variant").collect())
+        return asked.select("query_id", "variant", F.lit(0).alias("db_id"), (F.col("variant") >= F.col("good")).alias("equal"))
+
+    queries = spark.createDataFrame([(1, 1, 0), (2, 400, 0), (3, 400, 5), (4, 400, 300), (5, 40, 99), (6, 1, 1)], "query_id int, n bigint, good int")
+    got = {r["query_id"]: (r["n_variants"], r["first_variant"], r["passed"]) for r in eq.first_passing(queries, judge, 128).collect()}
+    assert got == {1: (1, 0, True), 2: (400, 0, True), 3: (400, 5, True), 4: (400, 300, True), 5: (40, None, False), 6: (1, None, False)}
+    assert len(judged) == len(set(judged))
+    most = {q: max(v for p, v in judged if p == q) for q in got}
+    assert most[2] == 0 and most[3] < 20 and most[4] >= 300 and most[5] == 39
+
+
+def test_gold_values_in_predicted_slots(spark):
+    pair = ("select a from t where b = 'x y' and c > 3", "SELECT a FROM t WHERE b = 'z' AND c > 1.5")
+    row = spark.createDataFrame([pair], "gold string, pred string")
+    c = row.select(F.col("pred"), tx.slot_segments(tx.masked_tokens(F.col("pred"))).alias("s"), tx.literal_set(F.col("gold")).alias("v"))
+    n = c.select(tx.variant_count(F.col("s"), F.col("v")).alias("n")).first()["n"]
+    got = [c.select(tx.variant_text(F.col("pred"), F.col("s"), F.col("v"), F.lit(k)).alias("r")).first()["r"] for k in range(n)]
+    assert got[0] == pair[1] and sorted(got[1:]) == sorted(f"select a from t where b = {x} and c > {y}" for x in ("'x y'", "3") for y in ("'x y'", "3"))
