@@ -58,11 +58,28 @@ def known_table_lists(lists: Column, known: Column) -> Column:
     return F.filter(lists, lambda x: (x != "") & (F.size(F.array_except(F.split(x, " "), known)) == 0))
 
 
-def pairs(rows: DataFrame, selects: str, structures: str) -> DataFrame:
-    """Every select with every structure of the same row; both lists are short by their nature."""
-    rest = [c for c in rows.columns if c not in (selects, structures)]
-    one = rows.select(*rest, structures, F.posexplode(selects).alias("select_at", "select_text"))
-    return one.select(*rest, "select_at", "select_text", F.posexplode(structures).alias("structure_at", "structure_text"))
+def pairs(rows: DataFrame, selects: str, structures: str, select_labels: str | None = None, structure_labels: str | None = None) -> DataFrame:
+    """Every select with every structure of the same row; both lists are short by their nature.
+
+    With the two lists of labels (booleans) a pair's ``label`` is true where both of its parts are right; a missing label
+    counts as wrong.
+    """
+    lists = [c for c in (selects, structures, select_labels, structure_labels) if c is not None]
+    rest = [c for c in rows.columns if c not in lists]
+    kept = [c for c in (structures, structure_labels, select_labels) if c is not None]
+    one = rows.select(*rest, *kept, F.posexplode(selects).alias("select_at", "select_text"))
+    both = one.select(*one.columns, F.posexplode(structures).alias("structure_at", "structure_text"))
+    out = both.select(*rest, "select_at", "select_text", "structure_at", "structure_text", *[c for c in kept if c != structures])
+    if select_labels is None or structure_labels is None:
+        return out
+    right = F.coalesce(F.get(select_labels, F.col("select_at")) & F.get(structure_labels, F.col("structure_at")), F.lit(False))
+    return out.withColumn("label", right).drop(select_labels, structure_labels)
+
+
+def pair_text(select: Column, structure: Column) -> Column:
+    """A select and the words of a structure behind its first one, set apart by dots."""
+    parts = F.split(structure, "-")
+    return F.concat_ws(" ", select, F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), " … "))
 
 
 def positive_probability(negative: Column, positive: Column) -> Column:

@@ -135,15 +135,23 @@ def positional_schema(rows: DataFrame) -> Column:
     return F.concat(F.lit("Database: "), F.col("db_id"), F.lit(". "), F.array_join(F.transform("tables", table), ". "))
 
 
-def request_text(rows: DataFrame, table_list: str, structure: str, select: str, text: str) -> DataFrame:
-    """The whole request per row; rows without a table list are left out.
+def table_texts(rows: DataFrame, text: str, with_keys: bool = True) -> DataFrame:
+    """Per distinct text of ``rows`` (from ``with_schema``): its tables' strings as (table_id, tbl, table_text), in order."""
+    one = named_tables(rows.select(text, "tables", "found").dropDuplicates([text]), with_keys)
+    listed = F.array_sort(F.collect_list(F.struct("table_id", "tbl", "table_text")))  # as many as the schema has tables
+    return one.groupBy(text).agg(listed.alias("table_texts"))
 
-    ``rows`` comes from ``with_schema``; only tables named in the blank-separated list are shown.
+
+def request_text(rows: DataFrame, table_lists: str, structure: str, select: str, text: str) -> DataFrame:
+    """One request per row and candidate list of tables (``list_at``, ``table_list``); blank lists are left out.
+
+    ``rows`` has ``table_texts``; only tables named in a blank-separated list are shown, in the schema's order.
     """
-    found = F.col("found")
-    wanted = F.split(F.col(table_list), " ")
-    kept = F.filter("tables", lambda t: F.array_contains(wanted, t["tbl"]))
-    shown = F.array_join(F.transform(kept, lambda t: named_table(t, found, True)), TABLE_BREAK)
+    rest = [c for c in rows.columns if c != table_lists]
+    one = rows.select(*rest, F.posexplode(table_lists).alias("list_at", "table_list")).filter("table_list <> ''")
+    wanted = F.split(F.col("table_list"), " ")
+    kept = F.filter("table_texts", lambda t: F.array_contains(wanted, t["tbl"]))
+    shown = F.array_join(F.transform(kept, lambda t: t["table_text"]), TABLE_BREAK)
 
     def fill(template: str, **parts: Column) -> list[Column]:
         (name, value), = parts.items()
@@ -154,8 +162,8 @@ def request_text(rows: DataFrame, table_list: str, structure: str, select: str,
         F.lit(SCHEMA_HEAD), shown, F.lit("\n"), F.lit(NOTE),
         *fill(QUESTION, question=F.col(text)),
         *fill(STRUCTURE_HINT, structure=F.lower(F.col(structure))),
-        *fill(TABLE_HINT, table_list=F.replace(F.col(table_list), F.lit(" "), F.lit(", "))),
+        *fill(TABLE_HINT, table_list=F.replace(F.col("table_list"), F.lit(" "), F.lit(", "))),
         F.lit(FUNCTION_HINT),
         *fill(SELECT_HINT, select=F.col(select)),
     )
-    return rows.filter(F.col(table_list) != "").withColumn("request", whole)
+    return one.withColumn("request", whole)

@@ -44,13 +44,17 @@ def tables_mentioned(t):
 @plan(
     "d02_three_tasks",
     oracle(
-        """SELECT idx, unnest([0, 1, 2]) AS task_no, unnest(['structure', 'select', 'table']) AS task, unnest([query, select_text, table_list]) AS target
-        FROM <<select_texts>>"""
+        f"""SELECT idx, unnest([0, 1, 2]) AS task_no, unnest(['structure', 'select', 'table']) AS task, unnest([query, select_text, table_list]) AS target,
+        unnest([{", ".join("'" + x.replace("{question}", "' || question || '").replace("{schema}", "' || schema_text || '") + "'" for x in ds.TASK_INPUTS.values())}]) AS input
+        FROM (SELECT idx, query, s.select_text, s.table_list, question, 'Database: ' || s.db_id || '. ' || s.table_list AS schema_text
+        FROM <<select_texts>> s JOIN <<questions>> q ON q_id = idx) x"""
     ),
 )
 def three_tasks(t):
-    rows = select_texts(t).select("idx", "query", "select_text", "table_list")
-    return ds.three_tasks(rows, "query", "select_text", "table_list")
+    asked = view(t, "questions").select(F.col("q_id").alias("idx"), "question")
+    schema = F.concat(F.lit("Database: "), F.col("db_id"), F.lit(". "), F.col("table_list")).alias("schema_text")
+    rows = select_texts(t).select("idx", "query", "select_text", "table_list", schema).join(asked, "idx")
+    return ds.three_tasks(rows, "query", "select_text", "table_list", "question", "schema_text")
 
 
 _ENCODED = """CASE WHEN starts_with(select_text, 'select o_orderkey') THEN CASE WHEN contains(table_list, 't5') THEN 'select t5.c0 , max(t5.c3), count(t5.c1)' ELSE select_text END
@@ -61,7 +65,7 @@ _ENCODED = """CASE WHEN starts_with(select_text, 'select o_orderkey') THEN CASE
 
 @plan("d03_encoded_columns", oracle(f"SELECT idx, {_ENCODED} AS encoded FROM <<select_texts>>"))
 def encoded_columns(t):
-    encoded = ds.encode_columns(F.col("select_text"), F.split("table_list", " "), F.col("column_ids"))
+    encoded = ds.encode_columns(F.col("select_text"), F.split("table_list", " "), F.col("by_name"))
     return with_ids(t).select("idx", encoded.alias("encoded"))
 
 
@@ -74,11 +78,9 @@ def encoded_columns(t):
     ),
 )
 def decoded_columns(t):
-    ids = F.col("column_ids")
-    encoded = with_ids(t).withColumn("e", ds.encode_columns(F.col("select_text"), F.split("table_list", " "), ids))
-    return encoded.select(
-        "idx", ds.decode_columns(F.col("e"), ids).alias("decoded"), ds.decode_tables(F.col("table_list"), ids).alias("tables")
-    )
+    encoded = with_ids(t).withColumn("e", ds.encode_columns(F.col("select_text"), F.split("table_list", " "), F.col("by_name")))
+    decoded, tables = ds.decode_columns(F.col("e"), F.col("by_id")), ds.decode_tables(F.col("table_list"), F.col("by_table"))
+    return encoded.select("idx", decoded.alias("decoded"), tables.alias("tables"))
 
 
 @plan("d05_capped", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 100")

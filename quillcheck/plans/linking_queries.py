@@ -6,6 +6,7 @@ from quillcheck.functions.wordlists import STOP_WORDS
 from quillcheck.operators import catalog as cat
 from quillcheck.operators import linking as ln
 from quillcheck.operators import serialize as ser
+from quillcheck.operators.skew import salted_join
 from quillcheck.plans.catalog_queries import DATABASES, DECLARED, FK_SCHEMA, FOREIGN_KEYS
 from quillcheck.plans.registry import plan
 from quillcheck.plans.value_queries import searchable
@@ -171,9 +172,7 @@ def quoted_values(t):
 )
 def linked_questions(t):
     linked = ln.linked_values(questions(t), "question", index(t), keys(t))
-    return (
-        questions(t).join(linked, "question").select("q_id", "tbl", "col", F.array_join("values", "|").alias("vals"))
-    )
+    return salted_join(questions(t).select("q_id", "question"), linked, ["question"]).select("q_id", "tbl", "col", F.array_join("values", "|").alias("vals"))
 
 
 def sales_schema(t, values, fallback: bool = True):
@@ -186,9 +185,11 @@ def sales_schema(t, values, fallback: bool = True):
 
 
 def with_schema(t, fallback: bool = True):
+    """The schema and the linked values of each distinct question; texts are made for these and joined to the rows."""
     values = index(t)
-    linked = ln.linked_values(questions(t), "question", values)
-    return ser.with_schema(questions(t), linked, "question", sales_schema(t, values, fallback))
+    distinct = questions(t).select("question", "db_id").distinct()
+    linked = ln.linked_values(distinct, "question", values, keys(t))
+    return ser.with_schema(distinct, linked, "question", sales_schema(t, values, fallback))
 
 
 @plan(
@@ -196,7 +197,8 @@ def with_schema(t, fallback: bool = True):
     oracle("SELECT q_id, tbl, plain AS table_text FROM <<questions>> JOIN <<table_texts>> USING (question)"),
 )
 def table_text(t):
-    return ser.named_tables(with_schema(t), with_keys=False).select("q_id", "tbl", "table_text")
+    texts = ser.named_tables(with_schema(t), with_keys=False).select("question", "tbl", "table_text")
+    return salted_join(questions(t).select("q_id", "question"), texts, ["question"]).select("q_id", "tbl", "table_text")
 
 
 @plan(
@@ -204,7 +206,8 @@ def table_text(t):
     oracle("SELECT q_id, tbl, table_text FROM <<questions>> JOIN <<keyed_texts>> USING (question)"),
 )
 def table_text_with_keys(t):
-    return ser.named_tables(with_schema(t), with_keys=True).select("q_id", "tbl", "table_text")
+    texts = ser.named_tables(with_schema(t), with_keys=True).select("question", "tbl", "table_text")
+    return salted_join(questions(t).select("q_id", "question"), texts, ["question"]).select("q_id", "tbl", "table_text")
 
 
 @plan(
@@ -222,27 +225,29 @@ def table_text_with_keys(t):
 )
 def positional_schema(t):
     rows = with_schema(t, fallback=False)
-    return rows.select("q_id", ser.positional_schema(rows).alias("schema_text"))
+    texts = rows.select("question", ser.positional_schema(rows).alias("schema_text"))
+    return salted_join(questions(t).select("q_id", "question"), texts, ["question"]).select("q_id", "schema_text")
 
 
 def _request_sql() -> str:
     note, functions = _sql_text(ser.NOTE), _sql_text(ser.FUNCTION_HINT)
     return (
-        """SELECT q_id, '### The database contains the following tables:' || chr(10) || '# ' || shown || chr(10) || '"""
+        """SELECT q_id, list_at, '### The database contains the following tables:' || chr(10) || '# ' || shown || chr(10) || '"""
         + note
         + """' || 'Question: ' || question || chr(10) || 'Requirement: The SQL query must be in this format: ' || lower(structure) || '.' || chr(10)
         || 'Requirement: The SQL query must consist of these tables: ' || replace(table_list, ' ', ', ') || '.' || chr(10) || '"""
         + functions
         + """' || 'Translate the question into a SQL query that starts with "' || select_text || ' from". Only show the SQL query.' || chr(10) AS request
-        FROM (SELECT q.q_id, q.question, q.structure, q.table_list, q.select_text, string_agg(k.table_text, chr(10) || '# ' ORDER BY table_id) AS shown
-        FROM <<questions>> q JOIN <<keyed_texts>> k ON k.question = q.question AND list_contains(string_split(q.table_list, ' '), k.tbl) GROUP BY ALL) x"""
+        FROM (SELECT q.q_id, q.list_at, q.question, q.structure, q.table_list, q.select_text, string_agg(k.table_text, chr(10) || '# ' ORDER BY table_id) AS shown
+        FROM (SELECT q_id, question, structure, select_text, unnest([table_list, 'customer orders', '']) AS table_list, unnest([0, 1, 2]) AS list_at FROM <<questions>>) q JOIN <<keyed_texts>> k ON k.question = q.question AND list_contains(string_split(q.table_list, ' '), k.tbl) GROUP BY ALL) x"""
     )
 
 
 @plan("p04_request_text", oracle(_request_sql()))
 def request_text(t):
-    made = ser.request_text(with_schema(t), "table_list", "structure", "select_text", "question")
-    return made.select("q_id", "request")
+    rows = questions(t).select("q_id", "question", "structure", "select_text", F.array("table_list", F.lit("customer orders"), F.lit("")).alias("lists"))
+    made = ser.request_text(salted_join(rows, ser.table_texts(with_schema(t), "question"), ["question"]), "lists", "structure", "select_text", "question")
+    return made.select("q_id", "list_at", "request")
 
 
 @plan("l13_linked_documents")

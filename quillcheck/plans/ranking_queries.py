@@ -76,17 +76,22 @@ def table_lists(t):
 @plan(
     "r07_pairs",
     oracle(
-        """SELECT input_id, select_at, structure_at, selects[select_at + 1] || ' ' || structures[structure_at + 1] AS pair
-        FROM (SELECT *, unnest(range(len(structures))) AS structure_at FROM (SELECT *, unnest(range(len(selects))) AS select_at FROM <<beams>>) x) y"""
+        """SELECT input_id, select_at, structure_at, selects[select_at + 1] || ' ' || array_to_string(list_slice(string_split(structures[structure_at + 1], '-'), 2, 99), ' … ') AS pair,
+        selects[select_at + 1] = gold_select AND structures[structure_at + 1] = 'SELECT-FROM-WHERE' AS label
+        FROM (SELECT *, unnest(range(len(structures))) AS structure_at FROM (SELECT *, unnest(range(len(selects))) AS select_at FROM
+        (SELECT input_id, gold_select, list_append(selects, gold_select) AS selects, structures FROM <<beams>>) w) x) y"""
     ),
 )
 def pairs(t):
-    made = rk.pairs(beams(t).select("input_id", "selects", "structures"), "selects", "structures")
+    rows = beams(t).select("input_id", "gold_select", F.array_append("selects", F.col("gold_select")).alias("selects"), "structures")
+    labels = [F.transform("selects", lambda s: s == F.col("gold_select")).alias("right"), F.transform("structures", lambda s: s == "SELECT-FROM-WHERE").alias("fits")]
+    made = rk.pairs(rows.select("input_id", "selects", "structures", *labels), "selects", "structures", "right", "fits")
     return made.select(
         "input_id",
         F.col("select_at").cast("bigint").alias("select_at"),
         F.col("structure_at").cast("bigint").alias("structure_at"),
-        F.concat_ws(" ", "select_text", "structure_text").alias("pair"),
+        rk.pair_text(F.col("select_text"), F.col("structure_text")).alias("pair"),
+        "label",
     )
 
 
