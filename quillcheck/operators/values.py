@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillcheck.functions.text import number_or_null
+from quillcheck.operators import vectors
+from quillcheck.operators.ordering import with_ordinal
 from quillcheck.operators.search import Searchable, search, search_elsewhere
 from quillcheck.session import settled
 
@@ -93,14 +95,77 @@ def number_checked(literal: Column, candidate: Column) -> Column:
     return F.when(~both, candidate)
 
 
-def calibrate(probes: DataFrame, index: DataFrame | Searchable) -> DataFrame:
+class ByText:
+    """The best candidates by token-sort score."""
+
+    def __init__(self, index: Searchable):
+        self.index = index
+
+    def prepare(self, left: DataFrame) -> None:
+        self.near = settled(self.index.near(left), "near")
+
+    def in_column(self, left: DataFrame) -> DataFrame:
+        return search(left, self.index, ["tbl", "col"], near=self.near).select("tbl", "col", "literal", "score", "value")
+
+    def in_table(self, left: DataFrame) -> DataFrame:
+        return best_in_table(left, self.index, above=ACCEPT_ABOVE, near=self.near).select("tbl", "literal", "value", "found_col")
+
+    def elsewhere(self, left: DataFrame) -> DataFrame:
+        return best_elsewhere(left, self.index, above=ACCEPT_ABOVE, near=self.near).select("tbl", "literal", "value", "found_tbl", "found_col")
+
+
+class ByVector:
+    """The best candidates by the cosine of mean word vectors (``token_vectors``: token, embedding); -1 where one has none.
+
+    A value that equals the literal is preferred to others of the same vector.
+    """
+
+    def __init__(self, index: Searchable, token_vectors: DataFrame):
+        self.entries, self.tokens = index.entries.select("tbl", "col", "value"), token_vectors
+
+    def prepare(self, left: DataFrame) -> None:
+        numbered = with_ordinal(self.entries, ["value", "tbl", "col"], "id")
+        means = vectors.mean_of_tokens(self.entries.select("value"), self.tokens)
+        self.values = settled(numbered.join(means, "value"), "value-vectors")
+        asked = left.select("literal").distinct()
+        means = vectors.mean_of_tokens(asked.select(F.col("literal").alias("value")), self.tokens).withColumnRenamed("value", "literal")
+        self.asked = settled(with_ordinal(means, ["literal"], "id"), "literal-vectors")
+        self.by_column, self.by_table = (vectors.VectorIndex(self.values.select(*on, "id", "vector"), on) for on in (["tbl", "col"], ["tbl"]))
+        self.named = self.values.select(F.col("id").alias("other_id"), F.col("tbl").alias("found_tbl"), F.col("col").alias("found_col"), "value")
+
+    def _best(self, left: DataFrame, index: vectors.VectorIndex, per: Sequence[str] = ()) -> DataFrame:
+        probes = left.distinct().join(self.asked, "literal")
+        found = vectors.nearest(probes.drop("literal"), index, index.on, per=per)
+        return found.join(self.asked.select("id", "literal"), "id").join(self.named, "other_id")
+
+    def in_column(self, left: DataFrame) -> DataFrame:
+        return self._best(left.select("tbl", "col", "literal"), self.by_column).select("tbl", "col", "literal", "score", "value")
+
+    def in_table(self, left: DataFrame) -> DataFrame:
+        return self._best(left.select("tbl", "literal"), self.by_table).where(F.col("score") > ACCEPT_ABOVE).select("tbl", "literal", "value", "found_col")
+
+    def elsewhere(self, left: DataFrame) -> DataFrame:
+        places = [r[0] for r in self.by_table.blocks.select("tbl").distinct().collect()]  # as many as the database has tables
+        everywhere = F.array(*[F.lit(x) for x in places]) if places else F.array().cast("array<string>")
+        own = left.select(F.col("tbl").alias("own"), "literal").distinct()
+        asked = own.select("own", "literal", F.explode(everywhere).alias("tbl")).where("tbl <> own")
+        best = self._best(asked, self.by_table, ["own"]).where(F.col("score") > ACCEPT_ABOVE).select("own", "literal", "value", "found_tbl", "found_col")
+        same = self.values.where("vector IS NOT NULL").select("value", F.col("tbl").alias("found_tbl"), F.col("col").alias("found_col"), match_key(F.col("value")).alias("key"))
+        equal = own.withColumn("key", match_key(F.col("literal"))).join(same, "key").where("found_tbl <> own")
+        equal = equal.groupBy("own", "literal").agg(F.min(F.struct("value", "found_tbl", "found_col")).alias("hit")).select("own", "literal", "hit.*")
+        rest = best.join(equal, ["own", "literal"], "left_anti")
+        return equal.unionByName(rest).withColumnRenamed("own", "tbl")
+
+
+def calibrate(probes: DataFrame, index: DataFrame | Searchable, by: ByText | ByVector | None = None) -> DataFrame:
     """For each probe the column and value it most likely means.
 
     probes: tbl, col, literal (and anything else). Adds stage, match_tbl, match_col and
     match_value, null where nothing should be replaced. Stages, first that applies:
     1 exact in the column, 2 exact in the table, 3 column score, 4 table score, 5 score
     in another table, 6 the column's best however poor. Work is done per distinct probe,
-    and each stage searches only for what the cheaper ones left over.
+    and each stage searches only for what the cheaper ones left over. ``by`` is what scores them, token-sort score unless
+    another way is given.
     """
     searched = index if isinstance(index, Searchable) else Searchable(index)
     index = searched.entries
@@ -125,14 +190,13 @@ def calibrate(probes: DataFrame, index: DataFrame | Searchable) -> DataFrame:
         looked_up.filter("own IS NULL AND hit IS NOT NULL"), 2, own_tbl, F.col("hit.col"), F.col("hit.value")
     )
     left = looked_up.filter("own IS NULL AND hit IS NULL").select("tbl", "col", "literal")
-    near = settled(searched.near(left), "near")
+    by = ByText(searched) if by is None else by
+    by.prepare(left)
 
     # A probe whose column holds no value at all gets no candidate and a null answer.
     column_best = settled(
         left.join(
-            search(left, searched, ["tbl", "col"], near=near).select(
-                "tbl", "col", "literal", F.col("score").alias("col_score"), F.col("value").alias("col_value")
-            ),
+            by.in_column(left).select("tbl", "col", "literal", F.col("score").alias("col_score"), F.col("value").alias("col_value")),
             ["tbl", "col", "literal"],
             "left",
         )
@@ -143,7 +207,7 @@ def calibrate(probes: DataFrame, index: DataFrame | Searchable) -> DataFrame:
 
     table_best = settled(
         left.join(
-            best_in_table(left, searched, above=ACCEPT_ABOVE, near=near).select("tbl", "literal", "value", "found_col"),
+            by.in_table(left),
             ["tbl", "literal"],
             "left",
         )
@@ -156,7 +220,7 @@ def calibrate(probes: DataFrame, index: DataFrame | Searchable) -> DataFrame:
     left = table_best.filter("value IS NULL").drop("value", "found_col")
 
     other_best = left.join(
-        best_elsewhere(left, searched, above=ACCEPT_ABOVE, near=near).select("tbl", "literal", "value", "found_tbl", "found_col"),
+        by.elsewhere(left),
         ["tbl", "literal"],
         "left",
     )

@@ -10,91 +10,148 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quillcheck.operators.skew import salted_join
+from quillcheck.session import settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VECTORS_PER_BLOCK = 512
+PIVOTS = 64  # vectors that the others are filed by; never more than this reach the driver
+FIRST_BLOCKS = 4
+_UNKNOWN, _ZERO = -1, -2  # in place of a pivot: no vector, or one without direction
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], per_block: int) -> DataFrame:
-    """Rows of equal ``keys`` folded into arrays of bounded size inside each task."""
-    key_list = list(keys)
-    schema = T.StructType(
-        [df.schema[k] for k in keys] + [T.StructField(c, T.ArrayType(df.schema[c].dataType)) for c in ("id", "vector")]
-    )
+def _unit(vectors, width: int) -> np.ndarray:
+    """Rows of length 1; a null vector is a row of NaN, one without direction a row of zeros."""
+    matrix = np.array([np.full(width, np.nan) if v is None else np.asarray(v, dtype=np.float64) for v in vectors]).reshape(len(vectors), width)
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(size == 0, 1.0, size)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, group in batch.groupby(key_list, sort=False, dropna=False):
-                for at in range(0, len(group), per_block):
-                    part = group.iloc[at : at + per_block]
-                    rows.append((*key, part["id"].tolist(), part["vector"].tolist()))
-            yield pd.DataFrame(rows, columns=schema.names)
 
-    return df.sortWithinPartitions(*keys).mapInPandas(cut, schema)
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(np.nan_to_num(unit) @ pivots.T, -1.0, 1.0))
 
 
-def _unit(vectors) -> np.ndarray:
-    """Rows of length 1; a null vector is a row of NaN."""
-    width = next((len(v) for v in vectors if v is not None), 1)
-    matrix = np.stack([np.full(width, np.nan) if v is None else np.asarray(v, dtype=np.float64) for v in vectors])
-    size = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(size == 0, 1.0, size)
+class VectorIndex:
+    """Vectors filed by their nearest pivot and the angle to it, in blocks of one pivot and one ``on``.
 
+    ``values`` has ``on``, ``id`` (a number) and ``vector`` (null, or all of one length). Blocks are cut within the tasks that
+    hold the rows, so a hot key makes many blocks.
+    """
 
-def _cosine(a, b) -> np.ndarray:
-    """All pairs; where a vector is null the score is -1."""
-    left, right = _unit(a), _unit(b)
-    if left.shape[1] != right.shape[1]:  # one side has no vector at all
-        return np.full((len(left), len(right)), -1.0)
-    return np.nan_to_num(left @ right.T, nan=-1.0)
+    def __init__(self, values: DataFrame, on: Sequence[str]):
+        self.on, self.values = list(on), values
+        some = values.where("vector IS NOT NULL").select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+        self.width = len(some[0]["vector"]) if some else 1
+        unit = _unit([r["vector"] for r in some], self.width)
+        self.pivots = unit[np.abs(unit).sum(axis=1) > 0]
+        self.blocks = settled(self._cut(), "vectors")
+
+    def _cut(self) -> DataFrame:
+        pivots, width, keys, per_block = self.pivots, self.width, self.on, VECTORS_PER_BLOCK
+        kinds = ", ".join(f"`{k}` {self.values.schema[k].dataType.simpleString()}" for k in keys)
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                unit = _unit(batch["vector"].tolist(), width)
+                known = ~np.isnan(unit).any(axis=1)
+                some = known & (np.abs(np.nan_to_num(unit)).sum(axis=1) > 0)
+                angles = _angles(unit, pivots) if len(pivots) else np.zeros((len(unit), 1))
+                near = angles.argmin(axis=1)
+                batch = batch.assign(pivot=np.where(some, near, np.where(known, _ZERO, _UNKNOWN)), angle=angles[np.arange(len(unit)), near])
+                yield batch[[*keys, "id", "vector", "pivot", "angle"]]
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for key, group in batch.groupby([*keys, "pivot"], sort=False, dropna=False):
+                    for at in range(0, len(group), per_block):
+                        part = group.iloc[at : at + per_block]
+                        rows.append((*key, float(part["angle"].min()), float(part["angle"].max()), part["id"].tolist(), part["vector"].tolist()))
+                yield pd.DataFrame(rows, columns=[*keys, "pivot", "lo", "hi", "ids", "vectors"])
+
+        head = kinds + ", " if kinds else ""
+        slim = self.values.select(*keys, F.col("id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
+        placed = slim.mapInPandas(place, head + "id long, vector array<double>, pivot int, angle double")
+        blocks = placed.sortWithinPartitions(*keys, "pivot", "angle").mapInPandas(cut, head + "pivot int, lo double, hi double, ids array<long>, vectors array<array<double>>")
+        return blocks.withColumn("block", F.monotonically_increasing_id())
+
+    def with_angles(self, probes: DataFrame) -> DataFrame:
+        """``probes`` with the angles to all pivots; null for one without vector, empty for one without direction."""
+        pivots, width = self.pivots, self.width
+        names = probes.columns
+
+        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                unit = _unit(batch["vector"].tolist(), width)
+                angles = _angles(unit, pivots) if len(pivots) else np.zeros((len(unit), 0))
+                told = [None if np.isnan(u).any() else a.tolist() if np.abs(u).sum() > 0 else [] for u, a in zip(unit, angles, strict=True)]
+                yield batch.assign(angles=pd.Series(told, index=batch.index, dtype=object))[[*names, "angles"]]
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in probes.schema)
+        return probes.mapInPandas(measure, kinds + ", angles array<double>")
 
 
 def nearest(
-    probes: DataFrame, values: DataFrame, on: Sequence[str], k: int = 1, skip_same: bool = False, spread: int = 8, digits: int = 6
-) -> DataFrame:
-    """The k values of highest cosine per probe, among those with equal ``on``.
+    probes: DataFrame, values: DataFrame | VectorIndex, on: Sequence[str], k: int = 1, skip_same: bool = False, digits: int = 6, per: Sequence[str] = ()
+) -> DataFrame:
+    """The k values of highest cosine per probe, among those with equal ``on``; of equal scores the least id.
+
+    Both sides have ``on``, ``id`` (a number) and ``vector``; probes may have further columns ``per`` that tell them apart (then the
+    k best are over all their ``on``). The score is -1 where a vector is null and 0 where one has no direction.
 
-    Both sides have ``on``, ``id`` and ``vector``. Blocks of vectors are paired, one matrix
-    product scores a pair, and only the k best per probe leave the task.
+    An exact search by pivots: the angle to a vector can't be less than the difference of the two angles to a pivot, so
+    the blocks whose bound is best are opened first, and of the others only those that may still hold one of the k best.
     """
-    on_cols, keep, places = list(on), k, digits
-    v = values.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int"))
-    v_blocks = _blocks(v.select(*on, "__salt", "id", "vector"), [*on, "__salt"], VECTORS_PER_BLOCK)
-    p_blocks = _blocks(probes.select(*on, "id", "vector"), on, VECTORS_PER_BLOCK)
-    salts = F.explode(F.array(*[F.lit(i) for i in range(spread)]))
-    p_blocks = p_blocks.select(
-        *on, salts.alias("__salt"), F.col("id").alias("p_id"), F.col("vector").alias("p_vector")
-    )
-    schema = T.StructType(
-        [probes.schema[c] for c in on]
-        + [T.StructField("id", probes.schema["id"].dataType), T.StructField("other_id", values.schema["id"].dataType), T.StructField("score", T.DoubleType())]
-    )
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                cosine = np.round(_cosine(row["p_vector"], row["vector"]), places)
-                ids = np.asarray(row["id"])
+    index = values if isinstance(values, VectorIndex) else VectorIndex(values, on)
+    width, keep, places = index.width, k, digits
+    group = [*per, "id"] if per else [*on, "id"]
+    p = probes.select(*dict.fromkeys([*on, *per]), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    p = settled(index.with_angles(p), "probes")
+    summary = index.blocks.select(*index.on, "block", "pivot", "lo", "hi")
+    pairs = salted_join(p.drop("vector"), summary, on)
+    angle = F.get("angles", F.col("pivot"))
+    gap = F.greatest(F.lit(0.0), angle - F.col("hi"), F.col("lo") - angle)
+    reach = F.when(F.col("angles").isNull() | (F.col("pivot") == _UNKNOWN), -1.0).when((F.size("angles") == 0) | (F.col("pivot") == _ZERO), 0.0).otherwise(F.cos(gap))
+    named = list(dict.fromkeys([*on, *per, "id"]))
+    pairs = settled(pairs.select(*named, "block", (reach + 2 * 10.0**-digits).alias("reach")), "pairs")
+    placed = pairs.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("reach"), "block")))
+    kinds = {f.name: f.dataType.simpleString() for f in p.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in named) + ", other_id long, score double"
+
+    def score(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(asked) and len(held):
+            ids, theirs = np.asarray(held["ids"].iloc[0]), _unit(list(held["vectors"].iloc[0]), width)
+            for at in range(0, len(asked), VECTORS_PER_BLOCK):  # one matrix product for some probes
+                part = asked.iloc[at : at + VECTORS_PER_BLOCK]
+                mine = _unit(part["vector"].tolist(), width)
+                cosine = np.round(np.nan_to_num(np.clip(np.nan_to_num(mine) @ np.nan_to_num(theirs).T, -1, 1)), places)
+                cosine[np.isnan(mine).any(axis=1)] = -1.0
+                cosine[:, np.isnan(theirs).any(axis=1)] = -1.0
                 if skip_same:
-                    cosine[np.asarray(row["p_id"])[:, None] == ids[None, :]] = -np.inf
-                out = []
-                for p_id, line in zip(row["p_id"], cosine):
-                    for i in np.lexsort((ids, -line))[:keep]:
+                    cosine[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+                rows = part[named].to_numpy(dtype=object)
+                for row, line in zip(rows, cosine, strict=True):
+                    best = np.flatnonzero(line >= np.partition(line, -keep)[-keep]) if len(line) > keep else np.arange(len(line))
+                    for i in best[np.lexsort((ids[best], -line[best]))][:keep]:
                         if np.isfinite(line[i]):
-                            out.append((*[row[c] for c in on_cols], p_id, ids[i], line[i]))
-                yield pd.DataFrame(out, columns=schema.names)
-
-    found = p_blocks.join(v_blocks, [*on, "__salt"]).mapInPandas(score, schema)
-    if k == 1:
-        best = F.min(F.struct((-F.col("score")).alias("far"), "other_id"))
-        return found.groupBy(*on, "id").agg(best.alias("b")).select(
-            *on, "id", F.col("b.other_id").alias("other_id"), (-F.col("b.far")).alias("score")
-        )
-    place = F.row_number().over(Window.partitionBy(*on, "id").orderBy(F.desc("score"), "other_id"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
+                            out.append((*row, int(ids[i]), float(line[i])))
+        return pd.DataFrame(out, columns=[*named, "other_id", "score"])
+
+    def opened(some: DataFrame) -> DataFrame:
+        some = some.select(*named, "block")
+        asked = some.join(p.select(*named, "vector").dropDuplicates(named), named)
+        blocks = index.blocks.join(some.select("block").distinct(), "block", "left_semi").select("block", "ids", "vectors")
+        return asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(score, schema)
+
+    order = Window.partitionBy(*group).orderBy(F.desc("score"), "other_id")
+    first = settled(opened(placed.where(F.col("place") <= FIRST_BLOCKS)), "first")
+    floor = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select(*group, F.col("score").alias("floor"))
+    later = placed.where(F.col("place") > FIRST_BLOCKS).join(floor, group, "left").where(F.col("reach") >= F.coalesce("floor", F.lit(-2.0)))
+    found = first.unionByName(opened(later)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return found if k > 1 else found.drop("place")
 
 
 def words_of(value: Column) -> Column:

@@ -1,5 +1,8 @@
 """Catalog and profile of the given tables, seen as three databases."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillcheck.operators import catalog as cat
@@ -74,9 +77,16 @@ def profiled(t):
     return cat.profile(dbs).join(cat.read_catalog(t.spark, dbs), ["db_id", "tbl", "col"])
 
 
+def named(t):
+    """The catalog with the rows of each table, which no column has to be read for."""
+    dbs = databases(t)
+    rows = [cat.row_counts(frames).withColumn("db_id", F.lit(db)) for db, frames in dbs.items()]
+    return cat.read_catalog(t.spark, dbs).join(reduce(DataFrame.unionByName, rows), ["db_id", "tbl"])
+
+
 @plan("c01_tables", CATALOG_SQL + "SELECT db_id, table_id, tbl, count(*) AS n_columns, max(n_rows) AS n_rows FROM cat GROUP BY ALL")
 def tables(t):
-    return profiled(t).groupBy("db_id", "table_id", "tbl").agg(
+    return named(t).groupBy("db_id", "table_id", "tbl").agg(
         F.count("*").alias("n_columns"), F.max("n_rows").alias("n_rows")
     )
 
@@ -170,15 +180,15 @@ def foreign_key_numbers(t):
 
 @plan(
     "c07_humanised_names",
-    CATALOG_SQL + "SELECT tbl, col, replace(lower(tbl), '_', ' ') AS table_name, replace(lower(col), '_', ' ') AS column_name, n_values FROM cat",
+    CATALOG_SQL + "SELECT tbl, col, replace(lower(tbl), '_', ' ') AS table_name, replace(lower(col), '_', ' ') AS column_name, n_rows FROM cat",
 )
 def humanised_names(t):
-    return profiled(t).select(
+    return named(t).select(
         "tbl",
         "col",
         cat.humanised(F.col("tbl")).alias("table_name"),
         cat.humanised(F.col("col")).alias("column_name"),
-        "n_values",
+        "n_rows",
     )
 
 
@@ -189,7 +199,7 @@ def humanised_names(t):
     THEN upper(tbl) || ' ' || upper(col) ELSE replace(lower(col), '_', ' ') END AS name FROM cat""",
 )
 def inherited_names(t):
-    own = profiled(t)
+    own = named(t)
     # The curated names miss one column of the database "talk", so that one keeps its own.
     curated = cat.read_catalog(t.spark, databases(t)).filter("col <> 'role'").select(
         "db_id", "table_id", "pos", F.concat_ws(" ", F.upper("tbl"), F.upper("col")).alias("name")
@@ -214,15 +224,15 @@ def total_rows(t):
 
 @plan(
     "c11_identifiers",
-    CATALOG_SQL + "SELECT tbl, col, '__' || lower(tbl) || '.' || lower(col) || '__' AS identifier, '__' || lower(tbl) || '__' AS table_identifier, n_values FROM cat",
+    CATALOG_SQL + "SELECT tbl, col, '__' || lower(tbl) || '.' || lower(col) || '__' AS identifier, '__' || lower(tbl) || '__' AS table_identifier, n_rows FROM cat",
 )
 def identifiers(t):
-    return profiled(t).select(
+    return named(t).select(
         "tbl",
         "col",
         cat.identifier(F.col("tbl"), F.col("col")).alias("identifier"),
         F.concat(F.lit("__"), F.lower("tbl"), F.lit("__")).alias("table_identifier"),
-        "n_values",
+        "n_rows",
     )
 
 
@@ -231,9 +241,8 @@ def identifiers(t):
     CATALOG_SQL + "SELECT db_id, lower(tbl) AS tbl, string_agg(lower(col), ',' ORDER BY pos) AS columns, max(n_rows) AS n_rows FROM cat GROUP BY db_id, tbl",
 )
 def lower_schema(t):
-    dbs = databases(t)
-    listed = cat.lower_schema(cat.read_catalog(t.spark, dbs)).withColumn("columns", F.array_join("columns", ","))
-    counts = cat.profile(dbs).groupBy("db_id", "tbl").agg(F.max("n_rows").alias("n_rows"))
+    listed = cat.lower_schema(cat.read_catalog(t.spark, databases(t))).withColumn("columns", F.array_join("columns", ","))
+    counts = named(t).groupBy("db_id", "tbl").agg(F.max("n_rows").alias("n_rows"))
     return counts.join(listed, ["db_id", "tbl"])
 
 

@@ -7,6 +7,7 @@ from quillcheck.functions.text import number_or_null
 from quillcheck.operators import catalog as cat
 from quillcheck.operators import values as vals
 from quillcheck.operators import vectors as vec
+from quillcheck.operators.ordering import with_ordinal
 from quillcheck.operators.search import Searchable, search
 from quillcheck.plans.catalog_queries import DATABASES, DECLARED
 from quillcheck.plans.registry import plan
@@ -42,6 +43,13 @@ def probes(t):
     return view(t, "probes")
 
 
+def token_vectors(t):
+    """A vector for some of the words of part names, by the word's place among them."""
+    words = t.part.select(F.explode(F.split("p_name", " ")).alias("token")).where("token <> ''").distinct()
+    numbered = with_ordinal(words, ["token"], "place").withColumn("vec_id", (F.col("place") + 1) * 3)
+    return numbered.join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left").select("token", "embedding")
+
+
 @plan("v01_picklist", "SELECT DISTINCT c_name AS value FROM customer")
 def picklist(t):
     return vals.picklist(t.customer, "c_name")
@@ -128,7 +136,7 @@ def nearest_vector(t):
 )
 def mean_vector(t):
     names = t.part.select(F.col("p_name").alias("value")).distinct()
-    mean = vec.mean_of_tokens(names, view(t, "token_vectors")).filter(F.col("vector").isNotNull())
+    mean = vec.mean_of_tokens(names, token_vectors(t)).filter(F.col("vector").isNotNull())
     return mean.select("value", F.posexplode("vector").alias("dim", "mean")).select(
         "value", F.col("dim").cast("bigint").alias("dim"), F.round("mean", 6).alias("mean")
     )
@@ -228,6 +236,18 @@ def calibration(t):
     return calibrated(t)
 
 
+@plan(
+    "v13_calibration_vectors",
+    oracle(
+        """SELECT p.probe_id, p.tbl, p.col, p.literal, c.stage, c.match_tbl, c.match_col, c.match_value
+        FROM <<probes>> p JOIN <<calibrated_vectors>> c ON c.tbl = p.tbl AND c.col = p.col AND c.literal = p.literal"""
+    ),
+)
+def calibration_by_vectors(t):
+    index = searchable(t)
+    return vals.calibrate(probes(t), index, vals.ByVector(index, token_vectors(t)))
+
+
 _VERDICT = """CASE WHEN match_tbl = p.tbl AND match_col = p.col AND match_value <> p.literal THEN 'value wrong'
  WHEN (match_tbl <> p.tbl OR match_col <> p.col) AND match_value IS NOT NULL THEN 'column wrong' ELSE 'fine' END"""
 

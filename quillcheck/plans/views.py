@@ -67,10 +67,41 @@ SELECT value, b, length(b) AS n, map_from_entries(list_transform(list_distinct(s
  lambda i: CASE WHEN substring(b, i, 1) = c THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END))::UBIGINT})) AS m
 FROM (SELECT value, array_to_string(list_sort(string_split(trim(lower(regexp_replace(regexp_replace(value, '[^\\x00-\\x7f]', '', 'g'), '[^A-Za-z0-9_]+', ' ', 'g'))), ' ')), ' ') AS b
  FROM (SELECT DISTINCT value FROM <<value_index>>) v) r""",
+    # A vector for some of the words of part names.
     "token_vectors": """
-SELECT t.token, e.embedding FROM (SELECT token, row_number() OVER (ORDER BY token) AS rn FROM
- (SELECT DISTINCT split_part(p_name, ' ', 1) AS token FROM {part} UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM {part}) u) t
-LEFT JOIN {embeddings} e ON e.vec_id = t.rn * 3""",
+SELECT t.token, e.embedding FROM (SELECT token, dense_rank() OVER (ORDER BY token) AS rn FROM <<name_words>>) t LEFT JOIN {embeddings} e ON e.vec_id = t.rn * 3""",
+    "name_words": """
+SELECT DISTINCT token FROM (SELECT unnest(string_split(p_name, ' ')) AS token FROM {part}) u WHERE token <> ''""",
+    # Mean vectors of texts, and the cascade by their cosine.
+    "text_vectors": """
+SELECT text, list(x ORDER BY dim) AS vector FROM (SELECT text, dim, avg(x) AS x FROM (SELECT text, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM
+ (SELECT DISTINCT text, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS token FROM
+  (SELECT DISTINCT literal AS text FROM <<probes>> WHERE literal IS NOT NULL UNION SELECT DISTINCT value FROM <<value_index>>) a) b JOIN <<token_vectors>> USING (token) WHERE embedding IS NOT NULL) c
+ GROUP BY text, dim) d GROUP BY text""",
+    "in_table_vectors": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tbl, col, literal ORDER BY stage, score DESC, exact DESC, mval, mcol) AS rn FROM (
+ SELECT tbl, col, literal, tbl AS mtbl, mcol, mval, score, exact, CASE WHEN mcol = col AND exact THEN 1 WHEN exact THEN 2 WHEN mcol = col AND score > 0.65 THEN 3
+   WHEN score > 0.65 THEN 4 ELSE 6 END AS stage FROM (
+  SELECT p.tbl, p.col, p.literal, v.col AS mcol, v.value AS mval, lower(trim(p.literal)) = lower(trim(v.value)) AS exact,
+   coalesce(round(list_cosine_similarity(a.vector, b.vector), 6), -1) AS score
+  FROM <<unique_probes>> p JOIN <<value_index>> v ON v.tbl = p.tbl LEFT JOIN <<text_vectors>> a ON a.text = p.literal LEFT JOIN <<text_vectors>> b ON b.text = v.value) x
+ WHERE mcol = col OR exact OR score > 0.65) y) z WHERE rn = 1""",
+    "in_database_vectors": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tbl, col, literal ORDER BY score DESC, exact DESC, mval, mtbl, mcol) AS rn FROM (
+ SELECT p.tbl, p.col, p.literal, v.tbl AS mtbl, v.col AS mcol, v.value AS mval, lower(trim(p.literal)) = lower(trim(v.value)) AS exact,
+  round(list_cosine_similarity(a.vector, b.vector), 6) AS score
+ FROM (SELECT * FROM <<unique_probes>> u WHERE NOT EXISTS (SELECT 1 FROM <<in_table_vectors>> i WHERE i.tbl = u.tbl AND i.col = u.col AND i.literal = u.literal AND stage < 6)) p
+ JOIN <<text_vectors>> a ON a.text = p.literal JOIN <<value_index>> v ON v.tbl <> p.tbl JOIN <<text_vectors>> b ON b.text = v.value) x
+ WHERE score > 0.65) y WHERE rn = 1""",
+    "calibrated_vectors": """
+SELECT tbl, col, literal, stage, CASE WHEN stage IN (4, 5) AND kept IS NULL THEN tbl ELSE mtbl END AS match_tbl,
+ CASE WHEN stage IN (4, 5) AND kept IS NULL THEN col ELSE mcol END AS match_col, CASE WHEN stage = 1 THEN NULL WHEN stage = 2 THEN mval ELSE kept END AS match_value
+FROM (SELECT *, CASE WHEN TRY_CAST(trim(literal) AS DOUBLE) IS NOT NULL AND TRY_CAST(trim(mval) AS DOUBLE) IS NOT NULL THEN NULL ELSE mval END AS kept FROM (
+ SELECT u.tbl, u.col, u.literal, CASE WHEN d.literal IS NOT NULL THEN 5 ELSE coalesce(i.stage, 6) END AS stage,
+  CASE WHEN d.literal IS NOT NULL THEN d.mtbl ELSE u.tbl END AS mtbl, CASE WHEN d.literal IS NOT NULL THEN d.mcol ELSE coalesce(i.mcol, u.col) END AS mcol,
+  CASE WHEN d.literal IS NOT NULL THEN d.mval ELSE i.mval END AS mval
+ FROM <<unique_probes>> u LEFT JOIN <<in_table_vectors>> i ON i.tbl = u.tbl AND i.col = u.col AND i.literal = u.literal
+ LEFT JOIN <<in_database_vectors>> d ON d.tbl = u.tbl AND d.col = u.col AND d.literal = u.literal) w) z""",
     # The calibration cascade over the distinct probes, written over the scores of all values.
     "unique_probes": """
 SELECT DISTINCT tbl, col, literal FROM <<probes>> WHERE literal IS NOT NULL""",

@@ -145,27 +145,52 @@ def test_mentions_of_a_sentence(spark):
     assert got == {("kind", "Furniture", 1), ("city", "St. Louis", 1), ("city", "New York", 2)}
 
 
-@pytest.mark.parametrize("k", [1, 2])
-def test_nearest_vector(spark, monkeypatch, k):
+@pytest.mark.parametrize("k", [1, 2, 5])
+@pytest.mark.parametrize("skip", [True, False])
+def test_nearest_vector(spark, monkeypatch, k, skip):
+    """Against all pairs, with clusters, copies, null vectors and vectors without direction on both sides."""
     monkeypatch.setattr(vec, "VECTORS_PER_BLOCK", 5)
+    monkeypatch.setattr(vec, "PIVOTS", 6)
+    monkeypatch.setattr(vec, "FIRST_BLOCKS", 1)
     rng = random.Random(4)
-    rows = [(n % 2, n, [rng.random() - 0.5 for _ in range(4)]) for n in range(40)]
-    df = spark.createDataFrame(rows, "label int, id bigint, vector array<double>")
+    centres = [[rng.random() - 0.5 for _ in range(4)] for _ in range(5)]
+    some = lambda: [c + rng.gauss(0, 0.05) for c in rng.choice(centres)]
+    rows = [(n % 2, n, some() if n % 3 else [rng.random() - 0.5 for _ in range(4)]) for n in range(90)]
+    rows += [(0, 100, rows[0][2]), (0, 101, rows[0][2]), (0, 102, None), (1, 103, None), (0, 104, [0.0] * 4), (2, 105, None), (2, 106, [1.0, 0.0, 0.0, 0.0]), (3, 107, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "label int, id bigint, vector array<double>").repartition(3)
 
     def cosine(a, b):
-        dot = sum(x * y for x, y in zip(a, b))
-        return round(dot / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 6)
+        if a is None or b is None:
+            return -1.0
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / size, 6) if size else 0.0
 
     want = {}
     for label, n, v in rows:
-        others = sorted((-cosine(v, w), m) for lab, m, w in rows if lab == label and m != n)
+        others = sorted((-cosine(v, w), m) for lab, m, w in rows if lab == label and not (skip and m == n))
         want[n] = [m for _, m in others[:k]]
-    got = {}
-    for r in vec.nearest(df, df, ["label"], k=k, skip_same=True).orderBy("id", F.desc("score"), "other_id").collect():
-        got.setdefault(r["id"], []).append(r["other_id"])
+    got = {n: [] for n in want}
+    for r in vec.nearest(df, df, ["label"], k=k, skip_same=skip).orderBy("id", F.desc("score"), "other_id").collect():
+        got[r["id"]].append(r["other_id"])
     assert got == want
 
 
+def test_nearest_over_several_tables(spark, monkeypatch):
+    """With ``per`` the best is taken over all places that a probe is asked for."""
+    monkeypatch.setattr(vec, "VECTORS_PER_BLOCK", 3)
+    rng = random.Random(5)
+    values = [(t, n, [rng.gauss(0, 1) for _ in range(3)]) for n, t in enumerate("abc" * 12)]
+    index = spark.createDataFrame(values, "tbl string, id bigint, vector array<double>")
+    probes = [(own, t, n, values[n][2][::-1]) for own in "ab" for n in range(8) for t in "abc" if t != own]
+    found = vec.nearest(spark.createDataFrame(probes, "own string, tbl string, id bigint, vector array<double>"), index, ["tbl"], per=["own"]).collect()
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    want = {(own, n): max((round(cosine(values[n][2][::-1], w), 6), -m) for t, m, w in values if t != own) for own in "ab" for n in range(8)}
+    assert {(r["own"], r["id"]): (r["score"], -r["other_id"]) for r in found} == want
+
+
 def test_calibration_stages(spark):
     index = spark.createDataFrame(
         [("shop", "city", "Paris"), ("shop", "city", "Rome"), ("shop", "kind", "bakery"), ("bank", "place", "Geneva"), ("shop", "size", "12")],
