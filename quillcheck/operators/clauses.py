@@ -409,26 +409,3 @@ def partial_totals(scored: DataFrame, level: str, components: Sequence[str] = CO
             sums += [F.expr(f"sum(if({total} > 0, {hit}, 0)) AS {side}_hits_{i}"), F.expr(f"count_if({total} > 0) AS {side}_n_{i}")]
     rows = ", ".join(f"named_struct('component', '{name}', " + ", ".join(f"'{c}', {c}_{i}" for c in ("pred_hits", "pred_n", "label_hits", "label_n")) + ")" for i, name in enumerate(components))
     return scored.groupBy(level).agg(*sums).select(level, F.expr(f"inline(array({rows}))"))
-
-
-def connected_minimum(edges: DataFrame) -> DataFrame:
-    """(node, canonical): each node of the undirected graph with the least node it is joined to.
-
-    edges: a, b. Labels shrink along the edges until none changes. Each round takes the least
-    label around every node as a partial aggregate, so a node with very many edges is no
-    bottleneck, and is written to the shared folder.
-    """
-    both = settled(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    # The first round needs no labels yet: the least neighbour, or the node itself.
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "node", F.least("node", "m").alias("canonical")
-    )
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("canonical").alias("m"))
-        nxt = labels.join(near, labels.node == near.a, "left").select(
-            "node", F.least("canonical", "m").alias("canonical"), (F.col("m") < F.col("canonical")).alias("moved")
-        )
-        nxt = settled(nxt, "labels")
-        labels = nxt.select("node", "canonical")
-        if nxt.filter("moved").isEmpty():
-            return labels

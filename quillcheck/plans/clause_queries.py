@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillcheck.operators import catalog as cat
 from quillcheck.operators import clauses as cl
+from quillcheck.operators.components import connected_minimum as connected_minimum_of
 from quillcheck.plans.catalog_queries import DATABASES, FK_SCHEMA, FOREIGN_KEYS
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import PARTS, oracle, view
@@ -42,7 +43,7 @@ def key_columns(t):
         F.col("column_id").alias("a"), F.col("other_column_id").alias("b")
     )
     names = cat.numbered_columns(columns).select("number", cat.identifier(F.col("tbl"), F.col("col")).alias("name"))
-    tied = cl.connected_minimum(numbered)
+    tied = connected_minimum_of(numbered)
     return (
         tied.join(names.toDF("node", "col"), "node")
         .join(names.toDF("canonical", "target"), "canonical")
@@ -173,7 +174,7 @@ def masked_values(t):
 def connected_minimum(t):
     # Orders of one customer hang together through the customer, numbered below zero.
     edges = t.orders.select(F.col("o_orderkey").alias("a"), (F.lit(-1) - F.col("o_custkey")).alias("b"))
-    tied = cl.connected_minimum(edges)
+    tied = connected_minimum_of(edges)
     by_customer = tied.filter("node >= 0").groupBy("canonical").agg(F.min("node").alias("low"))
     return tied.join(by_customer, "canonical").select("node", F.col("low").alias("canonical"))
 

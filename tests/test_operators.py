@@ -14,6 +14,7 @@ from quillcheck.operators import metrics as mt
 from quillcheck.operators import ranking as rk
 from quillcheck.operators import values as vals
 from quillcheck.operators import vectors as vec
+from quillcheck.operators.components import connected_minimum
 from quillcheck.operators.ordering import running, with_ordinal
 from quillcheck.sources import corpus
 
@@ -119,7 +120,7 @@ def test_equivalence_is_metamorphic(spark):
 
 def test_connected_minimum_of_a_chain(spark):
     edges = [(n, n + 1) for n in range(0, 9)] + [(100, 50), (50, 70)] + [(200, 300 + n) for n in range(50)]
-    got = {r["node"]: r["canonical"] for r in cl.connected_minimum(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["canonical"] for r in connected_minimum(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert all(got[n] == 0 for n in range(10))
     assert {got[100], got[50], got[70]} == {50}
     assert all(got[300 + n] == 200 for n in range(50))
@@ -375,3 +376,19 @@ def test_gold_values_in_predicted_slots(spark):
     n = c.select(tx.variant_count(F.col("s"), F.col("v")).alias("n")).first()["n"]
     got = [c.select(tx.variant_text(F.col("pred"), F.col("s"), F.col("v"), F.lit(k)).alias("r")).first()["r"] for k in range(n)]
     assert got[0] == pair[1] and sorted(got[1:]) == sorted(f"select a from t where b = {x} and c > {y}" for x in ("'x y'", "3") for y in ("'x y'", "3"))
+
+
+def test_components_of_long_paths_hubs_and_odd_edges(spark, monkeypatch):
+    from quillcheck.operators import components, skew
+
+    monkeypatch.setattr(skew, "ROWS_PER_PART", 50)
+    rounds = []
+    written = components.settled
+    monkeypatch.setattr(components, "settled", lambda df, label: rounds.append(label) or written(df, label))
+    rng = random.Random(41)
+    names = rng.sample(range(10**6, 2 * 10**6), 10_000)
+    edges = list(zip(names, names[1:]))  # one path of 10,000 keys in no order
+    edges += [(5, 10 + n) for n in range(400)] + [(5, 5), (3, 3), (7, None), (None, None), (11, 5)]
+    got = {r["node"]: r["canonical"] for r in connected_minimum(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)).collect()}
+    assert got == {n: min(names) for n in names} | {n: 5 for n in (5, *range(10, 410))} | {3: 3}
+    assert len(rounds) < 20
