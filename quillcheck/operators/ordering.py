@@ -39,8 +39,8 @@ def with_ordinal(df: DataFrame, keys: Sequence[Column | str], name: str = "ordin
     return _dense(settled(ranged), name)
 
 
-def file_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
-    """Number the rows of a fresh file scan in the order of file names and of lines in them.
+def file_line_numbers(df: DataFrame, name: str = "line_no", file: str | None = None) -> DataFrame:
+    """Number the rows of a fresh file scan in the order of file names and of lines in them; ``file`` names a column for the file.
 
     Only one row per file split, its size and first row, meets in a single window.
     """
@@ -53,7 +53,7 @@ def file_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
     return (
         rows.join(starts, ["__file", "__at"])
         .withColumn(name, F.col("__start") + F.col("__mono") - F.col("__first"))
-        .select(*df.columns, name)
+        .select(*df.columns, name, *([] if file is None else [F.col("__file").alias(file)]))
     )
 
 

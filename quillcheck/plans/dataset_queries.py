@@ -248,8 +248,8 @@ def _corpus(t):
 @plan("s02_json_corpus", oracle("SELECT db_id, 'question ' || idx AS question, query FROM <<select_texts>>"))
 def json_corpus(t):
     path = scratch_path(t.spark, "corpus")
-    corpus.write_json(_corpus(t), path)
-    return corpus.read_corpus(t.spark, path, one_array=False)
+    corpus.write_array(_corpus(t), path)
+    return corpus.read_corpus(t.spark, path)
 
 
 @plan(

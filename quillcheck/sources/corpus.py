@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcheck.operators.ordering import file_line_numbers, running
+from quillcheck.session import settled
 
 CORPUS_SCHEMA = "db_id string, question string, query string"
 
@@ -20,13 +21,51 @@ PERTURBED_SPLITS = [
 ]
 
 
-def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA, one_array: bool = True) -> DataFrame:
+_STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?'  # takes whole runs at once, so that long strings need no stack
+
+
+def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA, one_array: bool = True, block: int = 1 << 20) -> DataFrame:
     """A JSON corpus: one array of objects per file, or one object per line.
 
-    An array file is read by a single task, so a large corpus should come as many files or
-    as lines.
+    An array may fill one large file on one line: it is read by as many tasks as the file has splits. The text is cut at
+    every closing brace, wherever it stands; a running total of quotes tells which pieces begin inside a string, a
+    running total of brackets outside strings where an element of the array ends, and the pieces of an element are
+    put together again. Elements that aren't objects are passed over.
     """
-    return spark.read.schema(schema).option("multiLine", one_array).json(path)
+    if not one_array:
+        return spark.read.schema(schema).json(path)
+    pieces = file_line_numbers(spark.read.option("lineSep", "}").text(path), "piece", "file")
+    last = pieces.groupBy("file").agg(F.max("piece").alias("last"))  # a row per file
+    pieces = settled(pieces.join(last, "file").select("piece", "value", (F.col("piece") == F.col("last")).alias("ends")), "pieces")
+    quotes = F.length(F.regexp_replace(F.regexp_replace("value", r"\\.", ""), '[^"]', ""))
+    told = running(pieces, "piece", {"quotes": ("sum", quotes)}, block)
+    # A piece that begins inside a string is read as if it began with the quote that opened it
+    inside = (F.col("quotes") - quotes) % 2 == 1
+    outside = F.regexp_replace(F.concat(F.when(inside, F.lit('"')).otherwise(""), "value"), _STRING, "")
+    closed = ~F.col("ends") & (F.col("quotes") % 2 == 0)  # the brace that ends the piece is no part of a string
+    levels = F.length(F.regexp_replace(outside, r"[^\[{]", "")) - F.length(F.regexp_replace(outside, r"[^\]}]", "")) - closed.cast("int")
+    told = settled(told.select("piece", "value", "ends", closed.alias("closed"), levels.cast("long").alias("levels")), "levels")
+    deep = running(told, "piece", {"depth": ("sum", F.col("levels"))}, block)
+    done = F.when(F.col("closed") & (F.col("depth") == 1), 1).otherwise(0)
+    deep = settled(deep.select("piece", "value", "ends", done.cast("long").alias("done")), "depths")
+    numbered = running(deep, "piece", {"until": ("sum", F.col("done"))}, block)
+    element = (F.col("until") - F.col("done")).alias("element")
+    parts = numbered.where(~F.col("ends")).select(element, "piece", "value", "done")
+    whole = parts.groupBy("element").agg(F.array_sort(F.collect_list(F.struct("piece", "value"))).alias("parts"), F.max("done").alias("done"))
+    text = F.concat(F.array_join(F.transform("parts", lambda x: x["value"]), "}"), F.lit("}"))
+    objects = whole.where("done = 1").select(F.regexp_replace(text, r"^[^{]*", "").alias("text"))
+    return objects.select(F.from_json("text", schema).alias("row")).select("row.*")
+
+
+def write_array(df: DataFrame, path: str) -> None:
+    """One JSON array per task: a file that begins with a bracket, holds a row per line and ends with a bracket."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"), F.monotonically_increasing_id().alias("at"))
+    low = F.col("at").bitwiseAND((1 << 33) - 1)
+    part = settled(rows.select("value", low.alias("at"), F.shiftright("at", 33).alias("part")), "rows")
+    ends = part.groupBy("part").agg(F.max("at").alias("last"))
+    lined = part.join(ends, "part").select("part", "at", F.concat(F.when(F.col("at") == 0, F.lit("[")).otherwise(","), "value", F.when(F.col("at") == F.col("last"), F.lit("]")).otherwise("")).alias("value"))
+    n = max(1, ends.count())
+    lined.repartition(n, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
 
 
 def write_json(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:

@@ -392,3 +392,35 @@ def test_components_of_long_paths_hubs_and_odd_edges(spark, monkeypatch):
     got = {r["node"]: r["canonical"] for r in connected_minimum(spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)).collect()}
     assert got == {n: min(names) for n in names} | {n: 5 for n in (5, *range(10, 410))} | {3: 3}
     assert len(rounds) < 20
+
+
+def test_one_array_read_by_many_tasks(spark, tmp_path):
+    """Braces, brackets, quotes and backslashes inside strings, across the borders of small file splits."""
+    rng = random.Random(51)
+    signs = ["{", "}", "[", "]", '"', "\\", ",", ":", "x", " ", "\n", "é", "}{", '\\"', "]}"]
+    rows = [{"db_id": f"d{i}", "question": "".join(rng.choice(signs) for _ in range(rng.randint(0, 40))), "query": rng.choice(["", None, "}", '"', "select {x}"]), "sql": {"a": [{"b": "}"}, []]}} for i in range(400)]
+    rows[7]["question"] = 'a\\"b' * 30_000  # a long string without a brace
+    (tmp_path / "a.json").write_text(json.dumps(rows[:300]))
+    (tmp_path / "b.json").write_text(json.dumps(rows[300:], indent=2, ensure_ascii=False))
+    (tmp_path / "c.json").write_text("[]")
+    (tmp_path / "d.json").write_text(' [ 1, "}", {"db_id": "last", "question": "\\\\", "query": "q"} , [ {"db_id": "inner"} ] ]\n')
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = sorted(tuple(r) for r in corpus.read_corpus(spark, str(tmp_path), block=64).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r[0] for r in got] == sorted([r["db_id"] for r in rows] + ["last"])
+    want = {r["db_id"]: (r["question"], r["query"]) for r in rows} | {"last": ("\\", "q")}
+    assert {r[0]: r[1:] for r in got} == want
+
+
+def test_array_corpus_round_trip(spark, tmp_path):
+    rows = [(f"d{i}", None if i % 7 == 0 else f'q "{i}" }} ] {{', "s") for i in range(200)]
+    corpus.write_array(spark.createDataFrame(rows, corpus.CORPUS_SCHEMA).repartition(5), str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in corpus.read_corpus(spark, str(tmp_path / "out")).collect()) == sorted(rows, key=str)
+    files = list((tmp_path / "out").rglob("*.txt"))
+    assert len(files) == 5 and sum(len(json.loads(f.read_text())) for f in files) == 200
