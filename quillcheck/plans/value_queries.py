@@ -7,12 +7,13 @@ from quillcheck.functions.text import number_or_null
 from quillcheck.operators import catalog as cat
 from quillcheck.operators import values as vals
 from quillcheck.operators import vectors as vec
+from quillcheck.operators.index_store import ValueStore
 from quillcheck.operators.ordering import with_ordinal
 from quillcheck.operators.search import Searchable, search
 from quillcheck.plans.catalog_queries import DATABASES, DECLARED
 from quillcheck.plans.registry import plan
 from quillcheck.plans.views import PARTS, oracle, view
-from quillcheck.session import once
+from quillcheck.session import once, scratch_path
 
 # The columns of the sales tables as declared, for the SQL; the query takes them from the tables.
 ALL_COLUMNS = {line.split()[0]: [c.split(":")[0] for c in line.split()[1:]] for line in DECLARED.split("\n") if line.split() and line.split()[0] in DATABASES["sales"]}
@@ -80,6 +81,26 @@ def database_index(t):
     return found.select("value", "tbl", F.array_join("cols", ",").alias("cols"))
 
 
+_ORDER_COLUMNS = ALL_COLUMNS["orders"]
+
+
+@plan(
+    "v03_refreshed_index",
+    "SELECT col, value, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM orders WHERE o_orderkey % 3 > 0" for c in _ORDER_COLUMNS)
+    + ") u WHERE value IS NOT NULL GROUP BY col, value",
+)
+def refreshed_index(t):
+    """The orders come in three drops; the first is lost when the third arrives, which alone is read then."""
+    work = scratch_path(t.spark, "drops")
+    for k in range(3):
+        t.orders.where(f"o_orderkey % 3 = {k}").write.parquet(f"{work}/drop{k}")
+    store = ValueStore(t.spark, f"{work}/index")
+    for drops in ((0, 1), (1, 2)):
+        store.refresh({"orders": [f"{work}/drop{k}" for k in drops]})
+    return store.index().select("col", "value", "n")
+
+
 @plan(
     "v04_gated_index",
     oracle("SELECT * FROM <<value_index>>"),

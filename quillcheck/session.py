@@ -52,7 +52,7 @@ def settled(df: DataFrame, label: str = "settled") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _versions(spark: SparkSession, root: str) -> tuple:
+def versions(spark: SparkSession, root: str) -> tuple:
     """Name, size and time of every file under ``root``: another state of the tables is another key."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
@@ -69,7 +69,7 @@ def once(spark: SparkSession, root: str, label: str, make: Callable[[], DataFram
     For small tables that belong to a database rather than to a query: its value index and its map of key columns.
     They are made anew when a file under ``root`` has changed.
     """
-    key = (spark.sparkContext.applicationId, label, _versions(spark, root))
+    key = (spark.sparkContext.applicationId, label, versions(spark, root))
     if key not in _WRITTEN:
         path = scratch_path(spark, label)
         make().write.parquet(path)

@@ -424,3 +424,35 @@ def test_array_corpus_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in corpus.read_corpus(spark, str(tmp_path / "out")).collect()) == sorted(rows, key=str)
     files = list((tmp_path / "out").rglob("*.txt"))
     assert len(files) == 5 and sum(len(json.loads(f.read_text())) for f in files) == 200
+
+
+def test_value_store_reads_new_files_only(spark, tmp_path):
+    from quillcheck.operators.index_store import ValueStore
+
+    store = ValueStore(spark, str(tmp_path / "index"))
+    assert store.index().collect() == [] and store.refresh({"t": []}) == [] and store.index().collect() == []
+
+    def drop(name, rows):
+        spark.createDataFrame(rows, "a int, b string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / name))
+        return str(tmp_path / name)
+
+    def fresh(tables):
+        from collections import Counter
+
+        found = Counter()
+        for t, paths in tables.items():
+            for r in (r for p in paths for r in spark.read.parquet(p).collect()):
+                found.update((t, c, str(r[c])) for c in ("a", "b") if r[c] is not None)
+        return {(*k, n) for k, n in found.items()}
+
+    def index():
+        return {tuple(r) for r in store.index().collect()}
+
+    one, two, three = drop("one", [(1, "x"), (1, None), (2, "y")]), drop("two", [(1, "x"), (3, "z")]), drop("three", [(9, "x")])
+    for tables, n in (({"t": [one, two]}, 2), ({"t": [one, two]}, 0), ({"t": [one, two, three]}, 1), ({"t": [two], "u": [three]}, 1), ({"t": [one, two], "u": [three]}, 1)):
+        assert len(store.refresh(tables)) == n and index() == fresh(tables)
+    drop("two", [(7, "changed"), (1, "x")])  # the same folder with another file
+    tables = {"t": [one, two], "u": [three]}
+    read = store.refresh(tables)
+    assert len(read) == 1 and "/two/" in read[0] and index() == fresh(tables)
+    assert store.refresh({"t": []}) == [] and index() == set()
