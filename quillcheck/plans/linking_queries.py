@@ -6,6 +6,7 @@ from quillcheck.functions.wordlists import STOP_WORDS
 from quillcheck.operators import catalog as cat
 from quillcheck.operators import linking as ln
 from quillcheck.operators import serialize as ser
+from quillcheck.operators import values as vals
 from quillcheck.operators.skew import salted_join
 from quillcheck.plans.catalog_queries import DATABASES, DECLARED, FK_SCHEMA, FOREIGN_KEYS
 from quillcheck.plans.registry import plan
@@ -250,8 +251,16 @@ def request_text(t):
     return made.select("q_id", "list_at", "request")
 
 
+def wide_index(t):
+    """The values of the sales tables and of some columns of the documents and events."""
+    more = vals.value_index({"documents": t.documents, "events": t.events}, {"documents": ["lang", "source"], "events": ["event_type"]})
+    return index(t).unionByName(more)
+
+
 @plan("l13_linked_documents")
 def linked_documents(t):
     """Whole documents against the full index; a brute-force test stands in for SQL, which would pair all runs with all values."""
-    linked = ln.linked_values(t.documents.select("text"), "text", index(t), keys(t))
-    return t.documents.join(linked, "text").select("doc_id", "tbl", "col", F.array_join("values", "|").alias("vals"))
+    write = lambda label, make: once(t.spark, t.root, f"wide-{label}", make)
+    grams = ln.key_index(write("keys", lambda: ln.keys_of(wide_index(t))), write=write)
+    linked = ln.linked_values(t.documents.select("text"), "text", wide_index(t), grams)
+    return salted_join(t.documents.select("doc_id", "text"), linked, ["text"]).select("doc_id", "tbl", "col", F.array_join("values", "|").alias("vals"))
