@@ -1,6 +1,7 @@
 """Secrets against single patterns and an exhaustive segmentation."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -44,16 +45,51 @@ def test_guesses_never_exceed_brute_force_and_grow():
         assert 0 <= cost <= len(value) and secrets.guesses(value + "#") >= cost
 
 
+def test_hand_counted_costs():
+    log = math.log10
+    rank = {"anvil": 9, "blue": 99}
+    cases = {
+        "": 0, "q": 1, "anvil": log(10), "Anvil": log(10) + 0.6, "4nvil": log(10) + 0.6, "blueanvil": log(100) + log(10), "aaaa": log(48), "qwerty": log(240),
+        "qazxsw": log(240) + 2 * log(3), "qwe": log(120), "abcdef": log(240), "2019": log(20), "1950": log(75), "20190504": log(365 * 20), "04051950": log(365 * 75),
+        "#$%": 3, "anvil#": log(10) + 1, "anvilll": log(10) + 2,
+    }
+    for value, cost in cases.items():
+        assert secrets.guesses(value, rank) == pytest.approx(cost), value
+
+
 def test_segmentation_is_least():
-    """The same costs by trying every way to cut the value."""
+    """The same costs by trying every way to cut the value, each piece judged on its own."""
+    rng = random.Random(6)
+    rank = {"pass": 3, "admin": 20, "love": 7, "wer": 400, "pas": 900}
+    rows = [(0.0, "1234567890"), (0.5, "qwertyuiop"), (0.75, "asdfghjkl"), (1.25, "zxcvbnm")]
+    place = {k: (x + i, y) for y, (x, row) in enumerate(rows) for i, k in enumerate(row)}
+
+    def ways(part, step):
+        return [step(a, b) for a, b in zip(part, part[1:])]
+
+    def key_step(a, b):
+        if a == b or a not in place or b not in place:
+            return None
+        dx, dy = place[b][0] - place[a][0], place[b][1] - place[a][1]
+        return ((dx > 0) - (dx < 0), dy) if abs(dx) <= 1 and abs(dy) <= 1 else None
+
+    def abc_step(a, b):
+        return ord(b) - ord(a) if a.isalpha() and b.isalpha() and abs(ord(b) - ord(a)) == 1 else None
 
     def pieces(part):
-        yield len(part) * 1.0
         low = part.lower()
-        if low in secrets._RANK and part.islower():
-            import math
-
-            yield math.log10(secrets._RANK[low] + 1)
+        plain = low.translate(str.maketrans("@4301!5$7", "aaeoiisst"))
+        if len(part) == 1:
+            yield 1.0
+        if low in rank or plain in rank:
+            yield math.log10((rank[low] if low in rank else rank[plain]) + 1) + 0.6 * ((part != low) + (low not in rank))
+        if len(part) >= 3:
+            if len(set(low)) == 1:
+                yield math.log10(12 * len(part))
+            for step in (key_step, abc_step):
+                way = ways(low, step)
+                if None not in way:
+                    yield math.log10(40 * len(part)) + sum(a != b for a, b in zip(way, way[1:])) * math.log10(3)
 
     def least(value):
         best = [0.0]
@@ -61,8 +97,23 @@ def test_segmentation_is_least():
             best.append(min(best[a] + c for a in range(end) for c in pieces(value[a:end])))
         return best[-1]
 
-    for value in ("tokenadmin", "xlovez", "dragonqz", "mastertest"):
-        assert secrets.guesses(value) <= least(value) + 1e-9
+    for _ in range(3000):
+        value = "".join(rng.choice(["pass", "P@ss", "admin", "love", "qwe", "rt", "aaa", "sss", "s", "x", "fgh", "zaq", "#", "T", "cde"]) for _ in range(rng.randint(1, 3)))[:8]
+        if not any(value.lower()[i : i + n] == value.lower()[i + n : i + 2 * n] for n in (2, 3, 4) for i in range(len(value))):
+            assert secrets.guesses(value, rank) == pytest.approx(least(value)), value
+
+
+def test_words_are_ranked_over_all_texts(docs_of, sample_docs, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(secrets, "_MOST_COUNTED", 50)
+    seen = Counter(w for r in sample_docs.collect() for w in re.findall("[a-z]+", "".join(c.lower() if c.isascii() else " " for c in r.text or "")) if 3 <= len(w) <= 16)
+    want = {w: i + 1 for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:500]) if n >= secrets.LEAST_SEEN}
+    assert secrets.ranked_words(sample_docs, most=500) == want
+    assert secrets.ranked_words(docs_of([(1, None), (2, "")])) == {}
+    docs = docs_of([(i, "pwd: zorblatquix " + "zorblatquix " * 5) for i in range(20)] + [(99, "pwd: qmzpvtwxkrl8")])
+    rows = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.find_secrets(docs).collect()}
+    assert rows[3] == [] and rows[99] == ["guess"]
 
 
 def test_rows(docs_of):
