@@ -48,6 +48,13 @@ def word_pieces(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.trim(c)), F.lit(f"{_NOT_SEP}+{_SEP}*"), F.lit(0))
 
 
+def owner(c: Column) -> Column:
+    """The word in front of the first ``'s``, in lower case; null where there is none. The apostrophe ends a word, so the owner is a span of its own."""
+    pieces = word_pieces(c)
+    found = F.filter(pieces, lambda w, i: w.endswith("'") & F.startswith(F.get(pieces, i + 1), F.lit("s ")))
+    return F.regexp_replace(F.get(found, F.lit(0)), "'$", "")
+
+
 _WORD = re.compile(f"{_NOT_SEP}+{_SEP}*")
 _ROWS_AT_ONCE = 8192
 

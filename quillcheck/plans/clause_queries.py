@@ -52,12 +52,13 @@ def key_columns(t):
 
 
 def ready(t):
-    """Units as they are compared: literals masked, key columns made canonical."""
-    return cl.canonical_columns(cl.mask_values(units(t)), canonical(t))
+    """Units as they are compared: literals masked, key columns made canonical; stored once per database."""
+    return once(t.spark, t.root, "ready-units", lambda: cl.canonical_columns(cl.mask_values(units(t)), canonical(t)))
 
 
 def scored(t):
-    return cl.score(ready(t), links(t))
+    """The component totals and verdicts of all queries, which several reports read; stored once per database."""
+    return once(t.spark, t.root, "scored", lambda: cl.score(ready(t), links(t)))
 
 
 _OWN = """array_to_string(list_filter(['SELECT', 'FROM', CASE WHEN has_where THEN 'WHERE' END, CASE WHEN has_group THEN 'GROUP BY' END,

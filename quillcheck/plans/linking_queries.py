@@ -97,10 +97,7 @@ def ratio(t):
     ),
 )
 def possessive(t):
-    # The apostrophe separates words, so the owner is a span of its own.
-    pieces = ln.word_pieces(F.col("question"))
-    owner = F.filter(pieces, lambda w, i: w.endswith("'") & F.startswith(F.get(pieces, i + 1), F.lit("s ")))
-    return questions(t).select("q_id", F.regexp_replace(F.get(owner, F.lit(0)), "'$", "").alias("owner"))
+    return questions(t).select("q_id", ln.owner(F.col("question")).alias("owner"))
 
 
 @plan(

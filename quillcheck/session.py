@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,9 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the one named in ``spark.checkpoint.dir``, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not named and warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        warnings.warn("spark.checkpoint.dir is not set and the warehouse is a local path: executors may not share it", stacklevel=2)
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 

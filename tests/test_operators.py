@@ -456,3 +456,9 @@ def test_value_store_reads_new_files_only(spark, tmp_path):
     read = store.refresh(tables)
     assert len(read) == 1 and "/two/" in read[0] and index() == fresh(tables)
     assert store.refresh({"t": []}) == [] and index() == set()
+
+
+def test_owner_of_a_possession(spark):
+    cases = {"the Shop's price": "shop", "all shops' prices": None, "John's and Mary's": "john", "it's": None, "'s x": None, "": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "q string").select("q", ln.owner(F.col("q")).alias("o")).collect()
+    assert {r["q"]: r["o"] for r in rows} == cases
