@@ -28,7 +28,7 @@ from quillcheck.llm.words import Texts, mix, seeded
 ORDER = 3
 #: Weight of the shorter history, for sequences of two tokens, of three, and so on (the last one holds for all longer ones).
 PRIOR = (64.0, 16.0)
-CHUNK_BYTES = 8 << 20  # text handled at once by a Python worker
+CHUNK_BYTES = 6 << 20  # text handled at once by a Python worker
 RANGE_BYTES = 16 << 20  # text whose sequences make up one range of hashes, about two million for the usual order
 _STEPS = 512  # tokens of one run; longer texts are cut into runs that begin in the right state
 _START, _END = seeded(31, 2)
@@ -184,13 +184,17 @@ class Automaton:
             begin = state[k - 1][chunk.at[k - 1][end - 1]] if k else np.zeros(len(end), np.int64)
             arcs.append(begin.astype(np.int64) * self.n_words + chunk.at[0][end])
             if k < order - 1:
-                to.append(state[k][ok])
+                to.append(state[k][ok].astype(np.int32))
             else:
-                to.append(state[k - 1][chunk.at[k - 1][end]] if k else np.zeros(len(end), np.int64))
+                to.append((state[k - 1][chunk.at[k - 1][end]] if k else np.zeros(len(end))).astype(np.int32))
             weights.append(np.log10(p[ok]))
-        arcs, to, weights = map(np.concatenate, (arcs, to, weights))
-        sort = np.argsort(arcs)
-        self.arcs, self.to, self.weights = arcs[sort], to[sort], weights[sort]
+        del state, shorter, p
+        self.arcs = np.concatenate(arcs)
+        del arcs
+        sort = np.argsort(self.arcs).astype(np.int32)
+        self.arcs = self.arcs[sort]
+        self.to = np.concatenate(to)[sort]
+        self.weights = np.concatenate(weights)[sort]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Reads one word in each of the given states: the states after it and the log-probabilities on the way."""
