@@ -45,8 +45,10 @@ def bag(columns, rows) -> tuple[list[str], Counter]:
     return [columns[i] for i in order], Counter(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-# Queries that are theta joins by their definition.
-THETA = {"q31_theta_join"}
+# A theta join and a null-aware one by their definition, and joins with the one row of the only database.
+PRODUCTS = {"q31_theta_join", "q09_not_in_subquery", "d03_encoded_columns", "d04_decoded_columns", "p01_table_text", "p02_table_text_with_keys", "p03_positional_schema", "p04_request_text"}
+# Without rows on the smallest tables.
+EMPTY = {"q29_except"}
 
 
 def plan_problem(df, name: str) -> str | None:
@@ -55,13 +57,13 @@ def plan_problem(df, name: str) -> str | None:
     A window without partitions is fine over one row per block, partition or file, whose columns begin with ``__``.
     """
     text = df._jdf.queryExecution().executedPlan().toString()
-    if name not in THETA and re.search("CartesianProduct|BroadcastNestedLoopJoin", text):
+    if name not in PRODUCTS and re.search("CartesianProduct|BroadcastNestedLoopJoin", text):
         return "a product of two tables"
-    constant = set(re.findall(r"\b(?:\d+|true) AS (\w+#\d+)", text))
+    constant = set(re.findall(r"(?<![#\w.])(?:\d+|true) AS (\w+#\d+)", text))
     for keys in re.findall(r"Join \[([^\]]+)\], \[", text):
         if all(k.strip().rstrip("L") in constant for k in keys.split(",")):
             return f"a join on a constant: {keys}"
-    for order in re.findall(r"Window \[.*\], \[(\w+)#\d+L? (?:ASC|DESC)", text):
+    for order in re.findall(r"windowspecdefinition\((\w+)#\d+L? (?:ASC|DESC)", text):
         if not order.startswith("__"):
             return f"a window over all rows, ordered by {order}"
     return None
@@ -90,6 +92,6 @@ def compare(spark, con, plan, sf_dir) -> str | None:
             f"rows {sum(got.values())} vs {sum(want.values())}; only in spark {sum(extra.values())}: "
             f"{list(extra)[:2]}; only in sql {sum(missing.values())}: {list(missing)[:2]}"
         )
-    if not got:
+    if not got and plan.name not in EMPTY:
         return "no rows"
     return None
