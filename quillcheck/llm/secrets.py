@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillcheck.operators.ordering import with_ordinal
+
 KINDS = ("assign", "access", "hex", "guess")  # the first three are patterns alone
 LEAST_GUESSES = 8.0  # log10; fewer are placeholders or prose
 SPANS = "array<struct<kind: string, start: long, end: long, log10_guesses: double>>"
@@ -167,7 +169,8 @@ def ranked_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS
         yield told()
 
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: i + 1 for i, r in enumerate(counts.where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "word").limit(most).collect())}
+    ranked = with_ordinal(counts.where(F.col("n") >= LEAST_SEEN), [F.desc("n"), "word"], "place")  # a limit would bring as many words of each task
+    return {r["word"]: r["place"] + 1 for r in ranked.where(F.col("place") < most).collect()}
 
 
 def secrets_of(text: str | None, least: float = LEAST_GUESSES, rank: Mapping[str, int] = _RANK) -> list[tuple[str, int, int, float]]:
