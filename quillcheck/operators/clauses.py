@@ -337,8 +337,8 @@ def exact_matches(base: DataFrame, branches: DataFrame) -> DataFrame:
     """
     totals = branches.groupBy("query_id").agg(F.count("gold_id").alias("label_total"), F.count("pred_id").alias("pred_total"), F.count("child").alias("both"))
     followed = branches.select("query_id").unionAll(branches.select("child").where("child IS NOT NULL")).distinct()
-    own = base.select("query_id", "same").join(followed, "query_id", "left_semi").join(totals, "query_id", "left")
-    own = own.fillna(0, ["label_total", "pred_total", "both"])
+    own = followed.join(base.select("query_id", "same"), "query_id", "left").join(totals, "query_id", "left")
+    own = own.fillna(0, ["label_total", "pred_total", "both"]).fillna(False, ["same"])  # a branch that isn't there agrees with nothing
     whole = F.col("same") & (F.col("label_total") == F.col("pred_total")) & (F.col("both") == F.col("pred_total"))
     nodes = settled(own.select("query_id", "label_total", "pred_total", whole.alias("whole")), "nodes")
     up = settled(branches.where("child IS NOT NULL").select("query_id", "child"), "up")

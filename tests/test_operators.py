@@ -270,6 +270,15 @@ def test_branches_with_ids_of_their_own(spark):
     assert len(got) == 42
 
 
+def test_a_branch_that_is_not_there(spark):
+    """Links to a query without clauses, on both sides or on one, agree with nothing."""
+    units = [unit(q, r, "select", "a") for q in (1, 2, 3) for r in ("gold", "pred")] + [unit(9, "gold", "select", "b")]
+    links = [(1, 50, "gold", "union"), (1, 50, "pred", "union"), (2, 9, "gold", "union"), (2, 51, "pred", "union")]
+    scored = cl.score(spark.createDataFrame(units, UNITS), spark.createDataFrame(links, "parent_id bigint, child_id bigint, role string, kind string"))
+    got = {r["query_id"]: (r["exact"], r["label_total"], r["pred_total"], r["overlap"]) for r in scored.collect()}
+    assert got == {1: (False, 1, 1, 0), 2: (False, 1, 1, 0), 3: (True, 0, 0, 0), 9: (False, 0, 0, 0)}
+
+
 def test_a_branch_that_many_queries_share(spark):
     units = [unit(q, r, "select", "a") for q in range(40) for r in ("gold", "pred")] + [unit(900, "gold", "select", "b"), unit(901, "pred", "select", "b"), unit(902, "pred", "select", "z")]
     links = [(q, 900, "gold", "union") for q in range(40)] + [(q, 901 if q % 2 else 902, "pred", "union") for q in range(40)]
