@@ -25,8 +25,8 @@ def templates(t):
 
 def with_ids(t):
     frames = {"sales": {tbl: t.scan(tbl) for tbl in _SALES}}
-    # One row per database, as large as its schema.
-    return select_texts(t).join(ds.column_ids(cat.read_catalog(t.spark, frames)), "db_id")
+    # One row per database, as large as its schema; else the orders might be the side that is gathered, each row with a copy of the maps.
+    return select_texts(t).join(F.broadcast(ds.column_ids(cat.read_catalog(t.spark, frames))), "db_id")
 
 
 @plan(

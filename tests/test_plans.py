@@ -29,3 +29,15 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_rank_limit_is_pushed_below_the_shuffle(spark):
     assert "WindowGroupLimit" in physical(PLANS["d14_negative_samples"](spark, SF_DIR))
+
+
+@pytest.mark.parametrize("name", ["d03_encoded_columns", "d04_decoded_columns"])
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_the_column_ids_are_the_side_that_is_broadcast(spark, name, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        plan = physical(PLANS[name](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan and "BuildLeft" not in plan.split("FileScan")[0]
