@@ -1,5 +1,7 @@
 """What the physical plans must and must not hold."""
 
+import re
+
 import pytest
 from harness import DATA
 
@@ -41,3 +43,8 @@ def test_the_column_ids_are_the_side_that_is_broadcast(spark, name, threshold):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "CartesianProduct" not in plan and "BuildLeft" not in plan.split("FileScan")[0]
+
+
+def test_units_are_compared_where_they_are_kept(spark):
+    plan = physical(PLANS["a07_select_overlap"](spark, SF_DIR))
+    assert not re.search(r"hashpartitioning\(query_id#\d+L, part#", plan) and "Bucketed: true" in plan
