@@ -66,7 +66,8 @@ def exact_by_level(t):
 def exact_of_queries(t):
     levels = cl.difficulty(units(t), links(t)).filter("role = 'gold'").select("query_id", F.col("hardness").alias("level"))
     verdicts = scored(t).select("query_id", F.col("exact").cast("int").alias("ok"))
-    return mt.by_level(verdicts.join(levels, "query_id"), "ok").withColumn("rate", F.round("rate", 6))
+    # Two columns of a file of many look small enough to be gathered, with a row per query
+    return mt.by_level(verdicts.join(levels.hint("merge"), "query_id"), "ok").withColumn("rate", F.round("rate", 6))
 
 
 @plan(
@@ -99,7 +100,7 @@ _RATES = """SELECT component, level, coalesce(avg(hit) FILTER (WHERE pred_total
 
 def partial_rates(t):
     levels = cl.difficulty(units(t), links(t)).filter("role = 'gold'").select("query_id", F.col("hardness").alias("level"))
-    return mt.rates_of(cl.partial_totals(scored(t).join(levels, "query_id"), "level"))
+    return mt.rates_of(cl.partial_totals(scored(t).join(levels.hint("merge"), "query_id"), "level"))
 
 
 @plan("m06_partial_rates", oracle(f"SELECT component, level, round(acc, 6) AS acc, round(rec, 6) AS rec FROM ({_RATES}) r"))

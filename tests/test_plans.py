@@ -48,3 +48,8 @@ def test_the_column_ids_are_the_side_that_is_broadcast(spark, name, threshold):
 def test_units_are_compared_where_they_are_kept(spark):
     plan = physical(PLANS["a07_select_overlap"](spark, SF_DIR))
     assert not re.search(r"hashpartitioning\(query_id#\d+L, part#", plan) and "Bucketed: true" in plan
+
+
+def test_verdicts_are_not_gathered(spark):
+    plan = physical(PLANS["m03_exact_of_queries"](spark, SF_DIR))
+    assert re.search(r"SortMergeJoin \[query_id#\d+L\], \[query_id#\d+L\], Inner", plan)
