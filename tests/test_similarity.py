@@ -264,3 +264,41 @@ def test_runs_of_words():
     text = " The (big) House's, end.. "
     assert list(ln.runs(text)) == ["the", "the (big", "the (big) house", "the (big) house's", "the (big) house's, end", "big", "big) house", "big) house's", "big) house's, end", "house", "house's", "house's, end", "s, end", "end"]
     assert list(ln.runs(text, [3, 5])) == ["the", "big", "house", "end"] and list(ln.runs(text, [])) == [] and list(ln.runs("")) == []
+
+
+def test_the_sieve_keeps_all_runs_with_a_partner_and_few_others(spark):
+    rng = random.Random(8)
+    keys = ["blue anvil", "économie", "customer#000000012", "5-low", "12345.67", "ab", "?!", "a" * 40, "Ñandú 𝒳 y"]
+    said = ["blue", "anvill", "anvil,", "blu", "économi", "customer#000000021", "5-low", "12345.76", "ab", "ba", "a" * 38, "the", "tion", "anvthil", "Ñandú", "𝒳", "y", "b.", ""]
+    texts = [" ".join(rng.choice(said) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", " ", "blue anvil"]
+    index = ln.key_index(spark.createDataFrame([(k,) for k in keys], "key string"))
+    sieve = ln.Sieve.of(index)
+    got = list(sieve.runs(texts))
+    every = {(k, run) for k, t in enumerate(texts) for run in ln.runs(t, ln.span_lengths(index))}
+    want = {(k, run) for k, run in every if any(run[0] == key.lstrip(ln.SEPARATORS)[:1] and ratio(run, key) >= ln.THRESHOLD for key in keys)}
+    assert len(got) == len(set(got)) and want <= set(got) <= every and 4 * len(got) < len(every) and len(want) > 100
+    named = spark.createDataFrame([(t,) for t in texts + [None]], "q string")
+    assert {r["span"] for r in ln.spans(named, "q", sieve).collect()} == {run for _, run in got}
+
+
+def test_pairs_that_share_one_rare_gram_alone_are_not_scored(spark, monkeypatch):
+    from quillcheck.operators import grams
+
+    numbers = [f"{rng_.randint(10**7, 10**8 - 1)}" for rng_ in [random.Random(4)] for _ in range(400)]
+    asked, held = sorted(set(numbers[:200])), sorted(set(numbers[200:] + numbers[:20]))
+    index = grams.GramIndex(spark.createDataFrame([(h,) for h in held], "text string"), 0.85)
+    tried = spark.sparkContext.accumulator(0)
+    real = grams._scored
+
+    def counted(ratio_):
+        def each(batches):
+            for batch in batches:
+                tried.add(batch.num_rows)
+                yield from real(ratio_)(iter([batch]))
+
+        return each
+
+    monkeypatch.setattr(grams, "_scored", counted)
+    got = {(r["asked"], r["text"]) for r in index.partners(spark.createDataFrame([(a,) for a in asked], "asked string")).collect()}
+    assert got == {(a, h) for a in asked for h in held if ratio(a, h) >= 0.85} and len(got) >= 20
+    assert tried.value < 1000
