@@ -53,3 +53,11 @@ def test_units_are_compared_where_they_are_kept(spark):
 def test_verdicts_are_not_gathered(spark):
     plan = physical(PLANS["m03_exact_of_queries"](spark, SF_DIR))
     assert re.search(r"SortMergeJoin \[query_id#\d+L\], \[query_id#\d+L\], Inner", plan)
+
+
+def test_rows_of_results_are_dealt_out_by_the_size_of_the_tables(spark):
+    from quillcheck.session import parts_of
+
+    plan = physical(PLANS["e01_bag_equal"](spark, SF_DIR))
+    dealt = re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)
+    assert dealt and set(dealt) == {str(parts_of(spark, SF_DIR))} and int(spark.conf.get("spark.sql.shuffle.partitions")) != parts_of(spark, SF_DIR)
