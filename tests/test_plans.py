@@ -61,3 +61,23 @@ def test_rows_of_results_are_dealt_out_by_the_size_of_the_tables(spark):
     plan = physical(PLANS["e01_bag_equal"](spark, SF_DIR))
     dealt = re.findall(r"hashpartitioning\(.*, (\d+)\)", plan)
     assert dealt and set(dealt) == {str(parts_of(spark, SF_DIR))} and int(spark.conf.get("spark.sql.shuffle.partitions")) != parts_of(spark, SF_DIR)
+
+
+@pytest.mark.parametrize("name", ["a02_keywords", "a04_nested_count", "a08_where_overlap", "a12_and_or", "a14_keyword_overlap", "m07_f1"])
+def test_links_come_to_the_units_of_their_query(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(PLANS[name](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"hashpartitioning\(query_id#\d+L, role#", plan)
+
+
+def test_a_verdict_is_worked_out_once(spark):
+    from quillcheck.operators import clauses as cl
+
+    sizes = ", ".join(f"1L AS `{part}:{side}`" for part in cl._PART_NAMES for side in "gpo")
+    scored = spark.sql(f"SELECT 1L AS query_id, {sizes}, 1L AS label_total, 1L AS pred_total, 1L AS overlap FROM range(1)")
+    made = next(x for x in cl.partial_scores(scored)._jdf.queryExecution().analyzed().toString().splitlines() if "Generate" in x)
+    assert "f1, " not in made and cl.partial_scores(scored).count() == len(cl.COMPONENTS)
