@@ -19,6 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VECTORS_PER_BLOCK = 512
 PIVOTS = 64  # vectors that the others are filed by; never more than this reach the driver
 FIRST_BLOCKS = 4
+BLOCKS_PER_TILE = 32  # a probe's vector is sent once to all of these that it opens
+PROBES_PER_TILE = 16_384
 _UNKNOWN, _ZERO = -1, -2  # in place of a pivot: no vector, or one without direction
 
 
@@ -36,8 +38,8 @@ def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 class VectorIndex:
     """Vectors filed by their nearest pivot and the angle to it, in blocks of one pivot and one ``on``.
 
-    ``values`` has ``on``, ``id`` (a number) and ``vector`` (null, or all of one length). Blocks are cut within the tasks that
-    hold the rows, so a hot key makes many blocks.
+    ``values`` has ``on``, ``id`` (a number) and ``vector`` (null, or all of one length). Rows are dealt out by ranges of key,
+    pivot, angle and id and blocks are cut within the tasks, so a hot key makes many blocks.
     """
 
     def __init__(self, values: DataFrame, on: Sequence[str]):
@@ -74,7 +76,8 @@ class VectorIndex:
         head = kinds + ", " if kinds else ""
         slim = self.values.select(*keys, F.col("id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
         placed = slim.mapInPandas(place, head + "id long, vector array<double>, pivot int, angle double")
-        blocks = placed.sortWithinPartitions(*keys, "pivot", "angle").mapInPandas(cut, head + "pivot int, lo double, hi double, ids array<long>, vectors array<array<double>>")
+        near = placed.repartitionByRange(*keys, "pivot", "angle", "id")  # neighbours share a task, so blocks are full
+        blocks = near.sortWithinPartitions(*keys, "pivot", "angle").mapInPandas(cut, head + "pivot int, lo double, hi double, ids array<long>, vectors array<array<double>>")
         return blocks.withColumn("block", F.monotonically_increasing_id())
 
     def with_angles(self, probes: DataFrame) -> DataFrame:
@@ -103,53 +106,67 @@ def nearest(
 
     An exact search by pivots: the angle to a vector can't be less than the difference of the two angles to a pivot, so
     the blocks whose bound is best are opened first, and of the others only those that may still hold one of the k best.
+    Probes and blocks meet in tiles of ``PROBES_PER_TILE`` by ``BLOCKS_PER_TILE``; no vector is sent for a single pair.
     """
     index = values if isinstance(values, VectorIndex) else VectorIndex(values, on)
     width, keep, places = index.width, k, digits
     group = [*per, "id"] if per else [*on, "id"]
     p = probes.select(*dict.fromkeys([*on, *per]), F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    p = settled(index.with_angles(p), "probes")
+    named = list(dict.fromkeys([*on, *per, "id"]))
+    p = p.dropDuplicates(named).repartitionByRange(*named).sortWithinPartitions(*named)  # a bundle has few ``on``
+    p = settled(index.with_angles(p.withColumn("bundle", F.floor(F.monotonically_increasing_id() / PROBES_PER_TILE))), "probes")
     summary = index.blocks.select(*index.on, "block", "pivot", "lo", "hi")
     pairs = salted_join(p.drop("vector"), summary, on)
     angle = F.get("angles", F.col("pivot"))
     gap = F.greatest(F.lit(0.0), angle - F.col("hi"), F.col("lo") - angle)
     reach = F.when(F.col("angles").isNull() | (F.col("pivot") == _UNKNOWN), -1.0).when((F.size("angles") == 0) | (F.col("pivot") == _ZERO), 0.0).otherwise(F.cos(gap))
-    named = list(dict.fromkeys([*on, *per, "id"]))
-    pairs = settled(pairs.select(*named, "block", (reach + 2 * 10.0**-digits).alias("reach")), "pairs")
+    pairs = settled(pairs.select(*named, "bundle", "block", (reach + 2 * 10.0**-digits).alias("reach")), "pairs")
     placed = pairs.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("reach"), "block")))
     kinds = {f.name: f.dataType.simpleString() for f in p.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in named) + ", other_id long, score double"
 
+    def best_of(part: pd.DataFrame, ids: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the best ``keep`` for some probes; ``ids`` ascend, so the first of equals is the least."""
+        mine = _unit(part["vector"].tolist(), width)
+        cosine = np.round(np.nan_to_num(np.clip(np.nan_to_num(mine) @ np.nan_to_num(theirs).T, -1, 1)), places)
+        cosine[np.isnan(mine).any(axis=1)] = -1.0
+        cosine[:, np.isnan(theirs).any(axis=1)] = -1.0
+        if skip_same:
+            cosine[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        at = cosine.argmax(axis=1)[:, None] if keep == 1 else np.argsort(-cosine, axis=1, kind="stable")[:, :keep]
+        return at, np.take_along_axis(cosine, at, axis=1)
+
     def score(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(asked) and len(held):
-            ids, theirs = np.asarray(held["ids"].iloc[0]), _unit(list(held["vectors"].iloc[0]), width)
-            for at in range(0, len(asked), VECTORS_PER_BLOCK):  # one matrix product for some probes
-                part = asked.iloc[at : at + VECTORS_PER_BLOCK]
-                mine = _unit(part["vector"].tolist(), width)
-                cosine = np.round(np.nan_to_num(np.clip(np.nan_to_num(mine) @ np.nan_to_num(theirs).T, -1, 1)), places)
-                cosine[np.isnan(mine).any(axis=1)] = -1.0
-                cosine[:, np.isnan(theirs).any(axis=1)] = -1.0
-                if skip_same:
-                    cosine[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-                rows = part[named].to_numpy(dtype=object)
-                for row, line in zip(rows, cosine, strict=True):
-                    best = np.flatnonzero(line >= np.partition(line, -keep)[-keep]) if len(line) > keep else np.arange(len(line))
-                    for i in best[np.lexsort((ids[best], -line[best]))][:keep]:
-                        if np.isfinite(line[i]):
-                            out.append((*row, int(ids[i]), float(line[i])))
-        return pd.DataFrame(out, columns=[*named, "other_id", "score"])
+        wanted = asked["wanted"].explode()
+        rows_of = pd.Series(np.repeat(np.arange(len(asked)), asked["wanted"].str.len()), index=wanted.to_numpy(dtype=np.int64)).groupby(level=0)
+        rows_of = {b: r.to_numpy() for b, r in rows_of}
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for block, ids, vectors in zip(held["block"], held["ids"], held["vectors"], strict=True):
+            order, ids = np.argsort(ids, kind="stable"), np.sort(ids)
+            theirs, rows = _unit(list(vectors), width)[order], rows_of.get(block, [])
+            for at in range(0, len(rows), VECTORS_PER_BLOCK):  # one matrix product for some probes
+                some = rows[at : at + VECTORS_PER_BLOCK]
+                near, how = best_of(asked.iloc[some], ids, theirs)
+                ok = np.isfinite(how).ravel()
+                found.append((np.repeat(some, near.shape[1])[ok], ids[near.ravel()][ok], how.ravel()[ok]))
+        row, other, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((other, -cosine, row))
+        row, other, cosine = row[order], other[order], cosine[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < keep
+        return asked[named].iloc[row[best]].assign(other_id=other[best], score=cosine[best])
 
     def opened(some: DataFrame) -> DataFrame:
-        some = some.select(*named, "block")
-        asked = some.join(p.select(*named, "vector").dropDuplicates(named), named)
-        blocks = index.blocks.join(some.select("block").distinct(), "block", "left_semi").select("block", "ids", "vectors")
-        return asked.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(score, schema)
+        tile = F.floor(F.col("block") / BLOCKS_PER_TILE).alias("tile")  # numbers of blocks run on within a task
+        wanted = some.groupBy(*named, "bundle", tile).agg(F.collect_list("block").alias("wanted"))  # as many as a tile has
+        asked = wanted.join(p.select(*named, "vector"), named)
+        blocks = index.blocks.select("block", "ids", "vectors").join(some.select(F.col("bundle").alias("met"), "block").distinct(), "block")
+        return asked.groupBy("bundle", "tile").cogroup(blocks.withColumn("__tile", tile).groupBy("met", "__tile")).applyInPandas(score, schema)
 
     order = Window.partitionBy(*group).orderBy(F.desc("score"), "other_id")
     first = settled(opened(placed.where(F.col("place") <= FIRST_BLOCKS)), "first")
     floor = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select(*group, F.col("score").alias("floor"))
     later = placed.where(F.col("place") > FIRST_BLOCKS).join(floor, group, "left").where(F.col("reach") >= F.coalesce("floor", F.lit(-2.0)))
+    later = settled(later.select(*named, "bundle", "block"), "later")
     found = first.unionByName(opened(later)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     return found if k > 1 else found.drop("place")
 

@@ -175,6 +175,25 @@ def test_nearest_vector(spark, monkeypatch, k, skip):
     assert got == want
 
 
+def test_vectors_meet_in_full_blocks_and_small_tiles(spark, monkeypatch):
+    """Rows spread over many tasks are not cut into as many blocks; tiles of few probes and blocks lose no pair."""
+    monkeypatch.setattr(vec, "VECTORS_PER_BLOCK", 20)
+    monkeypatch.setattr(vec, "PIVOTS", 2)
+    monkeypatch.setattr(vec, "FIRST_BLOCKS", 1)
+    monkeypatch.setattr(vec, "BLOCKS_PER_TILE", 2, raising=False)
+    monkeypatch.setattr(vec, "PROBES_PER_TILE", 7, raising=False)
+    rng = random.Random(6)
+    rows = [(n % 2, n, [rng.gauss(0, 1) for _ in range(12)]) for n in range(240)]
+    df = spark.createDataFrame(rows, "label int, id bigint, vector array<double>").repartition(16)
+    assert vec.VectorIndex(df, ["label"]).blocks.count() <= 32
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 6)
+
+    want = {n: min((-cosine(v, w), m) for lab, m, w in rows if lab == label and m != n)[1] for label, n, v in rows}
+    assert {r["id"]: r["other_id"] for r in vec.nearest(df, df, ["label"], skip_same=True).collect()} == want
+
+
 def test_nearest_over_several_tables(spark, monkeypatch):
     """With ``per`` the best is taken over all places that a probe is asked for."""
     monkeypatch.setattr(vec, "VECTORS_PER_BLOCK", 3)
