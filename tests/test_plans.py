@@ -63,6 +63,22 @@ def test_rows_of_results_are_dealt_out_by_the_size_of_the_tables(spark):
     assert dealt and set(dealt) == {str(parts_of(spark, SF_DIR))} and int(spark.conf.get("spark.sql.shuffle.partitions")) != parts_of(spark, SF_DIR)
 
 
+def test_units_are_dealt_out_once_whatever_a_shuffle_has(spark):
+    from quillcheck.plans import clause_queries as cq
+    from quillcheck.session import parts_of
+    from quillcheck.sources.tables import Tables
+
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan, parts = physical(cq.clause_units(Tables(spark, SF_DIR))), parts_of(spark, SF_DIR)
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert parts == 40 and not re.search(r"hashpartitioning\(query_id#\d+L, \d+\), ENSURE_REQUIREMENTS", plan)
+
+
 @pytest.mark.parametrize("name", ["a02_keywords", "a04_nested_count", "a08_where_overlap", "a12_and_or", "a14_keyword_overlap", "m07_f1"])
 def test_links_come_to_the_units_of_their_query(spark, name):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
