@@ -97,3 +97,23 @@ def test_a_verdict_is_worked_out_once(spark):
     scored = spark.sql(f"SELECT 1L AS query_id, {sizes}, 1L AS label_total, 1L AS pred_total, 1L AS overlap FROM range(1)")
     made = next(x for x in cl.partial_scores(scored)._jdf.queryExecution().analyzed().toString().splitlines() if "Generate" in x)
     assert "f1, " not in made and cl.partial_scores(scored).count() == len(cl.COMPONENTS)
+
+
+def test_values_are_made_distinct_before_they_are_text(spark):
+    from quillcheck.operators import values as vals
+
+    frame = spark.createDataFrame([(0.0, 7, "a"), (-0.0, 7, "a"), (float("nan"), None, ""), (float("nan"), 8, None), (1e20, 8, "A")], "d double, n int, s string")
+    frame = frame.selectExpr("*", "array(n) AS many", "timestamp_seconds(1000000000 + n) AS at")
+    index = vals.value_index({"t": frame}, {"t": ["d", "n", "s", "many", "at", "d"]})
+    got = sorted((r.col, r.value) for r in index.collect())
+    assert [v for c, v in got if c == "d"] == ["-0.0", "0.0", "1.0E20", "NaN"]
+    assert [v for c, v in got if c == "n"] == ["7", "8"] and [v for c, v in got if c == "s"] == ["", "A", "a"]
+    assert [v for c, v in got if c == "many"] == ["[7]", "[8]", "[null]"] and [v[:16] for c, v in got if c == "at"] == ["2001-09-09 01:46"] * 2
+    assert len(set(re.findall(r"hashpartitioning\((v#\d+)(?:, zero#\d+)?, ", physical(index)))) == 3
+
+
+def test_one_word_is_in_order(spark):
+    from quillcheck.functions.similarity import token_sorted
+
+    rows = spark.createDataFrame([("Ab_1",), ("b A",), ("Ab\n",), ("",), ("\u00e9B",), (None,)], "c string")
+    assert [r[0] for r in rows.select(token_sorted(rows["c"])).collect()] == ["ab_1", "a b", "ab", "", "b", None]
