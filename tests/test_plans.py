@@ -117,3 +117,13 @@ def test_one_word_is_in_order(spark):
 
     rows = spark.createDataFrame([("Ab_1",), ("b A",), ("Ab\n",), ("",), ("\u00e9B",), (None,)], "c string")
     assert [r[0] for r in rows.select(token_sorted(rows["c"])).collect()] == ["ab_1", "a b", "ab", "", "b", None]
+
+
+def test_opened_blocks_stay_spread(spark):
+    from quillcheck.operators import search as se
+    from quillcheck.session import settled
+
+    s = se.Searchable(spark.createDataFrame([("t", "c", f"value {i}") for i in range(50)], "tbl string, col string, value string"))
+    pairs = settled(s.blocks.selectExpr("block", "0 AS bundle", "tbl", "'valeu 7' AS literal", "'7 valeu' AS asked"))
+    found = se._opened(pairs, s, ["tbl"], [], 1, None, 1)
+    assert found.collect() and re.search(r"hashpartitioning\(block#\d+L, bundle#\d+, \d+\), REPARTITION_BY_NUM", physical(found))
