@@ -321,3 +321,51 @@ def test_pairs_that_share_one_rare_gram_alone_are_not_scored(spark, monkeypatch)
     got = {(r["asked"], r["text"]) for r in index.partners(spark.createDataFrame([(a,) for a in asked], "asked string")).collect()}
     assert got == {(a, h) for a in asked for h in held if ratio(a, h) >= 0.85} and len(got) >= 20
     assert tried.value < 1000
+
+
+def test_numbers_are_never_scored_for_mentions(spark, monkeypatch):
+    """A piece of a number is a number, which is no mention; texts full of numbers meet an index full of them."""
+    from quillcheck.operators import grams
+
+    rng = random.Random(9)
+    prices = [f"{rng.choice(['', '-'])}{rng.randint(100, 99999)}.{rng.randint(0, 99)}" for _ in range(300)] + [str(rng.randint(10**6, 10**7)) for _ in range(300)]
+    others = ["1.25E7", "1995-01-02 00:00:00", "12,5", "1.2.3", "5-LOW", "+12", "1e", "7\n", "Brand#7", "12 34", "٣٤"]
+    index = spark.createDataFrame([("t", "price", p) for p in prices] + [("t", "other", o) for o in others], "tbl string, col string, value string")
+    near = [*others, "1995-01-03 00:00:00", "brand#77", "1.26e7"]
+    texts = [" ".join(rng.choice(prices if rng.random() < 0.7 else near) for _ in range(30)) for _ in range(20)]
+    asked = spark.createDataFrame([(t,) for t in texts], "q string")
+    tried = spark.sparkContext.accumulator(0)
+    real = grams._scored
+
+    def counted(ratio_):
+        def each(batches):
+            for batch in batches:
+                tried.add(batch.num_rows)
+                yield from real(ratio_)(iter([batch]))
+
+        return each
+
+    monkeypatch.setattr(grams, "_scored", counted)
+    got = {tuple(r) for r in ln.mentions(asked, "q", index).collect()}
+    few = tried.value
+    want = {tuple(r) for r in ln.mentions(asked, "q", index, keys=ln.key_index(ln.keys_of(index))).collect()}
+    assert got == want and len(got) > 30 and {"5-LOW", "1995-01-02 00:00:00"} <= {r[3] for r in got}
+    assert 0 < few and few * 4 < tried.value - few
+
+
+def test_the_run_of_a_number_and_a_near_text_is_a_number(spark):
+    rng = random.Random(10)
+    keys, near = [], []
+    for _ in range(6000):
+        key = rng.choice(["", "-"]) + "".join(rng.choice("0123456789") for _ in range(rng.randint(1, 12))) + rng.choice(["", "." + "".join(rng.choice("0123456789") for _ in range(rng.randint(1, 12)))])
+        text = list(key)
+        for _ in range(rng.randint(0, 4)):
+            text.insert(rng.randint(0, len(text)), rng.choice("x-.,1 ")) if rng.random() < 0.6 or not text else text.pop(rng.randrange(len(text)))
+        keys.append(key)
+        near.append("".join(text))
+    at, size = ln.longest_runs(keys, near)
+    runs = [k[a : a + n] for k, t, a, n in zip(keys, near, at, size) if len(t) > 1 and ratio(k, t) >= ln.THRESHOLD]
+    told = spark.createDataFrame([(r,) for r in set(runs)], "run string").select(F.min(ln.is_number(F.col("run")))).first()[0]
+    assert told and len(runs) > 2000
+    assert ln.mentionable(spark.createDataFrame([(k,) for k in keys], "key string")).count() == 0
+    assert ln.mentionable(spark.createDataFrame([("1.5",), ("15",)], "key string"), 0.5).collect() == [("1.5",)]
