@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,9 @@ PIVOTS = 64  # vectors that the others are filed by; never more than this reach
 FIRST_BLOCKS = 4
 BLOCKS_PER_TILE = 32  # a probe's vector is sent once to all of these that it opens
 PROBES_PER_TILE = 16_384
-_UNKNOWN, _ZERO = -1, -2  # in place of a pivot: no vector, or one without direction
+_ZERO = -2  # in place of a pivot: a vector without direction
+# What no angle can be told of: no vector, or one with a number that is none.
+_UNKNOWN = "vector IS NULL OR exists(vector, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
 
 
 def _unit(vectors, width: int) -> np.ndarray:
@@ -39,11 +41,13 @@ class VectorIndex:
     """Vectors filed by their nearest pivot and the angle to it, in blocks of one pivot and one ``on``.
 
     ``values`` has ``on``, ``id`` (a number) and ``vector`` (null, or all of one length). Rows are dealt out by ranges of key,
-    pivot, angle and id and blocks are cut within the tasks, so a hot key makes many blocks.
+    pivot, angle and id and blocks are cut within the tasks, so a hot key makes many blocks. Values without a vector are in no
+    block: they are all alike to a probe, so the least of them are enough (``firsts``).
     """
 
     def __init__(self, values: DataFrame, on: Sequence[str]):
-        self.on, self.values = list(on), values
+        self.on = list(on)
+        self.values = values.select(*on, F.col("id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
         some = values.where("vector IS NOT NULL").select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
         self.width = len(some[0]["vector"]) if some else 1
         unit = _unit([r["vector"] for r in some], self.width)
@@ -53,15 +57,15 @@ class VectorIndex:
     def _cut(self) -> DataFrame:
         pivots, width, keys, per_block = self.pivots, self.width, self.on, VECTORS_PER_BLOCK
         kinds = ", ".join(f"`{k}` {self.values.schema[k].dataType.simpleString()}" for k in keys)
+        slim = self.values.where(f"NOT ({_UNKNOWN})")
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 unit = _unit(batch["vector"].tolist(), width)
-                known = ~np.isnan(unit).any(axis=1)
-                some = known & (np.abs(np.nan_to_num(unit)).sum(axis=1) > 0)
+                some = np.abs(unit).sum(axis=1) > 0
                 angles = _angles(unit, pivots) if len(pivots) else np.zeros((len(unit), 1))
                 near = angles.argmin(axis=1)
-                batch = batch.assign(pivot=np.where(some, near, np.where(known, _ZERO, _UNKNOWN)), angle=angles[np.arange(len(unit)), near])
+                batch = batch.assign(pivot=np.where(some, near, _ZERO), angle=angles[np.arange(len(unit)), near])
                 yield batch[[*keys, "id", "vector", "pivot", "angle"]]
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,12 +78,17 @@ class VectorIndex:
                 yield pd.DataFrame(rows, columns=[*keys, "pivot", "lo", "hi", "ids", "vectors"])
 
         head = kinds + ", " if kinds else ""
-        slim = self.values.select(*keys, F.col("id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
         placed = slim.mapInPandas(place, head + "id long, vector array<double>, pivot int, angle double")
         near = placed.repartitionByRange(*keys, "pivot", "angle", "id")  # neighbours share a task, so blocks are full
         blocks = near.sortWithinPartitions(*keys, "pivot", "angle").mapInPandas(cut, head + "pivot int, lo double, hi double, ids array<long>, vectors array<array<double>>")
         return blocks.withColumn("block", F.monotonically_increasing_id())
 
+    def firsts(self, n: int) -> DataFrame:
+        """(on, other_id, known): the ``n`` least ids of each ``on``, of the values with a vector and of those without."""
+        named = self.values.select(*self.on, F.col("id").alias("other_id"), F.expr(f"NOT ({_UNKNOWN})").alias("known"))
+        place = F.row_number().over(Window.partitionBy(*self.on, "known").orderBy("other_id"))
+        return settled(named.withColumn("n", place).where(F.col("n") <= n).drop("n"), "firsts")
+
     def with_angles(self, probes: DataFrame) -> DataFrame:
         """``probes`` with the angles to all pivots; null for one without vector, empty for one without direction."""
         pivots, width = self.pivots, self.width
@@ -107,6 +116,8 @@ def nearest(
     An exact search by pivots: the angle to a vector can't be less than the difference of the two angles to a pivot, so
     the blocks whose bound is best are opened first, and of the others only those that may still hold one of the k best.
     Probes and blocks meet in tiles of ``PROBES_PER_TILE`` by ``BLOCKS_PER_TILE``; no vector is sent for a single pair.
+    A probe without vector or direction scores the same with all vectors, and so does a value without vector with all probes:
+    these open no blocks, the least ids decide.
     """
     index = values if isinstance(values, VectorIndex) else VectorIndex(values, on)
     width, keep, places = index.width, k, digits
@@ -116,10 +127,13 @@ def nearest(
     p = p.dropDuplicates(named).repartitionByRange(*named).sortWithinPartitions(*named)  # a bundle has few ``on``
     p = settled(index.with_angles(p.withColumn("bundle", F.floor(F.monotonically_increasing_id() / PROBES_PER_TILE))), "probes")
     summary = index.blocks.select(*index.on, "block", "pivot", "lo", "hi")
-    pairs = salted_join(p.drop("vector"), summary, on)
+    alike = salted_join(p.drop("vector"), index.firsts(k + skip_same), on).where("NOT known OR angles IS NULL OR size(angles) = 0")
+    alike = alike.where("id <> other_id") if skip_same else alike
+    alike = alike.select(*named, "other_id", F.when(F.col("known") & F.col("angles").isNotNull(), 0.0).otherwise(-1.0).alias("score"))
+    pairs = salted_join(p.where("size(angles) > 0").drop("vector"), summary, on)
     angle = F.get("angles", F.col("pivot"))
     gap = F.greatest(F.lit(0.0), angle - F.col("hi"), F.col("lo") - angle)
-    reach = F.when(F.col("angles").isNull() | (F.col("pivot") == _UNKNOWN), -1.0).when((F.size("angles") == 0) | (F.col("pivot") == _ZERO), 0.0).otherwise(F.cos(gap))
+    reach = F.when(F.col("pivot") == _ZERO, 0.0).otherwise(F.cos(gap))
     pairs = settled(pairs.select(*named, "bundle", "block", (reach + 2 * 10.0**-digits).alias("reach")), "pairs")
     placed = pairs.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("reach"), "block")))
     kinds = {f.name: f.dataType.simpleString() for f in p.schema}
@@ -128,9 +142,7 @@ def nearest(
     def best_of(part: pd.DataFrame, ids: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the best ``keep`` for some probes; ``ids`` ascend, so the first of equals is the least."""
         mine = _unit(part["vector"].tolist(), width)
-        cosine = np.round(np.nan_to_num(np.clip(np.nan_to_num(mine) @ np.nan_to_num(theirs).T, -1, 1)), places)
-        cosine[np.isnan(mine).any(axis=1)] = -1.0
-        cosine[:, np.isnan(theirs).any(axis=1)] = -1.0
+        cosine = np.round(np.clip(mine @ theirs.T, -1, 1), places)
         if skip_same:
             cosine[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
         at = cosine.argmax(axis=1)[:, None] if keep == 1 else np.argsort(-cosine, axis=1, kind="stable")[:, :keep]
@@ -167,7 +179,7 @@ def nearest(
     floor = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select(*group, F.col("score").alias("floor"))
     later = placed.where(F.col("place") > FIRST_BLOCKS).join(floor, group, "left").where(F.col("reach") >= F.coalesce("floor", F.lit(-2.0)))
     later = settled(later.select(*named, "bundle", "block"), "later")
-    found = first.unionByName(opened(later)).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    found = first.unionByName(opened(later)).unionByName(alike).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     return found if k > 1 else found.drop("place")
 
 
@@ -181,17 +193,24 @@ def mean_of_tokens(values: DataFrame, token_vectors: DataFrame) -> DataFrame:
     A value without a known word falls back to its known characters, and to null when it
     has none of these either.
     """
+    return values.select("value").distinct().join(known_means(values, token_vectors), "value", "left")
+
+
+def known_means(values: DataFrame, token_vectors: DataFrame) -> DataFrame:
+    """``mean_of_tokens`` of the values that have one. Only these are made distinct, so with few known tokens few values move."""
     known = token_vectors.filter(F.col("embedding").isNotNull())
-    unique = values.select("value").distinct()
+    word, char = (lambda v: F.explode(words_of(v)).alias("token")), (lambda v: F.explode(F.split(v, "")).alias("token"))
+
+    def with_any(pieces: Callable[[Column], Column], tokens: DataFrame) -> DataFrame:
+        return values.select("value", pieces(F.col("value"))).join(tokens, "token", "left_semi").select("value").distinct()
 
-    def mean(pieces: DataFrame) -> DataFrame:
-        cells = pieces.join(known, "token").select("value", F.posexplode("embedding").alias("dim", "x"))
+    def mean(some: DataFrame, pieces: Callable[[Column], Column]) -> DataFrame:
+        cells = some.select("value", pieces(F.col("value"))).join(known, "token").select("value", F.posexplode("embedding").alias("dim", "x"))
         per_dim = cells.groupBy("value", "dim").agg(F.avg("x").alias("x"))
         # A list as long as the vectors are wide.
         line = F.array_sort(F.collect_list(F.struct("dim", "x")))
         return per_dim.groupBy("value").agg(F.transform(line, lambda c: c["x"]).alias("vector"))
 
-    by_word = mean(unique.select("value", F.explode(words_of(F.col("value"))).alias("token")))
-    rest = unique.join(by_word, "value", "left_anti")
-    by_char = mean(rest.select("value", F.explode(F.split("value", "")).alias("token")))
-    return unique.join(by_word.unionAll(by_char), "value", "left")
+    by_word = settled(with_any(word, known), "with-words")
+    by_char = with_any(char, known.where("char_length(token) <= 1")).join(by_word, "value", "left_anti")
+    return mean(by_word, word).unionAll(mean(by_char, char))

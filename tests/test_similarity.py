@@ -369,3 +369,60 @@ def test_the_run_of_a_number_and_a_near_text_is_a_number(spark):
     assert told and len(runs) > 2000
     assert ln.mentionable(spark.createDataFrame([(k,) for k in keys], "key string")).count() == 0
     assert ln.mentionable(spark.createDataFrame([("1.5",), ("15",)], "key string"), 0.5).collect() == [("1.5",)]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+@pytest.mark.parametrize("skip", [True, False])
+def test_values_without_vector_are_in_no_block(spark, monkeypatch, k, skip):
+    """They, and probes without vector or direction, are answered by the least ids; a vector with a NaN or infinity in it is none."""
+    monkeypatch.setattr(vec, "VECTORS_PER_BLOCK", 4)
+    monkeypatch.setattr(vec, "FIRST_BLOCKS", 1)
+    rng = random.Random(12)
+    none = [None, [float("nan"), 1.0], [float("inf"), 0.0], [None, 2.0]]
+    rows = [(n % 4, n, rng.choice(none) if n % 5 or n % 4 == 3 else [0.0, 0.0] if n % 25 == 0 else [rng.gauss(0, 1), rng.gauss(0, 1)]) for n in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "label int, id bigint, vector array<double>").repartition(3)
+    index = vec.VectorIndex(df, ["label"])
+    held = {n: v for _, n, v in rows if v is not None and None not in v and all(abs(x) < 1e9 for x in v)}
+    assert sorted(n for r in index.blocks.collect() for n in r["ids"]) == sorted(held) and 30 < len(held) < 60
+
+    def cosine(m, n):
+        if m not in held or n not in held:
+            return -1.0
+        a, b = held[m], held[n]
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / size, 6) if size else 0.0
+
+    want = {}
+    for label, n, _ in rows:
+        want[n] = [(m, -c) for c, m in sorted((-cosine(n, m), m) for other, m, _ in rows if other == label and not (skip and m == n))[:k]]
+    got = {n: [] for n in want}
+    for r in vec.nearest(df, index, ["label"], k=k, skip_same=skip).orderBy("id", F.desc("score"), "other_id").collect():
+        got[r["id"]].append((r["other_id"], r["score"]))
+    assert got == want
+
+
+def test_calibration_by_vectors_holds_few_values_without_vector(spark):
+    entries = [("shop", "name", f"Item {n:03d}") for n in range(200)] + [("shop", "kind", v) for v in ("red ring", "red red knot", "b", "", "zz")]
+    entries += [("shop", "size", "12"), ("bank", "place", "blue ring"), ("bank", "place", "Ring"), ("bank", "code", "aa")]
+    tokens = spark.createDataFrame([("red", [1.0, 0.0]), ("ring", [0.0, 1.0]), ("blue", [-1.0, 0.0]), ("b", [1.0, 1.0]), ("zz", None)], "token string, embedding array<double>")
+    searched = srch.Searchable(spark.createDataFrame(entries, "tbl string, col string, value string"))
+    by = vals.ByVector(searched, tokens)
+    asked = [(1, "shop", "name", "nothing"), (2, "shop", "kind", "rings red"), (3, "shop", "name", "rings blue"), (4, "shop", "name", "RING!"), (5, "shop", "size", "13"), (6, "shop", "name", "knot"), (7, "shop", "void", "x"), (8, "shop", "kind", "abc")]
+    probes = spark.createDataFrame(asked, "id int, tbl string, col string, literal string")
+    got = {r["id"]: (r["stage"], r["match_tbl"], r["match_col"], r["match_value"]) for r in vals.calibrate(probes, searched, by).collect()}
+    assert got == {
+        1: (6, "shop", "name", "Item 000"),  # no vector: the least value of the column
+        2: (3, "shop", "kind", "red red knot"),  # "red" alone is known of both
+        3: (5, "bank", "place", "blue ring"),
+        4: (4, "shop", "kind", "b"),  # as near as "red ring", and before it
+        5: (6, "shop", "size", None),  # a number for a number
+        6: (6, "shop", "name", "Item 000"),
+        7: (6, "shop", "void", None),
+        8: (3, "shop", "kind", "b"),  # by its one known letter
+    }
+    rows = by.values.collect()
+    assert {(r["col"], r["value"]) for r in rows if r["vector"] is None} <= {("name", "Item 000"), ("kind", ""), ("size", "12")} and len(rows) < 12
+    means = {r["value"]: r["vector"] for r in vec.mean_of_tokens(spark.createDataFrame([(v,) for v in ("red Red, blue", "abba", "b ring", "zz", "", None, "abba")], "value string"), tokens).collect()}
+    third = pytest.approx(1 / 3)
+    assert means.pop("red Red, blue") == [third, 0.0] and means == {"abba": [1.0, 1.0], "b ring": [0.5, 1.0], "zz": None, "": None, None: None}
