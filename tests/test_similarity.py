@@ -426,3 +426,14 @@ def test_calibration_by_vectors_holds_few_values_without_vector(spark):
     means = {r["value"]: r["vector"] for r in vec.mean_of_tokens(spark.createDataFrame([(v,) for v in ("red Red, blue", "abba", "b ring", "zz", "", None, "abba")], "value string"), tokens).collect()}
     third = pytest.approx(1 / 3)
     assert means.pop("red Red, blue") == [third, 0.0] and means == {"abba": [1.0, 1.0], "b ring": [0.5, 1.0], "zz": None, "": None, None: None}
+
+
+def test_linked_values_are_named_by_digests(spark):
+    """Copies of a text and texts without a mention; the text itself comes back with the digest only."""
+    index = spark.createDataFrame([("t", "kind", "Furniture"), ("t", "city", "St. Louis"), ("t", "city", "Rome")], "tbl string, col string, value string")
+    texts = spark.createDataFrame([(1, "furnitures in rome"), (2, "furnitures in rome"), (3, "nothing"), (4, None), (5, "St. Louis, Rome")], "id int, q string")
+    found = ln.named_linked_values(texts, "q", index)
+    assert found.columns == ["of", "tbl", "col", "values"]
+    by_id = {tuple(r)[:3] + (tuple(r["values"]),) for r in texts.select("id", ln.digest(F.col("q"))).join(found, "of").select("id", "tbl", "col", "values").collect()}
+    assert by_id == {(n, "t", c, v) for n in (1, 2) for c, v in (("kind", ("Furniture",)), ("city", ("Rome",)))} | {(5, "t", "city", ("St. Louis", "Rome"))}
+    assert {r["q"] for r in ln.linked_values(texts, "q", index).collect()} == {"furnitures in rome", "St. Louis, Rome"}
